@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from siltstone.llm import brown, packing, simhash, toxicity
+from siltstone.llm import ann, brown, decontam, html, licences, lines, packing, pii, simhash, toxicity
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
+    "op2_html": html.op2_html,
+    "op3_pii": pii.op3_pii,
     "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
+    "op6_lines": lines.op6_lines,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_brown": brown.op9_brown,
+    "op10_licences": licences.op10_licences,
 }
 ORACLES: dict[str, str] = {}
