@@ -5,8 +5,13 @@ Lengths are bounded by the sequence length, so the multiset of all pieces is a h
 
 from __future__ import annotations
 
+import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,7 +22,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import materialise, table
 
 END = 1
-_SPACE = str.maketrans("\n\r\t", "   ")
+#: White space that str.split() and the vocabulary's pre-tokeniser may see differently.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 _loaded: dict[str, tuple] = {}
 
 
@@ -27,30 +34,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str, cached: int = 250_000):
-    """A function from a text to its ids as little-endian unsigned 32-bit. The vocabulary's pre-tokeniser never joins over white space, so words are encoded once and kept, up to `cached` of them."""
+def _tokenizer(path: str, cached: int = 800_000):
+    """A function from texts to their ids as little-endian unsigned 32-bit. The vocabulary's pre-tokeniser never joins over white space, so words are encoded once and kept, up to `cached` of them; texts with other than plain white space are encoded whole."""
     if path not in _loaded:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _loaded[path] = (Tokenizer.from_file(path), {})
     model, known = _loaded[path]
 
-    def ids(text: str) -> bytes:
-        words = text.translate(_SPACE).split(" ")
-        new = {w for w in words if w not in known}
-        if new:
+    def encode(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 128):
+            words = [None if _ODD.search(t) else t.split() for t in texts[at : at + 128]]
+            new = list(set(chain.from_iterable(w for w in words if w)).difference(known))
             if len(known) + len(new) > cached:
                 known.clear()
-                new = set(words)
-            new = list(new)
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+                new = list(set(chain.from_iterable(w for w in words if w)))
+            for i in range(0, len(new), 20_000):
+                known.update(zip(new[i : i + 20_000], encode(new[i : i + 20_000]), strict=True))
+            get = known.__getitem__
+            for t, w in zip(texts[at : at + 128], words, strict=True):
+                yield encode([t])[0] if w is None else b"".join(map(get, w))
 
     return ids
 
@@ -62,8 +69,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
         ids, end = _tokenizer(path), np.array([END], dtype="<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                raw = ids(text or "") + end
+            for doc, raw in zip(b["doc_id"], ids([t or "" for t in b["text"]]), strict=True):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
