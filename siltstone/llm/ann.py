@@ -28,10 +28,12 @@ def strings(x: np.ndarray, trees: int, digits: int) -> np.ndarray:
     dim = x.shape[1]
     out, unit = np.zeros((trees, len(x)), dtype=np.int64), x.astype(np.float32)
     for t, tree in enumerate(_rotations(dim, trees, digits)):
-        for matrix in tree:
-            y = unit @ matrix
-            axis = np.abs(y).argmax(axis=1)
-            out[t] = out[t] * (2 * dim) + 2 * axis + (y[np.arange(len(y)), axis] > 0)
+        y = (unit @ tree.transpose(1, 0, 2).reshape(dim, digits * dim)).reshape(len(x), digits, dim)
+        high, low = y.argmax(axis=2), y.argmin(axis=2)
+        up, down = np.take_along_axis(y, high[..., None], 2)[..., 0], np.take_along_axis(y, low[..., None], 2)[..., 0]
+        digit = np.where(up >= -down, 2 * high + 1, 2 * low)
+        for level in range(digits):
+            out[t] = out[t] * (2 * dim) + digit[:, level]
     return out
 
 
@@ -61,8 +63,8 @@ class Forest:
 
 
 def _digits(dim: int) -> int:
-    """Digits of a string: up to 4, as fit a long."""
-    return max(1, min(4, int(62 // math.log2(max(2, 2 * dim)))))
+    """Digits of a string: up to 3, as fit a long; more don't tell vectors apart further where a shard has some thousands."""
+    return max(1, min(3, int(62 // math.log2(max(2, 2 * dim)))))
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").where("vec_id is not null").where(v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 64, agree: int = 2, enough: int = 32, query_block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 128, agree: int = 3, enough: int = 32, query_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, the k nearest rows found among all others.
 
     Rows with a null id or vector, a zero vector, or null or non-finite components take no part; vectors of other lengths are no candidates. Ties go to the smaller vec_id; rows that repeat an id with its vector count once. Fewer than k other rows: all of them. Equal vectors are indexed once with their k + 1 least ids, which is all that any result can hold of them, so a vector that makes up much of the table costs no more than another. Queries are a stated share of the rows and go to every shard in blocks. Empty table: empty result; other columns are ignored.

@@ -62,6 +62,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 #: Sentences that go with a licence and say nothing on their own.
 SILENT = {"apache2Warranty", "apache2Copy", "apache2Limits", "gplWarranty", "asIs"}
 _PATTERNS = [(name, re.compile(p)) for name, p in SENTENCES]
+_SPDX = re.compile(r"spdx-license-identifier:\s*([\w.+-]+)", re.I)
 _HINT = re.compile(r"licen[cs]|redistribution|public domain|cc0|rights reserved|permission|copyright notice|provided|hope that it will|applicable law|name of|creative commons zero", re.I)
 _BREAK = re.compile(r"(?<=[.!?;])\s+|\n\s*\n")
 _MARKS = re.compile(r"(?m)^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--)\s?")
@@ -88,8 +89,8 @@ def recognise(text: str | None) -> tuple[list[str], list[str], list[tuple[int, i
     spans = []
     for a, z, s in sentences(text):
         for name, p in _PATTERNS:
-            if m := p.search(s):
-                spans.append((a, z, f"spdx:{m[1]}" if name == "spdx" else name))
+            if p.search(s):
+                spans.append((a, z, f"spdx:{_SPDX.search(text[a:z])[1]}" if name == "spdx" else name))
                 break
     left, found = [name for _, _, name in spans], []
     for licence, row in RULES:

@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segments.
 
-Tokens score the log-odds of toxic against other labelled documents, under an informative Dirichlet prior. A linear-time scan finds every maximal-scoring segment of a document; the segments beyond what clean text yields by chance, by an extreme-value (Gumbel) fit, add up to the document's score.
+Tokens score the log-odds of toxic against other labelled documents, under an informative Dirichlet prior. A word that isn't telling itself scores as its most telling run of characters, which serves inflected and unseen words. A linear-time scan finds every maximal-scoring segment of a document; the segments beyond what clean text yields by chance, by an extreme-value (Gumbel) fit, add up to the document's score.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import materialise, remainder, table
 
 TOKEN = re.compile(r"[^\W_]+")
+RUNS, KEPT = (4, 5, 6), 300_000
 
 
 @dataclass
 class Model:
-    """weights: log-odds of the telling tokens; drift: what any other token costs; scale, place, spread: a segment of score s in a document of n tokens has the calibrated value (scale*s - ln(n+1) - place) / spread; slope, offset: from the document's value to its score."""
+    """weights: log-odds of the telling words, as "=word", and runs of characters; ranks: how sure they are; drift: what any other token costs; scale, place, spread: a segment of score s in a document of n tokens has the calibrated value (scale*s - ln(n+1) - place) / spread; slope, offset: from the document's value to its score."""
 
     weights: dict[str, float] = field(default_factory=dict)
+    ranks: dict[str, float] = field(default_factory=dict)
     drift: float = 0.1
     scale: float = 1.0
     place: float = 0.0
@@ -58,19 +60,43 @@ def segments(scores: list[tuple[int, float]], n: int, drift: float) -> list[tupl
     return [(int(a), int(b), end - start) for a, b, start, end, _ in found]
 
 
-def passages(text: str, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
-    """Number of tokens, and (start, end, calibrated value) of each segment of the whole text."""
-    spans, scores, get = [], [], model.weights.get
-    n = 0
-    for m in TOKEN.finditer(text):
-        w = get(m[0].lower())
-        if w is not None:
-            scores.append((n, w))
-            spans.append(m.span())
-        n += 1
-    at = {i: s for (i, _), s in zip(scores, spans, strict=True)}
-    floor = math.log(n + 1) + model.place
-    return n, [(at[a][0], at[b][1], (model.scale * s - floor) / model.spread) for a, b, s in segments(scores, n, model.drift)]
+def features(word: str) -> list[str]:
+    """The word itself, and its runs of RUNS characters."""
+    return [f"={word}", *(word[i : i + k] for k in RUNS for i in range(len(word) - k + 1))]
+
+
+class Scorer:
+    """Scores of words under a model; those of the last KEPT words are kept."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def word(self, word: str) -> float | None:
+        if word not in self.known:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            ranks = self.model.ranks
+            best = max((f for f in set(features(word)) if f in ranks), key=lambda f: (ranks[f], f), default=None)
+            self.known[word] = None if best is None else self.model.weights[best]
+        return self.known[word]
+
+    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of tokens, and (start, end, calibrated value) of each segment of the whole text."""
+        at, scores, known, word = {}, [], self.known, self.word
+        n = 0
+        for m in TOKEN.finditer(text):
+            t = m[0].lower()
+            w = known[t] if t in known else word(t)
+            if w is not None:
+                scores.append((n, w))
+                at[n] = m.span()
+            n += 1
+        model = self.model
+        floor = math.log(n + 1) + model.place
+        return n, [(at[a][0], at[b][1], (model.scale * s - floor) / model.spread) for a, b, s in segments(scores, n, model.drift)]
+
+    def score(self, text: str) -> float:
+        return squash(value(self.passages(text)[1]), self.model)
 
 
 def value(found: list[tuple[int, int, float]]) -> float:
@@ -84,15 +110,26 @@ def squash(v: float, model: Model) -> float:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(token, d0, d1, t0, t1): documents and occurrences, five a document at most, of each kind."""
+    sums: dict[str, list[int]] = {}
     for b in batches:
-        n = (Counter(), Counter())
         for text, toxic in zip(b["text"], b["toxic"], strict=True):
-            n[toxic].update({w.lower() for w in TOKEN.findall(text or "")})
-        words = [*(n[0] | n[1])]
-        yield pd.DataFrame({"token": words, "n0": [n[0][w] for w in words], "n1": [n[1][w] for w in words]})
-
-
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: float = 50.0, least_z: float = 4.0, max_tokens: int = 5_000) -> Model:
+            found: Counter = Counter()
+            for w, n in Counter(w.lower() for w in TOKEN.findall(text or "")).items():
+                for f in features(w):
+                    found[f] += n
+            for f, n in found.items():
+                s = sums.setdefault(f, [0, 0, 0, 0])
+                s[toxic] += 1
+                s[2 + toxic] += min(n, 5)
+            if len(sums) > 200_000:
+                yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["token", "d0", "d1", "t0", "t1"])
+                sums.clear()
+    if sums:
+        yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["token", "d0", "d1", "t0", "t1"])
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: float = 50.0, least_z: float = 5.0, max_tokens: int = 5_000) -> Model:
     """Learns from the labelled rows given (doc_id, toxic 0 or 1; other labels and nulls are left out). The fit reads a bounded sample of them: the max_docs whose hashed id is least. Tokens count once a document. At most max_tokens telling tokens, those of largest |z|, are kept. Without rows of both kinds the model scores everything alike, below 0.7."""
     wanted = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_docs).dropDuplicates(["doc_id"])
@@ -102,20 +139,34 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: flo
     model = Model()
     if not d0 or not d1:
         return model
-    counts = rows.mapInPandas(_counts, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    alpha = F.lit(prior) * (F.col("n0") + F.col("n1") + 1) / (d0 + d1 + 2)
-    odds = lambda n, d: F.log((F.col(n) + alpha) / (d + prior + 1 - F.col(n) - alpha + 1e-9))
-    scored = counts.where("n0 + n1 >= 3").withColumn("delta", odds("n1", d1) - odds("n0", d0)).withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("n1") + alpha) + 1 / (F.col("n0") + alpha)))
-    kept = scored.where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens).collect()
-    model.weights = {r["token"]: float(r["delta"]) for r in kept}
+    counts = rows.mapInPandas(_counts, "token string, d0 long, d1 long, t0 long, t1 long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "t0", "t1")))
+    odds = lambda n, d, alpha: F.log((F.col(n) + alpha) / (d + prior + 1 - F.col(n) - alpha))
+    alpha = F.lit(prior) * (F.col("d0") + F.col("d1") + 1) / (d0 + d1 + 2)
+    z = (odds("d1", d1, alpha) - odds("d0", d0, alpha)) / F.sqrt(1 / (F.col("d1") + alpha) + 1 / (F.col("d0") + alpha))
+    size = rows.mapInPandas(lambda it: (pd.DataFrame({"toxic": b["toxic"], "n": [len(TOKEN.findall(t or "")) for t in b["text"]]}) for b in it), "toxic int, n long")
+    n = {r["toxic"]: r["n"] or 0 for r in size.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    n0, n1 = n.get(0, 0) + 1, n.get(1, 0) + 1
+    small = F.lit(0.5)
+    weight = F.log((F.col("t1") + small) / (n1 + 1)) - F.log((F.col("t0") + small) / (n0 + 1))
+    scored = counts.where("d0 + d1 >= 3").withColumn("z", z).withColumn("w", weight)
+    kept = scored.where((F.abs("z") >= least_z) & (F.signum("z") == F.signum("w"))).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens).collect()
+    model.weights = {r["token"]: float(r["w"]) for r in kept}
+    model.ranks = {r["token"]: abs(float(r["z"])) for r in kept}
     if not any(w > 0 for w in model.weights.values()):
         return model
-    model.drift = max(0.05, min(w for w in model.weights.values() if w > 0) / 25)
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
+        for b in batches:
+            yield pd.DataFrame({"toxic": b["toxic"], "n": [sum(scorer.word(w.lower()) is not None for w in TOKEN.findall(t or "")) for t in b["text"]]})
+
+    hit = {r["toxic"]: r["n"] or 0 for r in rows.mapInPandas(hits, "toxic int, n long").groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    model.drift = max(0.02, math.log((1 - hit.get(0, 0) / n0) / max(1e-3, 1 - hit.get(1, 0) / n1)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw = Model(weights=model.weights, drift=model.drift)
+        raw = Scorer(Model(weights=model.weights, ranks=model.ranks, drift=model.drift))
         for b in batches:
-            got = [passages(t or "", raw) for t in b["text"]]
+            got = [raw.passages(t or "") for t in b["text"]]
             yield pd.DataFrame({"toxic": b["toxic"], "n": [n for n, _ in got], "parts": [[s for _, _, s in f] for _, f in got]})
 
     seen = rows.mapInPandas(measure, "toxic int, n long, parts array<double>").toPandas()  # max_docs rows at most
@@ -146,8 +197,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, passages) for every row: the score of its whole text in 0 to 1, predicted 1 if it is 0.7 or more, and the significant passages (start, end, value) in code points. Null texts count as empty; an empty text scores as one without telling tokens. Repeated rows and null ids are kept; an empty table gives an empty result; other columns are ignored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
         for b in batches:
-            found = [passages(t or "", model)[1] for t in b["text"]]
+            found = [scorer.passages(t or "")[1] for t in b["text"]]
             scores = np.array([squash(value(f), model) for f in found], dtype=float)
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "score": scores, "predicted": (scores >= 0.7).astype("int32"),
@@ -167,8 +219,9 @@ def rejected(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows that the model rejects; all columns stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
         for b in batches:
-            yield b[[squash(value(passages(t or "", model)[1]), model) < 0.7 for t in b["text"]]]
+            yield b[[scorer.score(t or "") < 0.7 for t in b["text"]]]
 
     return docs.mapInPandas(run, docs.schema)
 
