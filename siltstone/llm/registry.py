@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from siltstone.llm import ann, brown, decontam, html, licences, lines, packing, pii, simhash, toxicity
 
 QUERIES = {
@@ -15,5 +16,6 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_brown": brown.op9_brown,
     "op10_licences": licences.op10_licences,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
