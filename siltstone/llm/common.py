@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,7 +25,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing of it. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    own = spark.conf.get(CLEANUP, None)
+    if own is not None:
+        spark.conf.set(CLEANUP, "true")  # what is written needs its shuffles no more
+    try:
+        df.write.parquet(path)
+    finally:
+        if own is not None:
+            spark.conf.set(CLEANUP, own)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,11 +1,12 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words in lower case. Lines with a Jaccard similarity of 0.8 or more to an earlier line go; earlier means of smaller doc_id, then smaller line number. Equal lines are reduced to their first place beforehand. Words are ordered by rarity (their counts over all documents, hashed into a fixed number of counters); a line is listed under its rarest words, as many as the prefix filter asks for; pairs that meet pass the length and positional filters and a bound on their difference by parity signatures, and are verified on their words. Most members of a large group of like lines go in the first rounds, each compared only with the first line under a word, so that groups never become all their pairs. Everything here is DataFrame functions.
+A line is the set of its words in lower case. Lines with a Jaccard similarity of 0.8 or more to an earlier line go; earlier means of smaller doc_id, then smaller line number. Equal lines are reduced to their first place beforehand. Words are ordered by rarity (their counts over all documents, hashed into a fixed number of counters); a line is listed under its rarest words, as many as the prefix filter asks for; pairs that meet pass the length and positional filters and a bound on their difference by parity signatures, and are verified on their words. Most members of a large group of like lines go in a first round, each compared only with the first line under a word, so that groups never become all their pairs. Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import fits, materialise, table
@@ -52,20 +53,42 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
 
 
-def _pairs(targets: DataFrame, witnesses: DataFrame, percent: int) -> DataFrame:
-    """(y1, y2, x1, x2): targets and the earlier witnesses that pass the filters."""
-    x = witnesses.select(*(F.col(c).alias(f"x_{c}") for c in witnesses.columns))
-    y = targets.select(*(F.col(c).alias(f"y_{c}") for c in targets.columns))
-    need = _overlap(F.col("x_n"), F.col("y_n"), percent)
-    earlier = (F.col("x_doc_id") < F.col("y_doc_id")) | ((F.col("x_doc_id") == F.col("y_doc_id")) & (F.col("x_ln") < F.col("y_ln")))
-    length = (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
-    place = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1 >= need
-    parity = F.bit_count(F.col("x_sig").bitwiseXOR(F.col("y_sig"))) <= F.col("x_n") + F.col("y_n") - 2 * need
-    return y.join(x, (F.col("x_token") == F.col("y_token")) & earlier & length & place & parity).select("y_h1", "y_h2", "y_doc_id", "y_ln", "x_h1", "x_h2", "x_doc_id", "x_ln").distinct()
+def _close(percent: int):
+    """Whether lines a and b that meet under a word pass the length, positional and parity filters."""
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    need = _overlap(a("n"), b("n"), percent)
+    length = (a("n") * 100 >= b("n") * percent) & (b("n") * 100 >= a("n") * percent)
+    place = F.least(a("n") - a("at"), b("n") - b("at")) >= need
+    parity = F.bit_count(a("sig").bitwiseXOR(b("sig"))) <= a("n") + b("n") - 2 * need
+    return length & place & parity
+
+
+def _named(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns))
+
+
+def _to_leads(posted: DataFrame, percent: int) -> DataFrame:
+    """(y, x): each line and the first line under one of its words, where the filters allow it."""
+    first = F.first(F.struct("doc_id", "ln", "n", "sig", "at")).over(W.partitionBy("token").orderBy("doc_id", "ln"))
+    rows = _named(posted.withColumn("lead", first), "b")
+    rows = rows.select("*", *(F.col(f"b_lead.{c}").alias(f"a_{c}") for c in ("doc_id", "ln", "n", "sig", "at")))
+    other = (F.col("a_doc_id") != F.col("b_doc_id")) | (F.col("a_ln") != F.col("b_ln"))
+    return rows.where(other & _close(percent)).select(*_ends("b", "y"), *_ends("a", "x")).distinct()
+
+
+def _to_all(targets: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
+    """(y, x): targets and all earlier lines, where the filters allow it."""
+    earlier = (F.col("a_doc_id") < F.col("b_doc_id")) | ((F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_ln") < F.col("b_ln")))
+    rows = _named(targets, "b").join(_named(posted, "a"), (F.col("a_token") == F.col("b_token")) & earlier & _close(percent))
+    return rows.select(*_ends("b", "y"), *_ends("a", "x")).distinct()
+
+
+def _ends(side: str, name: str) -> list[Column]:
+    return [F.col(f"{side}_doc_id").alias(f"{name}_doc_id"), F.col(f"{side}_ln").alias(f"{name}_ln")]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
-    """(h1, h2) of the targets in pairs whose words are close enough to a witness's."""
+    """(doc_id, ln) of the later lines in pairs whose words are close enough to the earlier one's."""
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select(*(F.col(f"y_{c}").alias(f"_{c}") for c in ("doc_id", "ln"))).unionByName(pairs.select(*(F.col(f"x_{c}").alias(f"_{c}") for c in ("doc_id", "ln")))).distinct()
     wanted = materialise(wanted.groupBy("_doc_id").agg(F.collect_set("_ln").alias("_lns")), "wanted")
@@ -77,33 +100,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, broadcast_rows: i
     x = sets.select(F.col("doc_id").alias("x_doc_id"), F.col("ln").alias("x_ln"), F.col("words").alias("x_words"))
     both = pairs.join(y, ["y_doc_id", "y_ln"]).join(x, ["x_doc_id", "x_ln"])
     shared = F.size(F.array_intersect("x_words", "y_words"))
-    return both.where(shared * 100 >= (F.size("x_words") + F.size("y_words") - shared) * percent).select(F.col("y_h1").alias("h1"), F.col("y_h2").alias("h2")).distinct()
+    return both.where(shared * 100 >= (F.size("x_words") + F.size("y_words") - shared) * percent).select(F.col("y_doc_id").alias("doc_id"), F.col("y_ln").alias("ln")).distinct()
 
 
-def kept_lines(docs: DataFrame, percent: int = 80, least: int = 5, rounds: int = 2, broadcast_rows: int = 200_000) -> DataFrame:
+def kept_lines(docs: DataFrame, percent: int = 80, least: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
     """(doc_id, kept): numbers, from 0, of the lines of `least` words or more that stay."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(_split(F.col("text"))).alias("ln", "line")).where(F.col("line").rlike(ELIGIBLE % (least - 1)))
     ranks = _ranks(lines)
     h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit("line"), F.col("line"))
     firsts = lines.select(h1.alias("h1"), h2.alias("h2"), "doc_id", "ln", "line").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln")).alias("p"), F.first("line").alias("line"))
-    keyed = firsts.select("h1", "h2", "p.doc_id", "p.ln", _keys(F.col("line"), ranks).alias("keys"))
+    keyed = firsts.select("p.doc_id", "p.ln", _keys(F.col("line"), ranks).alias("keys"))
     n = F.size("keys")
     prefix = F.transform(F.slice("keys", F.lit(1), (n - F.ceil(n * percent / F.lit(100) - 1e-9) + 1).cast("int")), lambda k: F.shiftrightunsigned(k, 31).cast("int"))
     sig = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    distinct = materialise(keyed.select("h1", "h2", "doc_id", "ln", n.alias("n"), sig.alias("sig"), prefix.alias("prefix")), "lines")
-    posted = distinct.where("n > 0").select("h1", "h2", "doc_id", "ln", "n", "sig", F.posexplode("prefix").alias("at", "token"))
-    many = posted.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "ln", "h1", "h2", "n", "sig", "at")).alias("lead")).where("many > 1").withColumnRenamed("token", "_token")
-    posted = materialise(posted.join(many, posted["token"] == many["_token"]).select(*posted.columns, "lead"), "posted")
-    gone = None
-    targets = posted
-    for _ in range(rounds):
-        lead = targets.select("token", "lead.*").distinct() if gone is None else targets.groupBy("token").agg(F.min(F.struct("doc_id", "ln", "h1", "h2", "n", "sig", "at")).alias("lead")).select("token", "lead.*")
-        found = _verified(_pairs(targets.drop("lead"), lead, percent), docs, percent, broadcast_rows)
-        gone = materialise(found if gone is None else gone.unionByName(found).distinct(), "gone")
-        targets = posted.join(gone, ["h1", "h2"], "left_anti")
-    found = _verified(_pairs(targets.drop("lead"), posted.drop("lead"), percent), docs, percent, broadcast_rows)
-    gone = gone.unionByName(found).distinct() if gone is not None else found
-    return distinct.join(gone, ["h1", "h2"], "left_anti").groupBy("doc_id").agg(F.collect_set("ln").alias("kept"))
+    distinct = materialise(keyed.select("doc_id", "ln", n.alias("n"), sig.alias("sig"), prefix.alias("prefix")), "lines")
+    posted = distinct.where("n > 0").select("doc_id", "ln", "n", "sig", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    gone = materialise(_verified(_to_leads(posted, percent), docs, percent, broadcast_rows), "gone")
+    if fits(gone, 2_000_000):
+        targets = posted.join(F.broadcast(gone), ["doc_id", "ln"], "left_anti")
+    else:
+        targets = posted.join(gone, ["doc_id", "ln"], "left_anti")
+    found = _verified(_to_all(targets, posted, percent), docs, percent, broadcast_rows)
+    gone = materialise(gone.unionByName(found).distinct(), "gone")
+    return distinct.join(gone, ["doc_id", "ln"], "left_anti").groupBy("doc_id").agg(F.collect_set("ln").alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, least: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
