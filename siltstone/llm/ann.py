@@ -6,6 +6,7 @@ Rows are dealt to shards, each with a forest over its vectors. A tree's hash str
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,16 +51,26 @@ class Forest:
         self.order = np.argsort(codes, axis=1, kind="stable")
         self.sorted = np.take_along_axis(codes, self.order, axis=1)
 
-    def candidates(self, codes: np.ndarray, agree: int, enough: int) -> np.ndarray:
-        """Candidates of a query, given its hash string in each tree."""
-        for level in range(self.digits, 0, -1):
+    def candidates(self, codes: np.ndarray, agree: int, enough: int) -> Iterator[np.ndarray]:
+        """Candidates of each query in turn, given the queries' hash strings in each tree (trees x queries)."""
+        levels = range(self.digits, 0, -1)
+        bounds = {}
+        for level in levels:
             rest = self.radix ** (self.digits - level)
             low = codes // rest * rest
-            parts = [self.order[t, np.searchsorted(self.sorted[t], low[t]) : np.searchsorted(self.sorted[t], low[t] + rest)] for t in range(self.trees)]
-            found = np.flatnonzero(np.bincount(np.concatenate(parts), minlength=len(self.x)) >= agree)
-            if len(found) >= enough:
-                return found
-        return np.arange(len(self.x))
+            bounds[level] = [[np.searchsorted(self.sorted[t], low[t] + add).tolist() for t in range(self.trees)] for add in (0, rest)]
+        for i in range(codes.shape[1]):
+            for level in levels:
+                first, last = bounds[level]
+                parts = [self.order[t, first[t][i] : last[t][i]] for t in range(self.trees) if first[t][i] < last[t][i]]
+                if sum(map(len, parts)) < agree * enough:
+                    continue
+                found = np.flatnonzero(np.bincount(np.concatenate(parts), minlength=len(self.x)) >= agree)
+                if len(found) >= enough:
+                    break
+            else:
+                found = np.arange(len(self.x))
+            yield found
 
 
 def _digits(dim: int) -> int:
@@ -92,19 +103,28 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 128, a
     blocks = max(1, math.ceil(asked.count() / query_block))
     block = F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int")
     left = distinct.withColumn("_shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.groupBy("_q").agg(F.first("embedding").alias("embedding")).withColumn("_block", block).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, part in b.groupby(b["embedding"].map(len)):
+                x = unit(part["embedding"])
+                yield part.assign(_codes=list(strings(x, trees, _digits(x.shape[1])).T))
+
+    once = asked.groupBy("_q").agg(F.first("embedding").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    once = materialise(once.mapInPandas(hashed, f"_q string, embedding {kind}, _codes array<bigint>"), "hashed")
+    right = once.withColumn("_block", block).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(queries):
             x, q = unit(own["embedding"]), unit(queries["embedding"])
             forest = Forest(x, trees, _digits(x.shape[1]))
-            codes = strings(q, trees, forest.digits)
+            codes = np.array(queries["_codes"].tolist(), dtype=np.int64).T
             ids = own["ids"].tolist()
             least = np.array([i[0] for i in ids])
             raw, asked_ = own["embedding"].tolist(), queries["embedding"].tolist()
-            for i, key in enumerate(queries["_q"]):
-                found = forest.candidates(codes[:, i], agree, enough)
+            for i, (key, found) in enumerate(zip(queries["_q"], forest.candidates(codes, agree, enough), strict=True)):
                 score = x[found] @ q[i]
                 if len(found) > 4 * k + 4:
                     near = np.argpartition(-score, k + 1)[: k + 2]
