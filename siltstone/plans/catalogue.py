@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from siltstone.plans import corpus, places, ranking, records, scores
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+for part in (ranking, corpus, places, records, scores):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
