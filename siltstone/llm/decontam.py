@@ -100,6 +100,32 @@ def align(pattern: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, in
     return int(row[end]), end - int(np.argmin(back)), end
 
 
+def within(pattern: str, region: str, k: int) -> bool:
+    """Whether pattern occurs in region with k edits at most: the bit-parallel form of the alignment's last row, a column of the matrix in two integers."""
+    m = len(pattern)
+    mask, top, score = (1 << m) - 1, 1 << (m - 1), m
+    equal: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        equal[c] = equal.get(c, 0) | 1 << i
+    up, down, get = mask, 0, equal.get
+    for c in region:
+        eq = get(c, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        plus = down | (mask & ~(h | up))
+        minus = up & h
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+            if score <= k:
+                return True
+        plus <<= 1
+        up = ((minus << 1) | ~(v | plus)) & mask
+        down = plus & v & mask
+    return score <= k
+
+
 def _candidates(points: np.ndarray, ix: Index) -> np.ndarray:
     """(item, band) pairs that hold enough shared q-grams: rows of two columns."""
     g = grams(points)
@@ -166,7 +192,7 @@ def _within(texts: list[str], ix: Index) -> Iterator[tuple[int, int, int, int, i
             if exact >= 0:
                 found = (0, exact - a, exact - a + len(text))
             else:
-                found = align(_points(text), points[a:z], k)
+                found = align(_points(text), points[a:z], k) if within(text, whole[a:z], k) else None
             if found:
                 edits, x, y = found
                 x, y = x + a - int(edge[n]), y + a - int(edge[n])

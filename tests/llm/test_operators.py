@@ -351,6 +351,11 @@ def test_alignment():
     p = lambda s: np.array([ord(c) for c in s])
     assert decontam.align(p("hello world"), p("xxhello wrldyy"), 2) == (1, 2, 12)
     assert decontam.align(p("hello world"), p("goodbye all"), 3) is None
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = ("".join(rng.choice(list("abc"), n)) for n in (rng.integers(1, 9), rng.integers(0, 15)))
+        k = int(rng.integers(0, 4))
+        assert decontam.within(a, b, k) == (decontam.align(p(a), p(b), k) is not None)
 
 
 # ---- 8
