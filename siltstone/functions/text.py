@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Words that a query's terms leave out.
 STOPWORDS = tuple("a an and are as at be by for from has have how in into is it its of on or that the their this to was what when where which who why will with you your".split())
@@ -44,13 +45,13 @@ def stem(word: Column) -> Column:
     )
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC normalisation, which Spark has no function for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     """Lower case without accents; letters that don't decompose are spelled out."""
     extra = str.maketrans({"đ": "d", "ł": "l", "æ": "ae", "œ": "oe", "ß": "ss", "ø": "o"})
