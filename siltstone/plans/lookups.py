@@ -77,3 +77,18 @@ def evidence_carried_over(spark, sf):
     a = o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3).select(F.col("o_orderkey").alias("id"), F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
     b = o.orderBy("o_totalprice", "o_orderkey").limit(40).select(F.col("o_orderkey").alias("id"), F.row_number().over(W.orderBy("o_totalprice", "o_orderkey")).alias("rank"))
     return lookup.carried(a, b, "id").select("id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(r"""SELECT doc_id, sentence, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, n) AS r FROM (SELECT doc_id, n, s[n] AS sentence, list_contains(regexp_extract_all(lower(s[n]), '[\p{L}\p{N}]+'), 'the')::INT + list_contains(regexp_extract_all(lower(s[n]), '[\p{L}\p{N}]+'), 'of')::INT AS hits
+FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS n FROM (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS s FROM documents WHERE doc_id % 4 = 0))) WHERE hits > 0) WHERE r = 1""")
+def best_sentences(spark, sf):
+    from siltstone.operators.leads import best_sentence
+
+    return best_sentence(table(spark, sf, "documents").where("doc_id % 4 = 0"), "doc_id", "text", ("the", "of"))
+
+
+@query()
+def definition_leads(spark, sf):
+    from siltstone.operators.leads import lead
+
+    return table(spark, sf, "documents").select("doc_id", lead(F.col("text")).alias("lead"))

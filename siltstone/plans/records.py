@@ -63,7 +63,7 @@ def follow_up_context(spark, sf):
     return history.follow_ups(table(spark, sf, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", F.md5("context").alias("context"))
 
 
-PAIRS = [("2026.10.12", "2026.10.12-preview", 1), ("2026.10", "2026.10.0", 0), ("2026.10.12-leviathan", "2026.10.12", 1), ("2026.10.12-a", "2026.10.12-b", None), ("1.9", "1.10", -1), ("x", "1", None), ("2.0-preview", "1.9-rebuild", 1)]
+PAIRS = [("2026.10.12", "2026.10.12-preview", 1), ("2026.10", "2026.10.0", 0), ("2026.10.12-rebuild", "2026.10.12", 1), ("2026.10.12-a", "2026.10.12-b", None), ("1.9", "1.10", -1), ("x", "1", None), ("2.0-preview", "1.9-rebuild", 1)]
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {'NULL' if c is None else c})" for a, b, c in PAIRS) + ") t(a, b, c)")

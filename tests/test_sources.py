@@ -119,3 +119,33 @@ def test_lookups(spark):
 
     t = spark.createDataFrame([("EIP-20 sets FOO to 0x1f", "The sources don't say."), ("EIP-200 FOO 0x1f", "It is 5.")], "a string, b string")
     assert [tuple(r) for r in t.select(relevance.technical_rule(F.col("a"), "EIP-20", "FOO", "0x1f"), relevance.refusal(F.col("b"))).collect()] == [(True, True), (False, False)]
+
+
+def test_attachments(spark, tmp_path):
+    import zipfile
+
+    from siltstone.sources import attachments
+
+    word = '<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>Hello</w:t></w:r><w:r><w:t> you</w:t></w:r></w:p><w:p><w:r><w:t>Two</w:t></w:r></w:p></w:body></w:document>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", word)
+    (tmp_path / "b.txt").write_bytes("été".encode("cp1252"))
+    (tmp_path / "c.xml").write_text('<!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>')
+    (tmp_path / "d.docx").write_bytes(b"no archive")
+    got = {r["path"][-6:]: r for r in attachments.attachments(spark, str(tmp_path)).collect()}
+    assert got["a.docx"]["text"] == "Hello you\nTwo" and got["/b.txt"]["text"] == "été"
+    assert got["/c.xml"]["text"] is None and got["d.docx"]["error"].startswith("BadZipFile")
+    book = b"<document><title>T</title><content><para>Lead.</para><section><title>A</title><para>x <math><mn>2</mn></math></para><section><title>B</title><para>y</para></section></section></content></document>"
+    assert attachments.book_sections(book) == [("", "Lead."), ("A", "x 2"), ("A > B", "y")]
+    topic = b'<t><health-topic id="1" title="Flu"><also-called>Grippe</also-called><full-summary>&lt;p&gt;Rest.&lt;/p&gt;</full-summary></health-topic></t>'
+    assert attachments.topics(topic) == [("1", "Flu", "Rest.", ["Grippe"])]
+
+
+def test_leads(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import leads
+
+    df = spark.createDataFrame([("One is here. Two follows. Three ends.\n\nNext.",), ("no end",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(leads.lead(F.col("t"), 20, 30)).collect()] == ["One is here. Two follows.", None, None, None]
+    assert df.select(leads.excerpt(F.col("t"), ["three"], 2)).first()[0] == "Two follows. Three ends."
