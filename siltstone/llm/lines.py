@@ -152,3 +152,19 @@ def _rejoined(text: Column, removed: Column) -> Column:
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: DuckDB SQL for op6_lines, over the same pairs that a prefix filter leaves.
+ORACLE_SQL = r"""
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
+o AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM a),
+l AS (SELECT doc_id, i, s[i] AS line, regexp_matches(s[i], '^\s*(?:\S+\s+){4}\S') AS counts FROM o),
+u AS (SELECT line, min({'d': doc_id, 'i': i}) AS p, any_value(list_distinct(list_filter(string_split(translate(lower(line), E'\t\r\f\x0b', '    '), ' '), lambda x: x != ''))) AS w FROM l WHERE counts GROUP BY line),
+t AS (SELECT p, len(w) AS n, unnest(w) AS word FROM u),
+r AS (SELECT p, n, word, row_number() OVER (PARTITION BY p ORDER BY df, word) AS k FROM (SELECT *, count(*) OVER (PARTITION BY word) AS df FROM t)),
+f AS (SELECT * FROM r WHERE k <= n - ceil(0.8 * n - 0.000000001) + 1),
+c AS (SELECT DISTINCT x.p AS xp, y.p AS yp FROM f x JOIN f y USING (word) WHERE x.p < y.p AND x.n * 100 >= y.n * 80 AND y.n * 100 >= x.n * 80),
+g AS (SELECT DISTINCT yp FROM (SELECT yp, x.w AS xw, y.w AS yw, len(list_intersect(x.w, y.w)) AS shared FROM c JOIN u x ON x.p = xp JOIN u y ON y.p = yp) WHERE shared * 100 >= (len(xw) + len(yw) - shared) * 80),
+k AS (SELECT l.doc_id, l.i, l.line, NOT counts OR (u.p = {'d': l.doc_id, 'i': l.i} AND u.p NOT IN (SELECT yp FROM g)) AS kept FROM l LEFT JOIN u ON l.line = u.line AND l.counts)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (kept), '') AS text, count(*)::INT AS n_lines, (count(*) FILTER (NOT kept))::INT AS n_removed FROM k GROUP BY doc_id
+"""

@@ -18,4 +18,4 @@ QUERIES = {
     "op10_licences": licences.op10_licences,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLES: dict[str, str] = {"op6_lines": lines.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
