@@ -101,7 +101,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, broadcast_rows: i
     wanted = materialise(wanted.groupBy("_doc_id").agg(F.collect_set("_ln").alias("_lns")), "wanted")
     small = fits(wanted, broadcast_rows)
     held = docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"] == wanted["_doc_id"])
-    text = held.select("doc_id", "_lns", _split(F.col("text")).alias("_lines")).select("doc_id", F.explode(F.transform("_lns", lambda i: F.struct(i.alias("ln"), F.get("_lines", i).alias("line")))).alias("l"))
+    picked = F.transform(F.array(_split(F.col("text"))), lambda lines: F.transform("_lns", lambda i: F.struct(i.alias("ln"), F.get(lines, i).alias("line"))))[0]  # the text is split once, not once for each line
+    text = held.select("doc_id", F.explode(picked).alias("l"))
     sets = text.select("doc_id", F.col("l.ln").alias("ln"), words(F.col("l.line")).alias("words")).dropDuplicates(["doc_id", "ln"])
     y = sets.select(F.col("doc_id").alias("y_doc_id"), F.col("ln").alias("y_ln"), F.col("words").alias("y_words"))
     x = sets.select(F.col("doc_id").alias("x_doc_id"), F.col("ln").alias("x_ln"), F.col("words").alias("x_words"))
