@@ -14,23 +14,32 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm import shingles
 from siltstone.llm.common import components, fits, materialise, table
 
 LEAF = 192
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Fingerprint of a whole text, as an unsigned integer. A-Z become lower case; words are runs without ASCII white space; each run of `words` words, joined by spaces, repeats included, votes with its XXH64 (seed 42). Fewer words: the whole sequence is one shingle. No words: 0."""
+def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of a whole text. A-Z become lower case; words are runs without ASCII white space; each run of `words` words, joined by spaces, is a shingle, repeats included. Fewer words: the whole sequence is one shingle. No words: none."""
     w = (text or "").encode("utf-8", "replace").lower().split()
-    if not w:
-        return 0
-    ones, n, digest = np.zeros(64, dtype=np.int64), max(1, len(w) - words + 1), xxhash.xxh64_intdigest
+    n, digest = max(1, len(w) - words + 1) if w else 0, xxhash.xxh64_intdigest
+    return np.array([digest(b" ".join(w[i : i + words]), 42) for i in range(n)], dtype=np.uint64)
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The fingerprint, as an unsigned integer, for which hashes vote: 0 for none."""
+    ones, n = np.zeros(64, dtype=np.int64), len(hashes)
     for at in range(0, n, 65536):
-        hashes = np.array([digest(b" ".join(w[i : i + words]), 42) for i in range(at, min(n, at + 65536))], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n).view(">u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """Fingerprint of a whole text, as an unsigned integer: its shingles vote."""
+    return voted(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
@@ -43,6 +52,36 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {ids}, fp long")
 
 
+def _marks(docs: DataFrame, words: int) -> DataFrame:
+    """fingerprints() with the set of a text's shingles: its hash, size and bands. A text without words has size 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t in b["text"]:
+                every = shingle_hashes(t, words)
+                own = np.unique(every)
+                rows.append((np.uint64(voted(every)).view(np.int64), shingles.set_hash(own), len(own), shingles.bands(own) if len(own) else []))
+            out = pd.DataFrame(rows, columns=["fp", "set", "n", "bands"])
+            out.insert(0, "doc_id", b["doc_id"].to_numpy())
+            yield out
+
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {ids}, fp long, set long, n long, bands array<long>")
+
+
+def _held(docs: DataFrame, words: int):
+    """Reads the shingle sets of wanted (set, doc_id) again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [np.unique(shingle_hashes(t, words)) for t in b["text"]]
+            keep = [i for i, (h, s) in enumerate(zip(own, b["set"], strict=True)) if shingles.set_hash(h) == s]
+            yield pd.DataFrame({"set": b["set"].to_numpy()[keep], "hashes": [own[i].view(np.int64) for i in keep]})
+
+    return lambda wanted: docs.select("doc_id", "text").join(wanted, "doc_id").select("set", "text").mapInPandas(run, "set long, hashes array<long>")
+
+
 def _blocks(radius: int, count: int) -> list[tuple[int, int]]:
     """(shift, width) of `count` blocks of the 64 bits."""
     edge = [round(64 * i / count) for i in range(count + 1)]
@@ -172,14 +211,17 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return rows.mapInPandas(_search(radius), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, percent: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
-    component_id is the smallest doc_id that can be reached over links of at most `radius` differing bits, the document's own included. Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows give repeated rows; a null doc_id stays null and is not a component_id unless its whole component has none. Empty table: empty result. Columns besides doc_id and text are ignored.
+    component_id is the smallest doc_id that can be reached over links of at most `radius` differing bits, the document's own included. Where percent is given, documents whose sets of shingles have a Jaccard similarity of percent or more are linked too, however far their fingerprints are apart. Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows give repeated rows; a null doc_id stays null and is not a component_id unless its whole component has none. Empty table: empty result. Columns besides doc_id and text are ignored.
     """
-    marks = materialise(fingerprints(docs, words), "fingerprints")
+    marks = materialise(fingerprints(docs, words) if percent is None else _marks(docs, words), "fingerprints")
     distinct = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
+    found = links(distinct.select("fp"), radius)
+    if percent is not None:
+        found = found.unionByName(shingles.links(marks.where("n > 0 and doc_id is not null"), _held(docs, words), percent))
+    roots = components(found)
     linked = distinct.join(roots, distinct["fp"] == roots["node"])
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
@@ -187,10 +229,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return marks.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays, of repeated rows one. Rows with a null doc_id take no part and stay. Other columns are kept as they are."""
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 4, broadcast_rows: int = 1_000_000, percent: int | None = 80) -> DataFrame:
+    """docs without near-duplicates, by fingerprints and by the similarity of shingle sets: of each component the row with the smallest doc_id stays, of repeated rows one. Rows with a null doc_id take no part and stay. Other columns are kept as they are."""
     named = docs.where("doc_id is not null")
-    found = near_duplicates(named, words, radius)
+    found = near_duplicates(named, words, radius, percent)
     gone = materialise(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     repeated = materialise(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
     if not repeated.isEmpty():

@@ -264,6 +264,29 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0 and simhash.keep_one(odd(spark).limit(0)).count() == 0
 
 
+def test_keep_one_by_shingles(spark):
+    rng = np.random.default_rng(5)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 120)] for _ in range(12)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for edits in (1, 2, 3, 4):  # 0.92 to 0.7: mostly more than 4 bits apart
+            w = list(b)
+            for at in rng.choice(range(10, 110, 10), edits, replace=False):
+                w[at] = f"new{at}"
+            texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    prints, up = [brute_print(t, 5) for t in texts], list(range(len(texts)))
+    far = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            alike, bits = len(a & sets[j]) * 100 >= len(a | sets[j]) * 80, (prints[i] ^ prints[j]).bit_count() <= 4
+            far += alike and not bits
+            if alike or bits:
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert far > 10 and {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(up)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 99), (99, 99), (7, 7), (None, 3), (200, 201), (201, 202), (202, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
