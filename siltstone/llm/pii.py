@@ -1,6 +1,6 @@
 """Personal data, and the terms that disclose it, by information-theoretic sanitisation.
 
-Values of four kinds are found by pattern. A term near a value discloses it in so far as the corpus says so: the pointwise mutual information of value and term, PMI = log2(N n(c,t) / (n(c) n(t))), is compared with the value's own information, IC = log2(N / n(c)). A term with PMI of `share` times IC or more, seen with the value in `support` different texts or more, is marked wherever the value's documents hold it. Everything here is DataFrame functions.
+Values of four kinds are found by pattern. An entity is a value or the part of it that values share: a mail domain, the first three numbers of an address, a card's issuer, a phone number without its last four digits. A term in an entity's texts discloses it in so far as the corpus says so: the pointwise mutual information of entity and term, PMI = log2(N n(c,t) / (n(c) n(t))), is compared with the entity's own information, IC = log2(N / n(c)). A term with PMI of `share` times IC or more, seen with the entity in `support` different texts or more, is marked wherever the entity's documents hold it, so values of one text are disclosed by what they share with others. Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -50,18 +50,17 @@ def running(lengths: Column) -> Column:
 
 
 def located(text: Column, pattern: Column) -> Column:
-    """array<struct<start, end, value, before, after>> of all matches: offsets in code points; before and after are the text between matches, whole."""
+    """array<struct<start, end, value>> of all matches: offsets in code points."""
 
     def spans(found: Column) -> Column:
         def placed(between: Column) -> Column:
             steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), F.concat(F.array(F.lit("")), F.slice(found, 1, F.size(found) - 1)), lambda g, m: F.length(g) + F.length(m))
             starts = running(steps)
-            whole = F.zip_with(found, starts, lambda m, s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("value")))
-            return F.transform(whole, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.right(F.get(between, i), F.lit(160)).alias("before"), F.left(F.get(between, i + 1), F.lit(160)).alias("after")))
+            return F.zip_with(found, starts, lambda m, s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("value")))
 
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), placed))
 
-    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return F.coalesce(let(F.regexp_extract_all(text, pattern, F.lit(0)), spans), none)
 
 
@@ -96,7 +95,7 @@ def values(docs: DataFrame) -> DataFrame:
     for kind, pattern in PATTERNS.items():
         got = F.filter(located(F.col("_text"), F.lit(pattern)), _check(kind))
         hint = F.col("_text").contains(HINTS[kind]) if kind in HINTS else F.col("_text").rlike(r"[0-9]\.[0-9]" if kind == "ip" else r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]")
-        found.append(F.when(hint, got).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")).alias(kind))
+        found.append(F.when(hint, got).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")).alias(kind))
     return out.select("doc_id", F.sha2("_text", 256).alias("key"), *found)
 
 
@@ -104,16 +103,22 @@ def _check(kind: str) -> Callable[[Column], Column]:
     return lambda m: _valid(kind, m["value"])
 
 
-def _entity(kind: str) -> Callable[[Column], Column]:
-    """A value, by kind and without what doesn't tell values apart, and the text about it."""
+def _entities(kind: str) -> Callable[[Column], Column]:
+    """A value, without what doesn't tell values apart, and the part it shares with others, both by kind."""
 
     def named(m: Column) -> Column:
         value = F.lower(m["value"]) if kind == "email" else m["value"] if kind == "ip" else _digits(m["value"])
-        return F.struct(F.concat(F.lit(f"{kind}:"), value).alias("entity"), m["before"].alias("before"), m["after"].alias("after"))
+        part = {"email": lambda: F.substring_index(value, "@", -1), "ip": lambda: F.substring_index(value, ".", 3), "card": lambda: F.left(value, F.lit(6)), "phone": lambda: F.left(value, F.length(value) - 4)}[kind]()
+        return F.array(F.concat(F.lit(f"{kind}:"), value), F.concat(F.lit(f"{kind} part:"), part))
 
     return named
 
 
+def _held() -> Column:
+    """All entities of a row of values()."""
+    return F.array_distinct(F.flatten(F.flatten(F.array(*(F.transform(k, _entities(k)) for k in PATTERNS)))))
+
+
 def _labelled(kind: str) -> Callable[[Column], Column]:
     return lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["end"].alias("end"), F.lit(kind).alias("kind"))
 
@@ -126,16 +131,19 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, window: int = 6, support: int = 2, share: float = 0.6, broadcast_rows: int = 500_000) -> DataFrame:
-    """(entity, term): terms that disclose a value. Counts are of documents, over the whole corpus; window is in words on either side of a value; terms have three letters or more and are no numbers. Of the words of all documents only those met near values are counted."""
-    each = F.explode(F.flatten(F.array(*(F.transform(k, _entity(k)) for k in PATTERNS))))
-    near = found.where(" or ".join(f"size({k}) > 0" for k in PATTERNS)).select("doc_id", "key", each.alias("m")).select("doc_id", "key", "m.*")
-    around = F.concat(let(_words(F.col("before")), lambda w: F.slice(w, F.greatest(F.size(w) - window + 1, F.lit(1)), F.lit(window))), F.slice(_words(F.col("after")), 1, window))
-    terms = near.select("doc_id", "key", "entity", F.explode(F.array_distinct(around)).alias("term")).where("length(term) >= 3 and not term rlike '^[0-9]+$'")
-    both = materialise(terms.groupBy("entity", "term").agg(F.countDistinct("doc_id", "key").alias("n_both"), F.countDistinct("key").alias("texts")).where(F.col("texts") >= support), "pairs")
+def disclosing(docs: DataFrame, found: DataFrame, support: int = 2, share: float = 0.6, broadcast_rows: int = 500_000) -> DataFrame:
+    """(entity, term): terms that disclose an entity. Counts are of documents, over the whole corpus and whole texts; terms have three letters or more and are no numbers. Entities of fewer than `support` different texts can have no such term and go before their texts are read. Of the words of all documents only those met with entities are counted."""
+    holders = found.where(" or ".join(f"size({k}) > 0" for k in PATTERNS)).groupBy("key").agg(F.countDistinct("doc_id").alias("copies"), F.first(_held()).alias("held")).select("key", "copies", F.explode("held").alias("entity"))
+    holders = materialise(holders, "holders")
+    entities = materialise(holders.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"), "entities")
+    small = fits(entities, broadcast_rows)
+    holders = materialise(holders.join(F.broadcast(entities) if small else entities, "entity", "left_semi"), "holders")
+    keys = holders.select("key").distinct()
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("_text")).withColumn("key", F.sha2("_text", 256)).join(F.broadcast(keys) if fits(keys, broadcast_rows) else keys, "key", "left_semi").dropDuplicates(["key"])
+    terms = texts.select("key", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term")).where("length(term) >= 3 and not term rlike '^[0-9]+$'")
+    both = materialise(holders.join(terms, "key").groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
     if both.isEmpty():
         return both.select("entity", "term")
-    entities = near.groupBy("entity").agg(F.countDistinct("doc_id", "key").alias("n_entity"))
     wanted = materialise(both.select("term").distinct(), "terms")
     spoken = docs.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term"))
     if fits(wanted, broadcast_rows):
@@ -144,18 +152,17 @@ def disclosing(docs: DataFrame, found: DataFrame, window: int = 6, support: int
         known = spoken.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
     n = docs.count()
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    return both.join(entities, "entity").join(known, "term").where((pmi > 0) & (pmi >= share * F.log2(F.lit(float(n)) / F.col("n_entity")))).select("entity", "term")
+    return both.join(F.broadcast(entities) if small else entities, "entity").join(known, "term").where((pmi > 0) & (pmi >= share * F.log2(F.lit(float(n)) / F.col("n_entity")))).select("entity", "term")
 
 
-def personal_data(docs: DataFrame, window: int = 6, support: int = 2, share: float = 0.6, broadcast_rows: int = 500_000) -> DataFrame:
+def personal_data(docs: DataFrame, support: int = 2, share: float = 0.6, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, key, email, ip, card, phone, term) for every row: key is a hash of the text; arrays of (start, end) in code points, end exclusive, of each kind; term holds the disclosing terms outside the others.
 
     Null and empty texts hold nothing. Repeated rows and null ids are kept; an empty table gives an empty result; other columns are ignored. Texts are read whole.
     """
     found = materialise(values(docs), "values")
-    told = disclosing(docs, found, window, support, share, broadcast_rows)
-    each = F.transform(F.flatten(F.array(*(F.transform(k, _entity(k)) for k in PATTERNS))), lambda m: m["entity"])
-    holders = found.select("key", F.explode(F.array_distinct(each)).alias("entity")).distinct()
+    told = disclosing(docs, found, support, share, broadcast_rows)
+    holders = found.select("key", F.explode(_held()).alias("entity")).distinct()
     by_text = materialise(holders.join(told, "entity").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "told")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("_text")).withColumn("key", F.sha2("_text", 256))
     small = fits(by_text, broadcast_rows)

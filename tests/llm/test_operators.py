@@ -153,6 +153,15 @@ def test_disclosing_terms(spark):
     assert clean[41] == "Then [TERM] said [EMAIL] is right; [TERM] again" and clean[3] == texts[3]
 
 
+def test_terms_disclose_values_of_one_text(spark):
+    texts = [f"filler{i} words of doc {i} " * 3 for i in range(40)]
+    gap = "words of doc " * 60
+    texts += [f"Quirkeworks {gap} mail ann@corp.example.com", f"mail bob@corp.example.com {gap} at Quirkeworks"]  # far from the values, each in one text
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][a:z] for a, z in r["term"]] for r in pii.personal_data(docs).collect()}
+    assert "Quirkeworks" in got[40] and "Quirkeworks" in got[41] and "words" not in got[40] and not any(got[i] for i in range(40))
+
+
 def test_running_sums(spark):
     from pyspark.sql import functions as F
 
