@@ -96,6 +96,82 @@ class ClusteredIndex:
         return coded.where(F.col("cluster").isin(*map(int, near))).select(self.key, (start + score).alias("score")).orderBy(F.desc("score"), self.key).limit(k)
 
 
+def _packed(rows: DataFrame, kind: str, size: int, key: str) -> DataFrame:
+    """(cluster, ids, values): rows (cluster, key, value) in lists of at most `size` of one cluster."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(c, part[key].tolist(), part["value"].tolist()) for c, g in b.groupby("cluster") for i in range(0, len(g), size) for part in (g.iloc[i : i + size],)]
+            yield pd.DataFrame(out, columns=["cluster", "ids", "values"])
+
+    ids = rows.schema[key].dataType.simpleString()
+    return rows.select("cluster", key, "value").mapInPandas(run, f"cluster int, ids array<{ids}>, values array<array<{kind}>>")
+
+
+def _best(scored: DataFrame, k: int, key: str) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return scored.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
+
+def _scored(lists: DataFrame, asked: DataFrame, k: int, key: str, kinds: tuple[str, str], measure) -> DataFrame:
+    """(query_id, key, score): the k best rows of each list for each query of its cluster, a query itself left out. measure(cluster, queries, values) gives a matrix."""
+    pairs = lists.join(asked.select(F.col("cluster").alias("_c"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values")), F.col("cluster") == F.col("_c"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for c, ids, values, q_ids, q_values in zip(b["cluster"], b["ids"], b["values"], b["q_ids"], b["q_values"], strict=True):
+                s = measure(int(c), np.array(q_values.tolist(), dtype=np.float64), np.array(values.tolist()))
+                ids, q_ids = np.asarray(ids), np.asarray(q_ids)
+                s = np.where(ids[None, :] == q_ids[:, None], -np.inf, s)
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                out = pd.DataFrame({"query_id": np.repeat(q_ids, top.shape[1]), key: ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
+                yield out[np.isfinite(out["score"])]
+
+    return _best(pairs.select("cluster", "ids", "values", "q_ids", "q_values").mapInPandas(run, f"query_id {kinds[0]}, {key} {kinds[1]}, score double"), k, key)
+
+
+def nearest_of_all(index: ClusteredIndex, vectors: DataFrame, queries: DataFrame, k: int, probe: int = 15, pool: int = 400) -> DataFrame:
+    """(query_id, key, score): for every row of queries the k nearest other rows by cosine: `pool` candidates by codes from the `probe` nearest clusters, ranked again by their vectors. Lists and queries meet in blocks."""
+    centres, books, width, key, vector = index.centres, index.books, index.width, index.key, index.vector
+
+    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = ClusteredIndex._unit(np.array(b[vector].tolist(), dtype=np.float64).reshape(len(b), centres.shape[1]))
+            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probe]
+            yield pd.DataFrame({"cluster": near.ravel(), key: np.repeat(b[key].to_numpy(), near.shape[1]), "value": [v for v, n in zip(x, near, strict=True) for _ in n]})
+
+    def by_codes(cluster: int, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        s = (q @ centres[cluster])[:, None] + np.zeros((1, len(codes)))
+        for i, book in enumerate(books):
+            s += (q[:, i * width : (i + 1) * width] @ book.T)[:, codes[:, i].astype(int)]
+        return s
+
+    kind = vectors.schema[key].dataType.simpleString()
+    asked = queries.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(probed, f"cluster int, {key} {kind}, value array<double>")
+    lists = _packed(index.code(vectors).withColumnRenamed("codes", "value"), "smallint", 2048, key)
+    found = _scored(lists, _packed(asked, "double", 128, key), pool, key, (kind, kind), by_codes)
+    a, b = (t.select(F.col(key).alias(n), F.col(vector).alias(v)) for t, n, v in ((queries, "query_id", "_a"), (vectors, key, "_b")))
+    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    size = norm(F.col("_a")) * norm(F.col("_b"))
+    again = found.drop("score").join(a, "query_id").join(b, key).select("query_id", key, F.when(size > 0, dot / size).otherwise(0.0).alias("score"))
+    return _best(again, k, key)
+
+
+def exact_of_all(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, key, score): for every row of queries the k nearest other rows by cosine, all compared in blocks."""
+    plain = lambda t: t.where(F.col(vector).isNotNull()).select(F.lit(0).alias("cluster"), key, F.transform(vector, lambda x: x.cast("double")).alias("value"))
+    kind = vectors.schema[key].dataType.simpleString()
+    return _scored(_packed(plain(vectors), "double", 2048, key), _packed(plain(queries), "double", 128, key), k, key, (kind, kind), lambda _, q, x: ClusteredIndex._unit(q) @ ClusteredIndex._unit(x.astype(np.float64)).T)
+
+
+def recall_of_all(found: DataFrame, exact: DataFrame, key: str = "vec_id") -> DataFrame:
+    """(recall, best_kept): the shares, over all queries, of the exact rows and of the best rows found."""
+    ranked = exact.select("query_id", key, F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key)).alias("_r"))
+    both = ranked.join(found.select("query_id", key, F.lit(1).alias("_hit")), ["query_id", key], "left")
+    hit = F.coalesce("_hit", F.lit(0))
+    return both.agg(F.avg(hit).alias("recall"), F.avg(F.when(F.col("_r") == 1, hit)).alias("best_kept"))
+
+
 def recall(found: DataFrame, exact: DataFrame, key: str = "vec_id") -> DataFrame:
     """(recall, best_kept): the share of the exact rows found, and whether the best is among them."""
     ranked = exact.select(key, F.row_number().over(W.orderBy(F.desc("score"), key)).alias("_r"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,22 @@ def test_clustered_search_recall(spark, sf_dir):
     assert r["recall"] >= 0.8 and r["best_kept"]
 
 
+def test_registered_search_recall(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.1")
+    e = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in e]), np.array([v for _, v in e], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in catalogue.QUERIES["ivf_pq_topk"](spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: set([j for j in ids[np.argsort(-(x @ x[i]), kind="stable")].tolist() if j != q][:25]) for i, q in enumerate(ids.tolist()) if q % 20 == 0}
+    share = sum(len(got[q] & w) for q, w in want.items()) / sum(map(len, want.values()))
+    assert set(got) == set(want) and all(len(g) == 25 for g in got.values()) and share >= 0.9
+    r = catalogue.QUERIES["ann_recall"](spark, sf).first()
+    print("recall", share, r)
+    assert abs(r["recall"] - share) < 1e-3
+
+
 def test_html_sections():
     got = html.sections("<nav>m</nav><p>lead</p><h1>A</h1>one<br>two<h2>B &amp; C</h2><script>x</script><p>three</p>")
     assert got == [("", "lead"), ("A", "one\ntwo"), ("A > B & C", "three")]
