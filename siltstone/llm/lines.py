@@ -1,58 +1,64 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words in lower case. Lines with a Jaccard similarity of 0.8 or more to an earlier line go; earlier means of smaller doc_id, then smaller line number. Equal lines are reduced to their first place beforehand. Words are ordered by rarity (their counts over all documents, hashed into a fixed number of counters); a line is listed under its rarest words, as many as the prefix filter asks for; pairs that meet pass the length and positional filters and a bound on their difference by parity signatures, and are verified on their words. Most members of a large group of like lines go in a first round, each compared only with the first line under a word, so that groups never become all their pairs. Everything here is DataFrame functions.
+A line is the set of its words in lower case. Lines with a Jaccard similarity of 0.8 or more to an earlier line go; earlier means of smaller doc_id, then smaller line number. Lines of equal sets are reduced to their first place beforehand. Words are ordered by rarity (their counts over all documents, hashed into a fixed number of counters); of two like lines the longer is looked up under its rarest words, as many as the prefix filter asks for, and the shorter is listed under the few rarest that lines no shorter than itself can still meet. Words are listed by classes of length, so only lines of like lengths meet; pairs that meet pass the length and positional filters and a bound on their difference by parity signatures, and are verified on their words. Most members of a large group of like lines go in a first round, each compared only with the first line of its part of the list, so that groups never become all their pairs. Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import fits, materialise, table
+from siltstone.llm.common import discard, fits, materialise, table
 
-COUNTERS = 16384
-ELIGIBLE = r"^\s*+(?:\S++\s++){%d}\S"
+COUNTERS = 1 << 17
+#: Lines of about so many words or more have signatures of 128 bits, shorter ones of 64.
+WIDE = 64
+#: Parts of a list in the first round: a group of like lines is dealt to so many tasks.
+PARTS = 32
 
 
 def _split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _blanks(line: Column) -> Column:
-    """line with every kind of white space as blanks; four searches cost less than one pass of translate()."""
+def _plain(text: Column) -> Column:
+    """text in lower case, with every kind of white space but the line feed as blanks; four searches cost less than one pass of translate()."""
+    text = F.lower(text)
     for c in "\t\r\f\x0b":
-        line = F.replace(line, F.lit(c), F.lit(" "))
-    return line
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
 
+def _words(line: Column) -> Column:
+    """Hashes of the distinct words of a plain line."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
-def words(line: Column) -> Column:
-    """Distinct words of a line."""
-    return F.array_distinct(F.array_remove(F.split(_blanks(F.lower(line)), " ", -1), ""))
 
+def _levels(docs: DataFrame) -> DataFrame:
+    """One row: the array of the counters' levels, the logarithms of the counts of the words in each, in a long's high bits. It has COUNTERS members, whatever the corpus."""
+    spoken = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
+    counted = spoken.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("b")).count()
+    every = docs.sparkSession.range(COUNTERS).join(F.broadcast(counted), F.col("id") == F.col("b"), "left")
+    level = F.shiftleft(F.least(F.floor(3 * F.log2(F.coalesce("count", F.lit(0)) + 1)), F.lit(126)).cast("long"), 56)
+    return every.agg(F.sort_array(F.collect_list(F.struct("id", level.alias("level")))).alias("a")).select(F.col("a.level").alias("levels"))
 
-def _ranks(lines: DataFrame) -> Column:
-    """An array literal: the rank by count of each counter, 0 the rarest."""
-    spoken = lines.select(F.explode(F.split(_blanks(F.lower("line")), " ", -1)).alias("w"))
-    counted = spoken.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("b")).count().collect()  # COUNTERS rows at most
-    n = [0] * COUNTERS
-    for r in counted:
-        n[r["b"]] = r["count"]
-    rank = [0] * COUNTERS
-    for i, b in enumerate(sorted(range(COUNTERS), key=lambda b: (n[b], b))):
-        rank[b] = i
-    return F.from_json(F.lit("[" + ",".join(map(str, rank)) + "]"), "array<int>")
 
+def _keys(line: Column, levels: Column) -> Column:
+    """Sorted array of the words of a plain line as longs, the rarest first: level in the high bits, hash in the low 56."""
 
-def _keys(line: Column, ranks: Column) -> Column:
-    """Sorted array of a line's words as longs, the rarest first: rank in the high bits, hash in the low 48."""
+    def key(h: Column) -> Column:
+        return levels[h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")].bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), F.lit(0)).cast("long")
-        return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+    return F.sort_array(F.transform(_words(line), key))
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(_blanks(F.lower(line)), " ", -1), ""), key)))
+
+def _parity(keys: Column, bit: Callable[[Column], Column]) -> Column:
+    """64 bits, the exclusive or of each key's bit(key) shifted by the key's low six bits."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _overlap(n: Column, m: Column, percent: int) -> Column:
@@ -60,94 +66,149 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
 
 
-def _close(percent: int):
-    """Whether lines a and b that meet under a word pass the length, positional and parity filters."""
-    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    need = _overlap(a("n"), b("n"), percent)
-    length = (a("n") * 100 >= b("n") * percent) & (b("n") * 100 >= a("n") * percent)
-    place = F.least(a("n") - a("at"), b("n") - b("at")) >= need
-    parity = F.bit_count(a("sig").bitwiseXOR(b("sig"))) <= a("n") + b("n") - 2 * need
+def _first(n: Column, percent: int) -> Column:
+    """How many of n words a line is looked up under."""
+    return (n - F.ceil(n * percent / F.lit(100) - 1e-9) + 1).cast("int")
+
+
+def _listed(n: Column, percent: int) -> Column:
+    """How many of n words a line is listed under: those that lines of n words or more can meet it by."""
+    return (n - _overlap(n, n, percent) + 1).cast("int")
+
+
+def _class(n: Column, percent: int) -> Column:
+    """The class of a length: each is wider than the one before by the ratio that like lines' lengths may have."""
+    return F.floor(F.log(n) / math.log(100 / percent) + 1e-9)
+
+
+def _key(*parts: Column) -> Column:
+    """44 bits for a place in a list."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 20)
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """rows with the signature that lines of class c compare: both halves where lines are wide, else their sum."""
+    wide = F.col("c") >= _class(F.lit(WIDE), 80)
+    return rows.withColumns({"a": F.when(wide, F.col("odd")).otherwise(F.col("odd").bitwiseXOR(F.col("even"))), "b": F.when(wide, F.col("even")).otherwise(F.lit(0))})
+
+
+def _close(x: str, y: str, percent: int) -> Column:
+    """Whether lines x and y that meet under a word pass the length, positional and parity filters."""
+    at, n = (lambda s: F.col(f"{s}m").bitwiseAND(F.lit((1 << 32) - 1))), (lambda s: F.shiftright(f"{s}m", 32))
+    spare = n(x) + n(y) - 2 * _overlap(n(x), n(y), percent)
+    need = _overlap(n(x), n(y), percent)
+    length = (n(x) * 100 >= n(y) * percent) & (n(y) * 100 >= n(x) * percent)
+    place = (n(x) - at(x) >= need) & (n(y) - at(y) >= need) & (at(x) + at(y) <= spare)
+    parity = F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{y}a"))) + F.bit_count(F.col(f"{x}b").bitwiseXOR(F.col(f"{y}b"))) <= spare
     return length & place & parity
 
 
-def _named(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns))
+def _posted(distinct: DataFrame, many: Column) -> DataFrame:
+    """A row for each of the first `many` words of each line; m holds the line's length and the word's position."""
+    rows = distinct.select("doc_id", "ln", "n", "odd", "even", F.posexplode(F.slice("prefix", F.lit(1), many)).alias("at", "token"))
+    return rows.withColumn("m", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")))
 
 
-def _to_leads(posted: DataFrame, percent: int) -> DataFrame:
-    """(y, x): each line and the first line under one of its words, where the filters allow it."""
-    first = F.first(F.struct("doc_id", "ln", "n", "sig", "at")).over(W.partitionBy("token").orderBy("doc_id", "ln"))
-    rows = _named(posted.withColumn("lead", first), "b")
-    rows = rows.select("*", *(F.col(f"b_lead.{c}").alias(f"a_{c}") for c in ("doc_id", "ln", "n", "sig", "at")))
-    other = (F.col("a_doc_id") != F.col("b_doc_id")) | (F.col("a_ln") != F.col("b_ln"))
-    return rows.where(other & _close(percent)).select(*_ends("b", "y"), *_ends("a", "x")).distinct()
+def _to_leads(distinct: DataFrame, percent: int) -> DataFrame:
+    """(y, x): lines and the first line in their part of a list, where the filters allow it."""
+    rows = _signed(_posted(distinct, _listed(F.col("n"), percent)).withColumn("c", _class(F.col("n"), percent)))
+    part = F.pmod(F.xxhash64("doc_id", "ln"), F.lit(PARTS))
+    rows = rows.select(_key(F.col("token"), F.col("c"), part).alias("key"), "doc_id", "ln", "m", "a", "b")
+    lead = F.first(F.struct("doc_id", "ln", "m", "a", "b")).over(W.partitionBy("key").orderBy("doc_id", "ln").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("x", lead).where((F.col("x.doc_id") != F.col("doc_id")) | (F.col("x.ln") != F.col("ln")))
+    return rows.where(_close("x.", "", percent)).select(F.col("doc_id").alias("y_doc_id"), F.col("ln").alias("y_ln"), F.col("x.doc_id").alias("x_doc_id"), F.col("x.ln").alias("x_ln")).distinct()
 
 
-def _to_all(targets: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
-    """(y, x): targets and all earlier lines, where the filters allow it."""
-    earlier = (F.col("a_doc_id") < F.col("b_doc_id")) | ((F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_ln") < F.col("b_ln")))
-    rows = _named(targets, "b").join(_named(posted, "a"), (F.col("a_token") == F.col("b_token")) & earlier & _close(percent))
-    return rows.select(*_ends("b", "y"), *_ends("a", "x")).distinct()
+def _meetings(longer: DataFrame, shorter: DataFrame, percent: int, few: bool = False) -> DataFrame:
+    """(y, x), y the later: lines of longer and lines of shorter, no longer than they, where the filters allow it. Words looked up that are few, as counted, are sent to the lists, and not the lists to them."""
+    asked = _signed(_posted(longer, _first(F.col("n"), percent)).withColumn("c", _class(F.col("n"), percent)))
+    p = {c: f"p_{c}" for c in ("doc_id", "ln", "m", "a", "b")}
+    asked = asked.select(_key(F.col("token"), F.col("c")).alias("p_key"), *(F.col(c).alias(a) for c, a in p.items()))
+    rows = _posted(shorter, _listed(F.col("n"), percent))
+    most = (F.col("n") - F.col("at")) * ((100 + percent) / percent) - F.col("n")  # the longest line that can meet this one here
+    rows = _signed(rows.withColumn("c", F.explode(F.sequence(_class(F.col("n"), percent), _class(F.greatest(F.col("n").cast("double"), most), percent)))))
+    rows = rows.select(_key(F.col("token"), F.col("c")).alias("q_key"), *(F.col(c).alias(f"q_{c}") for c in p))
+    n, k = F.shiftright("p_m", 32), F.shiftright("q_m", 32)
+    after = (F.col("p_doc_id") > F.col("q_doc_id")) | ((F.col("p_doc_id") == F.col("q_doc_id")) & (F.col("p_ln") > F.col("q_ln")))
+    met = (F.broadcast(asked) if few else asked).join(rows, (F.col("p_key") == F.col("q_key")) & ((n > k) | ((n == k) & after)) & _close("p_", "q_", percent))
+    end = lambda first, second, name: [F.when(after, F.col(f"{first}_{c}")).otherwise(F.col(f"{second}_{c}")).alias(f"{name}_{c}") for c in ("doc_id", "ln")]
+    return met.select(*end("p", "q", "y"), *end("q", "p", "x")).distinct()
 
 
-def _ends(side: str, name: str) -> list[Column]:
-    return [F.col(f"{side}_doc_id").alias(f"{name}_doc_id"), F.col(f"{side}_ln").alias(f"{name}_ln")]
+def _without(rows: DataFrame, gone: DataFrame, small: bool, kind: str = "left_anti") -> DataFrame:
+    return rows.join(F.broadcast(gone) if small else gone, ["doc_id", "ln"], kind)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
-    """(doc_id, ln) of the later lines in pairs whose words are close enough to the earlier one's."""
+    """(doc_id, ln) of the later lines in pairs whose words, as hashes of 64 bits, are close enough to the earlier one's."""
     pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(*(F.col(f"y_{c}").alias(f"_{c}") for c in ("doc_id", "ln"))).unionByName(pairs.select(*(F.col(f"x_{c}").alias(f"_{c}") for c in ("doc_id", "ln")))).distinct()
-    wanted = materialise(wanted.groupBy("_doc_id").agg(F.collect_set("_ln").alias("_lns")), "wanted")
+    ends = [pairs.select(*(F.col(f"{s}_{c}").alias(f"_{c}") for c in ("doc_id", "ln"))) for s in "yx"]
+    wanted = materialise(ends[0].unionByName(ends[1]).distinct().groupBy("_doc_id").agg(F.collect_list("_ln").alias("_lns")), "wanted")
     small = fits(wanted, broadcast_rows)
     held = docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"] == wanted["_doc_id"])
-    picked = F.transform(F.array(_split(F.col("text"))), lambda lines: F.transform("_lns", lambda i: F.struct(i.alias("ln"), F.get(lines, i).alias("line"))))[0]  # the text is split once, not once for each line
+    picked = F.transform(F.array(_split(_plain(F.col("text")))), lambda lines: F.transform("_lns", lambda i: F.struct(i.alias("ln"), F.get(lines, i).alias("line"))))[0]  # the text is split once, not once for each line
     text = held.select("doc_id", F.explode(picked).alias("l"))
-    sets = text.select("doc_id", F.col("l.ln").alias("ln"), words(F.col("l.line")).alias("words")).dropDuplicates(["doc_id", "ln"])
-    y = sets.select(F.col("doc_id").alias("y_doc_id"), F.col("ln").alias("y_ln"), F.col("words").alias("y_words"))
-    x = sets.select(F.col("doc_id").alias("x_doc_id"), F.col("ln").alias("x_ln"), F.col("words").alias("x_words"))
+    sets = text.select("doc_id", F.col("l.ln").alias("ln"), _words(F.col("l.line")).alias("words")).dropDuplicates(["doc_id", "ln"])
+    y, x = (sets.select(F.col("doc_id").alias(f"{s}_doc_id"), F.col("ln").alias(f"{s}_ln"), F.col("words").alias(f"{s}_words")) for s in "yx")
     both = pairs.join(y, ["y_doc_id", "y_ln"]).join(x, ["x_doc_id", "x_ln"])
     shared = F.size(F.array_intersect("x_words", "y_words"))
-    return both.where(shared * 100 >= (F.size("x_words") + F.size("y_words") - shared) * percent).select(F.col("y_doc_id").alias("doc_id"), F.col("y_ln").alias("ln")).distinct()
+    found = both.where(shared * 100 >= (F.size("x_words") + F.size("y_words") - shared) * percent).select(F.col("y_doc_id").alias("doc_id"), F.col("y_ln").alias("ln")).distinct()
+    found = materialise(found, "found")
+    discard(pairs, wanted)
+    return found
 
 
-def kept_lines(docs: DataFrame, percent: int = 80, least: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
-    """(doc_id, kept): numbers, from 0, of the lines of `least` words or more that stay."""
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(_split(F.col("text"))).alias("ln", "line")).where(F.col("line").rlike(ELIGIBLE % (least - 1)))
-    ranks = _ranks(lines)
-    h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit("line"), F.col("line"))
-    firsts = lines.select(h1.alias("h1"), h2.alias("h2"), "doc_id", "ln", "line").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln")).alias("p"), F.first("line").alias("line"))
-    keyed = firsts.select("p.doc_id", "p.ln", _keys(F.col("line"), ranks).alias("keys"))
+def kept_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 200_000) -> DataFrame:
+    """(doc_id, kept): numbers, from 0, of the lines with words that stay; a written table."""
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    lines = docs.select("doc_id", F.posexplode(_split(_plain(F.col("text")))).alias("ln", "line"))
+    keyed = lines.select("doc_id", "ln", "line", _levels(docs).scalar().alias("levels")).select("doc_id", "ln", _keys(F.col("line"), F.col("levels")).alias("keys"))
     n = F.size("keys")
-    prefix = F.transform(F.slice("keys", F.lit(1), (n - F.ceil(n * percent / F.lit(100) - 1e-9) + 1).cast("int")), lambda k: F.shiftrightunsigned(k, 31).cast("int"))
-    sig = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    distinct = materialise(keyed.select("doc_id", "ln", n.alias("n"), sig.alias("sig"), prefix.alias("prefix")), "lines")
-    posted = distinct.where("n > 0").select("doc_id", "ln", "n", "sig", F.posexplode("prefix").alias("at", "token")).repartition("token")
-    gone = materialise(_verified(_to_leads(posted, percent), docs, percent, broadcast_rows), "gone")
-    if fits(gone, 2_000_000):
-        targets = posted.join(F.broadcast(gone), ["doc_id", "ln"], "left_anti")
-    else:
-        targets = posted.join(gone, ["doc_id", "ln"], "left_anti")
-    found = _verified(_to_all(targets, posted, percent), docs, percent, broadcast_rows)
-    gone = materialise(gone.unionByName(found).distinct(), "gone")
-    return distinct.join(gone, ["doc_id", "ln"], "left_anti").groupBy("doc_id").agg(F.collect_set("ln").alias("kept"))
-
-
-def deduplicate(docs: DataFrame, percent: int = 80, least: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
-    """docs with text freed of lines that are like an earlier one, and the columns n_lines and n_removed.
-
-    Lines of fewer than `least` words, white space lines among them, stay. A document whose lines all go keeps an empty text. Null texts stay null. Rows with a null doc_id stay as they are and are compared with nothing. Rows that repeat an id are one document: where they hold the same line number, the line is compared once. Empty table: empty result. Other columns are kept as they are; they must not be named n_lines or n_removed.
+    short = n < WIDE * percent // 100
+    one, odd = (lambda k: F.lit(1).cast("long")), (lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1).cast("long")))
+    rest = F.struct(
+        n.alias("n"), F.when(short, _parity(F.col("keys"), one)).otherwise(_parity(F.col("keys"), odd)).alias("odd"),
+        F.when(short, F.lit(0).cast("long")).otherwise(_parity(F.col("keys"), lambda k: odd(k).bitwiseXOR(F.lit(1).cast("long")))).alias("even"),
+        F.slice("keys", F.lit(1), F.when(n < 4, 0).otherwise(_first(n, percent))).alias("prefix"),
+    )
+    firsts = keyed.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), F.col("keys")).alias("h2"), "doc_id", "ln", rest.alias("rest"))
+    firsts = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln")).alias("p"), F.first("rest").alias("rest"))
+    distinct = materialise(firsts.select("p.doc_id", "p.ln", "rest.*").where("n > 0"), "lines")
+    gone = _verified(_to_leads(distinct, percent), docs, percent, broadcast_rows)
+    small = fits(gone, broadcast_rows)
+    left, out = _without(distinct, gone, small), materialise(_without(distinct, gone, small, "left_semi"), "out")
+    few = (out.agg(F.sum(F.size("prefix"))).first()[0] or 0) <= broadcast_rows
+    found = _verified(_meetings(left, distinct, percent).unionByName(_meetings(out, left, percent, few)), docs, percent, broadcast_rows)
+    every = materialise(gone.unionByName(found).distinct(), "gone")
+    kept = materialise(_without(distinct, every, fits(every, broadcast_rows)).groupBy("doc_id").agg(F.collect_list("ln").alias("kept")), "kept")
+    discard(distinct, gone, out, found, every)
+    return kept
+
+
+def deduplicate(docs: DataFrame, percent: int = 80, counts: bool = True, length: str | None = None, broadcast_rows: int = 200_000) -> DataFrame:
+    """docs with text freed of lines that are like an earlier one and, with counts, the columns n_lines and n_removed; columns of docs of these names give way to them. A column named by `length` follows the text's length where lines go.
+
+    Lines without words stay; every other line takes part, however short. A document whose lines all go keeps an empty text. Null texts stay null. Rows with a null doc_id stay as they are and are compared with nothing. Rows that repeat an id are one document: a line goes from them unless one of them holds, under the same number, a line that stays. Empty table: empty result. All other columns are kept as they are, whatever their names.
     """
-    kept = kept_lines(docs.select("doc_id", "text"), percent, least, broadcast_rows=broadcast_rows).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(kept, docs["doc_id"] == kept["_id"], "left")
-    lines = _split(docs["text"])
-    none = F.array().cast("array<int>")
-    tested = F.transform(lines, lambda x, i: F.when(x.rlike(ELIGIBLE % (least - 1)), i).otherwise(F.lit(-1)))
-    removed = F.when(docs["doc_id"].isNotNull(), F.array_except(F.array_remove(tested, -1), F.coalesce(kept["kept"], none))).otherwise(none)
-    joined = joined.select(*(docs[c] for c in docs.columns), removed.alias("_removed"))
-    many = F.size("_removed")
-    text = F.when(many > 0, _rejoined(F.col("text"), F.col("_removed"))).otherwise(F.col("text"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.when(F.col("text").isNotNull(), F.size(_split(F.col("text")))).otherwise(0).alias("n_lines"), F.when(F.col("text").isNotNull(), many).otherwise(0).alias("n_removed"))
+    kept = kept_lines(docs, percent, broadcast_rows).select(F.col("doc_id").alias("_id"), "kept")
+    rows = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_text"), F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    joined = rows.join(kept.hint("shuffle_hash"), F.col("_d") == F.col("_id"), "left")
+    lines = _split(F.col("_text"))
+    numbers = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"\S"), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+    removed = F.when(F.col("_d").isNotNull(), F.array_except(numbers, F.coalesce("kept", F.array().cast("array<int>"))))
+    joined = joined.select("_row", "_text", removed.alias("_removed"))
+    many = F.coalesce(F.size("_removed"), F.lit(0))
+    text = F.when(many > 0, _rejoined(F.col("_text"), F.col("_removed"))).otherwise(F.col("_text"))
+    out = joined.select("_row", text.alias("_text"), many.alias("_many"), F.size(lines).alias("_lines"))
+
+    def column(f) -> Column:
+        if f.name == "text":
+            return F.col("_text").alias(f.name)
+        own = F.col("_row")[f.name]
+        return (F.when(F.col("_many") > 0, F.length("_text").cast(f.dataType)).otherwise(own) if f.name == length else own).alias(f.name)
+
+    added = {"n_lines": F.when(F.col("_text").isNotNull(), F.col("_lines")).otherwise(0), "n_removed": F.when(F.col("_text").isNotNull(), F.col("_many")).otherwise(0)} if counts else {}
+    return out.select(*(column(f) for f in docs.schema.fields if f.name not in added), *(c.alias(k) for k, c in added.items()))
 
 
 def _rejoined(text: Column, removed: Column) -> Column:
@@ -166,7 +227,7 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
 o AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM a),
-l AS (SELECT doc_id, i, s[i] AS line, regexp_matches(s[i], '^\s*(?:\S+\s+){4}\S') AS counts FROM o),
+l AS (SELECT doc_id, i, s[i] AS line, regexp_matches(s[i], '\S') AS counts FROM o),
 u AS (SELECT line, min({'d': doc_id, 'i': i}) AS p, any_value(list_distinct(list_filter(string_split(translate(lower(line), E'\t\r\f\x0b', '    '), ' '), lambda x: x != ''))) AS w FROM l WHERE counts GROUP BY line),
 t AS (SELECT p, len(w) AS n, unnest(w) AS word FROM u),
 r AS (SELECT p, n, word, row_number() OVER (PARTITION BY p ORDER BY df, word) AS k FROM (SELECT *, count(*) OVER (PARTITION BY word) AS df FROM t)),

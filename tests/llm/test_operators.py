@@ -304,12 +304,12 @@ def test_components(spark):
 
 # ---- 6
 
-def brute_lines(docs, percent=80, least=5):
+def brute_lines(docs, percent=80):
     earlier, seen, out = [], set(), {}
     for i, t in sorted((i, t) for i, t in docs if i is not None and t is not None):
         kept = []
         for line in t.split("\n"):
-            if len(line.split()) < least:
+            if not line.split():
                 kept.append(line)
                 continue
             s = frozenset(line.lower().split())
@@ -347,6 +347,10 @@ def test_lines_odd_rows(spark):
     text = "It is 10.0.0.1, x@y.org and +1 (555) 123-4567"
     want[8, text] -= 1
     want[8, ""] += 1
+    want[5, "one"] -= 1
+    want[5, ""] += 1
+    want[6, "a\nb\n\na"] -= 1
+    want[6, "a\nb\n"] += 1
     assert have == +want
     assert lines.deduplicate(odd(spark).limit(0)).count() == 0
 
