@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,6 +20,8 @@ COUNTERS = 1 << 17
 WIDE = 64
 #: Parts of a list in the first round: a group of like lines is dealt to so many tasks.
 PARTS = 32
+#: Lists are met in so many rounds, which divides the disk that they take.
+ROUNDS = 2
 
 
 def _split(text: Column) -> Column:
@@ -26,11 +29,8 @@ def _split(text: Column) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    """text in lower case, with every kind of white space but the line feed as blanks; four searches cost less than one pass of translate()."""
-    text = F.lower(text)
-    for c in "\t\r\f\x0b":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
+    """text in lower case, with every kind of white space but the line feed as blanks."""
+    return F.lower(F.when(text.rlike(r"[\t\r\f\x0b]"), F.translate(text, "\t\r\f\x0b", "    ")).otherwise(text))
 
 
 def _words(line: Column) -> Column:
@@ -103,9 +103,11 @@ def _close(x: str, y: str, percent: int) -> Column:
     return length & place & parity
 
 
-def _posted(distinct: DataFrame, many: Column) -> DataFrame:
-    """A row for each of the first `many` words of each line; m holds the line's length and the word's position."""
-    rows = distinct.select("doc_id", "ln", "n", "odd", "even", F.posexplode(F.slice("prefix", F.lit(1), many)).alias("at", "token"))
+def _posted(distinct: DataFrame, many: Column, part: int | None = None) -> DataFrame:
+    """A row for each of the first `many` words of each line, or those of one part of ROUNDS; m holds the line's length and the word's position."""
+    also = [c for c in ("gone",) if c in distinct.columns]
+    rows = distinct.select("doc_id", "ln", "n", "odd", "even", *also, F.posexplode(F.slice("prefix", F.lit(1), many)).alias("at", "token"))
+    rows = rows if part is None else rows.where(F.col("token") % ROUNDS == part)
     return rows.withColumn("m", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")))
 
 
@@ -119,18 +121,19 @@ def _to_leads(distinct: DataFrame, percent: int) -> DataFrame:
     return rows.where(_close("x.", "", percent)).select(F.col("doc_id").alias("y_doc_id"), F.col("ln").alias("y_ln"), F.col("x.doc_id").alias("x_doc_id"), F.col("x.ln").alias("x_ln")).distinct()
 
 
-def _meetings(longer: DataFrame, shorter: DataFrame, percent: int, few: bool = False) -> DataFrame:
-    """(y, x), y the later: lines of longer and lines of shorter, no longer than they, where the filters allow it. Words looked up that are few, as counted, are sent to the lists, and not the lists to them."""
-    asked = _signed(_posted(longer, _first(F.col("n"), percent)).withColumn("c", _class(F.col("n"), percent)))
-    p = {c: f"p_{c}" for c in ("doc_id", "ln", "m", "a", "b")}
-    asked = asked.select(_key(F.col("token"), F.col("c")).alias("p_key"), *(F.col(c).alias(a) for c, a in p.items()))
-    rows = _posted(shorter, _listed(F.col("n"), percent))
+def _meetings(longer: DataFrame, shorter: DataFrame, percent: int, part: int, few: bool = False) -> DataFrame:
+    """(y, x), y the later and not gone: lines of longer and lines of shorter, no longer than they, where the filters allow it. Words looked up that are few, as counted, are sent to the lists, and not the lists to them."""
+    given = ("doc_id", "ln", "m", "a", "b", "gone")
+    asked = _signed(_posted(longer, _first(F.col("n"), percent), part).withColumn("c", _class(F.col("n"), percent)))
+    asked = asked.select(_key(F.col("token"), F.col("c")).alias("p_key"), *(F.col(c).alias(f"p_{c}") for c in given))
+    rows = _posted(shorter, _listed(F.col("n"), percent), part)
     most = (F.col("n") - F.col("at")) * ((100 + percent) / percent) - F.col("n")  # the longest line that can meet this one here
     rows = _signed(rows.withColumn("c", F.explode(F.sequence(_class(F.col("n"), percent), _class(F.greatest(F.col("n").cast("double"), most), percent)))))
-    rows = rows.select(_key(F.col("token"), F.col("c")).alias("q_key"), *(F.col(c).alias(f"q_{c}") for c in p))
+    rows = rows.select(_key(F.col("token"), F.col("c")).alias("q_key"), *(F.col(c).alias(f"q_{c}") for c in given))
     n, k = F.shiftright("p_m", 32), F.shiftright("q_m", 32)
     after = (F.col("p_doc_id") > F.col("q_doc_id")) | ((F.col("p_doc_id") == F.col("q_doc_id")) & (F.col("p_ln") > F.col("q_ln")))
-    met = (F.broadcast(asked) if few else asked).join(rows, (F.col("p_key") == F.col("q_key")) & ((n > k) | ((n == k) & after)) & _close("p_", "q_", percent))
+    wanted = ((n > k) | ((n == k) & after)) & ~F.when(after, F.col("p_gone")).otherwise(F.col("q_gone"))
+    met = (F.broadcast(asked) if few else asked).join(rows, (F.col("p_key") == F.col("q_key")) & wanted & _close("p_", "q_", percent))
     end = lambda first, second, name: [F.when(after, F.col(f"{first}_{c}")).otherwise(F.col(f"{second}_{c}")).alias(f"{name}_{c}") for c in ("doc_id", "ln")]
     return met.select(*end("p", "q", "y"), *end("q", "p", "x")).distinct()
 
@@ -171,17 +174,20 @@ def kept_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 200_000
         F.when(short, F.lit(0).cast("long")).otherwise(_parity(F.col("keys"), lambda k: odd(k).bitwiseXOR(F.lit(1).cast("long")))).alias("even"),
         F.slice("keys", F.lit(1), F.when(n < 4, 0).otherwise(_first(n, percent))).alias("prefix"),
     )
-    firsts = keyed.select(F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), F.col("keys")).alias("h2"), "doc_id", "ln", rest.alias("rest"))
-    firsts = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "ln")).alias("p"), F.first("rest").alias("rest"))
-    distinct = materialise(firsts.select("p.doc_id", "p.ln", "rest.*").where("n > 0"), "lines")
+    firsts = keyed.select(F.xxhash64("keys").alias("hash"), "doc_id", "ln", rest.alias("rest")).select("hash", "rest.n", "rest.odd", "rest.even", "doc_id", "ln", "rest")
+    firsts = firsts.groupBy("hash", "n", "odd", "even").agg(F.min(F.struct("doc_id", "ln")).alias("p"), F.first("rest.prefix").alias("prefix"))
+    distinct = materialise(firsts.select("p.doc_id", "p.ln", "n", "odd", "even", "prefix"), "lines")
     gone = _verified(_to_leads(distinct, percent), docs, percent, broadcast_rows)
     small = fits(gone, broadcast_rows)
-    left, out = _without(distinct, gone, small), materialise(_without(distinct, gone, small, "left_semi"), "out")
+    out = materialise(_without(distinct, gone, small, "left_semi").withColumn("gone", F.lit(True)), "out")
     few = (out.agg(F.sum(F.size("prefix"))).first()[0] or 0) <= broadcast_rows
-    found = _verified(_meetings(left, distinct, percent).unionByName(_meetings(out, left, percent, few)), docs, percent, broadcast_rows)
+    left = _without(distinct, gone, small).withColumn("gone", F.lit(False))
+    every = left.unionByName(out)
+    met = [materialise(_meetings(left, every, percent, part).unionByName(_meetings(out, left, percent, part, few)), "met") for part in range(ROUNDS)]
+    found = _verified(reduce(DataFrame.unionByName, met).distinct(), docs, percent, broadcast_rows)
     every = materialise(gone.unionByName(found).distinct(), "gone")
     kept = materialise(_without(distinct, every, fits(every, broadcast_rows)).groupBy("doc_id").agg(F.collect_list("ln").alias("kept")), "kept")
-    discard(distinct, gone, out, found, every)
+    discard(distinct, gone, out, found, every, *met)
     return kept
 
 
