@@ -5,9 +5,12 @@ Lengths are bounded by the sequence length, so the multiset of all pieces is a h
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,7 +28,7 @@ END = 1
 #: White space that str.split() and the vocabulary's pre-tokeniser may see differently.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 assert array("I").itemsize == 4 and sys.byteorder == "little"
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, _Encoder] = {}
 
 
 def tokenizer_path() -> str:
@@ -34,32 +37,90 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str, cached: int = 800_000):
-    """A function from texts to their ids as little-endian unsigned 32-bit. The vocabulary's pre-tokeniser never joins over white space, so words are encoded once and kept, up to `cached` of them; texts with other than plain white space are encoded whole."""
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+#: The normaliser and pre-tokeniser under which a text is its words' runs, each encoded alone.
+_RUN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _RUN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+#: Words beyond these characters, and those with a sigma, whose small letter depends on its place, are left to the tokeniser whole.
+_LATIN = re.compile("[\x21-\u024f]+")
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    model, known = _loaded[path]
 
-    def encode(texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+class _Encoder:
+    """Texts to their ids as little-endian unsigned 32-bit.
 
-    def ids(texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 128):
-            words = [None if _ODD.search(t) else t.split() for t in texts[at : at + 128]]
-            new = list(set(chain.from_iterable(w for w in words if w)).difference(known))
-            if len(known) + len(new) > cached:
-                known.clear()
+    Where the vocabulary drops white space and marks the ends of runs, a text is its words, a word its runs of letters or marks. Words and runs are kept, up to `cached` of each. New runs are encoded many at a time, joined by spaces, and the ends of runs cut the result. Words with characters outside Latin, and texts with special tokens or other than plain white space, are encoded whole, as are all texts under other vocabularies.
+    """
+
+    def __init__(self, path: str, cached: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from tokenizers import Tokenizer
+
+        given = json.loads(open(path, encoding="utf-8").read())
+        self.model, self.cached, self.words, self.runs = Tokenizer.from_file(path), cached, {}, {}
+        self.plain = all(given.get(k) == v for k, v in _PLAIN.items()) and given["model"].get("end_of_word_suffix") == "</w>"
+        self.special = [t["content"] for t in given["added_tokens"]]
+        self.cut = regex.compile(_RUN).findall
+        self.ends = np.zeros(1 + max([*given["model"]["vocab"].values(), *(t["id"] for t in given["added_tokens"])]), dtype=bool)
+        self.ends[[i for t, i in given["model"]["vocab"].items() if t.endswith("</w>")]] = True
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_runs(self, new: list[str], many: int = 256) -> None:
+        for at in range(0, len(new), many):
+            part = new[at : at + many]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            raw = ids.tobytes()
+            parts = [raw[a:z] for a, z in zip([0, *ends.tolist()], ends.tolist(), strict=False)] if len(ends) == len(part) else self.whole(part)
+            self.runs.update(zip(part, parts, strict=True))
+
+    def learn(self, new: list[str]) -> None:
+        odd, cut, latin, normal, apart = [], self.cut, _LATIN.fullmatch, unicodedata.normalize, []
+        for w in new:
+            if not w.isascii():
+                if not latin(w):
+                    odd.append(w)
+                    apart.append(None)
+                    continue
+                w = normal("NFC", w)
+            core = w.rstrip(".,;:!?")
+            if core.isalpha():  # the common cases of the pattern: one run of letters, or one and marks
+                apart.append((core.lower(),) if len(core) == len(w) else (core.lower(), w[len(core) :]))
+            else:
+                apart.append(cut(w.lower()))
+        self.words.update(zip(odd, self.whole(odd), strict=True))
+        every = set(chain.from_iterable(r for r in apart if r))
+        runs = list(every.difference(self.runs))
+        if len(self.runs) + len(runs) > self.cached:
+            self.runs.clear()
+            runs = list(every)
+        self.learn_runs(runs)
+        get = self.runs.__getitem__
+        self.words.update((w, get(r[0]) if len(r) == 1 else get(r[0]) + get(r[1]) if len(r) == 2 else b"".join(map(get, r))) for w, r in zip(new, apart, strict=True) if r)
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        odd, special = _ODD.search if self.plain else bool, self.special
+        for at in range(0, len(texts), 512):
+            words = [None if odd(t) or any(s in t for s in special) else t.split() for t in texts[at : at + 512]]
+            new = list(set(chain.from_iterable(w for w in words if w)).difference(self.words))
+            if len(self.words) + len(new) > self.cached:
+                self.words.clear()
                 new = list(set(chain.from_iterable(w for w in words if w)))
-            for i in range(0, len(new), 20_000):
-                known.update(zip(new[i : i + 20_000], encode(new[i : i + 20_000]), strict=True))
-            get = known.__getitem__
-            for t, w in zip(texts[at : at + 128], words, strict=True):
-                yield encode([t])[0] if w is None else b"".join(map(get, w))
+            self.learn(new)
+            get = self.words.__getitem__
+            for t, w in zip(texts[at : at + 512], words, strict=True):
+                yield self.whole([t])[0] if w is None else b"".join(map(get, w))
 
-    return ids
+
+def _tokenizer(path: str) -> _Encoder:
+    if path not in _loaded:
+        _loaded[path] = _Encoder(path)
+    return _loaded[path]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
@@ -67,6 +128,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, end = _tokenizer(path), np.array([END], dtype="<u4").tobytes()
+        gc.disable()  # millions of strings, and no cycles among them
         for b in batches:
             rows = []
             for doc, raw in zip(b["doc_id"], ids([t or "" for t in b["text"]]), strict=True):
@@ -119,7 +181,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple
 
 
 def pack(cut: DataFrame, capacity: int = 4096, bucket_rows: int = 20_000) -> DataFrame:
-    """cut: a written table with a column length (1 to capacity); returns it with sequence_id and offset. Pieces of one sequence lie gapless from offset 0 and have capacity ids at most together. Empty table: empty result."""
+    """cut: a written table with columns length (1 to capacity) and _row, a number of its own for each row; returns it, without _row, with sequence_id and offset. Pieces of one sequence lie gapless from offset 0 and have capacity ids at most together. Empty table: empty result."""
     histogram = {int(r["length"]): int(r["count"]) for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     rows, base, taken = [], 0, dict.fromkeys(histogram, 0)
     for times, combination in plan(histogram, capacity):
@@ -134,13 +196,14 @@ def pack(cut: DataFrame, capacity: int = 4096, bucket_rows: int = 20_000) -> Dat
         by_length.setdefault(n, []).append((rank, first_bin, k, at))
     tables = {n: np.array(v, dtype=np.int64) for n, v in by_length.items()}
     buckets = max(1, sum(histogram.values()) // bucket_rows)
-    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64(*cut.columns), F.lit(buckets)))
+    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
     counts = dealt.groupBy("_bucket", "length").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("_bucket", "length", before.alias("_before"))
-    ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("_bucket", "length").orderBy(*cut.columns)) - 1)
+    ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("_bucket", "length").orderBy("_row")) - 1)
     ranked = ranked.join(counts, ["_bucket", "length"]).withColumn("_rank", (F.col("_rank") + F.col("_before")).cast("long"))
-    ranked = ranked.select(*cut.columns, "_rank")
+    fields = [f for f in cut.schema.fields if f.name != "_row"]
+    ranked = ranked.select(*(f.name for f in fields), "_rank")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -154,13 +217,13 @@ def pack(cut: DataFrame, capacity: int = 4096, bucket_rows: int = 20_000) -> Dat
                 offset[i] = row[:, 3] + nth % row[:, 2] * n
             yield b.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 4096) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all of docs. Null and empty texts have the end id alone. Repeated rows and null ids are packed like any other; other columns are ignored."""
-    return pack(materialise(pieces(docs, path or tokenizer_path(), capacity), "pieces"), capacity)
+    return pack(materialise(pieces(docs, path or tokenizer_path(), capacity).withColumn("_row", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
