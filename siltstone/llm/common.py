@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is spark.checkpoint.dir; a folder under the warehouse stands in where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all of Spark is one process, as in tests, a folder under the warehouse stands in; on a cluster an unset folder is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
@@ -47,9 +50,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fits(df: DataFrame, limit_rows: int) -> bool:
-    """Whether df, a written table, has at most limit_rows rows: the check before a broadcast."""
-    return df.count() <= limit_rows
+def fits(df: DataFrame, limit_rows: int, limit_bytes: int = 32_000_000) -> bool:
+    """Whether df, a table that materialise() wrote, has at most limit_rows rows and limit_bytes bytes of files: the check before a broadcast."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written)
+    size = path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return size <= limit_bytes and df.count() <= limit_rows
 
 
 def remainder(column: str, divisor: int):

@@ -1,6 +1,6 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are reduced to lower-case words (letters and digits) joined by one space. An occurrence of an item of m characters within k edits shares at least m - q + 1 - k*q q-grams with it, and they all lie within 2k + 1 neighbouring diagonals. Diagonals are counted in bands that overlap by half, each at least twice that wide in pairs, so every occurrence lies in one pair of bands whole. Pairs of bands that reach the bound are verified by banded alignment.
+Texts are reduced to lower-case words (letters and digits) joined by one space. An occurrence of an item of m characters within k edits shares at least m - q + 1 - k*q q-grams with it, and they all lie within 2k + 1 neighbouring diagonals. Diagonals are counted in bands of that width, taken in pairs that overlap by half, so the diagonals of every occurrence lie in one pair whole. Regions of pairs that reach the bound are joined where they overlap and verified by alignment, again and again beside what is found, so every occurrence is.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ class Index:
     seen: np.ndarray
     k: np.ndarray
     need: np.ndarray
-    width: int
+    width: np.ndarray
 
 
 def index(items: list[tuple], rate: float) -> Index:
@@ -78,7 +78,7 @@ def index(items: list[tuple], rate: float) -> Index:
     seen[(keys >> np.uint64(44)).astype(np.int64)] = True
     k = np.array([budget(len(t), rate) for t in texts], dtype=np.int64)
     need = np.array([max(1, len(t) - Q + 1 - b * Q) for t, b in zip(texts, k, strict=True)], dtype=np.int64)
-    return Index(ids, texts, keys, np.r_[first, len(every)], item[order], offset[order], seen, k, need, int(2 * k.max(initial=0) + 1))
+    return Index(ids, texts, keys, np.r_[first, len(every)], item[order], offset[order], seen, k, need, 2 * k + 1)
 
 
 def align(pattern: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
@@ -127,7 +127,7 @@ def within(pattern: str, region: str, k: int) -> bool:
 
 
 def _candidates(points: np.ndarray, ix: Index) -> np.ndarray:
-    """(item, band) pairs that hold enough shared q-grams: rows of two columns."""
+    """(item, band) pairs that hold enough shared q-grams: rows of two columns. Each item has bands as wide as its own edits ask for."""
     g = grams(points)
     at = np.flatnonzero(ix.seen[(g >> np.uint64(44)).astype(np.int64)])
     where = np.searchsorted(ix.keys, g[at])
@@ -137,19 +137,20 @@ def _candidates(points: np.ndarray, ix: Index) -> np.ndarray:
     size = ix.first[where + 1] - ix.first[where]
     total = np.cumsum(size)
     keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    bands = len(points) // ix.width + 4
-    shift = max((len(t) for t in ix.texts), default=0) // ix.width + 2
+    shift = int(max((len(t) // w for t, w in zip(ix.texts, ix.width.tolist(), strict=True)), default=0)) + 2
+    bands = len(points) // int(ix.width.min(initial=1 << 40)) + shift + 4
     lo = 0
     while lo < len(at):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + HITS, side="right")))
         n = size[lo:hi]
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ix.first[where[lo:hi]], n)
+        item = ix.item[place]
         diagonal = np.repeat(at[lo:hi], n) - ix.offset[place]
-        key, count = np.unique(ix.item[place] * (bands + shift) + diagonal // ix.width + shift, return_counts=True)
+        key, count = np.unique(item * bands + diagonal // ix.width[item] + shift, return_counts=True)
         keys, back = np.unique(np.r_[keys, key], return_inverse=True)
         counts = np.bincount(back, weights=np.r_[counts, count], minlength=len(keys)).astype(np.int64)
         lo = hi
-    item = keys // (bands + shift)
+    item = keys // bands
     after = np.searchsorted(keys, keys + 1)
     after[after == len(keys)] = 0
     both = counts + np.where(keys[after] == keys + 1, counts[after], 0)
@@ -157,12 +158,12 @@ def _candidates(points: np.ndarray, ix: Index) -> np.ndarray:
     lone = keys[np.minimum(before, len(keys) - 1)] != keys - 1 if len(keys) else np.empty(0, bool)
     ok = both >= ix.need[item]
     alone = lone & (counts >= ix.need[item])  # the pair that begins with an empty band
-    found = [np.c_[item[ok], (keys % (bands + shift) - shift)[ok]], np.c_[item[alone], (keys % (bands + shift) - shift - 1)[alone]]]
+    found = [np.c_[item[ok], (keys % bands - shift)[ok]], np.c_[item[alone], (keys % bands - shift - 1)[alone]]]
     return np.unique(np.concatenate(found), axis=0)
 
 
 def occurrences(texts: list[str], ix: Index) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text number, item number, start, end, edits) in reduced texts; overlapping finds of one item are given once, the best."""
+    """(text number, item number, start, end, edits) in reduced texts; every occurrence of an item, of overlapping ones the best."""
     start, chunk, size = 0, [], 0
     for n, t in enumerate([*texts, None]):
         if t is None or (chunk and size + len(t) > CHUNK):
@@ -180,29 +181,41 @@ def _within(texts: list[str], ix: Index) -> Iterator[tuple[int, int, int, int, i
     whole = gap.join(texts)
     points = _points(whole)
     edge = np.cumsum([0, *(len(t) + Q for t in texts)])
-    best: dict[tuple[int, int], list] = {}
-    for item, band in _candidates(points, ix):
-        text, k = ix.texts[item], int(ix.k[item])
-        low, high = int(band) * ix.width - k, (int(band) + 2) * ix.width + len(text) + k
+    regions: dict[tuple[int, int], list[list[int]]] = {}
+    for item, band in _candidates(points, ix).tolist():
+        m, k, width = len(ix.texts[item]), int(ix.k[item]), int(ix.width[item])
+        low, high = band * width - k, (band + 2) * width + m + k
         for n in range(max(0, int(np.searchsorted(edge, max(low, 0), side="right")) - 1), min(len(texts), int(np.searchsorted(edge, high, side="left")))):
             a, z = max(low, int(edge[n])), min(high, int(edge[n]) + len(texts[n]))
-            if z - a < len(text) - k:
-                continue
-            exact = whole.find(text, a, z)
-            if exact >= 0:
-                found = (0, exact - a, exact - a + len(text))
-            else:
-                found = align(_points(text), points[a:z], k) if within(text, whole[a:z], k) else None
-            if found:
-                edits, x, y = found
-                x, y = x + a - int(edge[n]), y + a - int(edge[n])
-                have = best.setdefault((n, int(item)), [])
-                clash = [h for h in have if h[0] < y and x < h[1]]
-                if all(edits < h[2] for h in clash):
-                    best[n, int(item)] = [h for h in have if h not in clash] + [(x, y, edits)]
-    for (n, item), have in sorted(best.items()):
-        for x, y, edits in sorted(have):
-            yield n, item, x, y, edits
+            if z - a >= m - k:
+                have = regions.setdefault((n, item), [])
+                if have and a <= have[-1][1]:  # bands come in order
+                    have[-1][1] = max(z, have[-1][1])
+                else:
+                    have.append([a, z])
+    for (n, item), parts in sorted(regions.items()):
+        found = [f for a, z in parts for f in spans(ix.texts[item], whole, points, a, z, int(ix.k[item]))]
+        for edits, x, y in sorted(found, key=lambda f: f[1]):
+            yield n, item, x - int(edge[n]), y - int(edge[n]), edits
+
+
+def spans(pattern: str, whole: str, points: np.ndarray, low: int, high: int, k: int) -> Iterator[tuple[int, int, int]]:
+    """(edits, start, end) of the occurrences of pattern in whole[low:high] with k edits at most: the best, of equal ones the first to end, and so on in what lies before and after it."""
+    todo = [(low, high)]
+    while todo:
+        a, z = todo.pop()
+        if z - a < len(pattern) - k:
+            continue
+        exact = whole.find(pattern, a, z)
+        if exact >= 0:
+            found = (0, exact, exact + len(pattern))
+        elif k and within(pattern, whole[a:z], k):
+            edits, x, y = align(_points(pattern), points[a:z], k)
+            found = (edits, a + x, a + y)
+        else:
+            continue
+        yield found
+        todo += [(a, found[1]), (found[2], z)]
 
 
 def _original(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -228,9 +241,9 @@ def slices(benchmark: DataFrame, rate: float, chars: int) -> Iterator[Index]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, chars: int = 8_000_000) -> DataFrame:
-    """(doc_id, item_id, start, end, edits, similarity) for each place where a document holds an item within rate*length edits: start and end in code points of the document.
+    """(doc_id, item_id, start, end, edits, similarity) for each place where a document holds an item within rate*length edits: start and end in code points of the document. Places of one item don't overlap: of overlapping ones the one with fewest edits stands, of equal ones the first to end.
 
-    Items with fewer than Q letters and digits, and null items, are never found; null and empty texts hold none. Repeated rows give repeated rows. Items that occur twice under one id count once. A benchmark larger than `chars` characters is searched in slices.
+    Items with fewer than Q letters and digits, and null items, are never found; null and empty texts hold none. Repeated rows give repeated rows. Items that occur twice under one id count once; a text under two ids is found under both. Texts of any length are read whole. Other columns of either table, whatever their names, are ignored here and kept by clean(). A benchmark larger than `chars` characters is searched in slices.
     """
     found = None
     for ix in slices(benchmark, rate, chars):

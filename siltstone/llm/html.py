@@ -1,6 +1,6 @@
 """Main text of web pages by template deduction.
 
-Tokens of a page are its block elements, named by their path from the root, and its short blocks of text. Over the pages of a host every token has an occurrence vector: how often it occurs on each page. Tokens with equal vectors form an equivalence class. A vector enters as counts and sums of hashes of (page, occurrences), so classes are found by map-side sums over all pages and no host is ever gathered. The class that occurs once on every page is the template's frame; the classes of elements below it that repeat nest inside. Frame elements bound the slots; what a page has between them is extracted from the slots that hold the article. Text that belongs to the frame's class is the template's own.
+Tokens of a page are its block elements, named by their path from the root, and its blocks of text. Over the pages of a host every token has an occurrence vector: how often it occurs on each page. Tokens with equal vectors form an equivalence class. A vector enters as counts and sums of hashes of (page, occurrences), so vectors are found by map-side sums over all pages and no host is ever gathered. Classes of two tokens or more that occur on half of a host's pages or more are valid; elements of valid classes that occur once a page are nested by their paths into the template, and what pages hold between them are its slots. A slot's weight is the text outside links that no other page of the host repeats. From the root the template is followed down into whichever slot holds most of that weight; there the article is. Texts that belong to a valid class, and slots that hold mostly links, are the template's own. Names of elements and classes decide only what no template tells: pages of hosts too small for one, and containers inside the article that say they aren't of it.
 """
 
 from __future__ import annotations
@@ -8,12 +8,12 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import fits, materialise, table
@@ -42,6 +42,8 @@ NAMES = set(
 MAIN = {"article", "main"}
 MAIN_NAMES = {"article", "content", "entry", "main", "post", "story"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that hold text themselves; what their class says is about the text, not about its place.
+TEXT = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption address li dt dd td th caption".split())
 HOLDERS = {"ul", "ol", "dl", "table", "article", "section", "div", "body"}
 
 
@@ -59,7 +61,7 @@ class Page:
 
 
 def parse(html: str) -> Page:
-    """The page's block elements and blocks of text, in order. Comments, raw elements and tags are no text; unclosed and stray tags are borne."""
+    """The page's block elements and blocks of text, in order. Comments, raw elements and tags are no text; unclosed and stray tags are borne. An element within more than 64 others counts as the 64th, so that paths stay short; its text stays whole."""
     page, stack, parts, linked, links = Page(), [], [], 0, 0
 
     def close_block() -> None:
@@ -108,7 +110,7 @@ def parse(html: str) -> Page:
                 value = (a[2] or a[3] or a[4] or "").lower()
                 kind = a[1].lower()
                 if kind in ("class", "id", "role"):
-                    words = [w for w in _WORDS.findall(value) if not w.isdigit()][:6]
+                    words = [w for w in _WORDS.findall(value) if not w.isdigit()]
                     key += "." + ".".join(words) if words else ""
                 elif kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "style" and re.search(r"display\s*:\s*none", value)):
                     key += ".-hidden"
@@ -126,7 +128,7 @@ def outside(path: str) -> bool:
     within = False
     for step in path.split("/"):
         name, *words = step.split(".")
-        if name in OUTSIDE or "-hidden" in words or NAMES.intersection(words) or (not within and (name == "header" or "header" in words)):
+        if name in OUTSIDE or "-hidden" in words or (name not in TEXT and NAMES.intersection(words)) or (not within and (name == "header" or "header" in words)):
             return True
         within = within or name in MAIN
     return False
@@ -141,74 +143,123 @@ def host(url: str | None) -> str:
     return (m[1] if m else "").lower()
 
 
-SHORT = 300
 EVERYWHERE = "*"
 
 
+def token(block: Block) -> str:
+    """A block of text as a token: its path and a hash of its text."""
+    return f"{block.path}\t{xxhash.xxh64_hexdigest(block.text.encode('utf-8', 'replace'))}"
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, support, total, s1, s2, chars, linked): for each token of a host its occurrence vector, as pages, occurrences and two sums of hashes, and the text it holds itself. The host "*" stands for all pages together; it has elements only."""
+    """(host, token, support, total, s1, s2, weight): for each token of a host its occurrence vector, as pages, occurrences and two sums of hashes, and the weight of the text it holds itself: characters outside links less those in them. The token "" stands for the pages themselves; pages without elements and text take no part. The host "*" stands for all pages together; it has elements only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "token", "support", "total", "s1", "s2", "chars", "linked"])
+            out = pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "token", "support", "total", "s1", "s2", "weight"])
             sums.clear()
             return out
 
         for b in batches:
             for url, raw in zip(b["url"], b["html"], strict=True):
                 raw, name = raw or "", host(url)
-                page, count, held = parse(raw), defaultdict(int), defaultdict(lambda: [0, 0])
+                page, count, held = parse(raw), defaultdict(int), defaultdict(int)
+                if not page.paths and not page.blocks:
+                    continue
                 for p in page.paths:
                     count[p] += 1
                 for block in page.blocks:
-                    held[block.path][0] += len(block.text)
-                    held[block.path][1] += min(block.linked, len(block.text))
-                    if len(block.text) <= SHORT and not outside(block.path):
-                        count[f"{block.path}\t{block.text}"] += 1
+                    weight = 0 if outside(block.path) else len(block.text) - 2 * min(block.linked, len(block.text))
+                    held[block.path] += weight
+                    count[t := token(block)] += 1
+                    held[t] += weight
                 mark = xxhash.xxh64_digest(raw.encode("utf-8", "replace"))
-                for token, n in [("", 1), *count.items()]:
+                for t, n in [("", 1), *count.items()]:
                     h = xxhash.xxh64_intdigest(mark + str(n).encode())
-                    chars, linked = held[token] if token in held else (0, 0)
-                    for place in (name,) if "\t" in token or name == EVERYWHERE else (name, EVERYWHERE):
-                        s = sums.setdefault((place, token), [0] * 6)
-                        for i, x in enumerate((1, n, h & 0x3FFFFFFF, h >> 34, chars, linked)):
+                    for place in (name,) if "\t" in t or name == EVERYWHERE else (name, EVERYWHERE):
+                        s = sums.setdefault((place, t), [0] * 5)
+                        for i, x in enumerate((1, n, h & 0x3FFFFFFF, h >> 34, held.get(t, 0))):
                             s[i] += x
                 if len(sums) > 50_000:
                     yield flush()
         yield flush()
 
-    schema = "host string, token string, support long, total long, s1 long, s2 long, chars long, linked long"
-    return pages.select("url", "html").mapInPandas(run, schema).groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("support", "total", "s1", "s2", "chars", "linked")))
+    schema = "host string, token string, support long, total long, s1 long, s2 long, weight long"
+    return pages.select("url", "html").mapInPandas(run, schema).groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("support", "total", "s1", "s2", "weight")))
+
+
+def classes(tokens: Iterable[tuple]) -> list[set[str]]:
+    """The equivalence classes of (token, *vector), each a set of tokens."""
+    found = defaultdict(set)
+    for t, *vector in tokens:
+        found[tuple(vector)].add(t)
+    return [*found.values()]
+
+
+def nested(elements: Iterable[str]) -> dict[str, list[str]]:
+    """The template: elements under the nearest element of the template above each, "" at the root."""
+    inside, tree = set(elements), defaultdict(list)
+    for e in sorted(inside):
+        tree[slot(e.rpartition("/")[0], inside)].append(e)
+    return tree
+
+
+def followed(tree: dict[str, list[str]], weights: dict[str, int], most: float = 0.6) -> str:
+    """The slot where the article is: down from the root while one slot with what is nested in it holds `most` of all weight; one that its names call the article needs half of that."""
+    whole: dict[str, int] = {}
+    for node in sorted({*tree, *(e for v in tree.values() for e in v)}, key=lambda p: -p.count("/") - (p != "")):
+        whole[node] = max(0, weights.get(node, 0)) + sum(whole.get(e, 0) for e in tree.get(node, ()))
+    at, total = "", whole.get("", 0)
+    while total > 0:
+        below = [e for e in tree.get(at, ()) if not outside(e) and whole[e] >= total * most * (0.5 if main(e) else 1)]
+        if not below:
+            break
+        at = max(below, key=lambda e: (whole[e], main(e), e))
+    return at
 
 
 def templates(pages: DataFrame, least: int = 4) -> DataFrame:
-    """(host, frame, content, own): paths of the frame's elements, those of them whose slots hold the article, and the template's own texts as path, tab, text. Hosts with fewer than `least` pages use all hosts' pages together.
+    """(host, frame, content, links, own): the template's elements, the one whose slot holds the article ("" for the whole page), the slots that hold mostly links, and the template's own texts as tokens. Hosts with fewer than `least` pages with elements get none of their own; "*" has the template of all pages together.
 
-    Tokens of the frame are those with the vector of the page itself (once on every page). Pages cut short lack closing elements only, so opening elements are counted. Where frame elements name the article (article, main, or names like content), their slots hold it; otherwise the slots with the most text outside links do, a quarter of the greatest at least.
+    A class is valid from two tokens and half of the host's pages on. Its elements are slots if they occur once a page; its texts are the template's own if they occur once a page and on more pages than any one page has exact copies. Pages cut short lack closing elements only, so opening elements are counted.
     """
     counted = materialise(occurrences(pages), "occurrences")
-    whole = counted.where("token = ''").select(F.col("host").alias("h"), F.col("support").alias("pages"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
-    whole = whole.where((F.col("pages") >= least) | (F.col("h") == EVERYWHERE))
+    whole = counted.where("token = ''").select(F.col("host").alias("h"), F.col("support").alias("pages")).where((F.col("pages") >= least) | (F.col("host") == EVERYWHERE))
+    copies = pages.select(_host(F.col("url")).alias("c_host"), F.xxhash64("html").alias("mark")).groupBy("c_host", "mark").count().groupBy("c_host").agg(F.max("count").alias("copies"))
+    whole = materialise(whole.join(copies, F.col("h") == F.col("c_host"), "left").select("h", "pages", F.coalesce("copies", F.lit(0)).alias("copies")), "hosts")
     whole = F.broadcast(whole) if fits(whole, 100_000) else whole
-    kept = counted.where("token != ''").join(whole, (counted["host"] == whole["h"]) & ((F.col("support") * 2 >= F.col("pages"))))
-    kept = kept.select("host", "token", "pages", "chars", "linked", ((F.col("support") == F.col("pages")) & (F.col("total") == F.col("pages")) & (F.col("s1") == F.col("p1")) & (F.col("s2") == F.col("p2"))).alias("root"))
+    often = counted.where("token != ''").join(whole, (F.col("host") == F.col("h")) & (F.col("support") * 2 >= F.col("pages")) & (F.col("support") > 1))
 
     def deduce(part: pd.DataFrame) -> pd.DataFrame:
-        element = ~part["token"].str.contains("\t", regex=False)
-        frame = sorted(part["token"][part["root"] & element])
-        own = sorted(part["token"][part["root"] & ~element]) if len(part) and part["host"].iloc[0] != EVERYWHERE else []
-        inside, mass = set(frame), defaultdict(int)
-        for token, chars, linked in zip(part["token"][element], part["chars"][element], part["linked"][element], strict=True):
-            mass[slot(token, inside)] += int(chars) - 2 * int(linked)
-        slots = [p for p in inside | {""} if not outside(p)]
-        named = [p for p in slots if main(p)]
-        best = max((mass[p] for p in slots), default=0)
-        content = named or [p for p in slots if mass[p] > 0 and mass[p] * 4 >= best]
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "frame": [frame], "content": [sorted(content)], "own": [own]})
+        of = {t: (s, n, c) for t, s, n, c in zip(part["token"], part["support"], part["total"], part["copies"], strict=True)}
+        valid = [t for c in classes(zip(part["token"], part["support"], part["total"], part["s1"], part["s2"], strict=True)) if len(c) > 1 for t in c]
+        once = sorted(t for t in valid if of[t][0] == of[t][1])
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "frame": [[t for t in once if "\t" not in t]], "own": [[t for t in once if "\t" in t and of[t][0] > of[t][2]]]})
+
+    frames = materialise(often.groupBy("host").applyInPandas(deduce, "host string, frame array<string>, own array<string>"), "frames")
+    path, text = F.substring_index("token", "\t", 1), F.col("token").contains("\t")
+    held = counted.where(text | (F.col("host") == EVERYWHERE)).where("token != ''").select("host", path.alias("path"), F.when(~text | (F.col("support") == 1), F.col("weight") * 100).otherwise(F.col("weight")).alias("weight"))
+    held = held.groupBy("host", "path").agg(F.sum("weight").alias("weight")).withColumnRenamed("host", "_host")
+    frame = frames.select("host", "frame")
+    held = held.join(F.broadcast(frame) if fits(frames, 50_000) else frame, F.col("_host") == F.col("host")).select("host", "frame", "path", "weight")
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            inside = {h: set(f) for h, f in zip(b["host"], b["frame"], strict=True)}
+            yield pd.DataFrame({"host": b["host"], "slot": [slot(p, inside[h]) for h, p in zip(b["host"], b["path"], strict=True)], "weight": b["weight"]})
+
+    weights = held.mapInPandas(slots, "host string, slot string, weight long").groupBy("host", "slot").agg(F.sum("weight").alias("weight"))
 
-    return kept.groupBy("host").applyInPandas(deduce, "host string, frame array<string>, content array<string>, own array<string>")
+    def choose(key: tuple, own: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame(columns=["host", "frame", "content", "links", "own"])
+        weight, frame = dict(zip(weights["slot"], weights["weight"], strict=True)), list(own["frame"].iloc[0])
+        links = sorted(s for s, w in weight.items() if w < 0)
+        return pd.DataFrame({"host": [key[0]], "frame": [frame], "content": [followed(nested(frame), weight)], "links": [links], "own": [list(own["own"].iloc[0])]})
+
+    return frames.groupBy("host").cogroup(weights.groupBy("host")).applyInPandas(choose, "host string, frame array<string>, content string, links array<string>, own array<string>")
 
 
 def slot(path: str, frame: set[str]) -> str:
@@ -218,42 +269,45 @@ def slot(path: str, frame: set[str]) -> str:
     return path
 
 
-def article(page: Page, frame: set[str], content: set[str], own: set[str]) -> str:
-    """The blocks in the slots that hold the article, without the template's own texts. A page that lacks those slots is read by its elements' names alone."""
+def article(page: Page, frame: set[str], content: str, links: set[str], own: set[str]) -> str:
+    """The blocks in the slot that holds the article and in what is nested there, without slots of links and the template's own texts (a heading of first order stays). A page that lacks that slot is read by its elements' names alone."""
     inside = [b for b in page.blocks if not outside(b.path)]
     named = [b for b in inside if main(b.path)]
-    found = [b for b in inside if slot(b.path, frame) in content]
-    if named and not any(main(b.path) for b in found):
+    found = [b for b in inside if f"{b.path}/".startswith(f"{content}/") and slot(b.path, frame) not in links] if content else []
+    if content and named and not any(main(b.path) for b in found):
         found = named
     elif not found:
-        found = [b for b in inside if 2 * b.linked < len(b.text)]
-    kept = [b for b in found if f"{b.path}\t{b.text}" not in own or b.path.rpartition("/")[2] == "h1"]
+        found = named or [b for b in inside if 2 * b.linked < len(b.text)]
+    kept = [b for b in found if not own or token(b) not in own or b.path.rpartition("/")[2].split(".")[0] == "h1"]
     return "\n".join(b.text for b in kept)
 
 
-def main_text(pages: DataFrame, least: int = 4, broadcast_hosts: int = 50_000) -> DataFrame:
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
+def main_text(pages: DataFrame, least: int = 4, broadcast_hosts: int = 50_000, template: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages: the whole article's text, blocks joined by a line feed.
 
-    Null html counts as empty, whose text is empty; a null url's host is the empty name. Repeated rows and null ids are kept; an empty table gives an empty result; other columns are ignored. Templates go to the pages by broadcast where there are few, else by a join on the host whose hot keys Spark splits.
+    Null html counts as empty, whose text is empty; a null url's host is the empty name. Repeated rows and null ids are kept; an empty table gives an empty result; texts are read whole, however long; other columns, whatever their names, are ignored. Templates go to the pages by broadcast where they are small, else by a join on the host whose hot keys Spark splits. Without `template` pages are read by their elements' names alone.
     """
-    found = materialise(templates(pages, least), "templates")
+    found = materialise(templates(pages, least) if template else templates(pages.limit(0), least), "templates")
     common = found.where(F.col("host") == EVERYWHERE).first()
-    common = tuple(set(common[c] or []) for c in ("frame", "content", "own")) if common else (set(), set(), set())
+    common = _read(common["frame"], common["content"], common["links"], common["own"]) if common else (set(), "", set(), set())
     own = found.where(F.col("host") != EVERYWHERE).withColumnRenamed("host", "_host")
-    own = F.broadcast(own) if fits(own, broadcast_hosts) else own
-    name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = pages.select("page_id", "url", "html", name.alias("_name")).join(own, F.col("_name") == F.col("_host"), "left").select("page_id", "url", "html", "_host", "frame", "content", "own")
+    own = F.broadcast(own) if fits(found, broadcast_hosts) else own
+    joined = pages.select("page_id", "url", "html", _host(F.col("url")).alias("_name")).join(own, F.col("_name") == F.col("_host"), "left").select("page_id", "url", "html", "_host", "frame", "content", "links", "own")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {None: common}
         for b in batches:
             out = []
-            for raw, name, *rows in zip(b["html"], b["_host"], b["frame"], b["content"], b["own"], strict=True):
+            for raw, name, *rows in zip(b["html"], b["_host"], b["frame"], b["content"], b["links"], b["own"], strict=True):
                 if name not in known:
                     if len(known) > 10_000:
                         known.clear()
                         known[None] = common
-                    known[name] = tuple(map(set, rows))
+                    known[name] = _read(*rows)
                 out.append(article(parse(raw or ""), *known[name]))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out, "n_chars": [len(t) for t in out]})
 
@@ -261,5 +315,9 @@ def main_text(pages: DataFrame, least: int = 4, broadcast_hosts: int = 50_000) -
     return joined.mapInPandas(run, f"page_id {ids}, url string, text string, n_chars long")
 
 
+def _read(frame, content: str, links, own) -> tuple[set[str], str, set[str], set[str]]:
+    return set(frame), content, set(links), set(own)
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))

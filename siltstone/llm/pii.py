@@ -132,13 +132,13 @@ def _words(text: Column) -> Column:
 
 
 def disclosing(docs: DataFrame, found: DataFrame, support: int = 2, share: float = 0.6, broadcast_rows: int = 500_000) -> DataFrame:
-    """(entity, term): terms that disclose an entity. Counts are of documents, over the whole corpus and whole texts; terms have three letters or more and are no numbers. Entities of fewer than `support` different texts can have no such term and go before their texts are read. Of the words of all documents only those met with entities are counted."""
-    holders = found.where(" or ".join(f"size({k}) > 0" for k in PATTERNS)).groupBy("key").agg(F.countDistinct("doc_id").alias("copies"), F.first(_held()).alias("held")).select("key", "copies", F.explode("held").alias("entity"))
+    """(entity, term): terms that disclose an entity. Counts are of rows, repeated ones and those without an id included, over the whole corpus and whole texts; terms have three letters or more and are no numbers. Entities of fewer than `support` different texts can have no such term and go before their texts are read. Of the words of all documents only those met with entities are counted."""
+    holders = found.where(" or ".join(f"size({k}) > 0" for k in PATTERNS)).groupBy("key").agg(F.count("*").alias("copies"), F.first(_held()).alias("held")).select("key", "copies", F.explode("held").alias("entity"))
     holders = materialise(holders, "holders")
     entities = materialise(holders.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"), "entities")
     small = fits(entities, broadcast_rows)
     holders = materialise(holders.join(F.broadcast(entities) if small else entities, "entity", "left_semi"), "holders")
-    keys = holders.select("key").distinct()
+    keys = materialise(holders.select("key").distinct(), "keys")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("_text")).withColumn("key", F.sha2("_text", 256)).join(F.broadcast(keys) if fits(keys, broadcast_rows) else keys, "key", "left_semi").dropDuplicates(["key"])
     terms = texts.select("key", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term")).where("length(term) >= 3 and not term rlike '^[0-9]+$'")
     both = materialise(holders.join(terms, "key").groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
@@ -158,7 +158,7 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = 2, share: float
 def personal_data(docs: DataFrame, support: int = 2, share: float = 0.6, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, key, email, ip, card, phone, term) for every row: key is a hash of the text; arrays of (start, end) in code points, end exclusive, of each kind; term holds the disclosing terms outside the others.
 
-    Null and empty texts hold nothing. Repeated rows and null ids are kept; an empty table gives an empty result; other columns are ignored. Texts are read whole.
+    Null and empty texts hold nothing. Repeated rows and null ids are kept and count as rows; an empty table gives an empty result; other columns, whatever their names, are ignored. Texts are read whole.
     """
     found = materialise(values(docs), "values")
     told = disclosing(docs, found, support, share, broadcast_rows)
@@ -169,9 +169,9 @@ def personal_data(docs: DataFrame, support: int = 2, share: float = 0.6, broadca
     texts = texts.join(F.broadcast(by_text) if small else by_text, "key")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     spoken = texts.select("key", "_text", pattern.alias("_pattern")).select("key", F.transform(located(F.col("_text"), F.col("_pattern")), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("term"))
-    spoken = spoken.groupBy("key").agg(F.first("term").alias("term"))
+    spoken = materialise(spoken.groupBy("key").agg(F.first("term").alias("term")), "spoken")
     short = lambda k: F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k)
-    joined = found.join(F.broadcast(spoken) if small else spoken, "key", "left").select("doc_id", "key", *(short(k) for k in PATTERNS), F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
+    joined = found.join(F.broadcast(spoken) if fits(spoken, broadcast_rows) else spoken, "key", "left").select("doc_id", "key", *(short(k) for k in PATTERNS), F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
     taken = F.flatten(F.array(*PATTERNS))
     free = F.filter("term", lambda t: ~F.exists(taken, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return joined.withColumn("term", free)

@@ -1,23 +1,29 @@
 """Near-duplicate documents by SimHash fingerprints, searched with vantage-point trees.
 
-The metric is the Hamming distance of 64-bit fingerprints, the radius at most a few bits. A tree over whole fingerprints alone prunes little, as distances between unlike texts crowd around 32. So the forest has one tree for each choice of bit blocks that two fingerprints within the radius must share. The upper vantage points of a tree are the zero vector and the unit vectors of its blocks: there the radius is 0, so no branch overlaps another, and the distances to them spell the blocks' bits, which are the shard's key. Below, within a shard, vantage points are fingerprints, halves are split at the median distance, and both sides of the boundary within the radius are searched again (triangle bound). Every pair within the radius meets in at least one shard, so the result is exact.
+The metric is the Hamming distance of 64-bit fingerprints, the radius at most a few bits. A shard is a vantage-point tree: vantage points are its fingerprints, the others are split at the median distance, and what lies within the radius of that boundary on either side is searched against what lies there on the other (the triangle bound prunes the rest).
+
+Shards can't be cut by distance from vantage points as well: distances between unlike texts crowd around 32 with a deviation of 4, so that every cut in two would carry half of the rows, those within 4 bits of the boundary, to both sides, and cutting 250,000 fingerprints into shards of 1000 would copy each some 400 times. So fingerprints are dealt to shards by bits instead: two that differ in `radius` bits at most agree in one of any radius + 1 blocks (or in a choice of several of more blocks), and a fingerprint goes to one shard for each. Every pair within the radius meets in at least one shard, so the result is exact.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import shingles
 from siltstone.llm.common import components, fits, materialise, table
 
-LEAF = 192
+LEAF = 24
+#: Fingerprints in a shard, about: what one tree holds.
+SHARD = 1024
 
 
 def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
@@ -41,15 +47,20 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, key, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "fp": fp.view(np.int64)})
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {ids}, fp long")
+    return docs.select("doc_id", "text", _key(docs).alias("key")).mapInPandas(run, f"doc_id {ids}, key string, fp long")
+
+
+def _key(docs: DataFrame) -> Column:
+    """What tells texts apart."""
+    return F.md5(F.coalesce(docs["text"], F.lit("")))
 
 
 def _marks(docs: DataFrame, words: int) -> DataFrame:
@@ -64,10 +75,11 @@ def _marks(docs: DataFrame, words: int) -> DataFrame:
                 rows.append((np.uint64(voted(every)).view(np.int64), shingles.set_hash(own), len(own), shingles.bands(own) if len(own) else []))
             out = pd.DataFrame(rows, columns=["fp", "set", "n", "bands"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
+            out.insert(1, "key", b["key"].to_numpy())
             yield out
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {ids}, fp long, set long, n long, bands array<long>")
+    return docs.select("doc_id", "text", _key(docs).alias("key")).mapInPandas(run, f"doc_id {ids}, key string, fp long, set long, n long, bands array<long>")
 
 
 def _held(docs: DataFrame, words: int):
@@ -82,18 +94,17 @@ def _held(docs: DataFrame, words: int):
     return lambda wanted: docs.select("doc_id", "text").join(wanted, "doc_id").select("set", "text").mapInPandas(run, "set long, hashes array<long>")
 
 
-def _blocks(radius: int, count: int) -> list[tuple[int, int]]:
-    """(shift, width) of `count` blocks of the 64 bits."""
-    edge = [round(64 * i / count) for i in range(count + 1)]
-    return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
-
-
-def block_count(n: int, radius: int) -> int:
-    """Blocks for n fingerprints: keys long enough that a shard of unlike texts holds some thousands at most. Any choice is exact; more blocks mean more trees and smaller shards."""
-    count = radius + 1
-    while n >> (64 * (count - radius) // count) > 4096 and count < radius + 4:
+def _shards(n: int, radius: int) -> list[list[tuple[int, int]]]:
+    """The keys of n fingerprints, each a list of (shift, width): of every `radius` of the blocks the other blocks' first bits. Any choice is exact; longer keys mean smaller shards, of SHARD fingerprints about, and more blocks allow longer keys."""
+    bits, count = max(0, math.ceil(math.log2(max(1, n / SHARD)))), radius + 1
+    while 64 * (count - radius) // count < bits and count < radius + 4:
         count += 1
-    return count
+    edge = [round(64 * i / count) for i in range(count + 1)]
+    out = []
+    for kept in combinations(list(zip(edge, edge[1:], strict=False)), count - radius):
+        share = [bits // len(kept) + (i < bits % len(kept)) for i in range(len(kept))]
+        out.append([(a, min(w, z - a)) for (a, z), w in zip(kept, share, strict=True)])
+    return out
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -120,52 +131,61 @@ def _near(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, label: np.nd
             _merge(label, part[i], b[j])
 
 
-def _join(x: np.ndarray, a: np.ndarray, radius: int, label: np.ndarray) -> None:
-    """Links among the points a: a vantage-point tree, built and searched at once."""
-    todo = [(a, None)]
+def _join(x: np.ndarray, a: np.ndarray, radius: int, label: np.ndarray, seen: Counter | None = None) -> None:
+    """Links among the points a: a vantage-point tree, built and searched at once. seen counts inner nodes, leaves, points compared in leaves, and pairs that the bound pruned."""
+    seen, todo = Counter() if seen is None else seen, [(a, None)]
+
+    def leaf(a: np.ndarray, b: np.ndarray | None) -> None:
+        seen["leaves"] += 1
+        seen["compared"] += len(a) * (len(a) - 1) // 2 if b is None else len(a) * len(b)
+        _near(x, a, a if b is None else b, radius, label, b is None)
+
     while todo:
         a, b = todo.pop()
-        if b is None and len(a) <= LEAF:
-            _near(x, a, a, radius, label, True)
+        if not len(a) or b is not None and not len(b):
             continue
-        if b is not None and (min(len(a), len(b)) <= 8 or len(a) + len(b) <= 2 * LEAF):
-            if len(a) and len(b):
-                _near(x, a, b, radius, label, False)
+        if len(a) + (0 if b is None else len(b)) <= LEAF:
+            leaf(a, b)
             continue
         vantage = x[a[len(a) // 2]]
         da = np.bitwise_count(x[a] ^ vantage).astype(np.int16)
         db = None if b is None else np.bitwise_count(x[b] ^ vantage).astype(np.int16)
         every = da if b is None else np.concatenate([da, db])
-        m = np.int16(np.median(every))
-        if m >= every.max():  # all on one side: the tree ends here
-            m = every.max() - 1
-            if m < every.min():
-                _near(x, a, a if b is None else b, radius, label, b is None)
-                continue
+        m = min(np.int16(np.median(every)), every.max() - 1)
+        if m < every.min():  # all at one distance: nothing to split
+            leaf(a, b)
+            continue
         inner, outer = lambda d: (d <= m) & (d > m - radius), lambda d: (d > m) & (d <= m + radius)
         if b is None:
             sides = [(a[da <= m], None), (a[da > m], None), (a[inner(da)], a[outer(da)])]
+            total = len(a) * (len(a) - 1) // 2
         else:
             sides = [(a[da <= m], b[db <= m]), (a[da > m], b[db > m]), (a[inner(da)], b[outer(db)]), (a[outer(da)], b[inner(db)])]
-        if any(len(p) + (0 if q is None else len(q)) >= len(every) for p, q in sides):  # nothing pruned: distances crowd
-            _near(x, a, a if b is None else b, radius, label, b is None)
+            total = len(a) * len(b)
+        left = sum(len(p) * (len(p) - 1) // 2 if q is None else len(p) * len(q) for p, q in sides)
+        seen["nodes"] += 1
+        seen["pruned"] += total - left
+        if b is not None and left * 4 > total * 3:  # the boundary holds most of both sides: comparing costs less than splitting on
+            leaf(a, b)
+            seen["pruned"] -= total - left
             continue
         todo += sides
 
 
-def shard_links(keys: np.ndarray, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(keys: np.ndarray, x: np.ndarray, radius: int, seen: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
     """keys: sorted shard keys; x: fingerprints. Links that span each shard's groups: pairs (u, v) of fingerprints, fewer than rows."""
     label = np.arange(len(x))
     edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     size = np.diff(edge)
-    for d in range(1, 49):  # small shards, all at once
-        i = np.flatnonzero(keys[d:] == keys[:-d]) if d < len(keys) else np.empty(0, int)
+    leaf = np.repeat(size <= LEAF, size)
+    for d in range(1, LEAF):  # shards that are one leaf, all at once
+        i = np.flatnonzero((keys[d:] == keys[:-d]) & leaf[:-d]) if d < len(keys) else np.empty(0, int)
         if not len(i):
             break
         i = i[np.bitwise_count(x[i] ^ x[i + d]) <= radius]
         _merge(label, i, i + d)
-    for k in np.flatnonzero(size > 49):
-        _join(x, np.arange(edge[k], edge[k + 1]), radius, label)
+    for k in np.flatnonzero(size > LEAF):
+        _join(x, np.arange(edge[k], edge[k + 1]), radius, label, seen)
     i = np.flatnonzero(label != np.arange(len(x)))
     return x[i], x[label[i]]
 
@@ -199,9 +219,8 @@ def _search(radius: int):
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """distinct: a written table with a column fp of distinct fingerprints. Returns links (u, v) that join whatever lies within the radius: fewer than shard members, not all pairs of a group."""
-    blocks = block_count(distinct.count(), radius)
-    parts, keys = _blocks(radius, blocks), []
-    for n, kept in enumerate(combinations(parts, blocks - radius)):
+    keys = []
+    for n, kept in enumerate(_shards(distinct.count(), radius)):
         key = F.lit(n).cast("long")
         for shift, width in kept:
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
@@ -211,35 +230,48 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return rows.mapInPandas(_search(radius), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, percent: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs.
-
-    component_id is the smallest doc_id that can be reached over links of at most `radius` differing bits, the document's own included. Where percent is given, documents whose sets of shingles have a Jaccard similarity of percent or more are linked too, however far their fingerprints are apart. Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows give repeated rows; a null doc_id stays null and is not a component_id unless its whole component has none. Empty table: empty result. Columns besides doc_id and text are ignored.
-    """
+def _grouped(docs: DataFrame, words: int, radius: int, percent: int | None) -> DataFrame:
+    """(doc_id, key, fp, group, component_id) for every row of docs."""
     marks = materialise(fingerprints(docs, words) if percent is None else _marks(docs, words), "fingerprints")
     distinct = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = links(distinct.select("fp"), radius)
     if percent is not None:
         found = found.unionByName(shingles.links(marks.where("n > 0 and doc_id is not null"), _held(docs, words), percent))
-    roots = components(found)
-    linked = distinct.join(roots, distinct["fp"] == roots["node"])
+    linked = distinct.join(components(found), distinct["fp"] == F.col("node"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
-    label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marks.join(label, "fp").select("doc_id", "fp", "component_id")
+    linked = linked.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    return marks.select("doc_id", "key", "fp").join(label, "fp")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 4, broadcast_rows: int = 1_000_000, percent: int | None = 80) -> DataFrame:
-    """docs without near-duplicates, by fingerprints and by the similarity of shingle sets: of each component the row with the smallest doc_id stays, of repeated rows one. Rows with a null doc_id take no part and stay. Other columns are kept as they are."""
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, percent: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs.
+
+    component_id is the smallest doc_id that can be reached over links of at most `radius` differing bits, the document's own included. Where percent is given, documents whose sets of shingles have a Jaccard similarity of percent or more are linked too, however far their fingerprints are apart. Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows give repeated rows; a null doc_id stays null and is not a component_id unless its whole component has none. Texts are read whole, however long. Empty table: empty result. Columns besides doc_id and text are ignored.
+    """
+    return _grouped(docs, words, radius, percent).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 4, broadcast_rows: int = 200_000, percent: int | None = 80) -> DataFrame:
+    """docs without near-duplicates, by fingerprints and by the similarity of shingle sets: of each component one row stays, the one with the smallest doc_id and, where unlike texts share that id, the smallest hash of its text. Rows that share an id are judged each by its own text.
+
+    Of rows with equal id and text one stays (that with the least hash of all its columns). Null and empty texts are near-duplicates of one another. Rows with a null doc_id take no part and stay. Texts are read whole. Empty table: empty result. Other columns are kept as they are, whatever their names.
+    """
     named = docs.where("doc_id is not null")
-    found = near_duplicates(named, words, radius, percent)
-    gone = materialise(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    repeated = materialise(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
+    found = materialise(_grouped(named, words, radius, percent).select("doc_id", "key", "group"), "grouped")
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key"))
+    gone = materialise(found.join(first, "group").where(other).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "gone")
+    repeated = materialise(found.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("_again"), F.col("key").alias("_again_key")), "repeated")
+    rows = named.select(F.col("doc_id").alias("_id"), _key(named).alias("_key"), F.struct(*(named[c] for c in docs.columns)).alias("_row"))
     if not repeated.isEmpty():
-        again = named["doc_id"] == repeated["_again"]
-        named = named.join(repeated, again, "left_anti").unionByName(named.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
+        again = (F.col("_id") == F.col("_again")) & (F.col("_key") == F.col("_again_key"))
+        order = F.xxhash64(*(F.col("_row")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+        single = rows.join(repeated, again, "left_semi").groupBy("_id", "_key").agg(F.min_by("_row", order).alias("_row"))
+        rows = rows.join(repeated, again, "left_anti").unionByName(single)
     small = F.broadcast(gone) if fits(gone, broadcast_rows) else gone
-    return named.join(small, named["doc_id"] == small["_gone"], "left_anti").unionByName(docs.where("doc_id is null"))
+    rows = rows.join(small, (F.col("_id") == F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

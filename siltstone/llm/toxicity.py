@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segments.
 
-Tokens score the log-odds of toxic against other labelled documents, under an informative Dirichlet prior. A word that isn't telling itself scores as its most telling run of characters, which serves inflected and unseen words. A linear-time scan finds every maximal-scoring segment of a document; the segments beyond what clean text yields by chance, by an extreme-value (Gumbel) fit, add up to the document's score.
+Tokens score the log-odds of toxic against other labelled documents, both smoothed by an informative Dirichlet prior: pseudo-counts in proportion to a token's count in all labelled documents together. A word that isn't telling itself scores as its most telling run of characters, which serves inflected and unseen words. A linear-time scan finds every maximal-scoring segment of a document; the segments beyond what clean text yields by chance, by an extreme-value (Gumbel) fit, add up to the document's score.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialise, remainder, table
@@ -75,9 +75,11 @@ class Scorer:
         if word not in self.known:
             if len(self.known) >= KEPT:
                 self.known.clear()
-            ranks = self.model.ranks
-            best = max((f for f in set(features(word)) if f in ranks), key=lambda f: (ranks[f], f), default=None)
-            self.known[word] = None if best is None else self.model.weights[best]
+            ranks, whole = self.model.ranks, f"={word}"
+            found = [f for k in RUNS for i in range(len(word) - k + 1) if (f := word[i : i + k]) in ranks]
+            if whole in ranks:
+                found.append(whole)
+            self.known[word] = self.model.weights[max(found, key=lambda f: (ranks[f], f))] if found else None
         return self.known[word]
 
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
@@ -110,7 +112,7 @@ def squash(v: float, model: Model) -> float:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(token, d0, d1, t0, t1): documents and occurrences, five a document at most, of each kind."""
+    """(token, d0, d1, t0, t1): documents and occurrences of each kind."""
     sums: dict[str, list[int]] = {}
     for b in batches:
         for text, toxic in zip(b["text"], b["toxic"], strict=True):
@@ -121,7 +123,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f, n in found.items():
                 s = sums.setdefault(f, [0, 0, 0, 0])
                 s[toxic] += 1
-                s[2 + toxic] += min(n, 5)
+                s[2 + toxic] += n
             if len(sums) > 200_000:
                 yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["token", "d0", "d1", "t0", "t1"])
                 sums.clear()
@@ -129,10 +131,13 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["token", "d0", "d1", "t0", "t1"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: float = 50.0, least_z: float = 5.0, max_tokens: int = 5_000) -> Model:
-    """Learns from the labelled rows given (doc_id, toxic 0 or 1; other labels and nulls are left out). The fit reads a bounded sample of them: the max_docs whose hashed id is least. Tokens count once a document. At most max_tokens telling tokens, those of largest |z|, are kept. Without rows of both kinds the model scores everything alike, below 0.7."""
-    wanted = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_docs).dropDuplicates(["doc_id"])
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: float = 0.02, least_z: float = 5.0, least_docs: int = 3, max_tokens: int = 50_000) -> Model:
+    """Learns from the labelled rows given (doc_id, toxic 0 or 1; other labels and nulls are left out, and so are ids labelled both ways). The fit reads a bounded sample of them: the max_docs whose hashed id is least.
+
+    prior: the Dirichlet prior's mass, as a share of all counts; a token's pseudo-count is its own share of that. Tokens of least_docs documents or more whose log-odds over documents is least_z of its deviations from 0 or more are telling; at most max_tokens of them, those of largest |z|, are kept. A telling token's score is its smoothed log-odds over occurrences. Without rows of both kinds the model scores everything alike, below 0.7.
+    """
+    wanted = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("_most")).where("toxic = _most")
+    wanted = wanted.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     rows = materialise(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"), "labelled")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     d0, d1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -140,15 +145,19 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: flo
     if not d0 or not d1:
         return model
     counts = rows.mapInPandas(_counts, "token string, d0 long, d1 long, t0 long, t1 long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "t0", "t1")))
-    odds = lambda n, d, alpha: F.log((F.col(n) + alpha) / (d + prior + 1 - F.col(n) - alpha))
-    alpha = F.lit(prior) * (F.col("d0") + F.col("d1") + 1) / (d0 + d1 + 2)
-    z = (odds("d1", d1, alpha) - odds("d0", d0, alpha)) / F.sqrt(1 / (F.col("d1") + alpha) + 1 / (F.col("d0") + alpha))
     size = rows.mapInPandas(lambda it: (pd.DataFrame({"toxic": b["toxic"], "n": [len(TOKEN.findall(t or "")) for t in b["text"]]}) for b in it), "toxic int, n long")
     n = {r["toxic"]: r["n"] or 0 for r in size.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     n0, n1 = n.get(0, 0) + 1, n.get(1, 0) + 1
-    small = F.lit(0.5)
-    weight = F.log((F.col("t1") + small) / (n1 + 1)) - F.log((F.col("t0") + small) / (n0 + 1))
-    scored = counts.where("d0 + d1 >= 3").withColumn("z", z).withColumn("w", weight)
+
+    def log_odds(k: str, all0: int, all1: int) -> tuple[Column, Column]:
+        """Smoothed log-odds of kind 1 against kind 0, and its deviation, from counts k0 and k1 of a token in all0 and all1."""
+        alpha, mass = F.lit(prior) * (F.col(f"{k}0") + F.col(f"{k}1")), prior * (all0 + all1)
+        one, none = F.col(f"{k}1") + alpha, F.col(f"{k}0") + alpha
+        odds = F.log(one / (all1 + mass - one + 1)) - F.log(none / (all0 + mass - none + 1))
+        return odds, F.sqrt(1 / one + 1 / none)
+
+    (by_docs, deviation), (weight, _) = log_odds("d", d0, d1), log_odds("t", n0, n1)
+    scored = counts.where(F.col("d0") + F.col("d1") >= least_docs).withColumn("z", by_docs / deviation).withColumn("w", weight)
     kept = scored.where((F.abs("z") >= least_z) & (F.signum("z") == F.signum("w"))).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens).collect()
     model.weights = {r["token"]: float(r["w"]) for r in kept}
     model.ranks = {r["token"]: abs(float(r["z"])) for r in kept}
@@ -169,17 +178,19 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: flo
             got = [raw.passages(t or "") for t in b["text"]]
             yield pd.DataFrame({"toxic": b["toxic"], "n": [n for n, _ in got], "parts": [[s for _, _, s in f] for _, f in got]})
 
-    seen = rows.mapInPandas(measure, "toxic int, n long, parts array<double>").toPandas()  # max_docs rows at most
-    best = np.array([max(p, default=-math.log(n + 1)) for p, n in zip(seen["parts"], seen["n"], strict=True)])
-    toxic = seen["toxic"].to_numpy() == 1
+    seen = materialise(rows.mapInPandas(measure, "toxic int, n long, parts array<double>"), "segments")
+    measured = seen.select("toxic", F.coalesce(F.array_max("parts"), -F.log(F.col("n") + 1)).alias("best")).toPandas()  # two numbers for each of max_docs rows
+    best, toxic = measured["best"].to_numpy(), measured["toxic"].to_numpy() == 1
     clean = best[~toxic]
     middle = clean[clean <= np.quantile(clean, 0.98)]  # mislabelled rows aside
     model.spread = max(0.5, float(np.std(middle)) * math.sqrt(6) / math.pi)
     model.place = float(np.mean(middle)) - 0.5772 * model.spread
     model.place += 4 * model.spread  # so that chance exceeds 0 in 2 of 100 clean documents
-    def again(parts, n):
-        return value([(0, 0, (s - model.place) / model.spread) for s in parts]) if len(parts) else -9.0
-    v = np.array([again(p, n) for p, n in zip(seen["parts"], seen["n"], strict=True)])
+    parts = F.transform("parts", lambda s: (s - model.place) / model.spread)
+    beyond = F.aggregate(F.filter(parts, lambda s: s > 0), F.lit(0.0), lambda s, x: s + x)
+    v = F.when(beyond > 0, F.least(beyond, F.lit(99.0))).otherwise(F.greatest(F.coalesce(F.array_max(parts), F.lit(-9.0)), F.lit(-9.0)))
+    measured = seen.select("toxic", v.alias("v")).toPandas()
+    v, toxic = measured["v"].to_numpy(), measured["toxic"].to_numpy() == 1
     order = np.argsort(-v, kind="stable")
     hit = np.cumsum(toxic[order])
     ends = np.flatnonzero(np.r_[v[order][1:] != v[order][:-1], True])
@@ -194,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: flo
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, predicted, passages) for every row: the score of its whole text in 0 to 1, predicted 1 if it is 0.7 or more, and the significant passages (start, end, value) in code points. Null texts count as empty; an empty text scores as one without telling tokens. Repeated rows and null ids are kept; an empty table gives an empty result; other columns are ignored."""
+    """(doc_id, score, predicted, passages) for every row: the score of its whole text in 0 to 1, predicted 1 if it is 0.7 or more, and the significant passages (start, end, value) in code points. Null texts count as empty; an empty text scores as one without telling tokens. Repeated rows and null ids are kept; an empty table gives an empty result; texts are read whole, however long; other columns, whatever their names, are ignored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
@@ -216,7 +227,7 @@ def learned(docs: DataFrame, labels: DataFrame, held_out: int = 1) -> Model:
 
 
 def rejected(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that the model rejects; all columns stay."""
+    """docs without the rows that the model rejects; all columns stay, whatever their names. Null and empty texts, rows with null ids and repeated rows are judged by their text like any other; empty table: empty result."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)

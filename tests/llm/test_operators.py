@@ -98,6 +98,63 @@ def test_main_text_of_all_pages(spark, sf_dir):
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
+def unnamed_pages():
+    """Two hosts whose elements' names tell nothing: the article is where text varies most."""
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
+    out, want = [], {}
+    for h, (top, hold) in enumerate([("xa", "xg"), ("qc", "qi")]):
+        for n in range(9):
+            parts = [say(int(rng.integers(12, 40))) for _ in range(3 + n % 3)]
+            body = "".join(f"<p>{t}</p>" for t in parts)
+            links = "".join(f'<li><a href="/{say(1)}">{say(2)}</a></li>' for _ in range(3))
+            html_ = f'<html><body><div class="{top}">Welcome to the place</div><div class="{top}b"><ul>{links}</ul></div><div class="xb">{say(2)}</div><div class="{hold}"><div class="xe">Print this text</div>{body}</div><div class="xh">All about us</div></body></html>'
+            out.append((100 * h + n, f"http://u{h}.example.com/{n}", html_))
+            want[100 * h + n] = "\n".join(parts)
+        out += [(100 * h + 50, f"http://u{h}.example.com/odd", "<p>odd page"), (100 * h + 51, f"http://u{h}.example.com/none", None)]
+        want |= {100 * h + 50: "odd page", 100 * h + 51: ""}
+    return out, want
+
+
+def test_templates_without_telling_names(spark):
+    pages, want = unnamed_pages()
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert got == want
+    off = {r["page_id"]: r["text"] for r in html.main_text(df, template=False).collect()}
+    assert all("Welcome to the place" in off[i] and off[i] != want[i] for i in range(9))
+
+
+def test_templates_against_whole_vectors(spark):
+    pages, _ = unnamed_pages()
+    got = {r["host"]: r for r in html.templates(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for h in ("u0.example.com", "u1.example.com"):
+        parsed = [html.parse(raw or "") for _, url, raw in pages if html.host(url) == h]
+        parsed = [p for p in parsed if p.paths or p.blocks]
+        counts = [Counter([*p.paths, *map(html.token, p.blocks)]) for p in parsed]
+        vectors = {}
+        for t in set().union(*counts):
+            vectors.setdefault(tuple(c[t] for c in counts), []).append(t)
+        frame = sorted(t for v, ts in vectors.items() if len(ts) > 1 and 2 * sum(x > 0 for x in v) >= len(v) and max(v) == 1 for t in ts)
+        assert sorted(got[h]["frame"]) == [t for t in frame if "\t" not in t] and sorted(got[h]["own"]) == [t for t in frame if "\t" in t]
+        assert len(got[h]["own"]) == 3 and got[h]["content"].startswith("html/body/div.") and got[h]["content"] in got[h]["frame"]
+
+
+def test_names_inside_an_article(spark):
+    one = '<html><body><article><h1>T</h1><p class="search-results share">kept text here</p><div class="a b c d e f comments"><p>a reader says</p></div></article></body></html>'
+    got = html.main_text(spark.createDataFrame([(1, "http://a.example.com/", one)], "page_id long, url string, html string")).first()
+    assert got["text"] == "T\nkept text here"
+
+
+def test_main_text_odd_rows(spark):
+    body = "<html><body><article><p>the text of this page</p></article></body></html>"
+    rows_ = [(1, "http://a.example.com/1", body, "f", "o"), (1, "http://a.example.com/1", body, "f", "o"), (None, None, body, None, None), (2, None, "<p>" + "w " * 200_000, "x", "y"), (3, "http://a.example.com/3", " ", "x", "y"), (4, "http://a.example.com/4", "<div>" * 3000 + "deep", "x", "y")]
+    df = spark.createDataFrame(rows_, "page_id long, url string, html string, frame string, own string")
+    got = Counter((r["page_id"], r["n_chars"]) for r in html.main_text(df).collect())
+    assert got == Counter({(1, 21): 2, (None, 21): 1, (2, 399_999): 1, (3, 0): 1, (4, 4): 1})
+    assert html.main_text(df.limit(0)).count() == 0
+
+
 # ---- 3
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -153,6 +210,13 @@ def test_disclosing_terms(spark):
     assert clean[41] == "Then [TERM] said [EMAIL] is right; [TERM] again" and clean[3] == texts[3]
 
 
+def test_values_in_rows_without_ids(spark):
+    texts = [f"filler{i} words of doc {i} " * 3 for i in range(40)] + ["Zebulon at zq@corp.example.com", "so Zebulon at zq@corp.example.com said"]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = pii.personal_data(docs).collect()
+    assert len(got) == 42 and sum(len(r["term"]) > 0 for r in got) == 2
+
+
 def test_terms_disclose_values_of_one_text(spark):
     texts = [f"filler{i} words of doc {i} " * 3 for i in range(40)]
     gap = "words of doc " * 60
@@ -262,6 +326,26 @@ def test_tree_search_is_exact(n):
     assert len(set(zip(groups, label, strict=True))) == len(set(groups)) == len(set(label))
 
 
+def test_trees_prune(spark, sf_dir):
+    x = np.unique(simhash.fingerprints(table(spark, sf_dir.replace("sf0.001", "sf0.1"), "documents")).toPandas()["fp"].to_numpy()).view(np.uint64)
+    seen = Counter()
+    for kept in simhash._shards(len(x), 4):
+        key = np.zeros(len(x), dtype=np.int64)
+        for shift, width in kept:
+            key = (key << width) | ((x >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        simhash.shard_links(key[order], x[order], 4, seen)
+    assert seen["nodes"] > 100 and seen["leaves"] > seen["nodes"] and seen["pruned"] > 2 * seen["compared"]
+
+
+def test_keep_one_judges_rows(spark):
+    a, b, d = "one two three four five six seven eight", "quite another text with words of its own kind here", "yet a third one of no likeness to any of those above"
+    docs = spark.createDataFrame([(1, a, 1, "p"), (3, a, 2, "q"), (3, b, 3, "r"), (4, b, 4, "s"), (5, d, 5, "t"), (5, d, 5, "t"), (5, d, 6, "u"), (None, a, 7, "v")], "doc_id long, text string, _gone long, _key string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, a), (1, a), (3, b), (5, d)]
+
+
 def test_simhash_odd_rows(spark):
     got = simhash.near_duplicates(odd(spark))
     assert got.count() == odd(spark).count()
@@ -383,6 +467,52 @@ def test_decontamination(spark):
     assert decontam.contamination(d.limit(0), b).count() == 0 and decontam.clean(d, b.limit(0)).count() == d.count()
 
 
+def brute_places(pattern, text, k, low=0):
+    """Greedy by the whole edit matrix."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern):
+        row = _next(row, c, text, i)
+    edits = min(row)
+    if edits > k or len(text) < len(pattern) - k:
+        return []
+    end, best = row.index(edits), None
+    for start in range(end, max(-1, end - len(pattern) - k - 1), -1):  # the latest start of least distance
+        d = list(range(end - start + 1))
+        for i, c in enumerate(pattern):
+            d = _next(d, c, text[start:end], i)
+        if best is None or d[-1] < best[0]:
+            best = (d[-1], start)
+    start = best[1]
+    return [*brute_places(pattern, text[:start], k, low), (edits, low + start, low + end), *brute_places(pattern, text[end:], k, low + end)]
+
+
+def _next(d, c, text, i):
+    out = [i + 1]
+    for j, t in enumerate(text):
+        out.append(min(d[j] + (t != c), d[j + 1] + 1, out[j] + 1))
+    return out
+
+
+def test_every_occurrence_is_found():
+    rng = np.random.default_rng(9)
+    say = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 6, rng.integers(2, 7))) for _ in range(n))
+    for _ in range(2):
+        items = [say(20), say(4), say(5), say(8), "aa bb aa bb aa bb aa"]
+        ix = decontam.index([(i, t) for i, t in enumerate(items) if len(t) >= decontam.Q], 0.1)
+        texts = []
+        for _ in range(4):
+            t = say(12)
+            for n in rng.integers(0, len(items), 4):
+                p = list(items[n])
+                for _ in range(rng.integers(0, 2)):
+                    p[rng.integers(0, len(p))] = "z"
+                t += " " + " ".join(["".join(p)] * int(rng.integers(1, 4))) + " " + say(int(rng.integers(0, 9)))
+            texts.append(decontam.normal(t))
+        got = sorted(decontam.occurrences(texts, ix))
+        want = sorted((n, i, x, y, e) for n, t in enumerate(texts) for i, (_, p) in enumerate([x for x in enumerate(items) if len(x[1]) >= decontam.Q]) for e, x, y in brute_places(p, t, int(ix.k[i])))
+        assert got == want
+
+
 def test_alignment():
     p = lambda s: np.array([ord(c) for c in s])
     assert decontam.align(p("hello world"), p("xxhello wrldyy"), 2) == (1, 2, 12)
