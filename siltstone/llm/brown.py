@@ -1,6 +1,8 @@
 """Language-model scoring with Brown class-based n-grams.
 
-The commonest words ("units") are put into classes by exchange clustering on the mutual information of adjacent classes; all other words fall into classes by their shape (their last character and length). A text's probability is the product of smoothed class transitions and word emissions. Word counts, class transitions and emissions cover all training rows.
+The commonest words ("units") are put into classes by exchange clustering on the mutual information of adjacent classes. Each of the words that follow in number ("joined") then makes one step of the same exchange against these classes: it goes to the one with which its neighbours, counted over the whole corpus, have most mutual information. All other words, and those never seen in training, fall into classes by their shape (their last character and length). A text's probability is the product of smoothed class transitions and word emissions. Word counts, neighbours, transitions and emissions cover all training rows.
+
+Texts are read and looked up once; what follows works on their words' numbers, which are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,13 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialise, remainder, table
 
 SHAPES = 12
 FLUSH = 300_000
+#: Steps of the scores by which words join classes, in natural logarithms.
+STEP = 1 / 16
 
 
 def tokens(text: str | None) -> list[str]:
@@ -65,8 +70,8 @@ def commonest(table_: DataFrame, most: int) -> dict[str, int]:
     return dict(sorted(zip(found["token"], (int(c) for c in found["c"]), strict=True), key=lambda x: (-x[1], x[0])))
 
 
-def exchange(pairs: np.ndarray, fixed: np.ndarray, classes: int, sweeps: int = 6) -> np.ndarray:
-    """Classes of units by exchange clustering. pairs[a, b]: how often unit b follows unit a. fixed: a class of its own, numbered from `classes`, for each of the last units, -1 for those to be clustered, the commonest first. Every unit in turn moves to the class that raises the mutual information of adjacent classes most, until a sweep moves none."""
+def exchange(pairs: np.ndarray, fixed: np.ndarray, classes: int, sweeps: int = 20) -> np.ndarray:
+    """Classes of units by exchange clustering. pairs[a, b]: how often unit b follows unit a. fixed: a class of its own, numbered from `classes`, for each of the last units, -1 for those to be clustered, the commonest first. Every unit in turn moves to the class that raises the mutual information of adjacent classes most, until a sweep moves none, or for so many sweeps."""
     free = np.flatnonzero(fixed < 0)
     every = classes + int(max(fixed.max(initial=-1) - classes + 1, 0))
     label = np.where(fixed < 0, 0, fixed)
@@ -110,65 +115,168 @@ def exchange(pairs: np.ndarray, fixed: np.ndarray, classes: int, sweeps: int = 6
 
 
 @dataclass
-class Model:
-    """head: word -> (class, count); moves[a, b]: log10 P(class b after class a); mass: log10 of each class's emission denominator; whole: classes without unseen words."""
+class Vocabulary:
+    """words: the commonest, in order; c: their counts; shapes: their shapes; n, v, ends: training tokens, distinct tokens, and end tokens among them."""
 
-    head: dict[str, tuple[int, int]]
-    moves: np.ndarray
-    mass: np.ndarray
-    units: int
+    words: list[str]
+    c: np.ndarray
+    shapes: np.ndarray
     n: int
     v: int
     ends: int
 
 
-def train(docs: DataFrame, units: int = 1000, classes: int = 64, head: int = 250_000, prior: float = 50.0) -> tuple[Model, DataFrame]:
-    """The model, and the written table (token, c) of all words' counts. units, classes and head bound what the driver holds: the commonest words, of which the first `units` are clustered, and counts of adjacent units. Everything is counted over all of docs."""
+@dataclass
+class Model:
+    """of: class of each word of the vocabulary; moves[a, b]: log10 P(class b after class a); mass: log10 of each class's emission denominator; classes: how many are no shapes; joined: how many of the words are in those, the commonest."""
+
+    vocabulary: Vocabulary
+    of: np.ndarray
+    moves: np.ndarray
+    mass: np.ndarray
+    classes: int
+    joined: int
+
+    @property
+    def n(self) -> int:
+        return self.vocabulary.n
+
+    @property
+    def v(self) -> int:
+        return self.vocabulary.v
+
+
+def vocabulary(docs: DataFrame, head: int = 250_000) -> tuple[Vocabulary, DataFrame]:
+    """The `head` commonest words of docs, which are what the driver holds, and the written table (token, c) of all words' counts."""
     words = materialise(counts(docs), "counts")
     ends = docs.count()
     v, n = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     known = commonest(words, head)
-    unit = {w: i for i, w in enumerate([*known][:units])}
-    first, size = len(unit), len(unit) + SHAPES + 1  # units, then shapes, then the end token
-    end = size - 1
+    return Vocabulary([*known], np.array([*known.values()], dtype=np.int64), np.array([shape(w) for w in known], dtype=np.int64), int(n) + ends, int(v) + (ends > 0), ends), words
 
-    def adjacent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = np.zeros(size * size, dtype=np.int64)
-        get = unit.get
-        other: dict[str, int] = {}
+
+def encode(docs: DataFrame, known: Vocabulary, *also: Column) -> DataFrame:
+    """A written table (_row, doc_id, ids, rest) and the columns also, a row for each of docs: _row tells rows apart; ids are the text's words as numbers, from 0 those of the vocabulary, -1 - shape for others; rest has the others, each with how often it occurs. Null texts count as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(known.words)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get, other = shared.value.get, {}
         for b in batches:
+            ids, rest = [], []
             for t in b["text"]:
-                ids = [end]
-                for w in tokens(t):
-                    i = get(w)
-                    if i is None:
-                        i = other.get(w)
-                        if i is None:
-                            if len(other) > FLUSH:
-                                other.clear()
-                            i = other[w] = first + shape(w)
-                    ids.append(i)
-                ids.append(end)
-                x = np.array(ids)
-                np.add.at(got, x[:-1] * size + x[1:], 1)
+                w = tokens(t)
+                x = [*map(get, w)]
+                left: Counter = Counter()
+                if None in x:
+                    for i, n in enumerate(x):
+                        if n is None:
+                            left[w[i]] += 1
+                            n = other.get(w[i])
+                            if n is None:
+                                if len(other) > FLUSH:
+                                    other.clear()
+                                n = other[w[i]] = -1 - shape(w[i])
+                            x[i] = n
+                ids.append(np.array(x, dtype=np.int32))
+                rest.append([{"token": w, "tf": n} for w, n in left.items()])
+            yield b.drop(columns="text").assign(ids=ids, rest=rest)
+
+    rows = docs.select("doc_id", *also, "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    coded = rows.mapInPandas(run, f"{kinds}, ids array<int>, rest array<struct<token:string,tf:int>>")
+    return materialise(coded.withColumn("_row", F.monotonically_increasing_id()), "coded")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All words' numbers of a batch's texts, and where each text begins, with the end."""
+    column = batch.column("ids")
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy().astype(np.int64), offsets - offsets[0]
+
+
+def _walk(classes: np.ndarray, edges: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes before and after each word; end lies before the first and after the last of a text."""
+    before, after = np.full(len(classes), end), np.full(len(classes), end)
+    before[1:], after[:-1] = classes[:-1], classes[1:]
+    some = edges[:-1] < edges[1:]
+    before[edges[:-1][some]] = end
+    after[edges[1:][some] - 1] = end
+    return before, after
+
+
+def _adjacent(coded: DataFrame, of: np.ndarray, shapes: int) -> np.ndarray:
+    """How often class b follows class a, the end token's class, the last, included. of: class of each word of the vocabulary; shapes: the first shape's class."""
+    size, end = shapes + SHAPES + 1, shapes + SHAPES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(size * size, dtype=np.int64)
+        for b in batches:
+            ids, edges = _flat(b)
+            x = np.where(ids >= 0, of[ids], shapes - 1 - ids) if len(of) else shapes - 1 - ids
+            before, after = _walk(x, edges, end)
+            got += np.bincount(before * size + x, minlength=size * size)
+            last = after == end
+            got += np.bincount(x[last] * size + end, minlength=size * size)
+            got[end * size + end] += int((edges[:-1] == edges[1:]).sum())
         i = np.flatnonzero(got)
-        yield pd.DataFrame({"pair": i, "n": got[i]})
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(got[i])], names=["pair", "n"])
 
-    found = docs.select("text").mapInPandas(adjacent, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # size^2 rows at most
+    found = coded.select("ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # size^2 rows at most
     pairs = np.zeros(size * size)
-    pairs[found["pair"].to_numpy(dtype=np.int64)] = found["n"].to_numpy()
-    pairs = pairs.reshape(size, size)
-    fixed = np.r_[np.full(first, -1), classes + np.arange(SHAPES + 1)]
-    label = exchange(pairs, fixed, classes)
-    every = classes + SHAPES + 1
-    hot = np.zeros((size, every))
-    hot[np.arange(size), label] = 1
-    joint = hot.T @ pairs @ hot
+    for r in found:
+        pairs[r["pair"]] = r["n"]
+    return pairs.reshape(size, size)
+
+
+def join_classes(coded: DataFrame, known: Vocabulary, of: np.ndarray, joint: np.ndarray, classes: int, units: int, joined: int) -> np.ndarray:
+    """of, with classes for the words from `units` to `joined`: the class k with the greatest sum over a word's neighbours c of ln n(c, k) / n(k), and of ln n(k, c) / n(k) for those that follow, n being joint, smoothed by a half. Only sums leave a task, a row for each word met there."""
+    every, end = len(joint), len(joint) - 1
+    smooth = joint + 0.5
+    left = np.rint(np.log(smooth[:, :classes] / smooth.sum(0)[:classes]) / STEP).astype(np.int64)
+    right = np.rint((np.log(smooth[:classes, :] / smooth.sum(1)[:classes, None]) / STEP).T).astype(np.int64)
+    many = joined - units
+    names = [f"s{k}" for k in range(classes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((many, classes), dtype=np.int64)
+        for b in batches:
+            ids, edges = _flat(b)
+            x = np.where(ids >= 0, of[ids], classes - 1 - ids)
+            before, after = _walk(x, edges, end)
+            at = np.flatnonzero((ids >= units) & (ids < joined))
+            at = at[np.argsort(ids[at], kind="stable")]
+            for lo in range(0, len(at), 65_536):
+                part = at[lo : lo + 65_536]
+                word, first = np.unique(ids[part], return_index=True)
+                sums[word - units] += np.add.reduceat(left[before[part]] + right[after[part]], first, axis=0)
+        i = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(i), *(pa.array(sums[i, k]) for k in range(classes))], names=["word", *names])
+
+    found = coded.select("ids").mapInArrow(run, ", ".join(["word long", *(f"{s} long" for s in names)])).groupBy("word").agg(*(F.sum(s).alias(s) for s in names))
+    best = F.array_position(F.array(*names), F.greatest(*names)) if classes > 1 else F.lit(1)
+    of = of.copy()
+    for r in found.select("word", best.cast("int").alias("best")).collect():  # joined rows at most
+        of[units + r["word"]] = r["best"] - 1
+    return of
+
+
+def train_coded(coded: DataFrame, known: Vocabulary, words: DataFrame, units: int = 1000, classes: int = 64, joined: int = 65_536, prior: float = 50.0) -> Model:
+    """The model of encoded training rows. units: words clustered by exchange; joined: words in classes in all, of those seen more than once; both bound what the driver holds."""
+    units = min(units, len(known.words))
+    joined = max(units, min(joined, int((known.c > 1).sum())))
+    first = np.where(np.arange(len(known.words)) < units, np.arange(len(known.words)), units + known.shapes)
+    pairs = _adjacent(coded, first, units)
+    label = exchange(pairs, np.r_[np.full(units, -1), classes + np.arange(SHAPES + 1)], classes)
+    hot = np.zeros((len(label), classes + SHAPES + 1))
+    hot[np.arange(len(label)), label] = 1
+    of = classes + known.shapes
+    of[:units] = label[:units]
+    if joined > units:
+        of = join_classes(coded, known, of, hot.T @ pairs @ hot, classes, units, joined)
+    joint = _adjacent(coded, of, classes)
     alone = joint.sum(0) + 1
     alone /= alone.sum()
     moves = np.log10((joint + prior * alone) / (joint.sum(1, keepdims=True) + prior))
-    tokens_in = hot.T @ pairs.sum(0)
-    shapes = words.where(~F.col("token").isin([*unit]) if unit else F.lit(True)).select("token")
 
     def types(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = np.zeros(SHAPES, dtype=np.int64)
@@ -176,89 +284,73 @@ def train(docs: DataFrame, units: int = 1000, classes: int = 64, head: int = 250
             got += np.bincount([shape(w) for w in b["token"]], minlength=SHAPES).astype(np.int64)
         yield pd.DataFrame({"shape": np.arange(SHAPES), "n": got})
 
-    kinds = np.zeros(every)
-    for r in shapes.mapInPandas(types, "shape int, n long").groupBy("shape").agg(F.sum("n").alias("n")).collect():
-        kinds[classes + r["shape"]] = r["n"] + 1  # each known word, and unseen words together, get one more
-    kinds[:classes] = 0
-    mass = np.log10(np.maximum(tokens_in + kinds, 1))
-    model = Model({w: (int(label[unit[w]]) if w in unit else classes + shape(w), c) for w, c in known.items()}, moves, mass, classes, int(n) + ends, int(v) + (ends > 0), ends)
-    return model, words
+    kinds = np.zeros(len(joint))
+    for r in words.select("token").mapInPandas(types, "shape int, n long").groupBy("shape").agg(F.sum("n").alias("n")).collect():
+        kinds[classes + r["shape"]] = r["n"]
+    kinds[classes : classes + SHAPES] += 1 - np.bincount(known.shapes[:joined], minlength=SHAPES)  # each known word, and unseen words together, get one more
+    mass = np.log10(np.maximum(joint.sum(0) + kinds, 1))
+    return Model(known, of, moves, mass, classes, joined)
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score, perplexity) for every row of docs.
+def train(docs: DataFrame, units: int = 1000, classes: int = 64, head: int = 250_000, joined: int = 65_536, prior: float = 50.0) -> tuple[Model, DataFrame]:
+    """The model of docs, and the written table (token, c) of all words' counts. units, classes, head and joined bound what the driver holds; everything is counted over all of docs. Null texts count as empty; repeated rows count as often as they come; null ids don't matter; an empty table gives a model that knows no word; other columns are ignored."""
+    known, words = vocabulary(docs, head)
+    return train_coded(encode(docs, known), known, words, units, classes, joined, prior), words
 
-    Null texts count as empty, which has the end token alone. Equal rows (same doc_id and text) are scored together and given as often as they came; a null doc_id is a value like any other. An empty table gives an empty result; other columns are ignored. Words outside the model's head are joined to their counts, all the rest happens where a text is read.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    every = model.n + model.v + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        head, moves, mass, first = m.head, m.moves, m.mass, m.units
-        end, base0 = first + SHAPES, math.log10(every)
-        base_of = {}
+def score_coded(coded: DataFrame, model: Model, words: DataFrame, *also: str) -> DataFrame:
+    """score() of encoded rows, with the columns also."""
+    known = model.vocabulary
+    shared = coded.sparkSession.sparkContext.broadcast((known.c, model.of, model.moves, model.mass))
+    first, joined, ends = model.classes, model.joined, known.ends
+    end, every = first + SHAPES, known.n + known.v + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, of, moves, mass = shared.value
+        log, more = np.log10(np.maximum(c, 1)), np.log10(c + 1)
         for b in batches:
-            rows: list[tuple] = []
-            for doc, k, text in zip(b["doc_id"], b["_key"], b["text"], strict=True):
-                ids, rest, known, base, emitted = [end], Counter(), 0, 0.0, 0.0
-                for w in tokens(text):
-                    at = head.get(w)
-                    if at is None:
-                        rest[w] += 1
-                        ids.append(first + shape(w))
-                        continue
-                    c = at[1]
-                    logs = base_of.get(c)
-                    if logs is None:
-                        logs = base_of[c] = (math.log10(c + 1), math.log10(c))
-                    base += logs[0]
-                    emitted += logs[at[0] < first]
-                    ids.append(at[0])
-                    known += 1
-                ids.append(end)
-                if m.ends:
-                    known += 1
-                base += math.log10(m.ends + 1)
-                x, n = np.array(ids), len(ids) - 1
-                # words of shape classes have c + 1 over the mass, units and the end c over it
-                total = float(moves[x[:-1], x[1:]].sum()) + emitted - float(mass[x[1:-1]].sum())
-                base -= n * base0
-                own = (doc, k)
-                part = [*rest.items()] or [(f" {k}", 0)]
-                rows.append((*own, *part[0], n, known, base, total))
-                rows += [(*own, *p, None, None, None, None) for p in part[1:]]
-                if len(rows) > 50_000:
-                    yield frame(rows, b)
-                    rows = []
-            yield frame(rows, b)
-
-    def frame(rows: list[tuple], b: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "_key", "token", "tf", "n_tokens", "known", "base", "total"])
-        return out.astype({"n_tokens": "Int64", "known": "Int64", "base": "float64", "total": "float64"})
-
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), F.lit("key")).alias("_key"), "text")
-    rows = keyed.mapInPandas(run, f"doc_id {ids}, _key long, token string, tf int, n_tokens long, known long, base double, total double")
-    rest = words.where(~F.col("c").isNull()).select(F.col("token").alias("_token"), "c")
-    joined = rows.join(rest, F.col("token") == F.col("_token"), "left")
-    logs = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)
-    sums = joined.groupBy("doc_id", "_key").agg(
-        F.count("n_tokens").alias("_copies"), F.max("n_tokens").alias("n_tokens"), F.max("known").alias("known"), F.max("base").alias("base"), F.max("total").alias("total"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("tail_known"), F.sum(logs).alias("tail"),
-    )
-    tail, found = F.col("tail") / F.col("_copies"), (F.col("tail_known") / F.col("_copies")).cast("long")
-    out = sums.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    total = F.col("total") + tail
-    return out.select(
-        "doc_id", "n_tokens", (F.col("known") + found).alias("n_known"), (F.col("base") + tail).alias("base_score"), total.alias("score"),
+            ids, edges = _flat(b)
+            seen = ids >= 0
+            at = np.where(seen, ids, 0)
+            x = np.where(seen, of[at], first - 1 - ids) if len(c) else first - 1 - ids
+            before, after = _walk(x, edges, end)
+            n = edges[1:] - edges[:-1]
+            base = np.where(seen, more[at], 0.0) if len(c) else np.zeros(len(ids))
+            emitted = np.where(seen, np.where(ids < joined, log[at], more[at]), 0.0) if len(c) else np.zeros(len(ids))
+            value = moves[before, x] + emitted - mass[x] + np.where(after == end, moves[x, end], 0.0)
+            total = lambda v: np.diff(np.r_[0, np.cumsum(v)][edges])
+            whole = total(value) + np.where(n == 0, moves[end, end], 0.0)
+            names = ["_row", "n_tokens", "known", "base", "total"]
+            known_ = total(seen.astype(np.int64)) + (ends > 0)
+            base = total(base) + math.log10(ends + 1) - (n + 1) * math.log10(every)
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(n + 1), pa.array(known_.astype(np.int64)), pa.array(base), pa.array(whole)], names=names)
+
+    sums = coded.select("_row", "ids").mapInArrow(run, "_row long, n_tokens long, known long, base double, total double")
+    rest = coded.select(F.col("_row").alias("_of"), F.explode("rest").alias("r")).select("_of", "r.token", "r.tf")
+    met = rest.join(words.select(F.col("token").alias("_token"), "c"), F.col("token") == F.col("_token"))
+    tail = met.groupBy("_of").agg(F.sum("tf").alias("tail_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("tail"))
+    ids = coded.select(F.col("_row").alias("_id"), "doc_id", *also)
+    joined_ = ids.join(sums, F.col("_id") == F.col("_row")).join(tail, F.col("_row") == F.col("_of"), "left")
+    added = F.coalesce("tail", F.lit(0.0))
+    total = F.col("total") + added
+    return joined_.select(
+        "doc_id", *also, "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"), (F.col("base") + added).alias("base_score"), total.alias("score"),
         F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )
 
 
+def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score, perplexity) for every row of docs.
+
+    Null texts count as empty, which has the end token alone. Repeated rows give repeated rows; a null doc_id is a value like any other. Texts are read whole, however long. An empty table gives an empty result; other columns, whatever their names, are ignored. Words outside the model's vocabulary are joined to their counts.
+    """
+    return score_coded(encode(docs, model.vocabulary), model, words)
+
+
 def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
-    model, words = train(docs.where(~held))
-    found = score(docs, model, words)
-    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+    known, words = vocabulary(docs.where(~held))
+    coded = encode(docs, known, held.alias("held_out"))
+    found = score_coded(coded, train_coded(coded.where("not held_out"), known, words), words, "held_out")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
