@@ -157,36 +157,46 @@ def vocabulary(docs: DataFrame, head: int = 250_000) -> tuple[Vocabulary, DataFr
 
 def encode(docs: DataFrame, known: Vocabulary, *also: Column) -> DataFrame:
     """A written table (_row, doc_id, ids, rest) and the columns also, a row for each of docs: _row tells rows apart; ids are the text's words as numbers, from 0 those of the vocabulary, -1 - shape for others; rest has the others, each with how often it occurs. Null texts count as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(known.words)})
+    shared = docs.sparkSession.sparkContext.broadcast({w.encode(): i for i, w in enumerate(known.words)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, other = shared.value.get, {}
-        for b in batches:
-            ids, rest = [], []
-            for t in b["text"]:
-                w = tokens(t)
+        for b in _parts(batches):
+            ids, ends, rest, often, cuts = [], [0], [], [], [0]
+            for t in b.column("text").to_pylist():
+                w = (t or "").encode("utf-8", "replace").lower().split()
                 x = [*map(get, w)]
-                left: Counter = Counter()
                 if None in x:
-                    for i, n in enumerate(x):
-                        if n is None:
-                            left[w[i]] += 1
-                            n = other.get(w[i])
-                            if n is None:
-                                if len(other) > FLUSH:
-                                    other.clear()
-                                n = other[w[i]] = -1 - shape(w[i])
-                            x[i] = n
-                ids.append(np.array(x, dtype=np.int32))
-                rest.append([{"token": w, "tf": n} for w, n in left.items()])
-            yield b.drop(columns="text").assign(ids=ids, rest=rest)
+                    left = Counter([a for a, n in zip(w, x, strict=True) if n is None])
+                    if len(other) > FLUSH:
+                        other.clear()
+                    for a in left:
+                        if a not in other:
+                            other[a] = -1 - shape(a.decode())
+                    x = [other[a] if n is None else n for a, n in zip(w, x, strict=True)]
+                    rest += left
+                    often += left.values()
+                ids += x
+                ends.append(len(ids))
+                cuts.append(len(rest))
+            pairs = pa.StructArray.from_arrays([pa.array(rest, pa.binary()).cast(pa.string()), pa.array(often, pa.int32())], names=["token", "tf"])
+            made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)]
+            given = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, given), *made], names=[*given, "ids", "rest"])
 
     rows = docs.select("doc_id", *also, "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    coded = rows.mapInPandas(run, f"{kinds}, ids array<int>, rest array<struct<token:string,tf:int>>")
+    coded = rows.mapInArrow(run, f"{kinds}, ids array<int>, rest array<struct<token:string,tf:int>>")
     return materialise(coded.withColumn("_row", F.monotonically_increasing_id()), "coded")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, so that what is made of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All words' numbers of a batch's texts, and where each text begins, with the end."""
     column = batch.column("ids")
@@ -210,13 +220,13 @@ def _adjacent(coded: DataFrame, of: np.ndarray, shapes: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros(size * size, dtype=np.int64)
-        for b in batches:
+        for b in _parts(batches):
             ids, edges = _flat(b)
             x = np.where(ids >= 0, of[ids], shapes - 1 - ids) if len(of) else shapes - 1 - ids
             before, after = _walk(x, edges, end)
-            got += np.bincount(before * size + x, minlength=size * size)
             last = after == end
-            got += np.bincount(x[last] * size + end, minlength=size * size)
+            pair, n = np.unique(np.r_[before * size + x, x[last] * size + end], return_counts=True)
+            got[pair] += n
             got[end * size + end] += int((edges[:-1] == edges[1:]).sum())
         i = np.flatnonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(got[i])], names=["pair", "n"])
@@ -239,14 +249,14 @@ def join_classes(coded: DataFrame, known: Vocabulary, of: np.ndarray, joint: np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((many, classes), dtype=np.int64)
-        for b in batches:
+        for b in _parts(batches):
             ids, edges = _flat(b)
             x = np.where(ids >= 0, of[ids], classes - 1 - ids)
             before, after = _walk(x, edges, end)
             at = np.flatnonzero((ids >= units) & (ids < joined))
             at = at[np.argsort(ids[at], kind="stable")]
-            for lo in range(0, len(at), 65_536):
-                part = at[lo : lo + 65_536]
+            for lo in range(0, len(at), 16_384):
+                part = at[lo : lo + 16_384]
                 word, first = np.unique(ids[part], return_index=True)
                 sums[word - units] += np.add.reduceat(left[before[part]] + right[after[part]], first, axis=0)
         i = np.flatnonzero(sums.any(axis=1))
@@ -308,7 +318,7 @@ def score_coded(coded: DataFrame, model: Model, words: DataFrame, *also: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, of, moves, mass = shared.value
         log, more = np.log10(np.maximum(c, 1)), np.log10(c + 1)
-        for b in batches:
+        for b in _parts(batches):
             ids, edges = _flat(b)
             seen = ids >= 0
             at = np.where(seen, ids, 0)

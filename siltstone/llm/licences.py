@@ -19,13 +19,15 @@ SENTENCES: list[tuple[str, str]] = [
     ("apache2Warranty", r"unless required by applicable law or agreed to in writing"),
     ("apache2Copy", r"you may obtain a copy of the licen[cs]e at"),
     ("apache2Limits", r"see the licen[cs]e for the specific language governing permissions"),
-    ("agpl3", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu affero general public licen[cs]e|agpl).{0,30}3"),
-    ("lgpl3", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu lesser general public licen[cs]e|lgpl).{0,30}3"),
-    ("lgpl21", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu lesser general public licen[cs]e|lgpl).{0,30}2\.1"),
-    ("gpl3Later", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu general public licen[cs]e|gpl).{0,30}3.{0,30}or (?:\(at your option\) )?any later"),
-    ("gpl3", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu general public licen[cs]e|gpl).{0,30}3"),
-    ("gpl2Later", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu general public licen[cs]e|gpl).{0,30}2.{0,30}or (?:\(at your option\) )?any later"),
-    ("gpl2", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu general public licen[cs]e|gpl).{0,30}2"),
+    ("agpl3Later", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu affero general public licen[cs]e|agpl).{0,80}3.{0,30}or (?:\(at your option\) )?any later"),
+    ("lgplLater", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu lesser general public licen[cs]e|lgpl).{0,80}(?:3|2\.1).{0,30}or (?:\(at your option\) )?any later"),
+    ("agpl3", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu affero general public licen[cs]e|agpl).{0,80}3"),
+    ("lgpl3", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu lesser general public licen[cs]e|lgpl).{0,80}3"),
+    ("lgpl21", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu lesser general public licen[cs]e|lgpl).{0,80}2\.1"),
+    ("gpl3Later", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu general public licen[cs]e|gpl).{0,80}3.{0,30}or (?:\(at your option\) )?any later"),
+    ("gpl3", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu general public licen[cs]e|gpl).{0,80}3"),
+    ("gpl2Later", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu general public licen[cs]e|gpl).{0,80}2.{0,30}or (?:\(at your option\) )?any later"),
+    ("gpl2", r"(?:licen[cs]ed under|under the terms of) (?:the )?(?:gnu general public licen[cs]e|gpl).{0,80}2"),
     ("gplWarranty", r"this program is distributed in the hope that it will be useful"),
     ("mitNamed", r"(?:released|licen[cs]ed|distributed|available) under (?:the )?mit licen[cs]e"),
     ("mitGrant", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
@@ -44,15 +46,44 @@ SENTENCES: list[tuple[str, str]] = [
     ("ccBy", r"licen[cs]ed under (?:a |the )?(?:cc[ -]by|creative commons attribution) ?\d\.\d"),
     ("cc0", r"(?:cc0|creative commons zero|dedicated to the public domain)"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("gplRedistribute", r"is free software.{0,40}you can redistribute it and/or modify it under the terms of the gnu (?:lesser |library |affero )?general public licen[cs]e"),
+    ("gplCopy", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public licen[cs]e"),
+    ("iscGrant", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("iscDisclaimer", r"the author disclaims all warranties with regard to this software"),
+    ("zlibWarranty", r"this software is provided 'as-is', without any express or implied warranty"),
+    ("zlibGrant", r"permission is granted to anyone to use this software for any purpose, including commercial applications"),
+    ("zlibOrigin", r"the origin of this software must not be misrepresented"),
+    ("zlibAltered", r"altered source versions must be plainly marked as such"),
+    ("zlibNotice", r"this notice may not be removed or altered from any source distribution"),
+    ("boostNamed", r"(?:distributed|licen[cs]ed) under the boost software licen[cs]e,? version 1\.0"),
+    ("boostGrant", r"permission is hereby granted, free of charge, to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation"),
+    ("bsdAdvert", r"all advertising materials mentioning features or use of this software must display"),
+    ("bsdWarranty", r"this software is provided by .* \W*as is\W"),
+    ("mitNoWarranty", r"in no event shall the authors or copyright holders be liable"),
+    ("mplObtain", r"if a copy of the mpl was not distributed with this file, you can obtain one at"),
+    ("epl2", r"(?:under the terms of|licen[cs]ed under) the eclipse public licen[cs]e,? (?:v\.? ?|version )?2\.0"),
+    ("epl1", r"(?:under the terms of|licen[cs]ed under) the eclipse public licen[cs]e,? (?:v\.? ?|version )?1\.0"),
+    ("cddl1", r"subject to the terms of the common development and distribution licen[cs]e"),
+    ("artistic2", r"(?:under|under the terms of) the artistic licen[cs]e,? (?:version )?2\.0"),
+    ("ofl11", r"licen[cs]ed under the sil open font licen[cs]e,? version 1\.1"),
+    ("wtfpl", r"(?:do what the fuck you want to public licen[cs]e|\bwtfpl\b)"),
+    ("unlicenseGrant", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("unlicenseDedicate", r"the author or authors of this software dedicate any and all copyright interest"),
+    ("ccByNd", r"licen[cs]ed under (?:a |the )?(?:cc[ -]by-nd|creative commons attribution-noderiv(?:ative)?s) ?\d\.\d"),
     ("spdx", r"spdx-license-identifier: ?([\w.+-]+)"),
     ("reserved", r"all rights reserved"),
 ]
 #: Licence and the row of sentence identifiers it needs, in order, other sentences between them allowed; the longer row first.
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("apache2", "apache2Copy", "apache2Warranty", "apache2Limits")),
-    ("MIT", ("mitGrant", "mitNotice", "asIs")),
+    ("GPL-3.0-or-later", ("gpl3Later", "gplWarranty", "gplCopy")), ("GPL-2.0-or-later", ("gpl2Later", "gplWarranty", "gplCopy")), ("GPL-3.0", ("gpl3", "gplWarranty", "gplCopy")), ("GPL-2.0", ("gpl2", "gplWarranty", "gplCopy")),
+    ("LGPL-or-later", ("lgplLater", "gplWarranty", "gplCopy")), ("AGPL-3.0-or-later", ("agpl3Later", "gplWarranty", "gplCopy")),
+    ("zlib", ("zlibWarranty", "zlibGrant", "zlibOrigin", "zlibAltered", "zlibNotice")), ("Unlicense", ("unlicense", "unlicenseGrant", "unlicenseDedicate")),
+    ("BSD-4-Clause", ("bsdGrant", "bsdSource", "bsdBinary", "bsdAdvert", "bsdNames")), ("BSD-3-Clause", ("bsdGrant", "bsdSource", "bsdBinary", "bsdNames", "bsdWarranty")), ("BSD-2-Clause", ("bsdGrant", "bsdSource", "bsdBinary", "bsdWarranty")),
+    ("MIT", ("mitGrant", "mitNotice", "asIs", "mitNoWarranty")), ("MIT", ("mitGrant", "mitNotice", "asIs")), ("ISC", ("iscGrant", "iscDisclaimer")), ("BSL-1.0", ("boostGrant",)), ("BSL-1.0", ("boostNamed",)), ("MPL-2.0", ("mpl2", "mplObtain")),
     ("BSD-3-Clause", ("bsdGrant", "bsdSource", "bsdBinary", "bsdNames")),
     ("BSD-2-Clause", ("bsdGrant", "bsdSource", "bsdBinary")),
+    ("LGPL-or-later", ("lgplLater",)), ("AGPL-3.0-or-later", ("agpl3Later",)), ("ISC", ("iscGrant",)), ("zlib", ("zlibGrant", "zlibOrigin")), ("EPL-2.0", ("epl2",)), ("EPL-1.0", ("epl1",)), ("CDDL-1.0", ("cddl1",)), ("Artistic-2.0", ("artistic2",)), ("OFL-1.1", ("ofl11",)), ("WTFPL", ("wtfpl",)), ("CC-BY-ND", ("ccByNd",)),
     ("Apache-2.0", ("apache2",)), ("AGPL-3.0", ("agpl3",)), ("LGPL-3.0", ("lgpl3",)), ("LGPL-2.1", ("lgpl21",)),
     ("GPL-3.0-or-later", ("gpl3Later",)), ("GPL-3.0", ("gpl3",)), ("GPL-2.0-or-later", ("gpl2Later",)), ("GPL-2.0", ("gpl2",)),
     ("MIT", ("mitGrant", "asIs")), ("MIT", ("mitNamed",)), ("BSD", ("bsdNamed",)), ("MPL-2.0", ("mpl2",)),
@@ -60,11 +91,11 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC0-1.0", ("cc0",)), ("Unlicense", ("unlicense",)), ("all-rights-reserved", ("reserved",)),
 ]
 #: Sentences that go with a licence and say nothing on their own.
-SILENT = {"apache2Warranty", "apache2Copy", "apache2Limits", "gplWarranty", "asIs"}
+SILENT = {"apache2Warranty", "apache2Copy", "apache2Limits", "gplWarranty", "gplCopy", "asIs", "bsdWarranty", "mitNoWarranty", "zlibWarranty", "zlibNotice", "iscDisclaimer", "mplObtain"}
 _PATTERNS = [(name, re.compile(p)) for name, p in SENTENCES]
 _SPDX = re.compile(r"spdx-license-identifier:\s*([\w.+-]+)", re.I)
-_HINT = re.compile(r"licen[cs]|redistribution|public domain|cc0|rights reserved|permission|copyright notice|provided|hope that it will|applicable law|name of|creative commons zero", re.I)
-_BREAK = re.compile(r"(?<=[.!?;])\s+|\n\s*\n")
+_HINT = re.compile(r"licen[cs]|redistribution|public domain|cc0|rights reserved|permission|copyright notice|provided|hope that it will|applicable law|name of|creative commons zero|free software|wtfpl|origin of this|altered source|notice may not|warranties|in no event|advertising materials|anyone is free|dedicate any", re.I)
+_BREAK = re.compile(r"(?<=[.!?;])(?<!\sv\.)\s+|\n\s*\n")
 _MARKS = re.compile(r"(?m)^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--)\s?")
 _BLANK = re.compile(r"\s+")
 
@@ -82,6 +113,31 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def match(names: list[str]) -> tuple[list[str], list[str]]:
+    """(licences, identifiers that no rule took): each rule in order takes its row of identifiers, other ones between them allowed, the first places it can, as often as it can. Time grows with the identifiers, whatever their number."""
+    places: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        places.setdefault(name, []).append(i)
+    used, found = [False] * len(names), []
+    for licence, row in RULES:
+        if not all(name in places for name in row):
+            continue
+        rest = [iter([i for i in places[name] if not used[i]]) for name in row]
+        while True:
+            at, taken = -1, []
+            for places_left in rest:
+                at = next((i for i in places_left if i > at), None)
+                if at is None:
+                    break
+                taken.append(at)
+            if len(taken) < len(row):
+                break
+            found.append(licence)
+            for i in taken:
+                used[i] = True
+    return found, [name for i, name in enumerate(names) if not used[i]]
+
+
 def recognise(text: str | None) -> tuple[list[str], list[str], list[tuple[int, int, str]]]:
     """(licences found, in order of their rules; known sentences left over; (start, end, identifier) of each known sentence). The rules take sentences of the whole text in order."""
     if not text or not _HINT.search(text):
@@ -92,27 +148,13 @@ def recognise(text: str | None) -> tuple[list[str], list[str], list[tuple[int, i
             if p.search(s):
                 spans.append((a, z, f"spdx:{_SPDX.search(text[a:z])[1]}" if name == "spdx" else name))
                 break
-    left, found = [name for _, _, name in spans], []
-    for licence, row in RULES:
-        while True:
-            at, places = 0, []
-            for name in row:
-                try:
-                    at = left.index(name, at) + 1
-                except ValueError:
-                    break
-                places.append(at - 1)
-            if len(places) < len(row):
-                break
-            found.append(licence)
-            for i in reversed(places):
-                del left[i]
+    found, left = match([name for _, _, name in spans])
     found += [x.removeprefix("spdx:") for x in left if x.startswith("spdx:")]
     return [*dict.fromkeys(found)], [x for x in left if not x.startswith("spdx:") and x not in SILENT], spans
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, licences, unknown, n_sentences, sentences) for every row: licences as a comma-joined string in the rules' order, empty if none; unknown likewise, of known sentences that no rule took; sentences as (start, end, id) in code points. Null and empty texts have none; repeated rows and null ids are kept; empty table: empty result; other columns are ignored."""
+    """(doc_id, licences, unknown, n_sentences, sentences) for every row: licences as a comma-joined string in the rules' order, empty if none; unknown likewise, of known sentences that no rule took; sentences as (start, end, id) in code points. Null and empty texts have none; repeated rows and null ids are kept; empty table: empty result; texts are read whole, however long; other columns, whatever their names, are ignored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

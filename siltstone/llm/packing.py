@@ -51,16 +51,16 @@ _LATIN = re.compile("[\x21-\u024f]+")
 class _Encoder:
     """Texts to their ids as little-endian unsigned 32-bit.
 
-    Where the vocabulary drops white space and marks the ends of runs, a text is its words, a word its runs of letters or marks. Words and runs are kept, up to `cached` of each. New runs are encoded many at a time, joined by spaces, and the ends of runs cut the result. Words with characters outside Latin, and texts with special tokens or other than plain white space, are encoded whole, as are all texts under other vocabularies.
+    Where the vocabulary drops white space and marks the ends of runs, a text is its words, a word its runs of letters or marks. Up to `cached` words and `run_cached` runs are kept. New runs are encoded many at a time, joined by spaces, and the ends of runs cut the result. Words with characters outside Latin, and texts with special tokens or other than plain white space, are encoded whole, as are all texts under other vocabularies.
     """
 
-    def __init__(self, path: str, cached: int = 800_000):
+    def __init__(self, path: str, cached: int = 1_200_000, run_cached: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         given = json.loads(open(path, encoding="utf-8").read())
-        self.model, self.cached, self.words, self.runs = Tokenizer.from_file(path), cached, {}, {}
+        self.model, self.cached, self.run_cached, self.words, self.runs = Tokenizer.from_file(path), cached, run_cached, {}, {}
         self.plain = all(given.get(k) == v for k, v in _PLAIN.items()) and given["model"].get("end_of_word_suffix") == "</w>"
         self.special = [t["content"] for t in given["added_tokens"]]
         self.cut = regex.compile(_RUN).findall
@@ -96,7 +96,7 @@ class _Encoder:
         self.words.update(zip(odd, self.whole(odd), strict=True))
         every = set(chain.from_iterable(r for r in apart if r))
         runs = list(every.difference(self.runs))
-        if len(self.runs) + len(runs) > self.cached:
+        if len(self.runs) + len(runs) > self.run_cached:
             self.runs.clear()
             runs = list(every)
         self.learn_runs(runs)
@@ -107,14 +107,20 @@ class _Encoder:
         odd, special = _ODD.search if self.plain else bool, self.special
         for at in range(0, len(texts), 512):
             words = [None if odd(t) or any(s in t for s in special) else t.split() for t in texts[at : at + 512]]
-            new = list(set(chain.from_iterable(w for w in words if w)).difference(self.words))
+            flat = list(chain.from_iterable(w for w in words if w))
+            ids = list(map(self.words.get, flat))
+            new = list({w for w, i in zip(flat, ids, strict=True) if i is None})
             if len(self.words) + len(new) > self.cached:
                 self.words.clear()
-                new = list(set(chain.from_iterable(w for w in words if w)))
             self.learn(new)
-            get = self.words.__getitem__
+            get, first = self.words.__getitem__, 0
+            ids = [get(w) if i is None else i for w, i in zip(flat, ids, strict=True)]
             for t, w in zip(texts[at : at + 512], words, strict=True):
-                yield self.whole([t])[0] if w is None else b"".join(map(get, w))
+                if w is None:
+                    yield self.whole([t])[0]
+                else:
+                    yield b"".join(ids[first : first + len(w)])
+                    first += len(w)
 
 
 def _tokenizer(path: str) -> _Encoder:

@@ -685,6 +685,51 @@ def test_licences(spark):
     assert licences.scan(odd(spark)).count() == odd(spark).count()
 
 
+NOTICES = {
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but without any warranty. You should have received a copy of the GNU General Public License along with this program.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "LGPL-or-later": "This library is free software: it comes under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "You may use it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the notice appears. The software is provided as it is and the author disclaims all warranties with regard to this software.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications. The origin of this software must not be misrepresented. Altered source versions must be plainly marked as such. This notice may not be removed or altered from any source distribution.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions of source code must retain the above copyright notice. Redistributions in binary form must reproduce the above copyright notice.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions of source code must retain the above copyright notice. Redistributions in binary form must reproduce the above copyright notice. Neither the name of the owner nor its contributors' may be used to endorse or promote products.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at the site. Unless required by applicable law or agreed to in writing, software is distributed on an "AS IS" basis. See the License for the specific language governing permissions.',
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one at the site.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software. The author or authors of this software dedicate any and all copyright interest in the software.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.", "EPL-2.0": "It is made available under the terms of the Eclipse Public License 2.0.", "OFL-1.1": "This font software is licensed under the SIL Open Font License, Version 1.1.", "CC-BY-ND": "Licensed under CC BY-ND 4.0.",
+}
+
+
+@pytest.mark.parametrize("name", NOTICES)
+def test_notices(name):
+    found, unknown, _ = licences.recognise(f"Some words before.\n\n/* {NOTICES[name]} */\n\nAnd some after.")
+    assert found == [name] and not unknown
+
+
+def test_rules_against_brute_force():
+    names = sorted({n for _, row in licences.RULES for n in row})
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        given = [names[i] for i in rng.integers(0, len(names), 40)]
+        left, found = [*enumerate(given)], []
+        for licence, row in licences.RULES:
+            while True:
+                at, taken = -1, []
+                for n in row:
+                    i = next((i for i, x in left if x == n and i > at), None)
+                    if i is None:
+                        break
+                    taken.append(i)
+                    at = i
+                if len(taken) < len(row):
+                    break
+                found.append(licence)
+                left = [(i, x) for i, x in left if i not in taken]
+        assert licences.match(given) == (found, [x for _, x in left])
+    assert len(licences.match(["mitGrant", "asIs"] * 50_000)[0]) == 50_000
+
+
 def test_long_ids(spark):
     """Ids need not be longs."""
     docs = spark.createDataFrame([("a", "one two three"), ("b", "one two three")], T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("text", T.StringType())]))
