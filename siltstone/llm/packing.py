@@ -46,6 +46,7 @@ _PLAIN = {
 }
 #: Words beyond these characters, and those with a sigma, whose small letter depends on its place, are left to the tokeniser whole.
 _LATIN = re.compile("[\x21-\u024f]+")
+_LATIN_LINES = re.compile("[\n\x21-\u024f]*")
 
 
 class _Encoder:
@@ -80,33 +81,30 @@ class _Encoder:
             self.runs.update(zip(part, parts, strict=True))
 
     def learn(self, new: list[str]) -> None:
-        odd, cut, latin, normal, apart = [], self.cut, _LATIN.fullmatch, unicodedata.normalize, []
-        for w in new:
-            if not w.isascii():
-                if not latin(w):
-                    odd.append(w)
-                    apart.append(None)
-                    continue
-                w = normal("NFC", w)
+        odd = [] if _LATIN_LINES.fullmatch("\n".join(new)) else [w for w in new if not _LATIN.fullmatch(w)]
+        if odd:
+            new = list(set(new).difference(odd))
+        small, apart = unicodedata.normalize("NFC", "\n".join(new)).lower().split("\n") if new else [], []
+        for w in small:
             core = w.rstrip(".,;:!?")
             if core.isalpha():  # the common cases of the pattern: one run of letters, or one and marks
-                apart.append((core.lower(),) if len(core) == len(w) else (core.lower(), w[len(core) :]))
+                apart.append((core,) if len(core) == len(w) else (core, w[len(core) :]))
             else:
-                apart.append(cut(w.lower()))
+                apart.append(self.cut(w))
         self.words.update(zip(odd, self.whole(odd), strict=True))
-        every = set(chain.from_iterable(r for r in apart if r))
+        every = set(chain.from_iterable(apart))
         runs = list(every.difference(self.runs))
         if len(self.runs) + len(runs) > self.run_cached:
             self.runs.clear()
             runs = list(every)
         self.learn_runs(runs)
         get = self.runs.__getitem__
-        self.words.update((w, get(r[0]) if len(r) == 1 else get(r[0]) + get(r[1]) if len(r) == 2 else b"".join(map(get, r))) for w, r in zip(new, apart, strict=True) if r)
+        self.words.update((w, get(r[0]) if len(r) == 1 else get(r[0]) + get(r[1]) if len(r) == 2 else b"".join(map(get, r))) for w, r in zip(new, apart, strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        odd, special = _ODD.search if self.plain else bool, self.special
+        odd, special, hint = _ODD.search if self.plain else bool, self.special, os.path.commonprefix(self.special)
         for at in range(0, len(texts), 512):
-            words = [None if odd(t) or any(s in t for s in special) else t.split() for t in texts[at : at + 512]]
+            words = [None if odd(t) or hint in t and any(s in t for s in special) else t.split() for t in texts[at : at + 512]]
             flat = list(chain.from_iterable(w for w in words if w))
             ids = list(map(self.words.get, flat))
             new = list({w for w, i in zip(flat, ids, strict=True) if i is None})
