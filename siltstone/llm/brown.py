@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, remainder, table
+from siltstone.llm.common import materialise, parts, remainder, table
 
 SHAPES = 12
 FLUSH = 300_000
@@ -161,7 +161,7 @@ def encode(docs: DataFrame, known: Vocabulary, *also: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, other = shared.value.get, {}
-        for b in _parts(batches):
+        for b in parts(batches):
             ids, ends, rest, often, cuts = [], [0], [], [], [0]
             for t in b.column("text").to_pylist():
                 w = (t or "").encode("utf-8", "replace").lower().split()
@@ -190,13 +190,6 @@ def encode(docs: DataFrame, known: Vocabulary, *also: Column) -> DataFrame:
     return materialise(coded.withColumn("_row", F.monotonically_increasing_id()), "coded")
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Slices of batches, so that what is made of one stays small."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All words' numbers of a batch's texts, and where each text begins, with the end."""
     column = batch.column("ids")
@@ -220,7 +213,7 @@ def _adjacent(coded: DataFrame, of: np.ndarray, shapes: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros(size * size, dtype=np.int64)
-        for b in _parts(batches):
+        for b in parts(batches):
             ids, edges = _flat(b)
             x = np.where(ids >= 0, of[ids], shapes - 1 - ids) if len(of) else shapes - 1 - ids
             before, after = _walk(x, edges, end)
@@ -249,7 +242,7 @@ def join_classes(coded: DataFrame, known: Vocabulary, of: np.ndarray, joint: np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((many, classes), dtype=np.int64)
-        for b in _parts(batches):
+        for b in parts(batches):
             ids, edges = _flat(b)
             x = np.where(ids >= 0, of[ids], classes - 1 - ids)
             before, after = _walk(x, edges, end)
@@ -318,7 +311,7 @@ def score_coded(coded: DataFrame, model: Model, words: DataFrame, *also: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, of, moves, mass = shared.value
         log, more = np.log10(np.maximum(c, 1)), np.log10(c + 1)
-        for b in _parts(batches):
+        for b in parts(batches):
             ids, edges = _flat(b)
             seen = ids >= 0
             at = np.where(seen, ids, 0)

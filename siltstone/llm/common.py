@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,24 @@ def fits(df: DataFrame, limit_rows: int, limit_bytes: int = 32_000_000) -> bool:
     return size <= limit_bytes and df.count() <= limit_rows
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, so that what is made of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def rows_kept(docs: DataFrame, keep: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of docs that keep()(texts) keeps; keep() is called once in each task. All columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = keep()
+        for b in parts(batches):
+            yield b.filter(pa.array(of(b.column("text").to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(column: str, divisor: int):
     """crc32 of an id as text, modulo divisor."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

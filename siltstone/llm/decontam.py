@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import rows_kept, table
 
 WORD = re.compile(r"[^\W_]+")
 Q = 8
@@ -268,15 +268,17 @@ def _find(docs: DataFrame, ix: Index, item_type: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, chars: int = 8_000_000) -> DataFrame:
-    """docs without the rows that hold a benchmark item; all columns stay."""
+    """docs without the rows that hold a benchmark item; all columns stay, whatever their names. Null and empty texts hold none and stay, as do rows with null ids; repeated rows go or stay together; empty table: empty result."""
     for ix in slices(benchmark, rate, chars):
 
-        def run(batches: Iterator[pd.DataFrame], ix: Index = ix) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                bad = {n for n, *_ in occurrences([normal(t) for t in b["text"]], ix)}
-                yield b[[n not in bad for n in range(len(b))]]
+        def keep(ix: Index = ix):
+            def of(texts: list) -> list[bool]:
+                bad = {n for n, *_ in occurrences([normal(t) for t in texts], ix)}
+                return [n not in bad for n in range(len(texts))]
 
-        docs = docs.mapInPandas(run, docs.schema)
+            return of
+
+        docs = rows_kept(docs, keep)
     return docs
 
 

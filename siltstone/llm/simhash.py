@@ -14,12 +14,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import shingles
-from siltstone.llm.common import components, fits, materialise, table
+from siltstone.llm.common import components, fits, materialise, parts, table
 
 LEAF = 24
 #: Fingerprints in a shard, about: what one tree holds.
@@ -66,20 +67,19 @@ def _key(docs: DataFrame) -> Column:
 def _marks(docs: DataFrame, words: int) -> DataFrame:
     """fingerprints() with the set of a text's shingles: its hash, size and bands. A text without words has size 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
             rows = []
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 every = shingle_hashes(t, words)
                 own = np.unique(every)
                 rows.append((np.uint64(voted(every)).view(np.int64), shingles.set_hash(own), len(own), shingles.bands(own) if len(own) else []))
-            out = pd.DataFrame(rows, columns=["fp", "set", "n", "bands"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            out.insert(1, "key", b["key"].to_numpy())
-            yield out
+            fp, sets, n, bands = zip(*rows, strict=True)
+            made = [pa.array(fp, pa.int64()), pa.array(sets, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *made], names=["doc_id", "key", "fp", "set", "n", "bands"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _key(docs).alias("key")).mapInPandas(run, f"doc_id {ids}, key string, fp long, set long, n long, bands array<long>")
+    return docs.select("doc_id", "text", _key(docs).alias("key")).mapInArrow(run, f"doc_id {ids}, key string, fp long, set long, n long, bands array<long>")
 
 
 def _held(docs: DataFrame, words: int):

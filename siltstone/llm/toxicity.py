@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise, remainder, table
+from siltstone.llm.common import materialise, remainder, rows_kept, table
 
 TOKEN = re.compile(r"[^\W_]+")
-RUNS, KEPT = (4, 5, 6), 300_000
+RUNS, KEPT = (4, 5, 6), 150_000
 
 
 @dataclass
@@ -124,7 +124,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 s = sums.setdefault(f, [0, 0, 0, 0])
                 s[toxic] += 1
                 s[2 + toxic] += n
-            if len(sums) > 200_000:
+            if len(sums) > 100_000:
                 yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["token", "d0", "d1", "t0", "t1"])
                 sums.clear()
     if sums:
@@ -229,12 +229,11 @@ def learned(docs: DataFrame, labels: DataFrame, held_out: int = 1) -> Model:
 def rejected(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows that the model rejects; all columns stay, whatever their names. Null and empty texts, rows with null ids and repeated rows are judged by their text like any other; empty table: empty result."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep():
         scorer = Scorer(model)
-        for b in batches:
-            yield b[[scorer.score(t or "") < 0.7 for t in b["text"]]]
+        return lambda texts: [scorer.score(t or "") < 0.7 for t in texts]
 
-    return docs.mapInPandas(run, docs.schema)
+    return rows_kept(docs, keep)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
