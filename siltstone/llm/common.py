@@ -11,10 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Where the session has Spark's own default, batches that go to Python hold `rows` rows: texts are long, and a batch lies in memory several times."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing of it. The files go when the application ends."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
     own = spark.conf.get(CLEANUP, None)
     if own is not None:

@@ -85,13 +85,17 @@ def _marks(docs: DataFrame, words: int) -> DataFrame:
 def _held(docs: DataFrame, words: int):
     """Reads the shingle sets of wanted (set, doc_id) again."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = [np.unique(shingle_hashes(t, words)) for t in b["text"]]
-            keep = [i for i, (h, s) in enumerate(zip(own, b["set"], strict=True)) if shingles.set_hash(h) == s]
-            yield pd.DataFrame({"set": b["set"].to_numpy()[keep], "hashes": [own[i].view(np.int64) for i in keep]})
-
-    return lambda wanted: docs.select("doc_id", "text").join(wanted, "doc_id").select("set", "text").mapInPandas(run, "set long, hashes array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            sets, hashes = [], []
+            for t, s in zip(b.column("text").to_pylist(), b.column("set").to_pylist(), strict=True):
+                own = np.unique(shingle_hashes(t, words))
+                if shingles.set_hash(own) == s:
+                    sets.append(s)
+                    hashes.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["set", "hashes"])
+
+    return lambda wanted: docs.select("doc_id", "text").join(wanted, "doc_id").select("set", "text").mapInArrow(run, "set long, hashes array<long>")
 
 
 def _shards(n: int, radius: int) -> list[list[tuple[int, int]]]:
