@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import corpus, lookups, places, ranking, records, scores
+from siltstone.plans import corpus, lookups, places, ranking, records, scans, scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (ranking, corpus, places, records, scores, lookups):
+for part in (ranking, corpus, places, records, scores, lookups, scans):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

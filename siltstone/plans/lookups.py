@@ -61,9 +61,9 @@ def cited_sources_first(spark, sf):
     return found.select("q", "n", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT c_nationkey AS record, CASE WHEN count(DISTINCT c_mktsegment) = 1 AND count(*) < 20 THEN min(c_mktsegment) END AS value FROM customer WHERE c_custkey % 50 = 0 GROUP BY 1")
+@query("SELECT c_custkey // 3 AS record, CASE WHEN count(DISTINCT c_mktsegment) = 1 AND count(*) < 20 THEN min(c_mktsegment) END AS value FROM customer GROUP BY 1")
 def unanimous_field(spark, sf):
-    rows = table(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.col("c_nationkey").alias("record"), F.col("c_mktsegment").alias("value"))
+    rows = table(spark, sf, "customer").select(F.expr("c_custkey div 3").alias("record"), F.col("c_mktsegment").alias("value"))
     return lookup.unanimous(rows, "record", "value")
 
 
@@ -80,11 +80,11 @@ def evidence_carried_over(spark, sf):
 
 
 @query(r"""SELECT doc_id, sentence, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, n) AS r FROM (SELECT doc_id, n, s[n] AS sentence, list_contains(regexp_extract_all(lower(s[n]), '[\p{L}\p{N}]+'), 'the')::INT + list_contains(regexp_extract_all(lower(s[n]), '[\p{L}\p{N}]+'), 'of')::INT AS hits
-FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS n FROM (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS s FROM documents WHERE doc_id % 4 = 0))) WHERE hits > 0) WHERE r = 1""")
+FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS n FROM (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS s FROM documents))) WHERE hits > 0) WHERE r = 1""")
 def best_sentences(spark, sf):
     from siltstone.operators.leads import best_sentence
 
-    return best_sentence(table(spark, sf, "documents").where("doc_id % 4 = 0"), "doc_id", "text", ("the", "of"))
+    return best_sentence(table(spark, sf, "documents"), "doc_id", "text", ("the", "of"))
 
 
 @query()

@@ -34,11 +34,10 @@ def destination_hierarchy(spark, sf):
     return joined.select("n_name", F.array_join(destinations(title), ",").alias("places"))
 
 
-@query("SELECT p_brand AS record, CASE WHEN count(DISTINCT p_size) = 1 THEN min(p_size) END AS value FROM part WHERE p_partkey < 60 GROUP BY 1")
+@query("SELECT p_partkey // 2 AS record, CASE WHEN count(DISTINCT p_brand) = 1 THEN min(p_brand) END AS value FROM part GROUP BY 1")
 def field_lookup(spark, sf):
     """A field's value where all records of a name agree, else null."""
-    part = table(spark, sf, "part").where("p_partkey < 60")
-    return part.groupBy(F.col("p_brand").alias("record")).agg(F.when(F.countDistinct("p_size") == 1, F.min("p_size")).alias("value"))
+    return table(spark, sf, "part").groupBy(F.expr("p_partkey div 2").alias("record")).agg(F.when(F.countDistinct("p_brand") == 1, F.min("p_brand")).alias("value"))
 
 
 @query("SELECT coalesce(CASE WHEN conv_id % 5 != 0 THEN (conv_id % 50)::VARCHAR END, '@' || (conv_id * 1000 + turn)) AS topic, count(*) AS turns, min(conv_id * 1000 + turn) AS first, max(conv_id * 1000 + turn) AS latest FROM conversations GROUP BY 1")

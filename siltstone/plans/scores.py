@@ -48,7 +48,8 @@ def reader_scores(spark, sf):
 @query("SELECT doc_id, quality AS first, toxic AS second, toxic - quality AS change FROM labels")
 def paired_runs(spark, sf):
     labels = table(spark, sf, "labels")
-    return evaluation.paired(labels, labels, ["doc_id"], "quality").drop("second", "change").join(labels.select("doc_id", F.col("toxic").alias("second")), "doc_id").select("doc_id", "first", "second", (F.col("second") - F.col("first")).alias("change"))
+    first, second = (labels.select("doc_id", F.col(c).alias("score")) for c in ("quality", "toxic"))
+    return evaluation.paired(first, second, ["doc_id"], "score")
 
 
 @query("SELECT event_type, count(*) AS n, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS ok FROM events GROUP BY 1")
@@ -91,10 +92,13 @@ def calc_clock(spark, sf):
 
 
 @query()
-def classifier_scores(spark, sf):
-    """A hashed linear classifier, fitted on a bounded sample, scores every document."""
+def classifier_scores(spark, sf, sample_per_label: int = 40):
+    """A hashed linear classifier, fitted on the whole texts of at most sample_per_label labelled rows of each kind, scores every document."""
+    from pyspark.sql import Window as W
+
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    sample = labels.join(docs, "doc_id").orderBy(F.xxhash64("doc_id")).limit(150).select(F.left("text", F.lit(600)).alias("text"), F.col("lang")).collect()
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sample = labels.select("doc_id").join(docs, "doc_id").withColumn("place", place).where(F.col("place") <= sample_per_label).select("text", "lang").orderBy(F.xxhash64("text")).collect()
     kinds = sorted({r["lang"] for r in sample})
     model = Softmax(kinds).fit([(r["text"], r["lang"]) for r in sample], rounds=3)
     return model.score(docs.select("doc_id", "text"), "doc_id", "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,22 +21,13 @@ def pages(spark: SparkSession, path: str, namespace: int = 0) -> DataFrame:
 
 
 def templates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of outermost {{…}}, nested ones within."""
-    out, depth, start, i = [], 0, 0, 0
-    while i < len(text) - 1:
-        two = text[i : i + 2]
-        if two == "{{":
-            start = i if depth == 0 else start
-            depth += 1
-            i += 2
-        elif two == "}}" and depth:
-            depth -= 1
-            i += 2
-            if depth == 0:
-                out.append((start, i))
-        else:
-            i += 1
-    return out
+    """(start, end) of outermost {{…}}, nested ones within; brackets without a partner are text."""
+    edges = [(m.end(), 1 if m[0] == "{{" else -1) for m in re.finditer(r"\{\{|\}\}", text)]
+    depth = list(accumulate((step for _, step in edges), lambda at, step: max(0, at + step), initial=0))
+    turns = list(zip(edges, depth, depth[1:], strict=False))
+    starts = [end - 2 for (end, _), before, after in turns if before == 0 and after == 1]
+    ends = [end for (end, _), before, after in turns if before == 1 and after == 0]
+    return list(zip(starts, ends, strict=False))
 
 
 def fields(template: str) -> tuple[str, dict[str, str]]:
