@@ -61,7 +61,7 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fits(df: DataFrame, limit_rows: int, limit_bytes: int = 32_000_000) -> bool:
+def fits(df: DataFrame, limit_rows: int, limit_bytes: int = 16_000_000) -> bool:
     """Whether df, a table that materialise() wrote, has at most limit_rows rows and limit_bytes bytes of files: the check before a broadcast."""
     path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written)
     size = path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()

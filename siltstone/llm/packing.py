@@ -121,17 +121,18 @@ class _Encoder:
                     first += len(w)
 
 
-def _tokenizer(path: str) -> _Encoder:
+def _tokenizer(path: str, cached: int = 1_200_000) -> _Encoder:
     if path not in _loaded:
         _loaded[path] = _Encoder(path)
+    _loaded[path].cached, _loaded[path].run_cached = cached, cached * 5 // 6
     return _loaded[path]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 4096, cached: int = 1_200_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every text's ids and the end id, cut into pieces of at most capacity ids; only the last of a text may be shorter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, end = _tokenizer(path), np.array([END], dtype="<u4").tobytes()
+        ids, end = _tokenizer(path, cached), np.array([END], dtype="<u4").tobytes()
         gc.disable()  # millions of strings, and no cycles among them
         for b in batches:
             rows = []
@@ -225,9 +226,9 @@ def pack(cut: DataFrame, capacity: int = 4096, bucket_rows: int = 20_000) -> Dat
     return ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 4096) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all of docs. Null and empty texts have the end id alone. Repeated rows and null ids are packed like any other; other columns are ignored."""
-    return pack(materialise(pieces(docs, path or tokenizer_path(), capacity).withColumn("_row", F.monotonically_increasing_id()), "pieces"), capacity)
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 4096, cached: int = 1_200_000) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all of docs. Null and empty texts have the end id alone. Repeated rows and null ids are packed like any other; texts of any length are cut, whole; other columns, whatever their names, are ignored; an empty table gives an empty result. cached: words whose ids a worker keeps; it changes time and memory only."""
+    return pack(materialise(pieces(docs, path or tokenizer_path(), capacity, cached).withColumn("_row", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
