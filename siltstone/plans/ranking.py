@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import query_terms, tokens
 from siltstone.operators import merge, search, vectors
 from siltstone.plans.base import registry
+from siltstone.sources.stored import text_index
 from siltstone.sources.tables import table
 
 QUERIES, ORACLES, query = registry()
@@ -32,25 +33,25 @@ _RUNS = f"(SELECT d.source AS pack, s.doc_id, s.score FROM ({_bm25('documents')}
 
 def _runs(spark, sf):
     docs = table(spark, sf, "documents")
-    return search.bm25(docs, TERMS).join(docs.select("doc_id", F.col("source").alias("pack")), "doc_id")
+    return text_index(spark, sf).bm25(TERMS).join(docs.select("doc_id", F.col("source").alias("pack")), "doc_id")
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM ({_bm25('documents')}) ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, sf):
     """Full-text top 20."""
-    return search.top(search.bm25(table(spark, sf, "documents"), TERMS), 20).select("doc_id", F.round("score", 6).alias("score"))
+    return search.top(text_index(spark, sf).bm25(TERMS), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, round(sum(score), 6) AS score FROM (SELECT doc_id, 3 * score AS score FROM ({_bm25(_TITLED, 'title')}) UNION ALL SELECT doc_id, score FROM ({_bm25('documents')})) GROUP BY doc_id ORDER BY sum(score) DESC, doc_id LIMIT 20")
 def bm25_title_weighted(spark, sf):
-    return search.top(search.title_weighted(table(spark, sf, "documents"), TERMS), 20).select("doc_id", F.round("score", 6).alias("score"))
+    return search.top(text_index(spark, sf).title_weighted(TERMS), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT t.doc_id, round(t.score, 6) AS score, length(d.text) AS n, md5(d.text) AS digest FROM (SELECT * FROM ({_bm25('documents')}) ORDER BY score DESC, doc_id LIMIT 20) t JOIN documents d USING (doc_id)")
 def late_materialised_search(spark, sf):
     """The text joins only the rows that rank."""
     docs = table(spark, sf, "documents")
-    best = search.top(search.bm25(docs, TERMS), 20)
+    best = search.top(text_index(spark, sf).bm25(TERMS), 20)
     return docs.join(F.broadcast(best), "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
@@ -67,15 +68,38 @@ def query_bigrams(spark, sf):
 
 @query(f"SELECT term, least(count(*), 400) AS df FROM (SELECT unnest(list_distinct({_WORDS})) AS term FROM documents) GROUP BY term ORDER BY count(*) DESC, term LIMIT 200")
 def term_df_capped(spark, sf):
-    docs = table(spark, sf, "documents")
-    df = search.document_frequency(docs).orderBy(F.desc("df"), "term").limit(200)
+    df = text_index(spark, sf).terms.where("field = 'text'").orderBy(F.desc("df"), "term").limit(200)
     return df.select("term", F.least("df", F.lit(400)).cast("long").alias("df"))
 
 
 @query(f"""WITH s AS (SELECT b.doc_id, b.score, len(list_intersect(list_distinct({_WORDS}), ['the', 'thing', 'tion'])) AS held FROM ({_bm25('documents', terms="'the', 'thing', 'tion'")}) b JOIN documents d USING (doc_id))
 SELECT doc_id, min(stage) AS stage, round(any_value(score), 6) AS score FROM ((SELECT doc_id, 0 AS stage, score FROM s WHERE held = 3 ORDER BY score DESC, doc_id LIMIT 10) UNION ALL (SELECT doc_id, 1, score FROM s ORDER BY score DESC, doc_id LIMIT 30)) GROUP BY doc_id""")
 def rare_term_conjunction_pool(spark, sf):
-    return search.pool(table(spark, sf, "documents"), ("the", "thing", "tion"), 10).select("doc_id", "stage", F.round("score", 6).alias("score"))
+    return text_index(spark, sf).pool(("the", "thing", "tion"), 10).select("doc_id", "stage", F.round("score", 6).alias("score"))
+
+
+@query(rf"""SELECT field, count(*) AS terms, sum(df)::BIGINT AS postings, sum(total)::BIGINT AS words FROM (
+  SELECT field, term, count(DISTINCT doc_id) AS df, count(*) AS total FROM (
+    SELECT 'text' AS field, doc_id, unnest({_WORDS}) AS term FROM documents UNION ALL
+    SELECT 'title', doc_id, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+')) FROM {_TITLED}) GROUP BY 1, 2) GROUP BY 1""")
+def stored_index(spark, sf):
+    """What the stored index holds; the first query of an application that needs the index writes it."""
+    terms = text_index(spark, sf).terms
+    return terms.groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("total").alias("words"))
+
+
+@query(rf"""SELECT doc_id FROM (SELECT doc_id, {_WORDS} AS w, regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+') AS t FROM {_TITLED})
+WHERE (list_contains(w, 'thing') AND (len(list_filter(w, lambda x: starts_with(x, 'nat'))) > 0 OR list_contains(w, 'heer'))) OR list_contains(t, 'stand')""")
+def fielded_match(spark, sf):
+    """The query language: AND, OR, brackets, prefixes and fields, from postings alone."""
+    return text_index(spark, sf).match("(text:thing AND (text:nat* OR text:heer)) OR title:stand")
+
+
+@query(rf"""SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS w FROM documents) WHERE contains(w, ' of the ') AND (contains(w, ' in the ') OR starts_with(w, ' the '))""")
+def phrase_match(spark, sf):
+    """Phrases and a first word: postings find the documents that hold all words, their texts decide."""
+    docs = search.passages(table(spark, sf, "documents"))
+    return text_index(spark, sf).match('text:"of the" (text:"in the" OR text:^the)', docs)
 
 
 @query(f"SELECT pack, doc_id, round(max(score) OVER (PARTITION BY pack) - score, 6) AS shift FROM {_RUNS}")
@@ -102,8 +126,8 @@ def merge_runs(spark, sf):
 @query(f"""WITH v AS (SELECT doc_id, score FROM ({_bm25('documents', terms="'thing'")}) ORDER BY score DESC, doc_id LIMIT 10), k AS (SELECT * FROM ({_bm25('documents')}) ORDER BY score DESC, doc_id LIMIT 20)
 SELECT doc_id, tier, row_number() OVER (ORDER BY tier, place) AS rank FROM (SELECT doc_id, 0 AS tier, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM v UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY score DESC, doc_id) FROM k WHERE doc_id NOT IN (SELECT doc_id FROM v))""")
 def fuse_vector_ahead(spark, sf):
-    docs = table(spark, sf, "documents")
-    found = merge.fuse(search.top(search.bm25(docs, ["thing"]), 10), search.top(search.bm25(docs, TERMS), 20))
+    index = text_index(spark, sf)
+    found = merge.fuse(search.top(index.bm25(["thing"]), 10), search.top(index.bm25(TERMS), 20))
     return found.select("doc_id", "tier", F.col("rank").cast("long").alias("rank"))
 
 
