@@ -74,3 +74,27 @@ def clock(start: Column, minutes: Column, offset: Column) -> Column:
 def between(start: Column, end: Column) -> Column:
     """Minutes from one time of day to the next occurrence of another."""
     return F.pmod(end - start, F.lit(1440))
+
+
+def fuel_range(litres: Column, per_100_km: Column) -> Column:
+    """Kilometres on a tank, null unless both figures are above zero."""
+    return F.when((litres > 0) & (per_100_km > 0), litres / per_100_km * 100)
+
+
+def travel_hours(km: Column, km_per_hour: Column, stops: Column | None = None) -> Column:
+    """struct(moving, whole) in hours: whole adds the minutes of stops, or ten minutes an hour where none are given."""
+    moving = F.when(km_per_hour > 0, km / km_per_hour)
+    return F.struct(moving.alias("moving"), (moving * 7 / 6 if stops is None else moving + stops / 60).alias("whole"))
+
+
+def per_unit(price: Column, amount: Column) -> Column:
+    return F.when(amount > 0, price / amount)
+
+
+def scaled(amount: Column, servings: Column, wanted: Column) -> Column:
+    """An ingredient for another number of servings."""
+    return F.when(servings > 0, amount * wanted / servings)
+
+
+def percent(base: Column, rate: Column) -> Column:
+    return base * rate / 100

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.functions.labels import within_edits
 from siltstone.functions.text import stem
 
 # Words that keep their spelling, and casual spellings with what they stand for.
@@ -29,9 +30,10 @@ def _one_vowel(word: Column) -> Column:
 
 
 def contracted(text: Column) -> Column:
-    """Casual spellings with their apostrophes: dont -> don't, WHATS -> WHAT'S, Whats -> What's."""
+    """Casual spellings with their apostrophes: dont -> don't, WHATS -> WHAT'S, Whats -> What's; a capital first letter stays one."""
     for word, spelled in CASUAL.items():
-        for found, put in ((word.upper(), spelled.upper()), (word.capitalize(), spelled[0].upper() + spelled[1:]), (word, spelled)):
+        first, rest = word[0], word[1:]
+        for found, put in ((word.upper(), spelled.upper()), (f"{first.upper()}(?i:{rest})", spelled[0].upper() + spelled[1:]), (f"(?i:{word})", spelled)):
             text = F.regexp_replace(text, rf"\b{found}\b", put)
     return text
 
@@ -54,38 +56,16 @@ def coded_terms(text: Column) -> Column:
     return F.concat(F.transform(words, stem), F.transform(codes, lambda c: F.regexp_replace(c, "[-‐–]", "")))
 
 
-def distance(a: Column, b: Column, cap: int = 3) -> Column:
-    """Edit distance, cap + 1 for any that is larger."""
-    d = F.levenshtein(a, b, cap)
-    return F.when(d < 0, cap + 1).otherwise(d)
-
-
 def useful_aliases(title: Column, aliases: Column, keep: int = 6) -> Column:
     """Up to keep aliases in order: with a Latin letter, not of the form TwoWords, and, from five letters on, more than two edits from the title and all kept ones, case aside."""
-    new = lambda s, a: ~F.exists(F.concat(F.array(F.lower(title)), F.transform(s, F.lower)), lambda k: (F.length(k) >= 5) & (F.length(a) >= 5) & (distance(F.lower(a), k, 2) <= 2))
+    new = lambda s, a: ~F.exists(F.concat(F.array(F.lower(title)), F.transform(s, F.lower)), lambda k: (F.length(k) >= 5) & (F.length(a) >= 5) & (within_edits(F.lower(a), k, 2) <= 2))
     plain = F.filter(aliases, lambda a: a.rlike("[A-Za-z]") & ~a.rlike(r"^[A-Z][a-z]+(?:[A-Z][a-z]+)+$"))
     return F.aggregate(plain, F.array().cast("array<string>"), lambda s, a: F.when((F.size(s) < keep) & new(s, a), F.array_append(s, a)).otherwise(s))
 
 
-def compact(value: Column, most: int = 96) -> Column:
-    """A label of at most `most` characters, cut ones with an ellipsis."""
-    return F.when(F.length(value) <= most, value).otherwise(F.concat(F.left(value, F.lit(most - 1)), F.lit("…")))
-
-
-def own_heading(title: Column) -> Column:
-    """The last part of "Article — Section > Subsection"."""
-    return F.trim(F.substring_index(F.substring_index(title, " — ", -1), " > ", -1))
-
-
-def article_of(title: Column) -> Column:
-    """The part of a title before the first dash."""
-    return F.trim(F.substring_index(title, " — ", 1))
-
-
-def page_ranges(pages: Column) -> Column:
-    """Distinct page numbers as a label: [7, 1, 2, 3] -> 1–3, 7; empty for none."""
-    p = F.array_sort(F.array_distinct(pages))
-    firsts = F.filter(p, lambda x: ~F.array_contains(p, x - 1))
-    lasts = F.filter(p, lambda x: ~F.array_contains(p, x + 1))
-    label = F.zip_with(firsts, lasts, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("–", a.cast("string"), b.cast("string"))))
-    return F.array_join(label, ", ")
+def compact(value: Column, units: int = 96) -> Column:
+    """A label of at most so many UTF-16 units, cut ones with an ellipsis; no character is split."""
+    size = lambda c: F.octet_length(F.encode(c, "UTF-16LE")) / 2
+    cuts = F.sequence(F.lit(units - 1), F.lit((units - 1) // 2), F.lit(-1))
+    kept = F.element_at(F.filter(cuts, lambda k: size(F.left(value, k)) <= units - 1), 1)
+    return F.when(size(value) <= units, value).otherwise(F.concat(F.left(value, kept), F.lit("…")))

@@ -39,6 +39,16 @@ def modules(rows: DataFrame, shelf: str, item: str, size: str, most: int, capaci
     return rows.select(shelf, item, size).groupBy(shelf).applyInPandas(fill, f"{shelf} {kinds[shelf]}, {item} {kinds[item]}, module int")
 
 
+def evidence(rows: DataFrame, group: str, order: str, size: str, budget: int, most: int) -> DataFrame:
+    """Rows of each group with place (from 1), as long as they fit in order: one that doesn't fit is passed over, at most `most` enter. Groups are ranked lists cut to a few rows beforehand."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>").alias("kept"))
+    enters = lambda a, x: (a["used"] + x["s"] <= budget) & (F.size(a["kept"]) < most)
+    step = lambda a, x: F.when(enters(a, x), F.struct((a["used"] + x["s"]).alias("used"), F.array_append(a["kept"], x["o"]).alias("kept"))).otherwise(a)
+    kept = rows.groupBy(group).agg(pairs.alias("_p")).select(F.col(group).alias("_g"), F.posexplode(F.aggregate("_p", start, step, lambda a: a["kept"])).alias("_i", "_o"))
+    return rows.join(kept, (F.col(group) == F.col("_g")) & (F.col(order) == F.col("_o"))).withColumn("place", F.col("_i") + 1).drop("_g", "_o", "_i")
+
+
 def peak(rows: DataFrame, group: str, order: str, change: str) -> DataFrame:
     """(group, final, peak) of a running sum of changes."""
     running = F.sum(change).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
