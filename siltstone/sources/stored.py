@@ -7,22 +7,13 @@ import hashlib
 from pyspark.sql import SparkSession
 
 from siltstone.operators import inverted, search
-from siltstone.sources.tables import table
+from siltstone.sources.tables import shared_folder, table
 
 
 #: Indexes opened by this process, by folder; the folder's name holds the application's id.
 _OPEN: dict[str, inverted.Index] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder under the warehouse where all of Spark is one process; elsewhere an unset folder is an error."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not given and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-
-
 def text_index(spark: SparkSession, sf_dir: str) -> inverted.Index:
     """The index of documents by title and text. The first call of an application writes it; the folder's name follows the table's files, their sizes and times, so a changed table is indexed anew."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
