@@ -19,7 +19,7 @@ from siltstone.llm.common import discard, materialise, parts, table
 from siltstone.operators.running import numbered
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-BLOCKS = "block long, words array<binary>, totals array<long>, ids array<long>, sizes array<long>, kinds array<int>, at array<int>, times array<long>"
+BLOCKS = "block long, words array<binary>, totals array<long>, ids array<long>, sizes array<long>, kinds array<int>, at array<int>, times array<int>"
 
 
 def features(text: bytes, longest: int) -> tuple[int, Counter]:
@@ -41,8 +41,8 @@ def blocks(docs: DataFrame, longest: int, size: int = 4_000_000) -> DataFrame:
             totals = np.zeros(len(known), dtype=np.int64)
             at_, times_ = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (at, times))
             np.add.at(totals, at_, times_)
-            lists = [list(known), totals, ids, sizes, kinds, at_.astype(np.int32), times_]
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            lists = [list(known), totals, ids, sizes, kinds, at_.astype(np.int32), times_.astype(np.int32)]
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in zip(lists, types, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([task << 32 | number], pa.int64()), *whole], ["block", "words", "totals", "ids", "sizes", "kinds", "at", "times"])
 
@@ -93,14 +93,16 @@ def resample(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int
     gain = materialise(gains(corpus, goal, buckets), "gains")
     known = corpus.join(F.broadcast(gain), "bucket").select("word", "gain")
     listed = of.select("block", F.posexplode("words").alias("place", "word")).join(known, "word")
-    back = listed.groupBy(F.col("block").alias("_block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "gain"))), lambda x: x["gain"]).alias("gains"))
+    packed = F.col("place") * F.lit(1 << 32) + F.col("gain") + F.lit(1 << 31)  # one long for each, in order of place
+    back = listed.groupBy(F.col("block").alias("_block")).agg(F.sort_array(F.collect_list(packed)).alias("gains"))
     whole = of.select("block", "ids", "sizes", "kinds", "at", "times").join(back, F.col("block") == F.col("_block"), "left").drop("block", "_block")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 1):
             ids, sizes, kinds, at, times, gain = (b.column(c).flatten() for c in ("ids", "sizes", "kinds", "at", "times", "gains"))
-            times, ends = times.to_numpy(), np.cumsum(kinds.to_numpy())
-            sums = np.concatenate([[0], np.cumsum(gain.to_numpy()[at.to_numpy()] * times)]) if len(at) else np.zeros(1, dtype=np.int64)
+            times, ends = times.to_numpy().astype(np.int64), np.cumsum(kinds.to_numpy())
+            gain = (gain.to_numpy() & 0xFFFFFFFF) - (1 << 31)
+            sums = np.concatenate([[0], np.cumsum(gain[at.to_numpy()] * times)]) if len(at) else np.zeros(1, dtype=np.int64)
             counts = np.concatenate([[0], np.cumsum(times)])
             starts = np.concatenate([[0], ends[:-1]])
             yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(counts[ends] - counts[starts]), pa.array((sums[ends] - sums[starts]).astype(np.int64))], ["doc_id", "n_words", "n_features", "weight"])
