@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from siltstone.llm import ann, brown, decontam, divergence, html, importance, licences, lines, packing, pii, simhash, toxicity
+from siltstone.llm import ann, brown, decontam, divergence, html, importance, licences, lines, multiindex, packing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -17,7 +17,8 @@ QUERIES = {
     "op9_brown": brown.op9_brown,
     "op10_licences": licences.op10_licences,
     "op11_resampling": importance.op11_resampling,
+    "op12_embedding_dedup": multiindex.op12_embedding_dedup,
     "op13_divergence": divergence.op13_divergence,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op6_lines": lines.ORACLE_SQL, "op11_resampling": importance.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = {"op6_lines": lines.ORACLE_SQL, "op11_resampling": importance.ORACLE_SQL, "op12_embedding_dedup": multiindex.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
