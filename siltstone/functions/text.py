@@ -51,6 +51,13 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@pandas_udf(StringType())
+def unmarked(text: pd.Series) -> pd.Series:
+    """Lower case without any marks, other letters as they are."""
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.category(c).startswith("M")).lower()
+    return text.map(lambda t: None if t is None else bare(t))
+
+
 @pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     """Lower case without accents; letters that don't decompose are spelled out."""

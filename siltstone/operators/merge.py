@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,32 +14,35 @@ def relative(runs: DataFrame, pack: str = "pack") -> DataFrame:
     return runs.withColumn("shift", F.max("score").over(W.partitionBy(pack)) - F.col("score"))
 
 
-def round_robin(runs: DataFrame, pack: str = "pack", key: str = "doc_id") -> DataFrame:
-    """runs with turn: the best of every collection, then the second of every one."""
-    place = F.row_number().over(W.partitionBy(pack).orderBy(F.desc("score"), key))
-    return runs.withColumn("place", place).withColumn("turn", F.row_number().over(W.orderBy("place", pack)))
+def round_robin(runs: DataFrame, pack: str = "pack", key: str = "doc_id", by: Sequence[str] = (), keep: int = 1000) -> DataFrame:
+    """runs with turn: the best of every collection, then the second of every one; of each question, where `by` names its columns. Only the `keep` best rows of a collection enter."""
+    place = F.row_number().over(W.partitionBy(*by, pack).orderBy(F.desc("score"), key))
+    return runs.withColumn("place", place).where(F.col("place") <= keep).withColumn("turn", F.row_number().over(W.partitionBy(*by).orderBy("place", pack)))
 
 
-def merge(runs: DataFrame, limit: int, keep: int = 50, pack: str = "pack", key: str = "doc_id") -> DataFrame:
+def merge(runs: DataFrame, limit: int | Column, keep: int = 50, pack: str = "pack", key: str = "doc_id", by: Sequence[str] = (), priority: Column | None = None) -> DataFrame:
     """The best of several collections: first and second places go round, third places come by shift, the rest fill by shift; the outcome is in order of shift.
 
-    Only the `keep` best rows of a collection, limit at least, enter, so what is ordered as a whole is small.
+    by: columns of the questions that runs answer, each merged on its own. priority: rows that come first within their collection, whose collections come first, and which lead the outcome. limit may be a column that doesn't vary within a question. Only the `keep` best rows of a collection enter, so what is ordered as a whole is small.
     """
-    place = F.row_number().over(W.partitionBy(pack).orderBy(F.desc("score"), key))
-    rows = relative(runs, pack).withColumn("place", place).where(F.col("place") <= max(keep, limit))
+    first = F.lit(False) if priority is None else priority
+    place = F.row_number().over(W.partitionBy(*by, pack).orderBy(F.desc("_first"), F.desc("score"), key))
+    best = F.max("score").over(W.partitionBy(*by, pack))
+    rows = runs.withColumn("_first", first).withColumn("shift", best - F.col("score")).withColumn("place", place).where(F.col("place") <= keep)
+    head = F.max(F.when(F.col("place") == 1, F.col("_first"))).over(W.partitionBy(*by, pack))
     tier = F.when(F.col("place") <= 2, F.col("place") - 1).when(F.col("place") == 3, 2).otherwise(3)
-    by = [F.col("tier"), F.when(F.col("tier") < 2, F.lit(0.0)).otherwise(F.col("shift")), F.col(pack), F.col("place")]
-    slot = F.row_number().over(W.orderBy(*by))
-    rows = rows.withColumn("tier", tier).withColumn("_first", F.row_number().over(W.partitionBy(key).orderBy(*by))).where("_first = 1")
-    chosen = rows.withColumn("slot", slot).where(F.col("slot") <= limit)
-    return chosen.select(pack, key, "score", "shift", "slot", F.row_number().over(W.orderBy("shift", "slot")).alias("rank"))
-
-
-def fuse(vector: DataFrame, keyword: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Vector hits ahead of keyword hits, each in its own order; a keyword hit that is a vector hit too goes."""
-    first = vector.select(key, F.lit(0).alias("tier"), F.row_number().over(W.orderBy(F.desc("score"), key)).alias("place"))
-    rest = keyword.join(vector, key, "left_anti").select(key, F.lit(1).alias("tier"), F.row_number().over(W.orderBy(F.desc("score"), key)).alias("place"))
-    return first.unionByName(rest).select(key, "tier", F.row_number().over(W.orderBy("tier", "place")).alias("rank"))
+    order = [F.col("tier"), F.when(F.col("tier") < 2, F.lit(0.0)).otherwise(F.col("shift")), F.desc("_head"), F.col(pack), F.col("place")]
+    rows = rows.withColumn("_head", head).withColumn("tier", tier).withColumn("_same", F.row_number().over(W.partitionBy(*by, key).orderBy(*order))).where("_same = 1")
+    chosen = rows.withColumn("slot", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("slot") <= limit)
+    return chosen.select(*by, pack, key, "score", "shift", "slot", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_first"), "shift", "slot")).alias("rank"))
+
+
+def fuse(vector: DataFrame, keyword: DataFrame, key: str = "doc_id", by: Sequence[str] = (), keep: int = 1000) -> DataFrame:
+    """Vector hits ahead of keyword hits, each in its own order; a keyword hit that is a vector hit too goes. The `keep` best of each enter."""
+    best = lambda hits, tier: hits.select(*by, key, F.lit(tier).alias("tier"), F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), key)).alias("place")).where(F.col("place") <= keep)
+    first = best(vector, 0)
+    rest = best(keyword, 1).join(first.select(*by, key), [*by, key], "left_anti")
+    return first.unionByName(rest).select(*by, key, "tier", F.row_number().over(W.partitionBy(*by).orderBy("tier", "place")).alias("rank"))
 
 
 def one_each(rows: DataFrame, brand, order: list) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import corpus, lookups, places, ranking, records, scans, scores, wordings
+from siltstone.plans import answers, collections, corpus, evidence, lookups, places, ranking, records, scans, scores, travel, wordings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (ranking, corpus, places, records, scores, lookups, scans, wordings):
+for part in (ranking, corpus, places, records, scores, lookups, scans, wordings, travel, evidence, answers, collections):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

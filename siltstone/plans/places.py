@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import geo
-from siltstone.functions.hours import opening
 from siltstone.operators import merge, places
 from siltstone.plans.base import registry
 from siltstone.sources.tables import table
@@ -110,13 +109,3 @@ def chain_names(spark, sf):
 def one_per_business(spark, sf):
     rows = _listings(spark, sf).withColumn("brand", F.concat_ws("|", "c_nationkey", "c_mktsegment"))
     return merge.one_each(rows, "brand", [F.desc("c_acctbal"), "id"]).select("id", "c_nationkey")
-
-
-HOURS = ("Mo-Fr 08:00-13:00; PH off, Mo-Fr 14:00-18:30", "Fr 18:00-02:00", "18:00+", "24/7", "sunrise-sunset", "Mo-Sa 09:00-17:00; We off", "")
-
-
-@query(f"SELECT id, ([{', '.join(repr(s) for s in ('closed', 'closed', 'closed', 'open', 'unknown', 'closed', 'unknown'))}])[id % 7 + 1] AS state FROM {_L}")
-def opening_status(spark, sf):
-    """Hours of seven kinds, asked on a Wednesday at 13:30."""
-    hours = F.element_at(F.array(*map(F.lit, HOURS)), (F.col("id") % 7 + 1).cast("int"))
-    return _listings(spark, sf).select("id", opening(2, 13 * 60 + 30)(hours)["state"].alias("state"))

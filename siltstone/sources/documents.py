@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.headings import Trail
+
 DOCUMENT = "document_id string, title string, source string, license string, text string"
 FIELDS = ("document_id", "title", "source", "license", "text")
 ID = re.compile(r"[a-z0-9][a-z0-9._-]{0,127}")
@@ -120,7 +122,7 @@ def markdown_sections(text: str) -> tuple[dict[str, str], list[tuple[str, str]]]
     if m:
         front = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in m[1].split("\n")) if k.strip()}
         text = text[m.end() :]
-    out, stack, lines, path, fenced = [], [], [], "", False
+    out, trail, lines, path, fenced = [], Trail(), [], "", False
     for line in [*text.split("\n"), None]:
         h = None if line is None or fenced else re.match(r"(#{1,6})\s+(.*?)\s*#*$", line)
         if line is None or h:
@@ -129,8 +131,7 @@ def markdown_sections(text: str) -> tuple[dict[str, str], list[tuple[str, str]]]
                 out.append((path, body))
             lines = []
             if h:
-                stack = [(n, t) for n, t in stack if n < len(h[1])] + [(len(h[1]), h[2])]
-                path = " > ".join(t for _, t in stack)
+                path = " > ".join(trail.under(len(h[1]), h[2]))
         else:
             fenced ^= line.lstrip().startswith("```")
             lines.append(line)

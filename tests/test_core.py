@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import geo
 from siltstone.functions.hashing import Softmax, features, fnv1a
-from siltstone.functions.hours import rules, status
 from siltstone.functions.text import clean, fold, nfkc, query_terms, without_contractions
 from siltstone.operators import audit, budget, chunking, editions, merge, places, search, vectors
 from siltstone.plans import catalogue
@@ -78,14 +77,6 @@ def test_settlements(spark):
     assert got == {1: ("metro", 1)} | ({2: ("town", 2)} if one(spark, geo.haversine(F.lit(0.0), F.lit(-179.6), F.lit(0.0), F.lit(-179.9))) <= 20 else {})
 
 
-def test_hours():
-    week = "Mo-Fr 08:00-13:00; PH off, Mo-Fr 14:00-18:30"
-    assert status(week, 2, 9 * 60) == ("open", 780) and status("Fr 18:00-02:00", 5, 60) == ("open", 120)
-    assert status("18:00+", 0, 19 * 60) == ("open", None) and status("24/7", 6, 0)[0] == "open"
-    assert status("sunrise-sunset", 0, 600) == ("unknown", None) and status(None, 0, 0) == ("unknown", None)
-    assert status("Mo-Su 09:00-17:00; We off", 2, 600) == ("closed", None) and rules("Mo 25:00-26:00 foo") is None
-
-
 def test_hashing():
     assert fnv1a("") == 2166136261 and fnv1a("a") == 0xE40C292C
     f = features("red red car")
