@@ -12,8 +12,8 @@ QUERIES, ORACLES, query = registry()
 
 #: Three steps for each order: a product, a sum that starts from it, and a time of arrival; d cents and e minutes are what they are off by.
 _STEPS = """o AS (SELECT o_orderkey AS k, o_custkey % 50 + 1 AS q, o_orderkey % 900 + 100 AS c, CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 0 END AS d, 1 + o_custkey % 9 AS h, o_orderkey % 59 + 1 AS m, CASE WHEN o_orderkey % 2 = 0 THEN 10 ELSE 0 END AS e FROM orders),
-t AS (SELECT *, printf('%.2f', c / 100.0) AS price, printf('%.2f', (q * c + d) / 100.0) AS made, printf('%.2f', q * c / 100.0) AS true_, printf('%.2f', (q * c + d + 37) / 100.0) AS sum_, printf('%.2f', (q * c + 37) / 100.0) AS true_sum, (495 + h * 60 + m) % 1440 AS at FROM o),
-s AS (SELECT *, printf('%02d:%02d', at // 60, at % 60) AS clock, printf('%02d:%02d', (at + e) % 1440 // 60, (at + e) % 60) AS told FROM t)"""
+t AS (SELECT *, printf('%.2f', c / 100.0) AS price, printf('%.2f', (q * c + d) / 100.0) AS made, printf('%.2f', q * c / 100.0) AS true_, printf('%.2f', (q * c + d + 37) / 100.0) AS sum_, printf('%.2f', (q * c + 37) / 100.0) AS true_sum, (495 + h * 60 + m) % 1440 AS mins FROM o),
+s AS (SELECT *, printf('%02d:%02d', mins // 60, mins % 60) AS clock, printf('%02d:%02d', (mins + e) % 1440 // 60, (mins + e) % 60) AS told FROM t)"""
 
 
 def _texts(spark, sf):
@@ -24,20 +24,20 @@ def _texts(spark, sf):
     at = (495 + F.col("h") * 60 + F.col("m") + F.col("e")) % 1440
     made = F.col("q") * F.col("c") + F.col("d")
     lines = F.concat_ws(
-        "", F.lit("So "), "q", F.lit(" boxes × "), money(F.col("c")), F.lit(" = "), money(made), F.lit(".\nThen "), money(made), F.lit(" + €0.37 = "), money(made + 37), F.lit(", not 2 × 3 × 4 = 25.\nArrival: 08:15 + "), "h", F.lit(" h "), "m", F.lit(" min = "), F.format_string("%02d:%02d", F.floor(at / 60), at % 60), F.lit("."),
+        "", F.lit("So "), "q", F.lit(" boxes × "), money(F.col("c")), F.lit(" = "), money(made), F.lit(".\nThen "), money(made), F.lit(" + €0.37 = "), money(made + 37), F.lit("; not 2 × 3 × 4 = 25.\nArrival: 08:15 + "), "h", F.lit(" h "), "m", F.lit(" min = "), F.format_string("%02d:%02d", F.floor(at / 60), at % 60), F.lit("."),
     )
     return rows.select("k", lines.alias("text"), steps.steps(lines).alias("steps"))
 
 
 @query(f"""WITH {_STEPS} SELECT k, 1 AS n, round(q * c / 100.0, 4)::DOUBLE AS value, d = 0 AS is_right, q || ' boxes × €' || price || ' = €' || true_ AS fixed FROM s
-UNION ALL SELECT k, 2, round((q * c + 37) / 100.0, 4)::DOUBLE, d = 0, '€' || true_ || ' + €0.37 = €' || true_sum FROM s UNION ALL SELECT k, 3, at::DOUBLE, e = 0, '08:15 + ' || h || ' h ' || m || ' min = ' || clock FROM s""")
+UNION ALL SELECT k, 2, round((q * c + 37) / 100.0, 4)::DOUBLE, d = 0, '€' || true_ || ' + €0.37 = €' || true_sum FROM s UNION ALL SELECT k, 3, mins::DOUBLE, e = 0, '08:15 + ' || h || ' h ' || m || ' min = ' || clock FROM s""")
 def worked_steps(spark, sf):
     """Each step of generated answers worked out again."""
     rows = _texts(spark, sf).select("k", F.posexplode("steps").alias("n", "s"))
     return rows.select("k", (F.col("n") + 1).alias("n"), F.round("s.value", 4).alias("value"), F.col("s.right").alias("is_right"), "s.fixed")
 
 
-@query(f"""WITH {_STEPS} SELECT k, 'So ' || q || ' boxes × €' || price || ' = €' || true_ || CASE WHEN d > 0 THEN ' (corrected)' ELSE '' END || '.' || chr(10) || 'Then €' || true_ || ' + €0.37 = €' || true_sum || CASE WHEN d > 0 THEN ' (corrected)' ELSE '' END || ', not 2 × 3 × 4 = 25.' || chr(10) || 'Arrival: 08:15 + ' || h || ' h ' || m || ' min = ' || clock || CASE WHEN e > 0 THEN ' (corrected)' ELSE '' END || '.' AS text FROM s""")
+@query(f"""WITH {_STEPS} SELECT k, 'So ' || q || ' boxes × €' || price || ' = €' || true_ || CASE WHEN d > 0 THEN ' (corrected)' ELSE '' END || '.' || chr(10) || 'Then €' || true_ || ' + €0.37 = €' || true_sum || CASE WHEN d > 0 THEN ' (corrected)' ELSE '' END || '; not 2 × 3 × 4 = 25.' || chr(10) || 'Arrival: 08:15 + ' || h || ' h ' || m || ' min = ' || clock || CASE WHEN e > 0 THEN ' (corrected)' ELSE '' END || '.' AS text FROM s""")
 def corrected_answers(spark, sf):
     """Generated answers with their wrong steps put right."""
     return _texts(spark, sf).select("k", steps.corrected(F.col("text"), F.col("steps")).alias("text"))

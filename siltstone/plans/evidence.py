@@ -98,12 +98,12 @@ scored AS (SELECT item_id, slot, share, p.article, doc, n, lead, length(text) AS
 best AS (SELECT *, max(score) OVER (PARTITION BY item_id, slot, doc) AS b, lead AND row_number() OVER (PARTITION BY item_id, slot, lead ORDER BY doc, n) = 1 AS opens FROM scored),
 late AS (SELECT *, coalesce(max(CASE WHEN opens THEN size END) OVER (PARTITION BY item_id, slot) + first_value(CASE WHEN NOT lead AND b > 0 THEN size END) OVER (PARTITION BY item_id, slot ORDER BY lead OR b <= 0, -b, doc, n) > share, false) AS late FROM best),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, slot ORDER BY CASE WHEN opens THEN CASE WHEN late THEN 2 ELSE 0 END WHEN NOT lead AND b > 0 THEN 1 WHEN lead THEN 3 ELSE 4 END, CASE WHEN lead THEN 0 ELSE -b END, doc, n) AS place FROM late)"""
-_PICKED = r"""queue AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place, slot, doc, n) AS r FROM ranked),
+_PICKED = r"""queue AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place, slot, doc, n) AS r FROM ranked),
 fold AS (SELECT item_id, 0::BIGINT AS r, 1200 AS l0, 800 AS l1, []::STRUCT(doc BIGINT, n BIGINT, size BIGINT)[] AS taken, []::STRUCT(doc BIGINT, n BIGINT, size BIGINT)[] AS wait FROM asked
  UNION ALL SELECT item_id, r, CASE WHEN slot = 0 AND used IS NOT NULL THEN l0 - used ELSE l0 END, CASE WHEN slot = 1 AND used IS NOT NULL THEN l1 - used ELSE l1 END, CASE WHEN used IS NULL THEN taken ELSE list_append(taken, {'doc': doc, 'n': n, 'size': CASE WHEN price <= room THEN size ELSE used END}) END, CASE WHEN used IS NULL THEN list_append(wait, {'doc': doc, 'n': n, 'size': size}) ELSE wait END
  FROM (SELECT *, CASE WHEN price <= room THEN price WHEN opens AND cut >= 240 THEN cut END AS used FROM (SELECT *, CASE WHEN opens THEN list_max(list_filter(range(1, length(text)), lambda i: regexp_matches(substr(text, i, 2), '^[.!?]\s$') AND i <= room)) END AS cut
   FROM (SELECT f.*, q.r AS r1, q.slot, q.doc, q.n, q.size, q.opens, q.text, CASE q.slot WHEN 0 THEN l0 ELSE l1 END AS room, q.size - CASE WHEN len(list_filter(f.taken, lambda t: t.doc = q.doc AND t.n + 1 = q.n)) > 0 THEN 150 ELSE 0 END AS price FROM fold f JOIN queue q ON q.item_id = f.item_id AND q.r = f.r + 1)) x) y(item_id, r0, l0, l1, taken, wait, r, slot, doc, n, size, opens, text, room, price, cut, used)),
-done AS (SELECT * FROM fold QUALIFY r = max(r) OVER (PARTITION BY item_id) AND r > 0),
+done AS MATERIALIZED (SELECT * FROM fold QUALIFY r = max(r) OVER (PARTITION BY item_id) AND r > 0),
 rest AS (SELECT item_id, wait, taken, 0 AS i, l0 + l1 AS room FROM done UNION ALL SELECT item_id, wait, CASE WHEN price <= room THEN list_append(taken, wait[i + 1]) ELSE taken END, i + 1, CASE WHEN price <= room THEN room - price ELSE room END
  FROM (SELECT *, wait[i + 1].size - CASE WHEN len(list_filter(taken, lambda t: t.doc = wait[i + 1].doc AND t.n + 1 = wait[i + 1].n)) > 0 THEN 150 ELSE 0 END AS price FROM rest WHERE i < len(wait))),
 picked AS (SELECT item_id, unnest(taken, recursive := true), unnest(range(len(taken))) AS turn FROM (SELECT * FROM rest QUALIFY i = max(i) OVER (PARTITION BY item_id)))"""
