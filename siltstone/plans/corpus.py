@@ -129,9 +129,9 @@ def cleaned_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(clean(F.col("text"))).alias("digest"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN b = '' THEN h ELSE b || '-' || h END AS slug FROM (SELECT doc_id, left(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS b, left(sha256(doc_id::VARCHAR), 12) AS h FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN b = '' THEN h ELSE b || '-' || h END AS slug FROM (SELECT doc_id, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS b, left(sha256(doc_id::VARCHAR), 12) AS h FROM documents)""")
 def slug_ids(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", slug(F.left("text", F.lit(60)), F.col("doc_id").cast("string")).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", slug(F.col("text"), F.col("doc_id").cast("string")).alias("slug"))
 
 
 @query(r"""SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT starts_with(lower(ltrim(l, ' ')), 'the')), chr(10))) AS digest FROM documents""")

@@ -27,9 +27,9 @@ def boilerplate_passages(spark, sf):
     return table(spark, sf, "documents").where(relevance.boilerplate(F.col("text"))).select("doc_id")
 
 
-@query(r"""SELECT doc_id, (coalesce(list_sum(list_transform(regexp_extract_all(text, '\p{L}+'), lambda x: ceil(length(x) / 4.0))), 0) + coalesce(list_sum(list_transform(regexp_extract_all(text, '\p{N}+'), lambda x: ceil(length(x) / 3.0))), 0) + len(regexp_extract_all(text, '[^\p{L}\p{N}\s]')))::INT AS tokens FROM documents WHERE lang = 'en'""")
+@query(r"""SELECT doc_id, (coalesce(list_sum(list_transform(regexp_extract_all(text, '\p{L}+'), lambda x: ceil(length(x) / 4.0))), 0) + coalesce(list_sum(list_transform(regexp_extract_all(text, '\p{N}+'), lambda x: ceil(length(x) / 3.0))), 0) + len(regexp_extract_all(text, '[^\p{L}\p{N}\s]')))::INT AS tokens FROM documents""")
 def token_estimates(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", relevance.token_estimate(F.col("text")).alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", relevance.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query(rf"SELECT doc_id, title FROM {_TITLED} WHERE contains(' ' || array_to_string(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+'), ' ') || ' ', ' of the ') ORDER BY length(title), doc_id LIMIT 25")
@@ -49,14 +49,20 @@ def quantities_agree(spark, sf):
     return o.select("o_orderkey", relevance.agrees(F.col("o_totalprice"), F.col("o_custkey") * 100, F.col("o_orderkey") % 2 == 0).alias("agrees"))
 
 
-@query(f"SELECT conv_id, turn FROM conversations WHERE len(regexp_extract_all(text, '\\d+(?:\\.\\d+)?\\s+\\p{{L}}+')) >= 3 AND regexp_matches(lower(text), '\\bhow (?:many|much|far|long)\\b|\\btotal\\b|\\beach\\b')")
+@query("SELECT o_orderkey, o_orderkey % 5 >= 3 AND o_custkey % 3 > 0 AS asks FROM orders")
 def word_problems(spark, sf):
-    return table(spark, sf, "conversations").where(relevance.word_problem(F.col("text"))).select("conv_id", "turn")
+    """Questions with none to four counted numbers, two of three of which ask for arithmetic."""
+    counted = F.expr("repeat('12 boxes and ', cast(o_orderkey % 5 as int))")
+    ends = F.element_at(F.array(*map(F.lit, ("so they say.", "HOW MANY are left?", "what is the total"))), (F.col("o_custkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", relevance.word_problem(F.concat(F.lit("Take "), counted, ends)).alias("asks"))
 
 
-@query("SELECT l_orderkey AS q, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN p > 0 THEN 0 ELSE 1 END, CASE WHEN p > 0 THEN p END, l_linenumber) AS place FROM (SELECT l_orderkey, l_linenumber, instr('see [3] and [1], also [3]', '[' || l_linenumber || ']') AS p FROM lineitem)")
+@query("SELECT l_orderkey AS q, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_linenumber WHEN l_orderkey % 7 + 1 THEN 0 WHEN l_orderkey % 5 + 1 THEN 1 ELSE 2 END, l_linenumber) AS place FROM lineitem")
 def cited_sources_first(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("n"), F.lit("see [3] and [1], also [3]").alias("answer"))
+    """Lines of an order as the sources of an answer that cites two of them, the first of them again at the end."""
+    first, second = ((F.col("l_orderkey") % m + 1).cast("string") for m in (7, 5))
+    answer = F.concat(F.lit("See ["), first, F.lit("], then ["), second, F.lit("], and ["), first, F.lit("]."))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("n"), answer.alias("answer"))
     found = lookup.cited_first(rows, "answer", "q")
     return found.select("q", "n", F.col("place").cast("long").alias("place"))
 

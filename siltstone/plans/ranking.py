@@ -123,14 +123,6 @@ def merge_runs(spark, sf):
     return merge.merge(_runs(spark, sf), 30).select("pack", "doc_id", F.col("slot").cast("long").alias("slot"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH v AS (SELECT doc_id, score FROM ({_bm25('documents', terms="'thing'")}) ORDER BY score DESC, doc_id LIMIT 10), k AS (SELECT * FROM ({_bm25('documents')}) ORDER BY score DESC, doc_id LIMIT 20)
-SELECT doc_id, tier, row_number() OVER (ORDER BY tier, place) AS rank FROM (SELECT doc_id, 0 AS tier, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM v UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY score DESC, doc_id) FROM k WHERE doc_id NOT IN (SELECT doc_id FROM v))""")
-def fuse_vector_ahead(spark, sf):
-    index = text_index(spark, sf)
-    found = merge.fuse(search.top(index.bm25(["thing"]), 10), search.top(index.bm25(TERMS), 20))
-    return found.select("doc_id", "tier", F.col("rank").cast("long").alias("rank"))
-
-
 @query(f"SELECT title, min(doc_id) AS doc_id FROM {_TITLED} GROUP BY title ORDER BY length(title), min(doc_id) LIMIT 5000")
 def title_min_row(spark, sf):
     return search.titles(table(spark, sf, "documents"))
@@ -207,3 +199,14 @@ def ann_recall(spark, sf):
     """The recall of ivf_pq_topk, over all its queries and rows."""
     e = table(spark, sf, "embeddings")
     return vectors.recall_of_all(_nearest(spark, sf), vectors.exact_of_all(e, e.where("vec_id % 20 = 0"), 25))
+
+
+@query(f"""WITH v AS (SELECT vec_id AS doc_id, list_sum(list_transform(range(1, 65), lambda i: q[i] * b[i])) / sqrt(list_sum(list_transform(q, lambda x: x * x))) AS score FROM {_Q}, (SELECT u AS b FROM {_UNIT} WHERE vec_id = 7) WHERE len(q) = 64 ORDER BY score DESC, vec_id LIMIT 10),
+k AS (SELECT * FROM ({_bm25('documents')}) ORDER BY score DESC, doc_id LIMIT 20)
+SELECT doc_id, tier, row_number() OVER (ORDER BY tier, place) AS rank FROM (SELECT doc_id, 0 AS tier, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM v UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY score DESC, doc_id) FROM k WHERE doc_id NOT IN (SELECT doc_id FROM v))""")
+def fuse_vector_ahead(spark, sf):
+    """The ten vectors nearest to one, then the keyword hits that aren't among them."""
+    e = table(spark, sf, "embeddings")
+    near = vectors.cosine_top(vectors.quantise(e), e.where("vec_id = 7").first()["embedding"], 10).select(F.col("vec_id").alias("doc_id"), "score")
+    found = merge.fuse(near, search.top(text_index(spark, sf).bm25(TERMS), 20))
+    return found.select("doc_id", "tier", F.col("rank").cast("long").alias("rank"))

@@ -62,13 +62,15 @@ def follow_up_context(spark, sf):
     return history.follow_ups(table(spark, sf, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", F.md5("context").alias("context"))
 
 
-PAIRS = [("2026.10.12", "2026.10.12-preview", 1), ("2026.10", "2026.10.0", 0), ("2026.10.12-rebuild", "2026.10.12", 1), ("2026.10.12-a", "2026.10.12-b", None), ("1.9", "1.10", -1), ("x", "1", None), ("2.0-preview", "1.9-rebuild", 1)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {'NULL' if c is None else c})" for a, b, c in PAIRS) + ") t(a, b, c)")
+@query("""WITH e AS (SELECT p_partkey, p_size AS m, p_partkey % 50 + 1 AS n, ['', '-preview', '-rebuild', '-a'][p_partkey % 4 + 1] AS s, ['', '-preview', '-rebuild', '-a'][p_partkey // 4 % 4 + 1] AS t FROM part),
+r AS (SELECT *, CASE s WHEN '-preview' THEN 0 WHEN '' THEN 1 ELSE 2 END AS x, CASE t WHEN '-preview' THEN 0 WHEN '' THEN 1 ELSE 2 END AS y FROM e)
+SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN m <> n THEN sign(m - n) WHEN s = t THEN 0 WHEN x <> y THEN sign(x - y) END::INT AS c FROM r""")
 def edition_compare(spark, sf):
-    rows = spark.createDataFrame([(a, b) for a, b, _ in PAIRS], "a string, b string")
-    return rows.select("a", "b", editions.compare(F.col("a"), F.col("b")).alias("c"))
+    """Editions of two and three numbers with and without suffixes, some without a number."""
+    k, ends = F.col("p_partkey"), F.array(*map(F.lit, ("", "-preview", "-rebuild", "-a")))
+    left = F.concat(F.when(k % 17 == 0, "x").otherwise("2026."), F.col("p_size"), F.lit(".0"), F.get(ends, (k % 4).cast("int")))
+    right = F.concat(F.lit("2026."), k % 50 + 1, F.get(ends, F.expr("cast(p_partkey div 4 % 4 as int)")))
+    return table(spark, sf, "part").select("p_partkey", editions.compare(left, right).alias("c"))
 
 
 @query("""SELECT p_brand AS id, '2.' || max(p_size) AS version, CASE WHEN count(*) FILTER (p_partkey % 3 = 0) = 0 THEN 'new' ELSE 'update' END AS offer FROM part GROUP BY p_brand

@@ -68,9 +68,9 @@ def number_support(spark, sf):
 
 
 @query(r"""SELECT w, CASE WHEN length(w) <= 4 OR regexp_matches(w, '[0-9]') THEN w WHEN ends_with(w, 'ies') AND length(w) > 5 THEN w[:-4] || 'y' WHEN ends_with(w, 'sses') THEN w[:-3] WHEN ends_with(w, 'ing') AND length(w) > 6 THEN w[:-4] WHEN ends_with(w, 'ed') AND length(w) > 5 THEN w[:-3]
-WHEN regexp_matches(w, '[sxz]es$') AND length(w) > 5 THEN w[:-3] WHEN ends_with(w, 's') AND NOT regexp_matches(w, '(ss|us|is)$') THEN w[:-2] ELSE w END AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents WHERE lang = 'en')""")
+WHEN regexp_matches(w, '[sxz]es$') AND length(w) > 5 THEN w[:-3] WHEN ends_with(w, 's') AND NOT regexp_matches(w, '(ss|us|is)$') THEN w[:-2] ELSE w END AS stem FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents)""")
 def stems(spark, sf):
-    words = search.document_frequency(table(spark, sf, "documents").where("lang = 'en'")).select(F.col("term").alias("w"))
+    words = search.document_frequency(table(spark, sf, "documents")).select(F.col("term").alias("w"))
     return words.select("w", stem(F.col("w")).alias("stem"))
 
 
