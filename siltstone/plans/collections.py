@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siltstone.operators import emergency, running, selection
 from siltstone.plans.base import registry
+from siltstone.sources import blocks
 from siltstone.sources.html import table_rows
-from siltstone.sources.tables import table
+from siltstone.sources.tables import shared_folder, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -63,3 +66,25 @@ def emergency_numbers(spark, sf):
     names = table(spark, sf, "customer").select(F.explode(F.array(*(F.struct(F.concat(F.lit(c), "c_custkey").alias("name"), F.concat(F.lit(c.lower()), "c_custkey").alias("code")) for c in "ABC"))).alias("x")).select("x.*").where("code <> 'a12'")
     found = emergency.numbers(table_rows(pages), names)
     return found.select("code", "name", "region", *(F.array_join(c, " ").alias(c) for c in ("police", "ambulance", "fire", "general", "unread")))
+
+
+def _blocks(spark, sf):
+    """Where documents have been written in blocks; the folder goes when the application ends."""
+    path = f"{shared_folder(spark)}/siltstone-blocks-{uuid.uuid4().hex}"
+    blocks.write(table(spark, sf, "documents").select("doc_id", "text"), path, "doc_id", "text")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id % 20 = 0")
+def records_by_key(spark, sf):
+    """Every twentieth document, looked up by id in compressed blocks."""
+    asked = table(spark, sf, "documents").where("doc_id % 20 = 0").select("doc_id")
+    return blocks.lookup(spark, _blocks(spark, sf), asked, "doc_id").select("doc_id", F.md5("record").alias("digest"))
+
+
+@query("SELECT count(*) AS records, 0::BIGINT AS missing, 0::BIGINT AS extra, 0::BIGINT AS different FROM documents")
+def blocks_compared(spark, sf):
+    """Blocks of documents held against the documents, record by record."""
+    return blocks.compared(spark, _blocks(spark, sf), table(spark, sf, "documents"), "doc_id", "text")

@@ -149,3 +149,23 @@ def test_leads(spark):
     df = spark.createDataFrame([("One is here. Two follows. Three ends.\n\nNext.",), ("no end",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(leads.lead(F.col("t"), 20, 30)).collect()] == ["One is here. Two follows.", None, None, None]
     assert df.select(leads.excerpt(F.col("t"), ["three"], 2)).first()[0] == "Two follows. Three ends."
+
+
+def test_record_blocks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from siltstone.sources import blocks
+
+    rows = [(i, None if i == 7 else f"é{i} " * (i % 90)) for i in range(500)] + [(1000, "x" * 9000)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(6)
+    path = str(tmp_path / "b")
+    blocks.write(df, path, "id", "t", size=1000)
+    held = spark.read.parquet(f"{path}/blocks")
+    assert held.count() > 20 and held.agg({"n": "sum"}).first()[0] == 501
+    asked = spark.createDataFrame([(3,), (3,), (7,), (1000,), (5555,), (None,)], "id long")
+    assert {r["id"]: r["record"] for r in blocks.lookup(spark, path, asked, "id").collect()} == {3: "é3 " * 3, 7: "", 1000: "x" * 9000}
+    assert tuple(blocks.compared(spark, path, df, "id", "t").first()) == (501, 0, 0, 0)
+    other = df.where("id != 3").unionByName(spark.createDataFrame([(2000, "new")], "id long, t string")).withColumn("t", F.when(F.col("id") == 5, "changed").otherwise(F.col("t")))
+    assert tuple(blocks.compared(spark, path, other, "id", "t").first()) == (501, 1, 1, 1)
+    with pytest.raises(ValueError, match="names 2 records"):
+        blocks.write(df.unionByName(df.where("id = 4")), str(tmp_path / "c"), "id", "t")
