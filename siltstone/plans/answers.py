@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import steps
+from siltstone.functions import maths, steps
 from siltstone.plans.base import registry
 from siltstone.sources.tables import table
 
@@ -41,3 +41,12 @@ def worked_steps(spark, sf):
 def corrected_answers(spark, sf):
     """Generated answers with their wrong steps put right."""
     return _texts(spark, sf).select("k", steps.corrected(F.col("text"), F.col("steps")).alias("text"))
+
+
+@query("SELECT p_partkey, 'Cost ' || p_partkey || '/' || p_size || ' of CO₂ × 10' || translate((p_partkey % 100)::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') || ', √(' || p_size || ' + x₁), $5 or $' || p_size AS text, '\\frac{' || p_partkey || '}{' || p_size || '}\\times {x}^{' || p_size || '}' AS latex FROM part")
+def mathematics_shown(spark, sf):
+    """LaTeX of each part as characters, and MathML as LaTeX."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit("Cost $\\frac{"), k, F.lit("}{"), n, F.lit("}$ of CO_2 $\\times 10^{"), (F.col("p_partkey") % 100).cast("string"), F.lit("}$, \\(\\sqrt{"), n, F.lit(" + x_1}\\), $5 or $"), n)
+    markup = F.concat(F.lit("<math><mfrac><mn>"), k, F.lit("</mn><mn>"), n, F.lit("</mn></mfrac><mo>×</mo><mspace/><msup><mi>x</mi><mn>"), n, F.lit("</mn></msup></math>"))
+    return table(spark, sf, "part").select("p_partkey", maths.readable(text).alias("text"), maths.from_mathml(markup).alias("latex"))

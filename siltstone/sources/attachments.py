@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.functions.maths import latex
 from siltstone.sources.html import sections as html_sections
 
 LARGEST = 64 * 1024 * 1024
@@ -99,8 +100,15 @@ def attachments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def book_sections(raw: bytes) -> list[tuple[str, str]]:
-    """(heading path, text) of an XML textbook module: nested section elements with a title each, in order; mathematics as its text."""
+    """(heading path, text) of an XML textbook module: nested section elements with a title each, in order; mathematics as LaTeX between dollars."""
     out: list[tuple[str, str]] = []
+    root = ET.fromstring(raw)
+    for parent in list(root.iter()):
+        for e in [c for c in parent if _name(c) == "math"]:
+            said = latex(e).strip()
+            tail = e.tail
+            e.clear()
+            e.text, e.tail = f"${said}$" if said else "", tail
 
     def walk(e: ET.Element, path: tuple[str, ...]) -> None:
         title = next((" ".join("".join(c.itertext()).split()) for c in e if _name(c) == "title"), "")
@@ -118,7 +126,7 @@ def book_sections(raw: bytes) -> list[tuple[str, str]]:
             if _name(c) in ("section", "content"):
                 walk(c, path)
 
-    walk(ET.fromstring(raw), ())
+    walk(root, ())
     return out
 
 
