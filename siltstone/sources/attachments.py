@@ -99,11 +99,11 @@ def attachments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
-def book_sections(raw: bytes) -> list[tuple[str, str]]:
-    """(heading path, text) of an XML textbook module: nested section elements with a title each, in order; mathematics as LaTeX between dollars."""
+def book_sections(raw: bytes, as_latex: bool = False) -> list[tuple[str, str]]:
+    """(heading path, text) of an XML textbook module: nested section elements with a title each, in order; mathematics as its text, or as LaTeX between dollars."""
     out: list[tuple[str, str]] = []
     root = ET.fromstring(raw)
-    for parent in list(root.iter()):
+    for parent in list(root.iter()) if as_latex else ():
         for e in [c for c in parent if _name(c) == "math"]:
             said = latex(e).strip()
             tail = e.tail

@@ -41,4 +41,4 @@ def test_columns_and_books(spark):
     df = spark.createDataFrame([("$x^2$", "<math><msup><mi>x</mi><mn>2</mn></msup></math>"), (None, "<math>"), ("plain", None)], "t string, m string")
     assert [tuple(r) for r in df.select(maths.readable(F.col("t")), maths.from_mathml(F.col("m"))).collect()] == [("x²", "{x}^{2}"), (None, None), ("plain", None)]
     book = b"<document xmlns:m='http://www.w3.org/1998/Math/MathML'><content><section><title>One</title><para>Half is <m:math><m:mfrac><m:mn>1</m:mn><m:mn>2</m:mn></m:mfrac></m:math> of it.</para></section></content></document>"
-    assert book_sections(book) == [("One", r"Half is $\frac{1}{2}$ of it.")]
+    assert book_sections(book, as_latex=True) == [("One", r"Half is $\frac{1}{2}$ of it.")]
