@@ -1,6 +1,6 @@
-"""A stored inverted index: written once, then every search reads the postings of its own terms only.
+"""A stored inverted index: written once, kept between applications, then every search reads the postings of its own terms only.
 
-Three Parquet tables lie in the index's folder: postings (field, term, key, tf, words) in order of field, term and key, so that a search prunes by the files' ranges and pages; terms (field, term, df); fields (field, n, total).
+Three Parquet tables lie in the index's folder: postings (field, term, key, tf, words, at) in order of field, term and key, so that a search prunes by the files' ranges and pages; terms (field, term, df, total); fields (field, n, total), written last. at holds the places of the term among the field's words, so phrases need no texts. Further documents are appended as rows of their own in all three.
 """
 
 from __future__ import annotations
@@ -15,24 +15,40 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokens
 from siltstone.operators.search import B, K1
+from siltstone.sources.tables import written
 
 _PART = re.compile(r'\s*(?:(?P<open>\()|(?P<close>\))|(?P<field>\w+):|(?P<start>\^)|"(?P<phrase>[^"]*)"|(?P<word>[^\s()":^*]+)(?P<prefix>\*)?)')
 
 
 def write(docs: DataFrame, path: str, key: str = "doc_id", fields: Sequence[str] = ("text",)) -> None:
-    """Indexes the named text columns of docs under path. Keys are unique and not null; null and empty texts count as rows without words. A frequent term is cut by its keys, so no task holds all of its postings."""
+    """Indexes the named text columns of docs under path, in place of what is there. Keys are unique and not null; null and empty texts count as rows without words. A frequent term is cut by its keys, so no task holds all of its postings."""
+    _add(docs, path, key, fields, "overwrite")
+
+
+def append(docs: DataFrame, path: str, key: str = "doc_id") -> None:
+    """Adds further documents to an index. A key that it has already stops the job before anything is written; a reader that was open keeps seeing what was there."""
+    spark = docs.sparkSession
+    fields = [r["field"] for r in spark.read.parquet(f"{path}/fields").select("field").distinct().orderBy("field").collect()]
+    held = spark.read.parquet(f"{path}/postings").select(F.col(key).alias("_key"))
+    again = docs.select(key).join(held, F.col(key) == F.col("_key"), "left_semi").limit(1).collect()
+    if again:
+        raise ValueError(f"key {again[0][0]!r} is in the index")
+    _add(docs, path, key, fields, "append")
+
+
+def _add(docs: DataFrame, path: str, key: str, fields: Sequence[str], mode: str) -> None:
     spark = docs.sparkSession
     words = docs.select(F.col(key), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("w")) for f in fields))).alias("_f"))
-    words = words.select(key, F.col("_f.field").alias("field"), F.size("_f.w").alias("words"), F.explode("_f.w").alias("term"))
-    found = words.groupBy("field", "term", key, "words").agg(F.count("*").cast("int").alias("tf"))
-    found.repartitionByRange("field", "term", key).sortWithinPartitions("field", "term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    found = spark.read.parquet(f"{path}/postings")
-    terms = found.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
-    totals = {r["field"]: r["total"] for r in spark.read.parquet(f"{path}/terms").groupBy("field").agg(F.sum("total").alias("total")).collect()}
+    words = words.select(key, F.col("_f.field").alias("field"), F.size("_f.w").alias("words"), F.posexplode("_f.w").alias("place", "term"))
+    found = words.groupBy("field", "term", key, "words").agg(F.sort_array(F.collect_list("place")).alias("at"))
+    found = written(found.select("field", "term", key, F.size("at").alias("tf"), "words", "at"), "postings")
+    found.repartitionByRange("field", "term", key).sortWithinPartitions("field", "term", key).write.mode(mode).parquet(f"{path}/postings")
+    terms = written(found.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), "terms")
+    terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode(mode).parquet(f"{path}/terms")
+    totals = {r["field"]: r["total"] for r in terms.groupBy("field").agg(F.sum("total").alias("total")).collect()}
     n = docs.count()
     rows = [(f, n, totals.get(f, 0)) for f in fields]
-    spark.createDataFrame(rows, "field string, n long, total long").coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
+    spark.createDataFrame(rows, "field string, n long, total long").coalesce(1).write.mode(mode).parquet(f"{path}/fields")
 
 
 class Index:
@@ -41,7 +57,10 @@ class Index:
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
         self.key = key
         self.postings, self.terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
-        self.fields = {r["field"]: (r["n"], r["total"]) for r in spark.read.parquet(f"{path}/fields").collect()}
+        told = spark.read.parquet(f"{path}/fields").groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("times")).collect()
+        self.fields = {r["field"]: (r["n"], r["total"]) for r in told}
+        if any(r["times"] > 1 for r in told):  # appended to: a term has a row of each time
+            self.terms = self.terms.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
     def frequencies(self, terms: Sequence[str], field: str = "text") -> dict[str, int]:
         """Documents that hold each of the query's terms."""
@@ -88,21 +107,24 @@ class Index:
     def match(self, query: str, docs: DataFrame | None = None) -> DataFrame:
         """(key) of the documents that match: words side by side or AND, OR, brackets, "phrases", prefix*, field:part, and ^ before a part that the field begins with.
 
-        AND binds closer than OR. One scan of the postings and one shuffle answer words and prefixes. For phrases and ^ the documents that hold all their words are held against docs, which must carry the fields.
+        AND binds closer than OR. One scan of the postings and one shuffle answer every part: words and prefixes by their presence, phrases and ^ by the places of their words. docs isn't needed, nor read.
         """
         tree, atoms = parse(query, list(self.fields))
-        if any(a[1] in ("phrase", "start") for a in atoms) and docs is None:
-            raise ValueError("phrases and ^ need the documents")
         tests = {w: _posting(*w) for a in atoms for w in _words(a)}
-        names = {w: f"_a{i}" for i, w in enumerate(tests)}
         wanted = self.postings.where(reduce(Column.__or__, tests.values(), F.lit(False)))
         if not tests:
             return wanted.select(self.key)
-        held = wanted.groupBy(self.key).agg(*(F.max(t).alias(names[w]) for w, t in tests.items()))
-        found = held.where(_evaluate(tree, lambda a: reduce(Column.__and__, (F.col(names[w]) for w in _words(a)), F.lit(bool(_words(a)))))).select(self.key)
-        if not any(a[1] in ("phrase", "start") for a in atoms):
-            return found
-        return docs.join(found, self.key, "left_semi").where(_evaluate(tree, _verified)).select(self.key)
+        seen = {w: (F.max(t), f"_a{i}") for i, (w, t) in enumerate(tests.items())}
+        rows = {(f, *w[1:]) for a in atoms if _ordered(a) for w in _words(a) for f in w[0]}
+        places = {r: (F.flatten(F.collect_list(F.when(_posting((r[0],), *r[1:]), F.col("at")))), f"_p{i}") for i, r in enumerate(sorted(rows))}
+        held = wanted.groupBy(self.key).agg(*(c.alias(n) for c, n in (*seen.values(), *places.values())))
+
+        def holds(atom: tuple) -> Column:
+            words = _words(atom)
+            every = reduce(Column.__and__, (F.col(seen[w][1]) for w in words), F.lit(bool(words)))
+            return every & _in_order(atom, lambda *row: F.col(places[row][1])) if _ordered(atom) and words else every
+
+        return held.where(_evaluate(tree, holds)).select(self.key)
 
 
 def parse(query: str, fields: Sequence[str]) -> tuple[tuple, list[tuple]]:
@@ -180,15 +202,24 @@ def _posting(where: tuple, kind: str, word: str) -> Column:
     return F.col("field").isin(*where) & (F.col("term").startswith(word) if kind == "prefix" else F.col("term") == word)
 
 
-def _verified(atom: tuple) -> Column:
-    """An atom held against the fields' own words."""
-    where, kind, text = atom
+def _ordered(atom: tuple) -> bool:
+    """Whether the places of an atom's words matter."""
+    return atom[1] == "start" or " " in atom[2]
+
+
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def _in_order(atom: tuple, places) -> Column:
+    """Whether a field has an atom's words in a row, at its beginning where the atom asks for that; places(field, kind, word) is an array."""
+    where, kind, _ = atom
 
-    def of(field):
-        flat = F.concat(F.lit(" "), F.array_join(tokens(F.col(field)), " "), F.lit(" "))
-        return flat.startswith(f" {text} ") if kind == "start" else F.contains(flat, F.lit(f" {text}" if kind == "prefix" else f" {text} "))
+    def of(field: str) -> Column:
+        begins = reduce(F.array_intersect, (_shifted(places(field, *w[1:]), i) for i, w in enumerate(_words(atom))))
+        return F.array_contains(begins, 0) if kind == "start" else F.size(begins) > 0
 
-    return F.lit(bool(text)) & reduce(Column.__or__, (F.coalesce(of(f), F.lit(False)) for f in where))
+    return reduce(Column.__or__, map(of, where))
 
 
 def _evaluate(tree: tuple, atom) -> Column:

@@ -1,8 +1,9 @@
-"""Indexes that lie beside the warehouse for as long as an application runs."""
+"""Indexes that lie in the shared folder, for as long as their table stays as it is."""
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -10,24 +11,29 @@ from siltstone.operators import inverted, search
 from siltstone.sources.tables import shared_folder, table
 
 
-#: Indexes opened by this process, by folder; the folder's name holds the application's id.
-_OPEN: dict[str, inverted.Index] = {}
+#: Indexes opened by this process, by application and folder.
+_OPEN: dict[tuple[str, str], inverted.Index] = {}
+#: Changes with the form of what is stored.
+FORM = 2
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> inverted.Index:
-    """The index of documents by title and text. The first call of an application writes it; the folder's name follows the table's files, their sizes and times, so a changed table is indexed anew."""
+    """The index of documents by title and text. The first application that needs it writes it under a name of its own and then moves it to where others look, so it is there whole or not at all; the place's name follows the table's files, their sizes and times, so a changed table is indexed anew."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     source = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    fs = source.getFileSystem(conf)
-    held = fs.listStatus(source)
+    held = source.getFileSystem(conf).listStatus(source)
     state = "|".join(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in held)
-    path = f"{shared_folder(spark)}/siltstone-index-{spark.sparkContext.applicationId}-{hashlib.sha256(state.encode()).hexdigest()[:24]}"
-    if path in _OPEN:
-        return _OPEN[path]
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/fields/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
-        inverted.write(search.passages(table(spark, sf_dir, "documents")), path, fields=("title", "text"))
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(conf).deleteOnExit(folder)
-    _OPEN[path] = inverted.Index(spark, path)
-    return _OPEN[path]
+    path = f"{shared_folder(spark)}/siltstone-index-{FORM}-{hashlib.sha256(state.encode()).hexdigest()[:24]}"
+    opened = (spark.sparkContext.applicationId, path)
+    if opened in _OPEN:
+        return _OPEN[opened]
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(conf)
+    if not fs.exists(there):
+        own = f"{path}-{uuid.uuid4().hex}"
+        inverted.write(search.passages(table(spark, sf_dir, "documents")), own, fields=("title", "text"))
+        mine = jvm.org.apache.hadoop.fs.Path(own)
+        if fs.exists(there) or not fs.rename(mine, there):  # another application was first
+            fs.delete(mine, True)
+    _OPEN[opened] = inverted.Index(spark, path)
+    return _OPEN[opened]

@@ -53,6 +53,26 @@ def test_query_language(index, query, test):
     assert sorted(r[0] for r in ix.match(query, docs).collect()) == [k for k, t, w in ROWS if test(words(t), words(w))]
 
 
+PLACED = {'text:"the red fox"': [1], '"red fox" OR "fox red"': [1, 6, 7], "text:^sky": [6], 'text:^"a red"': [2], "text:red-fo*": [1, 6], 'title:"the end" AND text:^fox': [7], '"fox the fox"': [], '"sky sky sky"': [6], "text:^red": []}
+
+
+def test_phrases_by_place_alone(index, spark, tmp_path):
+    """Without the documents; and the same of an index that was added to."""
+    path = str(tmp_path / "two")
+    docs = index[1]
+    inverted.write(docs.where("doc_id <= 3"), path, fields=("title", "text"))
+    inverted.append(docs.where("doc_id > 3"), path)
+    both = inverted.Index(spark, path)
+    for query, want in PLACED.items():
+        assert sorted(r[0] for r in index[0].match(query).collect()) == want
+        assert sorted(r[0] for r in both.match(query).collect()) == want
+    assert both.fields == index[0].fields and both.frequencies(["fox", "sky"]) == index[0].frequencies(["fox", "sky"])
+    scores = lambda ix: {r[0]: round(r[1], 9) for r in ix.bm25(["fox", "red"]).collect()}
+    assert scores(both) == scores(index[0])
+    with pytest.raises(ValueError, match="is in the index"):
+        inverted.append(docs.where("doc_id = 2"), path)
+
+
 @pytest.mark.parametrize("query", ["", "(red", "red)", "red OR", "where:red", "text:", '^(red)'])
 def test_bad_queries(index, query):
     with pytest.raises(ValueError):
