@@ -91,6 +91,19 @@ class Index:
         """(key, score) of documents that hold a term in the field."""
         return self.weighed(terms, {field: 1.0}).select(self.key, "score")
 
+    def bm25_near(self, terms: Sequence[str], field: str = "text", bonus: float = 0.5, most: int = 3) -> DataFrame:
+        """(key, score): BM25, and `bonus` for each time that two neighbouring words of the query are neighbours in the field, `most` times at most; from the postings alone."""
+        pairs = sorted(set(zip(terms, terms[1:], strict=False)))
+        scored = self.bm25(terms, field)
+        if not pairs:
+            return scored
+        words = sorted({w for pair in pairs for w in pair})
+        places = [F.flatten(F.collect_list(F.when(F.col("term") == w, F.col("at")))).alias(f"_p{i}") for i, w in enumerate(words)]
+        held = self.postings.where((F.col("field") == field) & F.col("term").isin(*words)).groupBy(F.col(self.key).alias("_key")).agg(*places)
+        met = reduce(Column.__add__, (F.size(F.array_intersect(_shifted(F.col(f"_p{words.index(a)}"), -1), F.col(f"_p{words.index(b)}"))) for a, b in pairs))
+        near = held.select("_key", F.least(F.lit(most), met).alias("_met"))
+        return scored.join(near, F.col(self.key) == F.col("_key"), "left").select(self.key, (F.col("score") + bonus * F.coalesce("_met", F.lit(0))).alias("score"))
+
     def title_weighted(self, terms: Sequence[str], weight: float = 3.0) -> DataFrame:
         """(key, score): weight times the title's score and the text's."""
         return self.weighed(terms, {"title": weight, "text": 1.0}).select(self.key, "score")

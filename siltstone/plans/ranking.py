@@ -42,6 +42,12 @@ def bm25_topk(spark, sf):
     return search.top(text_index(spark, sf).bm25(TERMS), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(rf"""SELECT doc_id, round(score + 0.5 * least(3, len(list_filter(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1] IN ('the thing', 'thing of', 'of the', 'the that')))), 6) AS score FROM ({_bm25('documents', terms="'the', 'thing', 'of', 'that'")}) JOIN (SELECT doc_id, {_WORDS} AS w FROM documents) USING (doc_id)""")
+def bm25_with_neighbours(spark, sf):
+    """Every document that holds a word of the query, its score raised where words of the query stand side by side."""
+    return text_index(spark, sf).bm25_near(["the", "thing", "of", "the", "that"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT doc_id, round(sum(score), 6) AS score FROM (SELECT doc_id, 3 * score AS score FROM ({_bm25(_TITLED, 'title')}) UNION ALL SELECT doc_id, score FROM ({_bm25('documents')})) GROUP BY doc_id ORDER BY sum(score) DESC, doc_id LIMIT 20")
 def bm25_title_weighted(spark, sf):
     return search.top(text_index(spark, sf).title_weighted(TERMS), 20).select("doc_id", F.round("score", 6).alias("score"))
