@@ -5,6 +5,8 @@ Texts are reduced to lower-case words (letters and digits) joined by one space.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -100,8 +102,8 @@ def align(pattern: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, in
     return int(row[end]), end - int(np.argmin(back)), end
 
 
-def within(pattern: str, region: str, k: int) -> bool:
-    """Whether pattern occurs in region with k edits at most: the bit-parallel form of the alignment's last row, a column of the matrix in two integers."""
+def ends(pattern: str, region: str) -> Iterator[int]:
+    """The fewest edits with which pattern ends after each character of region: the bit-parallel form of the alignment's last row, a column of the matrix in two integers."""
     m = len(pattern)
     mask, top, score = (1 << m) - 1, 1 << (m - 1), m
     equal: dict[str, int] = {}
@@ -118,12 +120,15 @@ def within(pattern: str, region: str, k: int) -> bool:
             score += 1
         elif minus & top:
             score -= 1
-            if score <= k:
-                return True
+        yield score
         plus <<= 1
         up = ((minus << 1) | ~(v | plus)) & mask
         down = plus & v & mask
-    return score <= k
+
+
+def within(pattern: str, region: str, k: int) -> bool:
+    """Whether pattern occurs in region with k edits at most."""
+    return len(pattern) <= k or any(score <= k for score in ends(pattern, region))
 
 
 def _candidates(points: np.ndarray, ix: Index) -> np.ndarray:
@@ -200,33 +205,53 @@ def _within(texts: list[str], ix: Index) -> Iterator[tuple[int, int, int, int, i
 
 
 def spans(pattern: str, whole: str, points: np.ndarray, low: int, high: int, k: int) -> Iterator[tuple[int, int, int]]:
-    """(edits, start, end) of the occurrences of pattern in whole[low:high] with k edits at most: the best, of equal ones the first to end, and so on in what lies before and after it."""
-    todo = [(low, high)]
-    while todo:
-        a, z = todo.pop()
-        if z - a < len(pattern) - k:
+    """(edits, start, end) of the occurrences of pattern in whole[low:high] with k edits at most: the best, of equal ones the first to end, and so on in what lies before and after it.
+
+    Exact ones come first. What lies between them is passed once for the edits at every end; ends are then taken best first, each held against a window no longer than an occurrence can be, so work grows with the text, however often it repeats the pattern.
+    """
+    edge = low
+    while (at := whole.find(pattern, edge, high)) >= 0:
+        yield from _inexact(pattern, whole, points, edge, at, k)
+        yield 0, at, at + len(pattern)
+        edge = at + len(pattern)
+    yield from _inexact(pattern, whole, points, edge, high, k)
+
+
+def _inexact(pattern: str, whole: str, points: np.ndarray, low: int, high: int, k: int) -> Iterator[tuple[int, int, int]]:
+    m = len(pattern)
+    if not k or high - low < m - k:
+        return
+    open_ = [(e, low + n) for n, e in enumerate(ends(pattern, whole[low:high]), 1) if e <= k]
+    heapq.heapify(open_)
+    starts, stops = [high], [low]  # of what is taken, in order, between the region's own ends
+    while open_:
+        edits, y = heapq.heappop(open_)
+        n = bisect.bisect_right(stops, y) - 1
+        a = stops[n]
+        if y > starts[n] or y - a < m - k:  # taken since, or too little left before it
             continue
-        exact = whole.find(pattern, a, z)
-        if exact >= 0:
-            found = (0, exact, exact + len(pattern))
-        elif k and within(pattern, whole[a:z], k):
-            edits, x, y = align(_points(pattern), points[a:z], k)
-            found = (edits, a + x, a + y)
-        else:
+        a = max(a, y - m - k)
+        now = list(ends(pattern, whole[a:y]))[-1]
+        if now > edits:  # its beginning has been taken
+            if now <= k:
+                heapq.heappush(open_, (now, y))
             continue
-        yield found
-        todo += [(a, found[1]), (found[2], z)]
+        x = a + align(_points(pattern), points[a:y], edits)[1]
+        yield edits, x, y
+        starts.insert(n, x)
+        stops.insert(n + 1, y)
 
 
 def _original(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of the reduced text as spans of whole words of the text."""
-    at, starts, places = 0, [], []
-    for m in WORD.finditer(text):
+    """Spans of the reduced text as spans of whole words of the text. Words are found in lower case, as reduced texts are made; a character that becomes several in lower case counts for each."""
+    at, starts, places, low = 0, [], [], text.lower()
+    for m in WORD.finditer(low):
         starts.append(at)
         places.append(m.span())
-        at += len(m[0].lower()) + 1
+        at += len(m[0]) + 1
+    back = range(len(text)) if len(low) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]
     word = lambda x: max(0, int(np.searchsorted(starts, x, side="right")) - 1)
-    return [(places[word(a)][0], places[word(max(a, z - 1))][1]) for a, z in spans]
+    return [(back[places[word(a)][0]], back[places[word(max(a, z - 1))][1] - 1] + 1) for a, z in spans]
 
 
 def slices(benchmark: DataFrame, rate: float, chars: int) -> Iterator[Index]:

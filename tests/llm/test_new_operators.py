@@ -12,9 +12,9 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators import odd
+from test_operators import brute_places, odd
 
-from siltstone.llm import divergence, importance, multiindex
+from siltstone.llm import decontam, divergence, importance, multiindex
 from siltstone.llm.common import table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -204,3 +204,30 @@ def test_counts_are_bounded(spark, sf_dir):
 def test_shares_are_exact(spark):
     big = spark.range(1).select(divergence.share(*(F.lit(n).cast("long") for n in (10**13, 10**14, 10**6))).alias("p"))
     assert big.first()["p"] == 1 + 10**9 * (10**13 + 5) // (10**14 + 5 * 10**6)
+
+
+# ---- 7, repeats and letters that grow in lower case
+
+def test_many_inexact_copies():
+    rng = np.random.default_rng(6)
+    item = " ".join("".join(chr(97 + c) for c in rng.integers(0, 8, 6)) for _ in range(9))
+
+    def edited():
+        t = list(item)
+        for _ in range(int(rng.integers(0, 5))):
+            at = int(rng.integers(0, len(t)))
+            t[at : at + 1] = [[], ["z"], [t[at], "q"]][int(rng.integers(0, 3))]
+        return "".join(t)
+
+    text = decontam.normal(" ".join(edited() + " " * int(rng.integers(0, 2)) + "uv wx" * int(rng.integers(0, 2)) for _ in range(50)) + " end" * 3000)
+    ix = decontam.index([(1, item)], 0.1)
+    got = sorted((x, y, e) for _, _, x, y, e in decontam.occurrences([text], ix))
+    assert got == sorted((x, y, e) for e, x, y in brute_places(item, text, int(ix.k[0]))) and len(got) >= 40
+
+
+def test_spans_beside_letters_that_grow(spark):
+    item = "a benchmark passage that is long enough to be found"
+    texts = [f"İstanbulİ kill {item} İ", f"{item.upper()} İİ", f"İ {item}", f"ΣΑΣ {item} ΣΑΣ ﬁ", f"{item} İ {item}"]
+    docs = spark.createDataFrame([(n, t, "x", 1) for n, t in enumerate(texts)] * 2, "doc_id long, text string, item_id string, start int")
+    found = decontam.contamination(docs, spark.createDataFrame([(1, item, 5)], "item_id long, text string, end int")).collect()
+    assert len(found) == 2 * 6 and all(texts[r["doc_id"]][r["start"] : r["end"]].lower() == item for r in found)
