@@ -38,12 +38,12 @@ SENTENCES: list[tuple[str, str]] = [
     ("bsdBinary", r"redistributions in binary form must reproduce the above copyright notice"),
     ("bsdNames", r"neither the name of .* may be used to endorse or promote"),
     ("bsdNamed", r"(?:released|licen[cs]ed|distributed) under (?:the )?(?:new |modified |3-clause |2-clause )?bsd licen[cs]e"),
-    ("mpl2", r"(?:subject to the terms of|licen[cs]ed under) (?:the )?mozilla public licen[cs]e,? (?:v\.? ?|version )?2\.0"),
-    ("ccByNcSa", r"licen[cs]ed under (?:a |the )?(?:cc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike) ?\d\.\d"),
-    ("ccByNcNd", r"licen[cs]ed under (?:a |the )?(?:cc[ -]by-nc-nd|creative commons attribution-noncommercial-noderivatives) ?\d\.\d"),
-    ("ccByNc", r"licen[cs]ed under (?:a |the )?(?:cc[ -]by-nc|creative commons attribution-noncommercial) ?\d\.\d"),
-    ("ccBySa", r"licen[cs]ed under (?:a |the )?(?:cc[ -]by-sa|creative commons attribution-sharealike) ?\d\.\d"),
-    ("ccBy", r"licen[cs]ed under (?:a |the )?(?:cc[ -]by|creative commons attribution) ?\d\.\d"),
+    ("mpl2", r"(?:subject to the terms of|(?:licen[cs]ed|distributed|released|available) under|under the terms of) (?:the )?mozilla public licen[cs]e,? (?:v\.? ?|version )?2\.0"),
+    ("ccByNcSa", r"\bcc[ -]by-nc-sa[ -]\d\.\d|licen[cs]ed under (?:a |the )?(?:cc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike) ?\d\.\d"),
+    ("ccByNcNd", r"\bcc[ -]by-nc-nd[ -]\d\.\d|licen[cs]ed under (?:a |the )?(?:cc[ -]by-nc-nd|creative commons attribution-noncommercial-noderivatives) ?\d\.\d"),
+    ("ccByNc", r"\bcc[ -]by-nc[ -]\d\.\d|licen[cs]ed under (?:a |the )?(?:cc[ -]by-nc|creative commons attribution-noncommercial) ?\d\.\d"),
+    ("ccBySa", r"\bcc[ -]by-sa[ -]\d\.\d|licen[cs]ed under (?:a |the )?(?:cc[ -]by-sa|creative commons attribution-sharealike) ?\d\.\d"),
+    ("ccBy", r"\bcc[ -]by[ -]\d\.\d|licen[cs]ed under (?:a |the )?(?:cc[ -]by|creative commons attribution) ?\d\.\d"),
     ("cc0", r"(?:cc0|creative commons zero|dedicated to the public domain)"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("gplRedistribute", r"is free software.{0,40}you can redistribute it and/or modify it under the terms of the gnu (?:lesser |library |affero )?general public licen[cs]e"),
@@ -69,8 +69,8 @@ SENTENCES: list[tuple[str, str]] = [
     ("wtfpl", r"(?:do what the fuck you want to public licen[cs]e|\bwtfpl\b)"),
     ("unlicenseGrant", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
     ("unlicenseDedicate", r"the author or authors of this software dedicate any and all copyright interest"),
-    ("ccByNd", r"licen[cs]ed under (?:a |the )?(?:cc[ -]by-nd|creative commons attribution-noderiv(?:ative)?s) ?\d\.\d"),
-    ("spdx", r"spdx-license-identifier: ?([\w.+-]+)"),
+    ("ccByNd", r"\bcc[ -]by-nd[ -]\d\.\d|licen[cs]ed under (?:a |the )?(?:cc[ -]by-nd|creative commons attribution-noderiv(?:ative)?s) ?\d\.\d"),
+    ("spdx", r"spdx-license-identifier: ?\(?[\w.+-]"),
     ("reserved", r"all rights reserved"),
 ]
 #: Licence and the row of sentence identifiers it needs, in order, other sentences between them allowed; the longer row first.
@@ -93,8 +93,11 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 #: Sentences that go with a licence and say nothing on their own.
 SILENT = {"apache2Warranty", "apache2Copy", "apache2Limits", "gplWarranty", "gplCopy", "asIs", "bsdWarranty", "mitNoWarranty", "zlibWarranty", "zlibNotice", "iscDisclaimer", "mplObtain"}
 _PATTERNS = [(name, re.compile(p)) for name, p in SENTENCES]
-_SPDX = re.compile(r"spdx-license-identifier:\s*([\w.+-]+)", re.I)
-_HINT = re.compile(r"licen[cs]|redistribution|public domain|cc0|rights reserved|permission|copyright notice|provided|hope that it will|applicable law|name of|creative commons zero|free software|wtfpl|origin of this|altered source|notice may not|warranties|in no event|advertising materials|anyone is free|dedicate any", re.I)
+_SPDX = re.compile(r"spdx-license-identifier:[ \t]*((?:[()][ \t]*)*[\w.+-]+(?:[ \t()]+(?:and|or|with)[ \t()]+[\w.+-]+)*)", re.I)
+_DENIED = re.compile(r"(?:\b(?:not|never|no longer|nor)|n['’]t)\W+(?:\w+\W+){0,3}$")
+#: Sentences that a "not" before them takes back: those that name a licence.
+_NAMING = {row[0] for _, row in RULES if len(row) == 1} - {"reserved", "bsdGrant", "iscGrant", "boostGrant", "unlicense"}
+_HINT = re.compile(r"licen[cs]|lizen[zs]|\bcc[ -]by|redistribution|public domain|cc0|rights reserved|permission|copyright notice|provided|hope that it will|applicable law|name of|creative commons zero|free software|wtfpl|origin of this|altered source|notice may not|warranties|in no event|advertising materials|anyone is free|dedicate any", re.I)
 _BREAK = re.compile(r"(?<=[.!?;])(?<!\sv\.)\s+|\n\s*\n")
 _MARKS = re.compile(r"(?m)^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--)\s?")
 _BLANK = re.compile(r"\s+")
@@ -138,6 +141,19 @@ def match(names: list[str]) -> tuple[list[str], list[str]]:
     return found, [name for i, name in enumerate(names) if not used[i]]
 
 
+def declared(text: str) -> list[str]:
+    """The licences of an SPDX expression, in order: all that AND and OR join, brackets aside; an exception stays with its licence."""
+    m = _SPDX.search(text)
+    words = re.findall(r"[\w.+-]+", m[1]) if m else []
+    out: list[str] = []
+    for before, word in zip(["", *words], words, strict=False):
+        if before.lower() == "with" and out:
+            out[-1] += f" WITH {word}"
+        elif word.lower() not in ("and", "or", "with"):
+            out.append(word)
+    return out
+
+
 def recognise(text: str | None) -> tuple[list[str], list[str], list[tuple[int, int, str]]]:
     """(licences found, in order of their rules; known sentences left over; (start, end, identifier) of each known sentence). The rules take sentences of the whole text in order."""
     if not text or not _HINT.search(text):
@@ -145,8 +161,11 @@ def recognise(text: str | None) -> tuple[list[str], list[str], list[tuple[int, i
     spans = []
     for a, z, s in sentences(text):
         for name, p in _PATTERNS:
-            if p.search(s):
-                spans.append((a, z, f"spdx:{_SPDX.search(text[a:z])[1]}" if name == "spdx" else name))
+            if m := p.search(s):
+                if name == "spdx":
+                    spans += [(a, z, f"spdx:{x}") for x in declared(text[a:z])]
+                elif name not in _NAMING or not _DENIED.search(s[: m.start()]):
+                    spans.append((a, z, name))
                 break
     found, left = match([name for _, _, name in spans])
     found += [x.removeprefix("spdx:") for x in left if x.startswith("spdx:")]

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import brute_places, odd
 
-from siltstone.llm import decontam, divergence, importance, multiindex
+from siltstone.llm import decontam, divergence, importance, licences, multiindex
 from siltstone.llm.common import table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -231,3 +231,17 @@ def test_spans_beside_letters_that_grow(spark):
     docs = spark.createDataFrame([(n, t, "x", 1) for n, t in enumerate(texts)] * 2, "doc_id long, text string, item_id string, start int")
     found = decontam.contamination(docs, spark.createDataFrame([(1, item, 5)], "item_id long, text string, end int")).collect()
     assert len(found) == 2 * 6 and all(texts[r["doc_id"]][r["start"] : r["end"]].lower() == item for r in found)
+
+
+# ---- 10, denied, joined and foreign
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("This code is not licensed under the Apache License, Version 2.0.", []), ("This code isn't licensed under the MIT License.", []), ("It is no longer available under the MIT license.", []), ("This code is licensed under the Apache License, Version 2.0, not the MIT License.", ["Apache-2.0"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND (BSD-3-Clause or MIT)\nint x;", ["GPL-2.0-only WITH Classpath-exception-2.0", "BSD-3-Clause", "MIT"]),
+        ("Distributed under the Mozilla Public License, v. 2.0.", ["MPL-2.0"]), ("Dieser Text steht unter der Lizenz CC-BY-SA 4.0.", ["CC-BY-SA"]), ("CC BY 4.0", ["CC-BY"]), ("SPDX-License-Identifier:", []), ("Neither the name of X may be used to endorse or promote it.", []),
+    ],
+)
+def test_licences_said_otherwise(text, want):
+    assert licences.recognise(text)[0] == want
