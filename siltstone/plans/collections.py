@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import emergency, running, selection
+from siltstone.functions.text import query_terms
+from siltstone.operators import emergency, listings, merge, running, selection
 from siltstone.plans.base import registry
 from siltstone.sources import blocks
 from siltstone.sources.html import table_rows
@@ -88,3 +89,54 @@ def records_by_key(spark, sf):
 def blocks_compared(spark, sf):
     """Blocks of documents held against the documents, record by record."""
     return blocks.compared(spark, _blocks(spark, sf), table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _places(spark, sf):
+    """A listing for each customer, with a question about it."""
+    k = F.col("c_custkey")
+    town = F.concat(F.lit("Town"), k % 9)
+    text = F.concat_ws("\n", F.concat(F.lit("Destination: "), town), F.concat(F.lit("Place: Casa"), k % 5, F.lit(" Bar")), F.concat(F.lit("Category: "), F.col("c_mktsegment")), F.when(k % 4 > 0, F.concat(F.lit("Description: near gate"), k % 11)))
+    question = F.concat(F.lit("Suggest a place near gate"), k % 3, F.lit(" in Town"), k % 9, F.when(k % 2 == 0, F.concat(F.lit(", not Casa"), k % 7)).otherwise(", no matter Which"))
+    return table(spark, sf, "customer").select(k.alias("id"), text.alias("text"), F.when(k % 6 == 0, F.lower("c_mktsegment")).alias("category"), question.alias("question"), F.concat(F.lit("Casa"), k % 5, F.lit(" Bar")).alias("name"), (k % 100 / 100).alias("score"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 100 >= 68")
+def listings_of_categories(spark, sf):
+    """Places of two categories, by column or by the text's line, that are similar enough."""
+    return listings.above(listings.of_categories(_places(spark, sf), ["building", "Machinery"], "category")).select("id")
+
+
+@query("SELECT c_custkey AS id, c_custkey % 4 > 0 AND starts_with('gate' || c_custkey % 11, 'gate' || c_custkey % 3) AS fits FROM customer WHERE NOT (c_custkey % 2 = 0 AND c_custkey % 7 = c_custkey % 5)")
+def listings_that_fit(spark, sf):
+    """Places that their question doesn't rule out, and whether their lines say what it asks for."""
+    rows = listings.kept(_places(spark, sf).withColumn("question", F.translate("question", "0123456789", "abcdefghij")).withColumn("name", F.translate("name", "0123456789", "abcdefghij")))
+    terms = F.filter(query_terms(F.regexp_replace("question", r" in Town.*$", "")), lambda t: t.startswith("gate"))
+    return rows.select("id", listings.fits(F.translate("text", "0123456789", "abcdefghij"), terms).alias("fits"))
+
+
+@query("SELECT o_custkey AS q, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY place, pack) AS turn FROM (SELECT *, o_orderkey % 3 AS pack, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders)")
+def files_take_turns(spark, sf):
+    """Each customer's orders dealt to three files: the best of every file, then the second of every one."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3).alias("pack"), F.col("o_totalprice").alias("score"))
+    return merge.round_robin(o, key="id", by=["q"]).select("q", "id", F.col("turn").cast("long").alias("turn"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' WHEN o_orderkey % 10 = 1 THEN 'repeated' WHEN o_orderkey % 10 IN (2, 3) THEN 'no metadata' END AS problem FROM orders WHERE o_orderkey % 10 < 4 UNION ALL SELECT -c_custkey - 1, 'extra' FROM customer""")
+def provenance_problems(spark, sf):
+    """Orders as documents whose provenance lacks rows, repeats some, and holds what is no object."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    meta = F.when(F.col("id") % 10 == 2, "[1]").when(F.col("id") % 10 == 3, '{"a": ').otherwise('{"license": "x"}')
+    own = o.where("id % 10 != 0").withColumn("metadata", meta)
+    more = table(spark, sf, "customer").select((-F.col("c_custkey") - 1).alias("id"), F.lit("{}").alias("metadata"))
+    return listings.uncovered(o, own.unionByName(own.where("id % 10 = 1")).unionByName(more), "id")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' is good. It ends' WHEN 1 THEN p_name || ' is red. Last one.' WHEN 2 THEN 'Kept. Too.' ELSE 'No errors here:  two  spaces' END AS text FROM part""")
+def script_errors_removed(spark, sf):
+    """Texts with errors of packages, at the beginning, within a sentence, and without any."""
+    error = "Lua error in Module:X at line 88: attempt to call field 'y' (a nil value)."
+    forms = (
+        F.concat(F.lit("Lua error in package.lua at line 80: module 'Module:P' not found. "), "p_name", F.lit(" is good. It ends")), F.concat(F.lit(f"{error} is red. Last one.")), F.lit(f"Kept. Gone {error} with it. Too."), F.lit("No errors here:  two  spaces"),
+    )
+    text = F.get(F.array(*forms), (F.col("p_partkey") % 4).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", listings.without_script_errors(text, F.col("p_name")).alias("text"))

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import hours
-from siltstone.operators import destinations, emergency, selection
+from siltstone.functions.text import query_terms
+from siltstone.operators import destinations, emergency, listings, selection
 from siltstone.sources import guides, paired
 from siltstone.sources.html import table_rows, tables
 
@@ -122,3 +123,24 @@ def test_selection(spark):
     df = spark.createDataFrame(docs, "doc_id int, title string, text string")
     got = sorted((r["doc_id"], r["before"]) for r in selection.within_budget(df, spark.createDataFrame([("sun spot ",)], "title string"), 4200).collect())
     assert got == [(1, None), (2, 4100), (4, 100), (10, 3100)]
+
+
+def test_listing_filters(spark):
+    text = "Destination: Rio de Janeiro\nPlace: Sol\nType: cafe\nCategory: Food\nDescription: A quiet terrace\nOther: beach"
+    df = spark.createDataFrame([(1, text, None, "Any cafe in Rio, not Sol?"), (2, text, "bank", "A beach in Rio"), (3, None, None, None), (4, "Category:  \nPlace: Luna", None, "rio listings")], "id int, text string, category string, q string")
+    ids = lambda d: sorted(r["id"] for r in d.collect())
+    assert ids(listings.of_categories(df, ["food"], "category")) == [1] and ids(listings.of_categories(df, ["FOOD"])) == [1, 2] and ids(listings.of_categories(df, ["bank"], "category")) == [2]
+    fits = {r["id"]: r["f"] for r in df.where("q is not null").select("id", listings.fits(F.col("text"), query_terms(F.col("q"))).alias("f")).collect()}
+    assert fits == {1: True, 2: False, 4: False}
+    said = {"an ATM, not Euronet": ["euronet"], "Avoid the Ritz, except an Ibis and other than Kaya's": ["ritz", "ibis", "kaya's"], "not far from Rome": [], "no Al": [], "": []}
+    rows = spark.createDataFrame([(q,) for q in said], "q string").select("q", listings.left_out(F.col("q")).alias("n")).collect()
+    assert {r["q"]: list(r["n"]) for r in rows} == said
+    assert ids(listings.kept(df.withColumn("name", F.lit("Café Sol")), "q")) == [2, 3, 4]
+    assert ids(listings.above(df.withColumn("score", F.when(F.col("id") < 4, F.col("id") / 4.0)), 0.5)) == [2, 3]
+
+
+def test_script_errors(spark):
+    e = "Lua error in Module:N at line 88: attempt to call field '_t' (a nil value)."
+    said = {f"{e} (日本) is a language. It is old.": "Tea (日本) is a language. It is old.", f"One. Two {e} three. Four.": "One. Four.", "Lua error in package.lua at line 80: module 'Module:P/s' not found. Fine.": "Fine.", "as  it is": "as  it is"}
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", listings.without_script_errors(F.col("t"), F.lit("Tea")).alias("c")).collect()
+    assert {r["t"]: r["c"] for r in rows} == said
