@@ -98,3 +98,10 @@ def scaled(amount: Column, servings: Column, wanted: Column) -> Column:
 
 def percent(base: Column, rate: Column) -> Column:
     return base * rate / 100
+
+
+def zone_clock(instant: Column, zone: Column) -> Column:
+    """struct(day, minute, ahead): the date and minute of the day that clocks of a zone show at an instant in UTC, and how many minutes they are ahead of it, summer time included."""
+    local = F.from_utc_timestamp(instant, zone)
+    minute = (F.hour(local) * 60 + F.minute(local)).alias("minute")
+    return F.struct(F.to_date(local).alias("day"), minute, ((F.unix_timestamp(local) - F.unix_timestamp(instant)) / 60).cast("int").alias("ahead"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.functions import maths, steps
+from siltstone.functions import calculators, maths, steps
+from siltstone.functions.text import tokens
+from siltstone.operators import rules
 from siltstone.plans.base import registry
 from siltstone.sources.tables import table
 
@@ -50,3 +52,34 @@ def mathematics_shown(spark, sf):
     text = F.concat(F.lit("Cost $\\frac{"), k, F.lit("}{"), n, F.lit("}$ of CO_2 $\\times 10^{"), (F.col("p_partkey") % 100).cast("string"), F.lit("}$, \\(\\sqrt{"), n, F.lit(" + x_1}\\), $5 or $"), n)
     markup = F.concat(F.lit("<math><mfrac><mn>"), k, F.lit("</mn><mn>"), n, F.lit("</mn></mfrac><mo>×</mo><mspace/><msup><mi>x</mi><mn>"), n, F.lit("</mn></msup></math>"))
     return table(spark, sf, "part").select("p_partkey", maths.readable(text).alias("text"), maths.from_mathml(markup).alias("latex"))
+
+
+ZONES = ("Europe/Paris", "America/New_York", "Asia/Kolkata", "Pacific/Auckland")
+
+
+@query(f"""WITH e AS (SELECT event_id, ts::TIMESTAMP AS ts, timezone(({list(ZONES)})[event_id % 4 + 1], timezone('UTC', ts::TIMESTAMP)) AS local FROM events)
+SELECT event_id, strftime(local, '%Y-%m-%d') AS day, (hour(local) * 60 + minute(local))::INT AS minute, round(epoch(local - ts) / 60)::INT AS ahead FROM e""")
+def zone_clocks(spark, sf):
+    """What the clocks of four zones show at each event."""
+    zone = F.element_at(F.array(*map(F.lit, ZONES)), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf, "events").select("event_id", calculators.zone_clock(F.col("ts").cast("timestamp"), zone).alias("c"))
+    return rows.select("event_id", F.col("c.day").cast("string").alias("day"), "c.minute", "c.ahead")
+
+
+RULES = (
+    rules.Rule("numbers", all=(r"\d{3}",), none=("the",)), rules.Rule("greeting", any=("^in ", "^the "), none=(r"\?",)), rules.Rule("both", all=("un", "an"), any=("ou", "ch")), rules.Rule("rest", all=("e",)),
+)
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\d{3}') AND NOT contains(t, 'the') THEN 'numbers' WHEN (starts_with(t, 'in ') OR starts_with(t, 'the ')) AND NOT contains(t, '?') THEN 'greeting' WHEN contains(t, 'un') AND contains(t, 'an') AND (contains(t, 'ou') OR contains(t, 'ch')) THEN 'both' WHEN contains(t, 'e') THEN 'rest' END AS rule
+FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations)""".replace("\\d", "\d"))
+def first_rules(spark, sf):
+    """The first of four ordered rules that each turn fits."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", rules.named(F.col("text"), RULES).alias("rule"))
+
+
+@query(r"""SELECT doc_id, 'guide' || k AS name, count(*) AS hits FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM documents) JOIN (SELECT DISTINCT item_id % 7 AS k, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark) USING (w) GROUP BY doc_id, k""".replace("\\p", "\p"))
+def guides_by_keywords(spark, sf):
+    """How many keywords of each of seven guides every document holds."""
+    keywords = table(spark, sf, "benchmark").select(F.concat(F.lit("guide"), F.col("item_id") % 7).alias("name"), F.explode(tokens(F.col("text"))).alias("word"))
+    return rules.ranked(table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("w")), keywords, "w", "doc_id")

@@ -94,3 +94,24 @@ def test_running(spark):
         assert r["before"] == total
         total += r["v"]
     assert running.numbered(rows.limit(0), [F.col("id")], "place").count() == 0
+
+
+def test_ordered_rules(spark):
+    from siltstone.operators import rules
+
+    given = (rules.Rule("burn", all=(r"\bburn",), none=("history", "sun")), rules.Rule("sun", any=("sunburn", r"burn\w* by the sun")), rules.Rule("any", all=("a",), any=("b", "c")))
+    said = {"Burnt my hand": "burn", "history of BURNS": "any", "burned by the sun": "sun", "a": None, "cab": "any", "": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", rules.named(F.col("t"), given).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in rows} == said
+    texts = spark.createDataFrame([(1, ["burn", "hand", "burn"]), (2, []), (3, None), (4, ["snake", "hand"])], "id int, w array<string>")
+    words = spark.createDataFrame([("burns", "burn"), ("burns", "hand"), ("burns", "hand"), ("bites", "snake")], "name string, word string")
+    assert sorted(tuple(r) for r in rules.ranked(texts, words, "w", "id").collect()) == [(1, "burns", 2), (4, "bites", 1), (4, "burns", 1)]
+
+
+def test_zone_clocks(spark):
+    from siltstone.functions.calculators import zone_clock
+
+    cases = [("2024-07-01 12:00:00", "Europe/Paris", "2024-07-01", 840, 120), ("2024-01-01 23:30:00", "Europe/Paris", "2024-01-02", 30, 60), ("2024-01-01 01:00:00", "America/New_York", "2023-12-31", 1200, -300), ("2024-05-05 00:00:00", "Asia/Kolkata", "2024-05-05", 330, 330), (None, "Asia/Kolkata", None, None, None)]
+    df = spark.createDataFrame([(n, t, z) for n, (t, z, *_) in enumerate(cases)], "n int, t string, z string")
+    got = df.select("n", zone_clock(F.col("t").cast("timestamp"), F.col("z")).alias("c")).orderBy("n").collect()
+    assert [(None if r["c"]["day"] is None else str(r["c"]["day"]), r["c"]["minute"], r["c"]["ahead"]) for r in got] == [tuple(c[2:]) for c in cases]
