@@ -16,6 +16,14 @@ def heading_parts(title: Column) -> Column:
     )
 
 
+def heading_path(title: Column) -> Column:
+    """struct(article, above, own): a title cut at its first " — " into its article and the headings after it, those joined by " > "; own is the last of them, above the ones over it. Null and empty without any."""
+    parts = heading_parts(title)
+    path = F.transform(F.split(F.coalesce(parts["section"], F.lit("")), " > "), lambda p: F.trim(p))
+    some = F.filter(path, lambda p: p != "")
+    return F.struct(parts["article"].alias("article"), F.slice(some, F.lit(1), F.greatest(F.size(some) - 1, F.lit(0))).alias("above"), F.get(some, F.size(some) - 1).alias("own"))
+
+
 def page_ranges(pages: Column) -> Column:
     """"1–3, 7": the runs of an array of page numbers, sorted, each once."""
     sorted_ = F.array_sort(F.array_distinct(F.filter(pages, lambda p: p.isNotNull())))

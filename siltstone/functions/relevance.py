@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import stem, tokens
+from siltstone.functions.text import bare, stem, tokens, unmarked
 
 
 def hits(text: Column, terms: Sequence[str]) -> Column:
@@ -40,9 +40,9 @@ def boilerplate(text: Column) -> Column:
 
 
 def scope(title: Column, name: str) -> Column:
-    """Whether a title belongs to a place: "name — …" or "name/…", whatever the case."""
-    t = F.lower(title)
-    return t.startswith(f"{name.lower()} — ") | t.startswith(f"{name.lower()}/")
+    """Whether a title belongs to a place: "name — …" or "name/…", whatever the case and accents."""
+    t, n = unmarked(title), bare(name)
+    return t.startswith(f"{n} — ") | t.startswith(f"{n}/")
 
 
 def token_estimate(text: Column) -> Column:

@@ -5,7 +5,6 @@ Phrases that may be names are listed for each question, with their places; title
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,11 +31,6 @@ _RUN = regex.compile(rf"[CD][CDj]{{0,{STRETCH - 2}}}C|C")
 _AFTER = regex.compile(rf"(?<=p)w{{1,{MOST}}}")
 
 
-def bare(word: str) -> str:
-    """Lower case without any marks."""
-    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.category(c).startswith("M")).lower()
-
-
 def _empty(low: str) -> bool:
     return len(low) < 2 or low in T.STOPWORDS
 
@@ -74,7 +68,7 @@ def phrases(questions: DataFrame, keys: list[str], text: str = "text") -> DataFr
             rows = [(i, *s) for i, q in enumerate(b.column(len(keys)).to_pylist()) if q for s in spans(q)]
             of, start, length, phrase = zip(*rows, strict=True) if rows else ((), (), (), ())
             own = b.take(pa.array(of, pa.int32()))
-            columns = [own.column(i) for i in range(len(keys))] + [pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(phrase, pa.string()), pa.array([bare(p) for p in phrase], pa.string())]
+            columns = [own.column(i) for i in range(len(keys))] + [pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(phrase, pa.string()), pa.array([T.bare(p) for p in phrase], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keys, "start", "length", "phrase", "key"])
 
     given = questions.select(*keys, F.col(text).alias("_text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.functions.labels import heading_parts, page_ranges, within_edits
+from siltstone.functions.labels import heading_parts, heading_path, page_ranges, within_edits
 from siltstone.operators import scans
 from siltstone.plans.base import registry
 from siltstone.sources.tables import table
@@ -57,3 +57,11 @@ def page_range_labels(spark, sf):
 def capped_edits(spark, sf):
     both = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return both.select("n_nationkey", "r_regionkey", within_edits(F.col("n_name"), F.col("r_name"), 4).alias("edits"))
+
+
+@query("""SELECT c_custkey, 'Customer ' || c_custkey AS article, CASE c_custkey % 4 WHEN 1 THEN '' WHEN 2 THEN c_mktsegment WHEN 3 THEN c_mktsegment || '|N' || c_nationkey ELSE '' END AS above, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN c_mktsegment ELSE 'N' || (c_nationkey + CASE c_custkey % 4 WHEN 3 THEN 1 ELSE 0 END) END AS own FROM customer""")
+def heading_paths(spark, sf):
+    """Titles with none to three headings after the article."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    title = F.concat(F.lit("Customer "), k, F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit(" — "), "c_mktsegment")).when(k % 4 == 2, F.concat(F.lit(" — "), "c_mktsegment", F.lit(" > N"), n)).otherwise(F.concat(F.lit(" — "), "c_mktsegment", F.lit(" > N"), n, F.lit(" > N"), n + 1)))
+    return table(spark, sf, "customer").select("c_custkey", heading_path(title).alias("h")).select("c_custkey", "h.article", F.array_join("h.above", "|").alias("above"), "h.own")

@@ -8,7 +8,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.functions import hours
+from siltstone.functions import hours, relevance
+from siltstone.functions.labels import heading_path
 from siltstone.functions.text import query_terms
 from siltstone.operators import destinations, emergency, listings, selection
 from siltstone.sources import guides, paired
@@ -144,3 +145,10 @@ def test_script_errors(spark):
     said = {f"{e} (日本) is a language. It is old.": "Tea (日本) is a language. It is old.", f"One. Two {e} three. Four.": "One. Four.", "Lua error in package.lua at line 80: module 'Module:P/s' not found. Fine.": "Fine.", "as  it is": "as  it is"}
     rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", listings.without_script_errors(F.col("t"), F.lit("Tea")).alias("c")).collect()
     assert {r["t"]: r["c"] for r in rows} == said
+
+
+def test_scopes_and_heading_paths(spark):
+    df = spark.createDataFrame([("Zürich — Kunsthaus",), ("ZURICH/Altstadt — Bar",), ("Zurichsee — Boats",), (None,), ("Sun — Core > Fusion > Chain",), ("Sun",)], "t string")
+    rows = df.select("t", relevance.scope(F.col("t"), "Zürich").alias("s"), heading_path(F.col("t")).alias("h")).collect()
+    assert [r["s"] for r in rows] == [True, True, False, None, False, False]
+    assert [(r["h"]["article"], list(r["h"]["above"]), r["h"]["own"]) for r in rows if r["t"]][3:] == [("Sun", ["Core", "Fusion"], "Chain"), ("Sun", [], None)]
