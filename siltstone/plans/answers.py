@@ -72,13 +72,13 @@ RULES = (
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\d{3}') AND NOT contains(t, 'the') THEN 'numbers' WHEN (starts_with(t, 'in ') OR starts_with(t, 'the ')) AND NOT contains(t, '?') THEN 'greeting' WHEN contains(t, 'un') AND contains(t, 'an') AND (contains(t, 'ou') OR contains(t, 'ch')) THEN 'both' WHEN contains(t, 'e') THEN 'rest' END AS rule
-FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations)""".replace("\\d", "\d"))
+FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations)""")
 def first_rules(spark, sf):
     """The first of four ordered rules that each turn fits."""
     return table(spark, sf, "conversations").select("conv_id", "turn", rules.named(F.col("text"), RULES).alias("rule"))
 
 
-@query(r"""SELECT doc_id, 'guide' || k AS name, count(*) AS hits FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM documents) JOIN (SELECT DISTINCT item_id % 7 AS k, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark) USING (w) GROUP BY doc_id, k""".replace("\\p", "\p"))
+@query(r"""SELECT doc_id, 'guide' || k AS name, count(*) AS hits FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM documents) JOIN (SELECT DISTINCT item_id % 7 AS k, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark) USING (w) GROUP BY doc_id, k""")
 def guides_by_keywords(spark, sf):
     """How many keywords of each of seven guides every document holds."""
     keywords = table(spark, sf, "benchmark").select(F.concat(F.lit("guide"), F.col("item_id") % 7).alias("name"), F.explode(tokens(F.col("text"))).alias("word"))
