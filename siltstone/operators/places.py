@@ -28,19 +28,27 @@ def widening(places: DataFrame, at: tuple[float, float], radii: tuple[float, ...
 def settle(places: DataFrame, towns: DataFrame, reach: float = 30.0, key: str = "id") -> DataFrame:
     """(key, town, rule): for each place the most populous town of 100,000 within reach (rule 1), else the nearest town within 20 km (rule 2); places without are left out.
 
-    Places and towns meet by grid cells: each place looks into its own degree cell and its neighbours (more along a parallel towards the poles), so the join is on equality and no pair beyond them is made.
+    Places and towns meet by grid cells: each place looks into its own degree cell and its neighbours (more along a parallel towards the poles), so the join is on equality and no pair beyond them is made. Places of one spot are answered once, and of the towns of one spot only those that can be an answer are met: the most populous and the first by name.
     """
     step = reach / 111.0
     cells_lat = F.sequence(F.floor((F.col("lat") - step) + 90).cast("int"), F.floor((F.col("lat") + step) + 90).cast("int"))
     wide = F.least(F.lit(180.0), step / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.9), F.abs("lat") + step)))))
     cells_lon = F.array_distinct(F.transform(F.sequence(F.floor(F.col("lon") - wide).cast("int"), F.floor(F.col("lon") + wide).cast("int")), lambda c: F.pmod(c + 180, F.lit(360))))
-    looked = places.withColumn("_y", F.explode(cells_lat)).withColumn("_x", F.explode(cells_lon))
-    held = towns.select("town", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "population", F.floor(F.col("lat") + 90).cast("int").alias("_ty"), F.pmod(F.floor("lon").cast("int") + 180, F.lit(360)).alias("_tx"))
-    pairs = looked.join(held, (F.col("_y") == F.col("_ty")) & (F.col("_x") == F.col("_tx"))).withColumn("_km", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
+    looked = places.select("lat", "lon").distinct().withColumn("_y", F.explode(cells_lat)).withColumn("_x", F.explode(cells_lon))
+    large = F.col("population") >= 100_000
+    first = towns.groupBy("lat", "lon").agg(F.min(F.when(large, F.struct((-F.col("population")).alias("_less"), "town", "population"))).alias("_large"), F.min(F.struct("town", "population")).alias("_any"))
+    told = lambda c: F.struct(F.col(c)["town"].alias("town"), F.col(c)["population"].alias("population"))
+    first = first.withColumn("_t", F.explode(F.when(F.col("_large").isNull(), F.array(told("_any"))).otherwise(F.array(told("_large"), told("_any")))))
+    held = first.select("_t.town", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "_t.population", F.floor(F.col("lat") + 90).cast("int").alias("_ty"), F.pmod(F.floor("lon").cast("int") + 180, F.lit(360)).alias("_tx"))
+    spread = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes make many pairs, so cells are dealt by number, not by size
+    pairs = looked.repartition(spread, "_y", "_x").join(held.repartition(spread, "_ty", "_tx"), (F.col("_y") == F.col("_ty")) & (F.col("_x") == F.col("_tx"))).withColumn("_km", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
     rule = F.when((F.col("population") >= 100_000) & (F.col("_km") <= reach), 1).when(F.col("_km") <= 20, 2)
     pairs = pairs.withColumn("rule", rule).where("rule is not null")
-    best = W.partitionBy(key).orderBy("rule", F.when(F.col("rule") == 1, -F.col("population")), "_km", "town")
-    return pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(key, "town", "rule", F.col("_km").alias("distance_km"))
+    order = ["rule", F.when(F.col("rule") == 1, -F.col("population")).alias("_less"), "_km", "town"]
+    spots = pairs.groupBy("lat", "lon").agg(F.min(F.struct(*order)).alias("_best")).select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "_best")
+    found = places.select(key, "lat", "lon").join(spots, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")))
+    best = found.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("_best"))).where("_n = 1")
+    return best.select(key, "_best.town", "_best.rule", F.col("_best._km").alias("distance_km"))
 
 
 def commonest(rows: DataFrame, value: str, order: str, first: int = 15) -> DataFrame:
