@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +41,12 @@ def append(docs: DataFrame, path: str, key: str = "doc_id") -> None:
 
 def _add(docs: DataFrame, path: str, key: str, fields: Sequence[str], mode: str) -> None:
     spark = docs.sparkSession
-    words = docs.select(F.col(key), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("w")) for f in fields))).alias("_f"))
-    words = words.select(key, F.col("_f.field").alias("field"), F.size("_f.w").alias("words"), F.posexplode("_f.w").alias("place", "term"))
-    found = words.groupBy("field", "term", key, "words").agg(F.sort_array(F.collect_list("place")).alias("at"))
-    found = written(found.select("field", "term", key, F.size("at").alias("tf"), "words", "at"), "postings")
-    found.repartitionByRange("field", "term", key).sortWithinPartitions("field", "term", key).write.mode(mode).parquet(f"{path}/postings")
-    terms = written(found.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), "terms")
+    found = written(_gathered(docs, key, fields), "postings")
+    parts = found.repartitionByRange("field", "term", F.get("keys", F.lit(0)))
+    single = parts.select("field", "term", F.explode(F.arrays_zip("keys", "words", "at")).alias("_p"))
+    single = single.select("field", "term", F.col("_p.keys").alias(key), F.size("_p.at").alias("tf"), "_p.words", "_p.at")
+    single.sortWithinPartitions("field", "term", key).write.mode(mode).parquet(f"{path}/postings")
+    terms = written(found.groupBy("field", "term").agg(F.sum(F.size("keys").cast("long")).alias("df"), F.sum("total").alias("total")), "terms")
     terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode(mode).parquet(f"{path}/terms")
     totals = {r["field"]: r["total"] for r in terms.groupBy("field").agg(F.sum("total").alias("total")).collect()}
     n = docs.count()
@@ -51,6 +54,40 @@ def _add(docs: DataFrame, path: str, key: str, fields: Sequence[str], mode: str)
     spark.createDataFrame(rows, "field string, n long, total long").coalesce(1).write.mode(mode).parquet(f"{path}/fields")
 
 
+def _gathered(docs: DataFrame, key: str, fields: Sequence[str], size: int = 2000) -> DataFrame:
+    """(field, term, total, keys, words, at): for each term of `size` rows of docs at most, how often they have it, the keys that hold it, those fields' lengths, and its places in each. A posting crosses to another task only in such a list, so its term is told once for all of them."""
+    kind = docs.schema[key].dataType
+    wide = F.array(*(tokens(F.col(f)) for f in fields))
+
+    def lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(at, size) for x in batches for at in range(0, x.num_rows, size)):
+            keys, held = b.column(0), b.column(1)
+            for n, field in enumerate(fields):
+                own = pa.compute.list_element(held, n)
+                words = pa.compute.fill_null(pa.compute.list_value_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = own.flatten().dictionary_encode()
+                if not len(coded):
+                    continue
+                row = np.repeat(np.arange(len(words)), words)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(words) - words, words)
+                code = coded.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")  # rows and places keep their order within a term
+                code, row, place = code[order], row[order], place[order]
+                first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])]))
+                new = np.flatnonzero(np.concatenate([[True], np.diff(code[first]) != 0]))  # where a term's postings begin
+                ends, total = np.append(new, len(first)), np.diff(np.append(first[new], len(code)))
+                term = coded.dictionary.take(pa.array(code[first[new]]))
+                at = lists(np.append(first, len(code)), pa.array(place.astype(np.int32)))
+                columns = [pa.array([field] * len(term), pa.string()), term.cast(pa.string()), pa.array(total.astype(np.int64)), lists(ends, keys.take(pa.array(row[first]))), lists(ends, pa.array(words[row[first]].astype(np.int32))), lists(ends, at)]
+                yield pa.RecordBatch.from_arrays(columns, ["field", "term", "total", "keys", "words", "at"])
+
+    schema = f"field string, term string, total long, keys array<{kind.simpleString()}>, words array<int>, at array<array<int>>"
+    return docs.select(key, wide.alias("_w")).mapInArrow(run, schema)
+
+
 class Index:
     """An index that write() left under path."""
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siltstone.operators import places
+from siltstone.operators import chunking, inverted, places
+from siltstone.sources import blocks
 
 
 def most_rows(df) -> int:
@@ -36,3 +41,30 @@ def test_settlements_of_one_spot_meet_once(spark):
     alone = places.settle(spots.where("lon > 30"), towns.unionByName(small)).collect()
     assert [(r["town"], r["rule"]) for r in alone] == [("a", 2)]
     assert most_rows(found) < 10_000
+
+
+def test_postings_cross_in_lists(spark):
+    """500 documents of the same five words: 2500 postings of two fields, ten lists a task."""
+    docs = spark.range(500).coalesce(1).select("id", F.lit("a b c d e").alias("title"), F.lit("a b c d e a").alias("text"))
+    lists = inverted._gathered(docs, "id", ("title", "text"))
+    rows = lists.collect()
+    assert len(rows) == 10 and sum(len(r["keys"]) for r in rows) == 5000
+    a = next(r for r in rows if (r["field"], r["term"]) == ("text", "a"))
+    assert a["keys"] == list(range(500)) and a["at"] == [[0, 5]] * 500 and set(a["words"]) == {6} and a["total"] == 1000
+
+
+def test_pieces_come_in_small_batches(spark):
+    """Pieces of 1000 long texts leave Python whole; null and empty texts have none."""
+    docs = spark.range(1000).coalesce(1).select("id", F.repeat(F.lit("word "), F.lit(500)).alias("text"))
+    cut = chunking.chunk(docs, key="id")
+    assert cut.count() == 1000 * len(chunking.overlapping("word " * 500))
+    odd = chunking.chunk(spark.createDataFrame([(1, None), (None, "x"), (2, "")], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["n"], r["text"]) for r in odd] == [(None, 0, "x")]
+
+
+def test_block_is_packed_by_itself():
+    """Each block leaves the packing step in a batch of its own, so that one block's records are Python objects at a time."""
+    b = pa.RecordBatch.from_pydict({"block": [0, 1, 2], "n": [1, 2, 1], "records": [["x"], ["y", "é"], [""]], "keys": [[1], [2, 3], [4]]})
+    out = list(blocks._packed(iter([b])))
+    assert [x.num_rows for x in out] == [1, 1, 1]
+    assert [json.loads(zlib.decompress(x.column("payload")[0].as_py())) for x in out] == [["x"], ["y", "é"], [""]]
