@@ -9,19 +9,18 @@ import json
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType
 
 from siltstone.operators.running import summed
 
 
-@pandas_udf(BinaryType())
-def _pack(records: pd.Series) -> pd.Series:
-    return records.map(lambda rows: zlib.compress(json.dumps(list(rows), ensure_ascii=False, separators=(",", ":")).encode(), 9))
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in (x.slice(at, 1) for x in batches for at in range(x.num_rows)):  # one block as Python objects at a time
+        rows = b.column("records")[0].as_py()
+        payload = zlib.compress(json.dumps(rows, ensure_ascii=False, separators=(",", ":")).encode(), 9)
+        yield pa.RecordBatch.from_arrays([b.column("block"), b.column("n"), pa.array([payload], pa.binary()), b.column("keys")], ["block", "n", "payload", "keys"])
 
 
 def write(records: DataFrame, path: str, key: str, record: str, size: int = 65_536) -> None:
@@ -32,7 +31,8 @@ def write(records: DataFrame, path: str, key: str, record: str, size: int = 65_5
     rows = records.select(F.col(key).alias("key"), F.coalesce(record, F.lit("")).alias("record")).withColumn("_size", F.length("record") + 1)
     rows = summed(rows, [F.col("key")], "_size", "_before").withColumn("block", F.floor((F.col("_before") + F.col("_size") - 1) / size))
     packed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("key", "record"))).alias("rows"))
-    packed = packed.select("block", F.size("rows").alias("n"), _pack(F.transform("rows", lambda r: r["record"])).alias("payload"), F.transform("rows", lambda r: r["key"]).alias("keys"))
+    packed = packed.select("block", F.size("rows").alias("n"), F.transform("rows", lambda r: r["record"]).alias("records"), F.transform("rows", lambda r: r["key"]).alias("keys"))
+    packed = packed.mapInArrow(_packed, f"block long, n int, payload binary, keys array<{rows.schema['key'].dataType.simpleString()}>")
     packed.withColumn("digest", F.sha2("payload", 256)).repartitionByRange("block").sortWithinPartitions("block").write.parquet(f"{path}/blocks")
     held = records.sparkSession.read.parquet(f"{path}/blocks")
     index = held.select("block", F.posexplode("keys").alias("place", "key")).select("key", "block", "place")
