@@ -34,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     return given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing of it. The files go when the application ends."""
+def materialise(df: DataFrame, name: str, most: int = 0) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing of it. The files go when the application ends. most: rows in a file, for rows of megabytes, as a reader holds up to 4096 rows of a file at once; 0 for any number."""
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
@@ -43,7 +43,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     if own is not None:
         spark.conf.set(CLEANUP, "true")  # what is written needs its shuffles no more
     try:
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", most).parquet(path)
     finally:
         if own is not None:
             spark.conf.set(CLEANUP, own)
