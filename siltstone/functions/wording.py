@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.functions.arrays import let
 from siltstone.functions.labels import within_edits
 from siltstone.functions.text import stem
 
@@ -32,14 +35,25 @@ def american(word: Column) -> Column:
 
 
 def contracted(text: Column) -> Column:
-    """Casual spellings with their apostrophes: dont -> don't, WHATS -> WHAT'S, Whats -> What's; a capital first letter stays one."""
+    """Casual spellings with their apostrophes: dont -> don't, WHATS -> WHAT'S, Whats -> What's; a capital first letter stays one. A word is looked for only in texts that hold its letters; no spelling makes another's word."""
+    low = F.lower(text)
     for word, spelled in CASUAL.items():
-        first, rest = word[0], word[1:]
-        for found, put in ((word.upper(), spelled.upper()), (f"{first.upper()}(?i:{rest})", spelled[0].upper() + spelled[1:]), (f"(?i:{word})", spelled)):
-            text = F.regexp_replace(text, rf"\b{found}\b", put)
+        text = let(text, _put_right(low, word, spelled))
     return text
 
 
+def _put_right(low: Column, word: str, spelled: str) -> Callable[[Column], Column]:
+    first, rest = word[0], word[1:]
+
+    def of(text: Column) -> Column:
+        new = text
+        for found, put in ((word.upper(), spelled.upper()), (f"{first.upper()}(?i:{rest})", spelled[0].upper() + spelled[1:]), (f"(?i:{word})", spelled)):
+            new = F.regexp_replace(new, rf"\b{found}\b", put)
+        return F.when(F.contains(low, F.lit(word)), new).otherwise(text)
+
+    return of
+
+
 def coarse_stem(word: Column) -> Column:
     """The search's cruder stem: the first ending of COARSE that a word is long enough for comes off."""
     fits = [F.when(word.endswith(ending) & (F.length(word) >= least), F.left(word, F.length(word) - lost)) for ending, least, lost in COARSE]

@@ -28,3 +28,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt to as many tasks as Spark's shuffles have, where each row is much work: a file of few bytes is read by one task however many rows it holds."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

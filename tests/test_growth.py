@@ -8,7 +8,9 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import materialise
 from siltstone.operators import chunking, inverted, places
+from siltstone.plans import answers, wordings
 from siltstone.sources import blocks
 
 
@@ -68,3 +70,15 @@ def test_block_is_packed_by_itself():
     out = list(blocks._packed(iter([b])))
     assert [x.num_rows for x in out] == [1, 1, 1]
     assert [json.loads(zlib.decompress(x.column("payload")[0].as_py())) for x in out] == [["x"], ["y", "é"], [""]]
+
+
+def test_files_of_large_rows_hold_few(spark):
+    """A reader holds a file's rows together, so blocks of megabytes lie eight in a file."""
+    of = materialise(spark.range(40).coalesce(1), "few", most=8)
+    assert len(of.inputFiles()) == 5 and of.count() == 40
+
+
+def test_costly_rows_are_dealt(spark, sf_dir):
+    """One small file is one task's; its rows are worked on by as many tasks as shuffles have."""
+    for query in (wordings.restored_contractions, answers.worked_steps):
+        assert query(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
