@@ -8,7 +8,7 @@ from siltstone.functions import calculators, maths, steps
 from siltstone.functions.text import tokens
 from siltstone.operators import rules
 from siltstone.plans.base import registry
-from siltstone.sources.tables import table
+from siltstone.sources.tables import dealt, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -19,7 +19,7 @@ s AS (SELECT *, printf('%02d:%02d', mins // 60, mins % 60) AS clock, printf('%02
 
 
 def _texts(spark, sf):
-    o = table(spark, sf, "orders")
+    o = dealt(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
     k, cust = F.col("o_orderkey"), F.col("o_custkey")
     rows = o.select(k.alias("k"), (cust % 50 + 1).alias("q"), (k % 900 + 100).alias("c"), F.when(k % 3 == 0, 100).otherwise(0).alias("d"), (1 + cust % 9).alias("h"), (k % 59 + 1).alias("m"), F.when(k % 2 == 0, 10).otherwise(0).alias("e"))
     money = lambda cents: F.format_string("€%.2f", cents / 100)
