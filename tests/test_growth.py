@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialise
-from siltstone.operators import chunking, inverted, places
+from siltstone.operators import chunking, inverted, places, vectors
 from siltstone.plans import answers, wordings
 from siltstone.sources import blocks
 
 
-def most_rows(df) -> int:
-    """The most rows that one step of df's plan gives, df being run."""
+def most_rows(df, name: str = "numOutputRows") -> int:
+    """The most rows that one step of df's plan gives, df being run; name: of the metric that counts them."""
     df.collect()
     most, open_ = 0, [df._jdf.queryExecution().executedPlan()]
     while open_:
@@ -25,7 +25,7 @@ def most_rows(df) -> int:
             open_.append(plan.executedPlan())
         elif kind.endswith("QueryStageExec"):
             open_.append(plan.plan())
-        held = plan.metrics().get("numOutputRows")
+        held = plan.metrics().get(name)
         most = max(most, held.get().value() if held.isDefined() else 0)
         children = plan.children()
         open_ += [children.apply(i) for i in range(children.size())]
@@ -82,3 +82,17 @@ def test_costly_rows_are_dealt(spark, sf_dir):
     """One small file is one task's; its rows are worked on by as many tasks as shuffles have."""
     for query in (wordings.restored_contractions, answers.worked_steps):
         assert query(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pairs_compared_do_not_cross(spark, monkeypatch):
+    """8192 rows, each twice, against 82 queries of 400: what leaves the comparing tasks is the best of each; more groups and parts find the same, and copies tie by key."""
+    e = spark.range(8192).coalesce(1).select(F.col("id").alias("vec_id"), F.array(F.cos(F.col("id") % 4096), F.sin(F.col("id") % 4096)).cast("array<float>").alias("embedding"))
+    found = vectors.exact_of_all(e, e.where("vec_id % 100 = 0"), 400)
+    rows = found.collect()
+    assert len(rows) == 82 * 400 == most_rows(found, "pythonNumRowsReceived")
+    best = sorted((r for r in rows if r["query_id"] == 100), key=lambda r: (-r["score"], r["vec_id"]))
+    assert best[0]["vec_id"] == 4196 and all(a["vec_id"] + 4096 == b["vec_id"] for a, b in zip(best[1:399:2], best[2:399:2], strict=True))
+    monkeypatch.setattr(vectors, "HELD", 16_000)
+    monkeypatch.setattr(vectors, "PART", 3000)
+    again = vectors.exact_of_all(e, e.where("vec_id % 100 = 0"), 400).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
