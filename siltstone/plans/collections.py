@@ -11,7 +11,7 @@ from siltstone.operators import emergency, listings, merge, running, selection
 from siltstone.plans.base import registry
 from siltstone.sources import blocks
 from siltstone.sources.html import table_rows
-from siltstone.sources.tables import shared_folder, table
+from siltstone.sources.tables import dealt, shared_folder, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -54,7 +54,7 @@ def _pages(spark, sf):
         F.lit(" or 112</td><td>Emergency – 9"), k, F.lit("; Non-emergency police – 101</td></tr><tr><td>B"), k, F.lit("</td><td>"), k, F.lit("</td><td>call "), k, F.lit("</td><td>(+4) "), k, F.lit("-1/7</td><td>Fire brigade – 5"), k, F.lit(", Police – "), k, F.lit(" or 8</td></tr><tr><td rowspan='2'>C"), k,
         F.lit("</td><td>3<br>"), k, F.lit("</td><td></td><td>2</td></tr><tr><td>3 "), k, F.lit("</td><td></td><td>2</td></tr></table><table><tr><td>other</td></tr></table>"),
     )
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html"))
+    return dealt(table(spark, sf, "customer").select("c_custkey", "c_nationkey")).select(F.col("c_custkey").alias("page_id"), html.alias("html"))
 
 
 @query("""WITH c AS (SELECT c_custkey AS i, c_custkey::VARCHAR AS k, 'Region ' || c_nationkey AS region FROM customer), none AS (SELECT []::VARCHAR[] AS e)

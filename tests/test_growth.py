@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialise
 from siltstone.operators import chunking, inverted, places, vectors
-from siltstone.plans import answers, wordings
+from siltstone.plans import answers, collections, travel, wordings
 from siltstone.sources import blocks
 
 
@@ -96,3 +96,9 @@ def test_pairs_compared_do_not_cross(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PART", 3000)
     again = vectors.exact_of_all(e, e.where("vec_id % 100 = 0"), 400).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+
+
+def test_costly_customers_are_dealt(spark, sf_dir):
+    """Pages with tables of numbers, and hours read into timelines: one small file is dealt to as many tasks as shuffles have."""
+    for made in (collections._pages, travel._timed):
+        assert made(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
