@@ -10,7 +10,7 @@ from siltstone.functions import text as T
 from siltstone.operators import destinations
 from siltstone.plans.base import registry
 from siltstone.sources import guides
-from siltstone.sources.tables import table
+from siltstone.sources.tables import dealt, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -82,7 +82,7 @@ def _timed(spark, sf):
         ("Fr-Mo ", clock(a), "+"), ("Daily ", half(a), "-", half(b)), ("by appointment",), ("Saturdays Sundays ", clock(a), "-", clock(a + 60), " and ", clock(a + 90), "-", clock(b)),
     )
     texts = F.array(*(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in form)) for form in forms))
-    rows = table(spark, sf, "customer").select(key.alias("id"), "c_nationkey", (key % 7).cast("int").alias("form"), (360 + key * 37 % 300).cast("int").alias("a"), (480 + key * 37 % 300 + key * 53 % 900).cast("int").alias("b"), (key * 797 % 10080).cast("int").alias("moment"))
+    rows = dealt(table(spark, sf, "customer").select("c_custkey", "c_nationkey")).select(key.alias("id"), "c_nationkey", (key % 7).cast("int").alias("form"), (360 + key * 37 % 300).cast("int").alias("a"), (480 + key * 37 % 300 + key * 53 % 900).cast("int").alias("b"), (key * 797 % 10080).cast("int").alias("moment"))
     return rows.withColumn("line", hours.read(hours.guide(F.get(texts, "form"))))
 
 
