@@ -131,6 +131,12 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
 
 
+def _texts(docs: DataFrame, keys: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(key, _text): each text once whose key is among keys, a table that materialise() wrote. Keys go to the texts where they fit, so that only texts that are asked for are shuffled."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("_text")).withColumn("key", F.sha2("_text", 256))
+    return texts.join(F.broadcast(keys) if fits(keys, broadcast_rows) else keys, "key", "left_semi").dropDuplicates(["key"])
+
+
 def disclosing(docs: DataFrame, found: DataFrame, support: int = 2, share: float = 0.6, broadcast_rows: int = 500_000) -> DataFrame:
     """(entity, term): terms that disclose an entity. Counts are of rows, repeated ones and those without an id included, over the whole corpus and whole texts; terms have three letters or more and are no numbers. Entities of fewer than `support` different texts can have no such term and go before their texts are read. Of the words of all documents only those met with entities are counted."""
     holders = found.where(" or ".join(f"size({k}) > 0" for k in PATTERNS)).groupBy("key").agg(F.count("*").alias("copies"), F.first(_held()).alias("held")).select("key", "copies", F.explode("held").alias("entity"))
@@ -139,8 +145,7 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = 2, share: float
     small = fits(entities, broadcast_rows)
     holders = materialise(holders.join(F.broadcast(entities) if small else entities, "entity", "left_semi"), "holders")
     keys = materialise(holders.select("key").distinct(), "keys")
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("_text")).withColumn("key", F.sha2("_text", 256)).join(F.broadcast(keys) if fits(keys, broadcast_rows) else keys, "key", "left_semi").dropDuplicates(["key"])
-    terms = texts.select("key", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term")).where("length(term) >= 3 and not term rlike '^[0-9]+$'")
+    terms = _texts(docs, keys, broadcast_rows).select("key", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term")).where("length(term) >= 3 and not term rlike '^[0-9]+$'")
     both = materialise(holders.join(terms, "key").groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pairs")
     if both.isEmpty():
         return both.select("entity", "term")
@@ -164,12 +169,11 @@ def personal_data(docs: DataFrame, support: int = 2, share: float = 0.6, broadca
     told = disclosing(docs, found, support, share, broadcast_rows)
     holders = found.select("key", F.explode(_held()).alias("entity")).distinct()
     by_text = materialise(holders.join(told, "entity").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "told")
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("_text")).withColumn("key", F.sha2("_text", 256))
-    small = fits(by_text, broadcast_rows)
-    texts = texts.join(F.broadcast(by_text) if small else by_text, "key")
+    keys = materialise(by_text.select("key"), "keys")  # a fraction of the terms' bytes
+    texts = _texts(docs, keys, broadcast_rows).join(F.broadcast(by_text) if fits(by_text, broadcast_rows) else by_text, "key")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     spoken = texts.select("key", "_text", pattern.alias("_pattern")).select("key", F.transform(located(F.col("_text"), F.col("_pattern")), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("term"))
-    spoken = materialise(spoken.groupBy("key").agg(F.first("term").alias("term")), "spoken")
+    spoken = materialise(spoken, "spoken")
     short = lambda k: F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k)
     joined = found.join(F.broadcast(spoken) if fits(spoken, broadcast_rows) else spoken, "key", "left").select("doc_id", "key", *(short(k) for k in PATTERNS), F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
     taken = F.flatten(F.array(*PATTERNS))

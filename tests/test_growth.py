@@ -8,7 +8,8 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialise
+from siltstone.llm import pii
+from siltstone.llm.common import fits, materialise
 from siltstone.operators import chunking, inverted, places, vectors
 from siltstone.plans import answers, collections, travel, wordings
 from siltstone.sources import blocks
@@ -102,3 +103,25 @@ def test_costly_customers_are_dealt(spark, sf_dir):
     """Pages with tables of numbers, and hours read into timelines: one small file is dealt to as many tasks as shuffles have."""
     for made in (collections._pages, travel._timed):
         assert made(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_without_terms_stay(spark, monkeypatch):
+    """Where terms are too large to be sent to 400 texts, the keys of the 4 that have any still are, and the others' texts are not shuffled."""
+    long = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("w"), F.translate(F.md5(F.concat(F.col("id"), F.lit("/"), i)), "0123456789", "ghijklmnop"))))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4, F.concat(F.lit("zanzibarite a@b.org "), long)).otherwise(long).alias("text"))
+    want = sorted(map(str, pii.personal_data(docs).collect()))
+    moved = []
+
+    def written(df, name, most=0):
+        if name == "spoken":
+            moved.append(most_rows(df, "shuffleBytesWritten"))
+        return materialise(df, name, most)
+
+    monkeypatch.setattr(pii, "materialise", written)
+    monkeypatch.setattr(pii, "fits", lambda df, n: not {"terms", "term"} & set(df.columns) and fits(df, n))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, pii.personal_data(docs).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("start=0, end=11" in w for w in want) == 4 and 0 < moved[0] < 200_000
