@@ -122,8 +122,9 @@ SELECT 'guide-' || doc_id || '-' || lpad(n::VARCHAR, 4, '0') AS document_id, a |
  CASE n WHEN 0 THEN 'Lead of ' || a || ' with EUR ' || doc_id || ' and ' || doc_id || ' km on.' WHEN 2 THEN 'Warning: ' || b || '. ' || a || ' is 1/' || (doc_id % 7 + 2) || ' off' ELSE '- ' || a || ': ' || b || chr(10) || chr(10) || '- by ' || doc_id || ' km' END AS text FROM s""")
 def guide_sections(spark, sf):
     """Sections of guides in wikitext made of each document's words, with templates in templates."""
-    x = F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}]", ""))
-    rows = table(spark, sf, "documents").select("doc_id", F.get(x, F.lit(0)).alias("a"), F.get(x, F.lit(1)).alias("b")).where("a != '' and b != ''")
+    x = F.split("text", r"\s+", 3)  # the rest of a text stays one piece
+    word = lambda n: F.regexp_replace(F.get(x, F.lit(n)), r"[^\p{L}]", "")
+    rows = table(spark, sf, "documents").select("doc_id", word(0).alias("a"), word(1).alias("b")).where("a != '' and b != ''")
     i, d = F.col("doc_id").cast("string"), (F.col("doc_id") % 7 + 2).cast("string")
     said = (
         "Lead of '''", "a", "''' with {{EUR|", i, "}} and {{nowrap|{{km|", i, "}} on}}.{{pad|{{c|3}}}}\n== Buy ==\n{{see|name=", "b", "|content=costs {{USD|", i, "}}}}\n=== Money ===\n{{warningbox|", "a", " is {{frac|1|", d, "}} off|boldtext=",

@@ -125,3 +125,9 @@ def test_texts_without_terms_stay(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum("start=0, end=11" in w for w in want) == 4 and 0 < moved[0] < 200_000
+
+
+def test_only_first_words_are_split_off(spark, sf_dir):
+    """Two words of a text are asked for, so a text is cut in three pieces at most."""
+    plan = travel.guide_sections(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert r"split(text" in plan and r"\s+, 3)" in plan and "transform" not in plan
