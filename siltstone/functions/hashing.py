@@ -6,34 +6,43 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def fnv1a(text: str) -> int:
-    """32-bit FNV-1a of the UTF-8 bytes."""
-    h = 2166136261
+def fnv1a(text: str, h: int = 2166136261) -> int:
+    """32-bit FNV-1a of the UTF-8 bytes; h: that of what stands before text."""
     for byte in text.encode():
         h = (h ^ byte) * 16777619 & 0xFFFFFFFF
     return h
 
 
+_RUN = fnv1a("c:")
+
+
+@lru_cache(1 << 16)
+def _hashes(word: str, size: int) -> tuple[int, int, tuple[int, ...]]:
+    """Of a word: its place among size, the hash of it as the first of a pair, and the places of its runs of 3, 4 and 5 characters, longer ones from the hashes of shorter."""
+    framed = f"^{word}$"
+    three = [fnv1a(framed[i : i + 3], _RUN) for i in range(len(framed) - 2)]
+    four = [fnv1a(c, h) for c, h in zip(framed[3:], three, strict=False)]
+    five = [fnv1a(c, h) for c, h in zip(framed[4:], four, strict=False)]
+    return fnv1a(f"w:{word}") % size, fnv1a(f"b:{word} "), tuple(h % size for h in (*three, *four, *five))
+
+
 def features(text: str | None, size: int = 4096) -> dict[int, float]:
-    """Hashed counts of words, word pairs and 3- to 5-character runs within words, to length 1."""
+    """Hashed counts of words, word pairs and 3- to 5-character runs within words, to length 1. Hashes of words of late are remembered."""
     words = re.findall(r"[^\W_]+", (text or "").lower())
-    found = Counter(f"w:{w}" for w in words)
-    found.update(f"b:{a} {b}" for a, b in zip(words, words[1:], strict=False))
-    for w in words:
-        framed = f"^{w}$"
-        found.update(f"c:{framed[i : i + k]}" for k in (3, 4, 5) for i in range(len(framed) - k + 1))
-    out: dict[int, float] = {}
-    for f, n in found.items():
-        i = fnv1a(f) % size
-        out[i] = out.get(i, 0.0) + n
-    length = math.sqrt(sum(x * x for x in out.values()))
-    return {i: x / length for i, x in out.items()} if length else {}
+    hashes = [_hashes(w, size) for w in words]
+    found = Counter(w for w, _, _ in hashes)
+    found.update(fnv1a(b, first) % size for (_, first, _), b in zip(hashes, words[1:], strict=False))
+    found.update(chain.from_iterable(runs for _, _, runs in hashes))
+    length = math.sqrt(sum(n * n for n in found.values()))
+    return {i: n / length for i, n in found.items()}
 
 
 class Softmax:

@@ -97,8 +97,12 @@ def classifier_scores(spark, sf, sample_per_label: int = 40):
     from pyspark.sql import Window as W
 
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = labels.select("doc_id").join(docs, "doc_id").withColumn("place", place).where(F.col("place") <= sample_per_label).select("text", "lang").orderBy(F.xxhash64("text")).collect()
+    marked = docs.select("doc_id", "lang", F.xxhash64("text").alias("_h"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_h"))
+    chosen = labels.select("doc_id").join(marked, "doc_id").withColumn("place", place).where(F.col("place") <= sample_per_label)
+    chosen = F.broadcast(chosen.groupBy("doc_id", "lang", "_h").agg(F.count("*").cast("int").alias("_n")))  # texts are read again for these rows alone, neither joined nor sorted
+    texts = docs.withColumn("_h", F.xxhash64("text")).join(chosen.withColumnRenamed("lang", "_l"), ["doc_id", "_h"]).where(F.col("lang").eqNullSafe(F.col("_l"))).dropDuplicates(["doc_id", "lang", "_h"])
+    sample = texts.select("text", "lang", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).orderBy(F.xxhash64("text")).collect()
     kinds = sorted({r["lang"] for r in sample})
     model = Softmax(kinds).fit([(r["text"], r["lang"]) for r in sample], rounds=3)
     return model.score(docs.select("doc_id", "text"), "doc_id", "text")

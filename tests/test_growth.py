@@ -8,6 +8,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from siltstone.functions import hashing
 from siltstone.llm import pii
 from siltstone.llm.common import fits, materialise
 from siltstone.operators import chunking, inverted, places, vectors
@@ -131,3 +132,19 @@ def test_only_first_words_are_split_off(spark, sf_dir):
     """Two words of a text are asked for, so a text is cut in three pieces at most."""
     plan = travel.guide_sections(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert r"split(text" in plan and r"\s+, 3)" in plan and "transform" not in plan
+
+
+def test_words_are_hashed_once(monkeypatch):
+    """Features are counts of hashed words, pairs and runs, as by their definition; of words met before only pairs are hashed."""
+    text, size = "The fjörd, the FJÖRD of ab the fjörd", 64
+    words = "the fjörd the fjörd of ab the fjörd".split()
+    said = [f"w:{w}" for w in words] + [f"b:{a} {b}" for a, b in zip(words, words[1:], strict=False)] + [f"c:^{w}$"[:2] + f"^{w}$"[i : i + k] for w in words for k in (3, 4, 5) for i in range(len(w) + 3 - k)]
+    counts = {}
+    for x in said:
+        counts[hashing.fnv1a(x) % size] = counts.get(hashing.fnv1a(x) % size, 0) + 1
+    length = sum(n * n for n in counts.values()) ** 0.5
+    assert list(hashing.features(text, size).items()) == [(i, n / length) for i, n in counts.items()]
+    hashed, plain = [], hashing.fnv1a
+    monkeypatch.setattr(hashing, "fnv1a", lambda *given: hashed.append(given[0]) or plain(*given))
+    hashing.features(text, size)
+    assert hashed == words[1:]
