@@ -35,8 +35,19 @@ def clauses(question: Column, longest: int = 2000, nested: int = 4) -> Column:
 
 def found(words: Column, terms: Column) -> Column:
     """How many of an array of terms an array of words holds; a term of four letters or more also as the beginning of a word."""
-    prefix = lambda t: (F.length(t) >= 4) & t.rlike(r"^\p{L}+$")
-    return F.size(F.filter(terms, lambda t: F.array_contains(words, t) | (prefix(t) & F.exists(words, lambda w: F.startswith(w, t)))))
+    return F.size(F.filter(terms, lambda t: F.array_contains(words, t) | (_begins(t) & F.exists(words, lambda w: F.startswith(w, t)))))
+
+
+def _begins(term: Column) -> Column:
+    """Whether a term is found as the beginning of a word too."""
+    return (F.length(term) >= 4) & term.rlike(r"^\p{L}+$")
+
+
+def telling(words: DataFrame, terms: DataFrame, word: str = "word", term: str = "term") -> DataFrame:
+    """Rows of words whose word some term is found by, see found(): all that judging needs of a text. They meet under four letters, so each word meets few terms."""
+    t = terms.select(F.col(term).alias("_t")).distinct().select("_t", F.left("_t", F.lit(4)).alias("_four"), _begins(F.col("_t")).alias("_open"))
+    fits = (F.col(word) == F.col("_t")) | (F.col("_open") & F.startswith(F.col(word), F.col("_t")))
+    return words.join(t, (F.left(F.col(word), F.lit(4)) == F.col("_four")) & fits, "left_semi")
 
 
 def required(terms: Column) -> Column:
@@ -45,23 +56,23 @@ def required(terms: Column) -> Column:
     return F.when(n <= 2, 1).when(n <= 5, 2).otherwise(3)
 
 
-def judged(candidates: DataFrame, questions: DataFrame, by: str, question: str = "question", text: str = "text", document: str = "doc_id") -> DataFrame:
+def judged(candidates: DataFrame, questions: DataFrame, by: str, question: str = "question", text: str = "text", document: str = "doc_id", words: str | None = None) -> DataFrame:
     """candidates with parts (for each clause of their question, whether the passage serves it), eligible, covers (it holds every one of two terms or more) and clauses (how many the question has).
 
-    A passage serves a clause if it has the hits the clause needs. A later clause may lean on the first ("how does it form"): its passages must belong to a document that serves the first or name something of the first, unless the clause asks "what is" or "how does" without a pronoun. Without clauses the question as a whole decides. Null texts serve nothing.
+    A passage serves a clause if it has the hits the clause needs. A later clause may lean on the first ("how does it form"): its passages must belong to a document that serves the first or name something of the first, unless the clause asks "what is" or "how does" without a pronoun. Without clauses the question as a whole decides. Null texts serve nothing. words: a column with the text's words, or those of them that are telling(), which stands for the text where passages meet many questions.
     """
     own = questions.select(F.col(by).alias("_by"), query_terms(F.col(question)).alias("_terms"), clauses(F.col(question)).alias("_clauses"))
     own = own.select("_by", "_terms", F.transform("_clauses", lambda c: F.struct(query_terms(c).alias("terms"), (c.rlike(r"(?i)^\s*(?:what\s+(?:is|are)|(?:how|why)\s+(?:does|do))\s+") & ~c.rlike(r"(?i)\b(?:it|its|they|their|them|this|that|these|those|former|latter)\b")).alias("alone"))).alias("_clauses"))
-    rows = candidates.join(own, F.col(by) == F.col("_by")).withColumn("_words", F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))))
+    rows = candidates.join(own, F.col(by) == F.col("_by")).withColumn("_words", F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))) if words is None else F.col(words))
     hits = F.transform("_clauses", lambda c: found(F.col("_words"), c["terms"]))
-    rows = rows.withColumn("_hits", hits).withColumn("_serves", F.zip_with("_clauses", "_hits", lambda c, n: n >= required(c["terms"])))
+    rows = rows.withColumns({"_hits": hits, "_n": found(F.col("_words"), F.col("_terms"))}).drop("_words")  # no words cross the window
+    rows = rows.withColumn("_serves", F.zip_with("_clauses", "_hits", lambda c, n: n >= required(c["terms"])))
     led = F.max(F.coalesce(F.get("_serves", F.lit(0)), F.lit(False))).over(W.partitionBy(by, document))
     rows = rows.withColumn("_led", led | (F.coalesce(F.get("_hits", F.lit(0)), F.lit(0)) > 0))
     parts = F.transform("_serves", lambda s, i: s & ((i == 0) | F.col("_led") | F.get("_clauses", i)["alone"]))
-    n = found(F.col("_words"), F.col("_terms"))
-    rows = rows.withColumn("parts", parts).withColumn("clauses", F.size("_clauses")).withColumn("_n", n)
+    rows = rows.withColumn("parts", parts).withColumn("clauses", F.size("_clauses"))
     rows = rows.withColumn("eligible", F.when(F.col("clauses") > 0, F.exists("parts", lambda p: p)).otherwise(F.col("_n") >= required(F.col("_terms"))))
-    return rows.withColumn("covers", (F.size("_terms") >= 2) & (F.col("_n") == F.size("_terms"))).drop("_by", "_terms", "_clauses", "_words", "_hits", "_serves", "_led", "_n")
+    return rows.withColumn("covers", (F.size("_terms") >= 2) & (F.col("_n") == F.size("_terms"))).drop("_by", "_terms", "_clauses", "_hits", "_serves", "_led", "_n")
 
 
 def anchors(rows: DataFrame, by: Sequence[str], order: Sequence[Column], key: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import query_terms, tokens
 from siltstone.operators import coverage, depth
 from siltstone.plans.base import registry
-from siltstone.sources.tables import table
+from siltstone.sources.tables import table, written
 
 QUERIES, ORACLES, query = registry()
 
@@ -60,11 +60,13 @@ def _judged(spark, sf):
     parted = F.when(F.col("item_id") % 4 == 0, _said("What is ", 0, " ", 1, " ", 2, " and how is ", 3, " ", 4, " ", 5, "?")).when(F.col("item_id") % 4 == 2, _said("What is ", 0, " ", 1, " ", 2, ", and what is ", 3, " ", 4, " ", 5, "?"))
     questions = asked.select("item_id", F.coalesce(parted, F.array_join("t", " ")).alias("question"))
     docs = table(spark, sf, "documents")
-    words = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("w"))
+    words = docs.select("doc_id", F.col("source").alias("pack"), F.array_distinct(tokens(F.col("text"))).alias("w"), F.monotonically_increasing_id().alias("_row"))
     terms = questions.select("item_id", F.explode(query_terms(F.col("question"))).alias("_t"))
-    scored = words.select("doc_id", F.size("w").alias("m"), F.explode("w").alias("_w")).join(terms, F.col("_w") == F.col("_t")).groupBy("item_id", "doc_id").agg((F.count("*") * 100 - F.least(F.lit(99), F.floor(F.first("m") / 10))).alias("score"))
-    rows = scored.join(docs.select("doc_id", F.col("source").alias("pack"), "text"), "doc_id")
-    return coverage.judged(rows, questions, "item_id")
+    spoken = words.select("_row", "doc_id", "pack", F.size("w").alias("m"), F.explode("w").alias("_w"))
+    held = written(coverage.telling(spoken, terms, "_w", "_t").groupBy("_row", "doc_id", "pack", "m").agg(F.collect_list("_w").alias("w")).drop("_row"), "telling").repartition("doc_id")
+    scored = held.select("doc_id", "m", F.explode("w").alias("_w")).join(terms, F.col("_w") == F.col("_t")).groupBy("item_id", "doc_id").agg((F.count("*") * 100 - F.least(F.lit(99), F.floor(F.first("m") / 10))).alias("score"))
+    rows = scored.join(held.select("doc_id", "pack", "w"), "doc_id")
+    return coverage.judged(rows, questions, "item_id", words="w").drop("w")
 
 
 @query(f"WITH {_JUDGED} SELECT item_id, doc_id, eligible, covers, CASE WHEN parted THEN s1::INT + s2::INT ELSE 0 END::BIGINT AS served FROM judged")

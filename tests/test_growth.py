@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone.functions import hashing
+from siltstone.functions.text import query_terms, tokens
 from siltstone.llm import pii
 from siltstone.llm.common import fits, materialise
-from siltstone.operators import chunking, inverted, places, vectors
-from siltstone.plans import answers, collections, travel, wordings
+from siltstone.operators import chunking, coverage, inverted, places, vectors
+from siltstone.plans import answers, collections, evidence, travel, wordings
 from siltstone.sources import blocks
 
 
@@ -148,3 +149,19 @@ def test_words_are_hashed_once(monkeypatch):
     monkeypatch.setattr(hashing, "fnv1a", lambda *given: hashed.append(given[0]) or plain(*given))
     hashing.features(text, size)
     assert hashed == words[1:]
+
+
+def test_telling_words_stand_for_texts(spark, sf_dir):
+    """Passages that meet many questions carry the words that terms find, not their texts, and are judged alike."""
+    assert "text" not in evidence._judged(spark, sf_dir).columns
+    texts = [(1, "Granites weather; graniteware"), (2, "gran granit GRANITE"), (3, "ab 12345 1234567"), (4, "abc"), (5, None), (6, ""), (7, "hardness hard"), (8, "naïveté naïve")]
+    asked = [(1, "granite hardness"), (2, "ab 1234"), (3, "What is granite hardness and how does it weather slowly?"), (4, "naïve naïveté")]
+    docs, questions = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(asked, "q int, question string")
+    terms = questions.select(F.explode(query_terms(F.col("question"))).alias("t"))
+    spoken = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
+    told = coverage.telling(spoken, terms, "w", "t")
+    assert {(r["doc_id"], r["w"]) for r in told.collect()} == {(1, "granites"), (1, "weather"), (1, "graniteware"), (2, "granite"), (3, "ab"), (7, "hardness"), (8, "naïveté"), (8, "naïve")}
+    held = docs.join(told.groupBy("doc_id").agg(F.collect_list("w").alias("w")), "doc_id", "left").withColumn("w", F.coalesce("w", F.array().cast("array<string>")))
+    rows = held.crossJoin(questions.select("q"))
+    columns = ["q", "doc_id", "eligible", "covers", "parts", "clauses"]
+    assert sorted(map(repr, coverage.judged(rows, questions, "q", words="w").select(columns).collect())) == sorted(map(repr, coverage.judged(rows, questions, "q").select(columns).collect()))
