@@ -22,6 +22,8 @@ WIDE = 64
 PARTS = 32
 #: Lists are met in so many rounds, which divides the disk that they take.
 ROUNDS = 2
+#: A line is compared with one partner first, then with so many times as many as it was compared with before.
+STEP = 16
 
 
 def _split(text: Column) -> Column:
@@ -143,22 +145,39 @@ def _without(rows: DataFrame, gone: DataFrame, small: bool, kind: str = "left_an
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
-    """(doc_id, ln) of the later lines in pairs whose words, as hashes of 64 bits, are close enough to the earlier one's."""
-    pairs = materialise(pairs, "pairs")
+    """(doc_id, ln) of the later lines in pairs whose words, as hashes of 64 bits, are close enough to an earlier one's; a written table. One such pair tells enough of a line: lines are compared with their first partner, those left with the next STEP, and so on by powers of STEP to the last, so that a large group of like lines never becomes all its pairs."""
+    order = W.partitionBy("y_doc_id", "y_ln").orderBy("x_doc_id", "x_ln")
+    pairs = materialise(pairs.withColumn("place", F.row_number().over(order)), "pairs")
     ends = [pairs.select(*(F.col(f"{s}_{c}").alias(f"_{c}") for c in ("doc_id", "ln"))) for s in "yx"]
     wanted = materialise(ends[0].unionByName(ends[1]).distinct().groupBy("_doc_id").agg(F.collect_list("_ln").alias("_lns")), "wanted")
     small = fits(wanted, broadcast_rows)
     held = docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"] == wanted["_doc_id"])
     picked = F.transform(F.array(_split(_plain(F.col("text")))), lambda lines: F.transform("_lns", lambda i: F.struct(i.alias("ln"), F.get(lines, i).alias("line"))))[0]  # the text is split once, not once for each line
     text = held.select("doc_id", F.explode(picked).alias("l"))
-    sets = text.select("doc_id", F.col("l.ln").alias("ln"), _words(F.col("l.line")).alias("words")).dropDuplicates(["doc_id", "ln"])
+    sets = materialise(text.select("doc_id", F.col("l.ln").alias("ln"), _words(F.col("l.line")).alias("words")).dropDuplicates(["doc_id", "ln"]), "sets")
+    last = pairs.agg(F.max("place")).first()[0] or 0
+    done, rounds, most = 0, [], 1
+    while done < last or not rounds:
+        asked = pairs.where(F.col("place").between(done + 1, most))
+        for had in rounds:
+            asked = asked.join(F.broadcast(had) if fits(had, broadcast_rows) else had, (F.col("y_doc_id") == had["doc_id"]) & (F.col("y_ln") == had["ln"]), "left_anti")
+        rounds.append(materialise(_alike(asked, sets, percent), "found"))
+        done, most = most, most * (STEP + 1)
+    discard(pairs, wanted, sets)
+    if len(rounds) == 1:
+        return rounds[0]
+    found = materialise(reduce(DataFrame.unionByName, rounds), "found")
+    discard(*rounds)
+    return found
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, ln) of the y in pairs whose words are close enough to some x's."""
     y, x = (sets.select(F.col("doc_id").alias(f"{s}_doc_id"), F.col("ln").alias(f"{s}_ln"), F.col("words").alias(f"{s}_words")) for s in "yx")
     both = pairs.join(y, ["y_doc_id", "y_ln"]).join(x, ["x_doc_id", "x_ln"])
     shared = F.size(F.array_intersect("x_words", "y_words"))
-    found = both.where(shared * 100 >= (F.size("x_words") + F.size("y_words") - shared) * percent).select(F.col("y_doc_id").alias("doc_id"), F.col("y_ln").alias("ln")).distinct()
-    found = materialise(found, "found")
-    discard(pairs, wanted)
-    return found
+    close = shared * 100 >= (F.size("x_words") + F.size("y_words") - shared) * percent
+    return both.where(close).select(F.col("y_doc_id").alias("doc_id"), F.col("y_ln").alias("ln")).distinct()
 
 
 def kept_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 200_000) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import hashing
 from siltstone.functions.text import query_terms, tokens
-from siltstone.llm import pii
+from siltstone.llm import lines, pii
 from siltstone.llm.common import fits, materialise
 from siltstone.operators import chunking, coverage, inverted, places, vectors
 from siltstone.plans import answers, collections, evidence, travel, wordings
@@ -165,3 +165,18 @@ def test_telling_words_stand_for_texts(spark, sf_dir):
     rows = held.crossJoin(questions.select("q"))
     columns = ["q", "doc_id", "eligible", "covers", "parts", "clauses"]
     assert sorted(map(repr, coverage.judged(rows, questions, "q", words="w").select(columns).collect())) == sorted(map(repr, coverage.judged(rows, questions, "q").select(columns).collect()))
+
+
+def test_like_lines_are_not_compared_in_all_pairs(spark, monkeypatch):
+    """30 like lines and every pair of them: each is compared with one other; a line like only its last partner is found too, and an unlike one is compared with all."""
+    words = [f"w{i}" for i in range(20)]
+    said = [" ".join(words[:19] + [f"x{n}"]) for n in range(30)] + ["quite another line", " ".join(["y"] * 3 + words[:17]), "quite another line"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    pairs = [(y, 0, x, 0) for y in range(33) for x in range(y)]
+    compared, plain = [], lines._alike
+    monkeypatch.setattr(lines, "_alike", lambda pairs, *given: compared.append(pairs.count()) or plain(pairs, *given))
+    found = lines._verified(spark.createDataFrame(pairs, "y_doc_id long, y_ln int, x_doc_id long, x_ln int"), docs, 80, 1000)
+    assert {r["doc_id"] for r in found.collect()} == {*range(1, 30), 31, 32} and found.count() == len(set(found.collect()))
+    assert compared[0] == 32 and sum(compared) <= 32 + 2 * 32
+    none = lines._verified(spark.createDataFrame([], "y_doc_id long, y_ln int, x_doc_id long, x_ln int"), docs, 80, 1000)
+    assert none.count() == 0
