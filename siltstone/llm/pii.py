@@ -160,6 +160,19 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = 2, share: float
     return both.join(F.broadcast(entities) if small else entities, "entity").join(known, "term").where((pmi > 0) & (pmi >= share * F.log2(F.lit(float(n)) / F.col("n_entity")))).select("entity", "term")
 
 
+def _told(found: DataFrame, told: DataFrame, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(key, set) and (set, terms), written tables: texts of equal sets of entities share their list of terms, which is many times as large as the entities are."""
+    told = materialise(told, "told")
+    entities = materialise(told.select("entity").distinct(), "entities")
+    holders = found.select("key", F.explode(_held()).alias("entity")).distinct()
+    holders = holders.join(F.broadcast(entities) if fits(entities, broadcast_rows) else entities, "entity", "left_semi")
+    held = holders.groupBy("key").agg(F.sort_array(F.collect_list("entity")).alias("held"))
+    held = materialise(held.select("key", F.sha2(F.array_join("held", "\n"), 256).alias("set"), "held"), "held")
+    members = held.groupBy("set").agg(F.first("held").alias("held")).select("set", F.explode("held").alias("entity"))
+    by_set = members.join(told, "entity").groupBy("set").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    return materialise(held.select("key", "set"), "keys"), materialise(by_set, "terms")
+
+
 def personal_data(docs: DataFrame, support: int = 2, share: float = 0.6, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, key, email, ip, card, phone, term) for every row: key is a hash of the text; arrays of (start, end) in code points, end exclusive, of each kind; term holds the disclosing terms outside the others.
 
@@ -167,10 +180,9 @@ def personal_data(docs: DataFrame, support: int = 2, share: float = 0.6, broadca
     """
     found = materialise(values(docs), "values")
     told = disclosing(docs, found, support, share, broadcast_rows)
-    holders = found.select("key", F.explode(_held()).alias("entity")).distinct()
-    by_text = materialise(holders.join(told, "entity").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "told")
-    keys = materialise(by_text.select("key"), "keys")  # a fraction of the terms' bytes
-    texts = _texts(docs, keys, broadcast_rows).join(F.broadcast(by_text) if fits(by_text, broadcast_rows) else by_text, "key")
+    keys, by_set = _told(found, told, broadcast_rows)
+    texts = _texts(docs, keys, broadcast_rows).join(F.broadcast(keys) if fits(keys, broadcast_rows) else keys, "key")
+    texts = texts.join(F.broadcast(by_set) if fits(by_set, broadcast_rows) else by_set, "set")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     spoken = texts.select("key", "_text", pattern.alias("_pattern")).select("key", F.transform(located(F.col("_text"), F.col("_pattern")), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("term"))
     spoken = materialise(spoken, "spoken")

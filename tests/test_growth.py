@@ -180,3 +180,15 @@ def test_like_lines_are_not_compared_in_all_pairs(spark, monkeypatch):
     assert compared[0] == 32 and sum(compared) <= 32 + 2 * 32
     none = lines._verified(spark.createDataFrame([], "y_doc_id long, y_ln int, x_doc_id long, x_ln int"), docs, 80, 1000)
     assert none.count() == 0
+
+
+def test_texts_of_equal_entities_share_their_terms(spark):
+    """Terms are listed once for each set of entities that texts hold; entities without terms don't tell sets apart."""
+    texts = [(n, f"mail ann@shared.org about quokka marsupials, copy {'abcdefghij'[n] * 4}") for n in range(8)] + [(8, "mail ann@shared.org and +49 171 555 0199 on quokka"), (9, "nothing here"), (10, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = materialise(pii.values(docs), "values")
+    told = spark.createDataFrame([("email:ann@shared.org", "quokka"), ("email:ann@shared.org", "marsupials"), ("email part:shared.org", "quokka")], "entity string, term string")
+    for most in (0, 1000):
+        keys, sets = pii._told(found, told, most)
+        assert [r["terms"] for r in sets.collect()] == [["marsupials", "quokka"]]
+        assert {r["key"] for r in keys.collect()} == {r["key"] for r in found.where("doc_id <= 8").collect()} and keys.select("set").distinct().count() == 1
