@@ -1,6 +1,6 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words in lower case. Lines with a Jaccard similarity of 0.8 or more to an earlier line go; earlier means of smaller doc_id, then smaller line number. Lines of equal sets are reduced to their first place beforehand. Words are ordered by rarity (their counts over all documents, hashed into a fixed number of counters); of two like lines the longer is looked up under its rarest words, as many as the prefix filter asks for, and the shorter is listed under the few rarest that lines no shorter than itself can still meet. Words are listed by classes of length, so only lines of like lengths meet; pairs that meet pass the length and positional filters and a bound on their difference by parity signatures, and are verified on their words. Most members of a large group of like lines go in a first round, each compared only with the first line of its part of the list, so that groups never become all their pairs. Everything here is DataFrame functions.
+A line is the set of its words in lower case. Lines with a Jaccard similarity of 0.8 or more to an earlier line go; earlier means of smaller doc_id, then smaller line number. Lines of equal sets are reduced to their first place beforehand. Words are ordered by rarity (the counts of lines that hold them, hashed into a fixed number of counters); of two like lines the longer is looked up under its rarest words, as many as the prefix filter asks for, and the shorter is listed under the few rarest that lines no shorter than itself can still meet. Words are listed by classes of length, so only lines of like lengths meet; pairs that meet pass the length and positional filters and a bound on their difference by parity signatures, and are verified on their words. Most members of a large group of like lines go in a first round, each compared only with the first line of its part of the list, so that groups never become all their pairs. Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -32,35 +32,37 @@ def _split(text: Column) -> Column:
 
 def _plain(text: Column) -> Column:
     """text in lower case, with every kind of white space but the line feed as blanks."""
-    return F.lower(F.when(text.rlike(r"[\t\r\f\x0b]"), F.translate(text, "\t\r\f\x0b", "    ")).otherwise(text))
+    other = reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in "\t\r\f\x0b"))  # looks at bytes, which a pattern doesn't
+    return F.lower(F.when(other, F.translate(text, "\t\r\f\x0b", "    ")).otherwise(text))
 
 
-def _words(line: Column) -> Column:
+def _hash(word: Column) -> Column:
+    """56 bits for a word."""
+    return F.shiftrightunsigned(F.xxhash64(word), 8)
+
+
+def _words(line: Column, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
     """Hashes of the distinct words of a plain line."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " ", -1), lambda w: hashed(w))), hashed(F.lit("")))
 
 
-def _levels(docs: DataFrame) -> DataFrame:
+def _levels(words: DataFrame) -> DataFrame:
     """One row: the array of the counters' levels, the logarithms of the counts of the words in each, in a long's high bits. It has COUNTERS members, whatever the corpus."""
-    spoken = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
-    counted = spoken.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("b")).count()
-    every = docs.sparkSession.range(COUNTERS).join(F.broadcast(counted), F.col("id") == F.col("b"), "left")
-    level = F.shiftleft(F.least(F.floor(3 * F.log2(F.coalesce("count", F.lit(0)) + 1)), F.lit(126)).cast("long"), 56)
+    counted = words.select(F.explode("words").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(COUNTERS - 1)).alias("b")).count()
+    every = words.sparkSession.range(COUNTERS).join(F.broadcast(counted), F.col("id") == F.col("b"), "left")
+    level = F.shiftleft(F.coalesce(F.least(F.floor(3 * F.log2(F.coalesce("count", F.lit(0)) + 1)), F.lit(126)), F.lit(0)).cast("long"), 56)  # never null, so that keys are sorted as plain longs
     return every.agg(F.sort_array(F.collect_list(F.struct("id", level.alias("level")))).alias("a")).select(F.col("a.level").alias("levels"))
 
 
-def _keys(line: Column, levels: Column) -> Column:
-    """Sorted array of the words of a plain line as longs, the rarest first: level in the high bits, hash in the low 56."""
-
-    def key(h: Column) -> Column:
-        return levels[h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")].bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    return F.sort_array(F.transform(_words(line), key))
+def _keys(words: Column, levels: Column) -> Column:
+    """Sorted array of a line's words as longs, the rarest first: level in the high bits, hash in the low 56."""
+    return F.sort_array(F.transform(words, lambda h: levels[h.bitwiseAND(F.lit(COUNTERS - 1))].bitwiseOR(h)))
 
 
-def _parity(keys: Column, bit: Callable[[Column], Column]) -> Column:
-    """64 bits, the exclusive or of each key's bit(key) shifted by the key's low six bits."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(keys: Column, bits: list[int]) -> Column:
+    """64 bits, the exclusive or of the members of bits that the low bits of each key name."""
+    named = F.array(*(F.lit(b).cast("long") for b in bits))  # looked up, as shifts cost twice as many steps for each word
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(named[k.bitwiseAND(F.lit(len(bits) - 1))]))
 
 
 def _overlap(n: Column, m: Column, percent: int) -> Column:
@@ -88,9 +90,9 @@ def _key(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 20)
 
 
-def _signed(rows: DataFrame) -> DataFrame:
+def _signed(rows: DataFrame, percent: int) -> DataFrame:
     """rows with the signature that lines of class c compare: both halves where lines are wide, else their sum."""
-    wide = F.col("c") >= _class(F.lit(WIDE), 80)
+    wide = F.col("c") >= _class(F.lit(WIDE), percent)
     return rows.withColumns({"a": F.when(wide, F.col("odd")).otherwise(F.col("odd").bitwiseXOR(F.col("even"))), "b": F.when(wide, F.col("even")).otherwise(F.lit(0))})
 
 
@@ -115,7 +117,7 @@ def _posted(distinct: DataFrame, many: Column, part: int | None = None) -> DataF
 
 def _to_leads(distinct: DataFrame, percent: int) -> DataFrame:
     """(y, x): lines and the first line in their part of a list, where the filters allow it."""
-    rows = _signed(_posted(distinct, _listed(F.col("n"), percent)).withColumn("c", _class(F.col("n"), percent)))
+    rows = _signed(_posted(distinct, _listed(F.col("n"), percent)).withColumn("c", _class(F.col("n"), percent)), percent)
     part = F.pmod(F.xxhash64("doc_id", "ln"), F.lit(PARTS))
     rows = rows.select(_key(F.col("token"), F.col("c"), part).alias("key"), "doc_id", "ln", "m", "a", "b")
     lead = F.first(F.struct("doc_id", "ln", "m", "a", "b")).over(W.partitionBy("key").orderBy("doc_id", "ln").rowsBetween(W.unboundedPreceding, 0))
@@ -123,14 +125,14 @@ def _to_leads(distinct: DataFrame, percent: int) -> DataFrame:
     return rows.where(_close("x.", "", percent)).select(F.col("doc_id").alias("y_doc_id"), F.col("ln").alias("y_ln"), F.col("x.doc_id").alias("x_doc_id"), F.col("x.ln").alias("x_ln")).distinct()
 
 
-def _meetings(longer: DataFrame, shorter: DataFrame, percent: int, part: int, few: bool = False) -> DataFrame:
+def _meetings(longer: DataFrame, shorter: DataFrame, percent: int, part: int | None, few: bool = False) -> DataFrame:
     """(y, x), y the later and not gone: lines of longer and lines of shorter, no longer than they, where the filters allow it. Words looked up that are few, as counted, are sent to the lists, and not the lists to them."""
     given = ("doc_id", "ln", "m", "a", "b", "gone")
-    asked = _signed(_posted(longer, _first(F.col("n"), percent), part).withColumn("c", _class(F.col("n"), percent)))
+    asked = _signed(_posted(longer, _first(F.col("n"), percent), part).withColumn("c", _class(F.col("n"), percent)), percent)
     asked = asked.select(_key(F.col("token"), F.col("c")).alias("p_key"), *(F.col(c).alias(f"p_{c}") for c in given))
     rows = _posted(shorter, _listed(F.col("n"), percent), part)
     most = (F.col("n") - F.col("at")) * ((100 + percent) / percent) - F.col("n")  # the longest line that can meet this one here
-    rows = _signed(rows.withColumn("c", F.explode(F.sequence(_class(F.col("n"), percent), _class(F.greatest(F.col("n").cast("double"), most), percent)))))
+    rows = _signed(rows.withColumn("c", F.explode(F.sequence(_class(F.col("n"), percent), _class(F.greatest(F.col("n").cast("double"), most), percent)))), percent)
     rows = rows.select(_key(F.col("token"), F.col("c")).alias("q_key"), *(F.col(c).alias(f"q_{c}") for c in given))
     n, k = F.shiftright("p_m", 32), F.shiftright("q_m", 32)
     after = (F.col("p_doc_id") > F.col("q_doc_id")) | ((F.col("p_doc_id") == F.col("q_doc_id")) & (F.col("p_ln") > F.col("q_ln")))
@@ -184,25 +186,28 @@ def kept_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 200_000
     """(doc_id, kept): numbers, from 0, of the lines with words that stay; a written table."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(_split(_plain(F.col("text")))).alias("ln", "line"))
-    keyed = lines.select("doc_id", "ln", "line", _levels(docs).scalar().alias("levels")).select("doc_id", "ln", _keys(F.col("line"), F.col("levels")).alias("keys"))
+    words = materialise(lines.select("doc_id", "ln", _words(F.col("line"), _hash).alias("words")), "words")  # texts are split once, for counting and for keys
+    keyed = words.select("doc_id", "ln", "words", _levels(words).scalar().alias("levels")).select("doc_id", "ln", _keys(F.col("words"), F.col("levels")).alias("keys"))
     n = F.size("keys")
-    short = n < WIDE * percent // 100
-    one, odd = (lambda k: F.lit(1).cast("long")), (lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1).cast("long")))
+    short = _class(F.greatest(n, F.lit(1)), percent) + 1 < _class(F.lit(WIDE), percent)  # such lines meet none in wide classes
+    bits, none = [1 << i for i in range(63)] + [-1 << 63], [0] * 64
     rest = F.struct(
-        n.alias("n"), F.when(short, _parity(F.col("keys"), one)).otherwise(_parity(F.col("keys"), odd)).alias("odd"),
-        F.when(short, F.lit(0).cast("long")).otherwise(_parity(F.col("keys"), lambda k: odd(k).bitwiseXOR(F.lit(1).cast("long")))).alias("even"),
+        n.alias("n"), F.when(short, _parity(F.col("keys"), bits)).otherwise(_parity(F.col("keys"), none + bits)).alias("odd"),
+        F.when(short, F.lit(0).cast("long")).otherwise(_parity(F.col("keys"), bits + none)).alias("even"),
         F.slice("keys", F.lit(1), F.when(n < 4, 0).otherwise(_first(n, percent))).alias("prefix"),
     )
     firsts = keyed.select(F.xxhash64("keys").alias("hash"), "doc_id", "ln", rest.alias("rest")).select("hash", "rest.n", "rest.odd", "rest.even", "doc_id", "ln", "rest")
     firsts = firsts.groupBy("hash", "n", "odd", "even").agg(F.min(F.struct("doc_id", "ln")).alias("p"), F.first("rest.prefix").alias("prefix"))
     distinct = materialise(firsts.select("p.doc_id", "p.ln", "n", "odd", "even", "prefix"), "lines")
+    discard(words)
     gone = _verified(_to_leads(distinct, percent), docs, percent, broadcast_rows)
     small = fits(gone, broadcast_rows)
     out = materialise(_without(distinct, gone, small, "left_semi").withColumn("gone", F.lit(True)), "out")
     few = (out.agg(F.sum(F.size("prefix"))).first()[0] or 0) <= broadcast_rows
     left = _without(distinct, gone, small).withColumn("gone", F.lit(False))
     every = left.unionByName(out)
-    met = [materialise(_meetings(left, every, percent, part).unionByName(_meetings(out, left, percent, part, few)), "met") for part in range(ROUNDS)]
+    met = [materialise(_meetings(left, every, percent, part).unionByName(_meetings(out, left, percent, part)) if not few else _meetings(left, every, percent, part), "met") for part in range(ROUNDS)]
+    met += [materialise(_meetings(out, left, percent, None, few), "met")] if few else []
     found = _verified(reduce(DataFrame.unionByName, met).distinct(), docs, percent, broadcast_rows)
     every = materialise(gone.unionByName(found).distinct(), "gone")
     kept = materialise(_without(distinct, every, fits(every, broadcast_rows)).groupBy("doc_id").agg(F.collect_list("ln").alias("kept")), "kept")

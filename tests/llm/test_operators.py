@@ -423,6 +423,16 @@ def test_lines(spark, sf_dir):
     assert got == brute_lines(docs)
 
 
+def test_lines_of_all_lengths(spark):
+    docs = []
+    for i, n in enumerate([*range(5, 140, 3), 180, 260, 400]):  # each length with shorter and longer lines at and about the threshold
+        words = [f"w{i}x{j}" for j in range(n)]
+        for k, m in enumerate(sorted({n, n * 9 // 10, math.ceil(n * 5 / 6), math.ceil(n * 4 / 5), n * 4 // 5 - 1})):
+            docs += [(1000 * k + i, " ".join(words[:m])), (100_000 - 1000 * k + i, " ".join(words[n // 10 : m] + [f"v{i}x{k}"]))]
+    got = {r["doc_id"]: r["text"] for r in lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_lines(docs)
+
+
 def test_lines_odd_rows(spark):
     got = lines.deduplicate(odd(spark))
     assert got.columns == [*odd(spark).columns, "n_lines", "n_removed"]
