@@ -40,13 +40,19 @@ def modules(rows: DataFrame, shelf: str, item: str, size: str, most: int, capaci
 
 
 def evidence(rows: DataFrame, group: str, order: str, size: str, budget: int, most: int) -> DataFrame:
-    """Rows of each group with place (from 1), as long as they fit in order: one that doesn't fit is passed over, at most `most` enter. Groups are ranked lists cut to a few rows beforehand."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>").alias("kept"))
+    """Rows of each group with place (from 1), as long as they fit in order: one that doesn't fit is passed over, at most `most` enter. Sizes are whole and not negative; a row without size never fits.
+
+    Groups may be of any length. Where a row enters, so did every earlier one of its size, as less was used before; so only the first `most` rows of each size within the budget can enter, and no more than most * (budget + 1) rows of a group meet. They are chosen before the shuffle as well.
+    """
+    first = F.row_number().over(W.partitionBy(group, size).orderBy(order))
+    able = rows.where(F.col(group).isNotNull() & (F.col(size) <= budget)).withColumn("_f", first).where(F.col("_f") <= most).drop("_f")
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"), F.struct(*rows.columns).alias("row"))))
+    whole = able.groupBy(group).agg(pairs.alias("_p"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{rows.select(F.struct(*rows.columns).alias('r')).schema['r'].dataType.simpleString()}>").alias("kept"))
     enters = lambda a, x: (a["used"] + x["s"] <= budget) & (F.size(a["kept"]) < most)
-    step = lambda a, x: F.when(enters(a, x), F.struct((a["used"] + x["s"]).alias("used"), F.array_append(a["kept"], x["o"]).alias("kept"))).otherwise(a)
-    kept = rows.groupBy(group).agg(pairs.alias("_p")).select(F.col(group).alias("_g"), F.posexplode(F.aggregate("_p", start, step, lambda a: a["kept"])).alias("_i", "_o"))
-    return rows.join(kept, (F.col(group) == F.col("_g")) & (F.col(order) == F.col("_o"))).withColumn("place", F.col("_i") + 1).drop("_g", "_o", "_i")
+    step = lambda a, x: F.when(enters(a, x), F.struct((a["used"] + x["s"]).alias("used"), F.array_append(a["kept"], x["row"]).alias("kept"))).otherwise(a)
+    kept = whole.select(F.posexplode(F.aggregate("_p", start, step, lambda a: a["kept"])).alias("_i", "_r"))
+    return kept.select("_r.*", (F.col("_i") + 1).alias("place"))
 
 
 def peak(rows: DataFrame, group: str, order: str, change: str) -> DataFrame:

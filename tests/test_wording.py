@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import calculators as calc
 from siltstone.functions import wording
 from siltstone.operators import budget
+from siltstone.plans import wordings
 
 
 def each(spark, f, values, kind="string"):
@@ -52,3 +53,22 @@ def test_calculations(spark):
     assert one(calc.fuel_range(n(50.0), n(8.0))) == 625 and one(calc.fuel_range(n(50.0), n(0.0))) is None
     assert one(calc.travel_hours(n(120.0), n(60.0))["whole"]) == 2 * 7 / 6 and one(calc.travel_hours(n(120.0), n(60.0), n(30))["whole"]) == 2.5
     assert one(calc.per_unit(n(3.0), n(0.0))) is None and one(calc.scaled(n(200.0), n(4), n(6))) == 300 and one(calc.percent(n(80.0), n(15))) == 12
+
+
+def test_evidence_of_long_lists(spark, tmp_path):
+    """Short passages behind many too long ones still enter, with the rank they have among all; of a long list only what can enter meets, and a fold over the whole list gives the same."""
+    texts = [("a", i, "nation " * 500) for i in range(40)] + [("a", 40, "nation " + "word " * 20), ("a", 41, "nation " + "word " * 30), ("b", 42, "nation"), ("b", 43, "none")]
+    spark.createDataFrame(texts, "source string, doc_id long, text string").selectExpr("doc_id", "source", "'' AS title", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = wordings.evidence_packing(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("a", 40, 41, 1), ("a", 41, 42, 2), ("b", 42, 1, 1)]
+
+    sizes = [(i * 7919 + i * i) % 130 for i in range(3000)]
+    want = {}
+    for key in range(3):
+        used, kept = 0, []
+        for i, n in enumerate(sizes):
+            if i % 3 == key and len(kept) < 4 and used + n <= 100:
+                used, kept = used + n, [*kept, i]
+        want |= {(str(key), i): place for place, i in enumerate(kept, 1)}
+    rows = spark.createDataFrame([(str(i % 3), i, n) for i, n in enumerate(sizes)] + [("0", -1, None), (None, 1, 1)], "pack string, rank int, n int")
+    assert {(r["pack"], r["rank"]): r["place"] for r in budget.evidence(rows, "pack", "rank", "n", 100, 4).collect()} == want
