@@ -28,21 +28,22 @@ def _texts(spark, sf):
     lines = F.concat_ws(
         "", F.lit("So "), "q", F.lit(" boxes × "), money(F.col("c")), F.lit(" = "), money(made), F.lit(".\nThen "), money(made), F.lit(" + €0.37 = "), money(made + 37), F.lit("; not 2 × 3 × 4 = 25.\nArrival: 08:15 + "), "h", F.lit(" h "), "m", F.lit(" min = "), F.format_string("%02d:%02d", F.floor(at / 60), at % 60), F.lit("."),
     )
-    return rows.select("k", lines.alias("text"), steps.steps(lines).alias("steps"))
+    return rows.select("k", lines.alias("text"))
 
 
 @query(f"""WITH {_STEPS} SELECT k, 1 AS n, round(q * c / 100.0, 4)::DOUBLE AS value, d = 0 AS is_right, q || ' boxes × €' || price || ' = €' || true_ AS fixed FROM s
 UNION ALL SELECT k, 2, round((q * c + 37) / 100.0, 4)::DOUBLE, d = 0, '€' || true_ || ' + €0.37 = €' || true_sum FROM s UNION ALL SELECT k, 3, mins::DOUBLE, e = 0, '08:15 + ' || h || ' h ' || m || ' min = ' || clock FROM s""")
 def worked_steps(spark, sf):
     """Each step of generated answers worked out again."""
-    rows = _texts(spark, sf).select("k", F.posexplode("steps").alias("n", "s"))
-    return rows.select("k", (F.col("n") + 1).alias("n"), F.round("s.value", 4).alias("value"), F.col("s.right").alias("is_right"), "s.fixed")
+    found = steps.listed(_texts(spark, sf), "k", "text")
+    return found.select("k", "n", F.round("value", 4).alias("value"), F.col("right").alias("is_right"), "fixed")
 
 
 @query(f"""WITH {_STEPS} SELECT k, 'So ' || q || ' boxes × €' || price || ' = €' || true_ || CASE WHEN d > 0 THEN ' (corrected)' ELSE '' END || '.' || chr(10) || 'Then €' || true_ || ' + €0.37 = €' || true_sum || CASE WHEN d > 0 THEN ' (corrected)' ELSE '' END || '; not 2 × 3 × 4 = 25.' || chr(10) || 'Arrival: 08:15 + ' || h || ' h ' || m || ' min = ' || clock || CASE WHEN e > 0 THEN ' (corrected)' ELSE '' END || '.' AS text FROM s""")
 def corrected_answers(spark, sf):
     """Generated answers with their wrong steps put right."""
-    return _texts(spark, sf).select("k", steps.corrected(F.col("text"), F.col("steps")).alias("text"))
+    found = _texts(spark, sf).withColumn("steps", steps.steps(F.col("text")))
+    return found.select("k", steps.corrected(F.col("text"), F.col("steps")).alias("text"))
 
 
 @query("SELECT p_partkey, 'Cost ' || p_partkey || '/' || p_size || ' of CO₂ × 10' || translate((p_partkey % 100)::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') || ', √(' || p_size || ' + x₁), $5 or $' || p_size AS text, '\\frac{' || p_partkey || '}{' || p_size || '}\\times {x}^{' || p_size || '}' AS latex FROM part")

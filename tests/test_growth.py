@@ -8,7 +8,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siltstone.functions import hashing
+from siltstone.functions import hashing, steps
 from siltstone.functions.text import query_terms, tokens
 from siltstone.llm import lines, pii
 from siltstone.llm.common import fits, materialise
@@ -192,3 +192,18 @@ def test_texts_of_equal_entities_share_their_terms(spark):
         keys, sets = pii._told(found, told, most)
         assert [r["terms"] for r in sets.collect()] == [["marsupials", "quokka"]]
         assert {r["key"] for r in keys.collect()} == {r["key"] for r in found.where("doc_id <= 8").collect()} and keys.select("set").distinct().count() == 1
+
+
+def test_steps_met_before_are_remembered(spark, sf_dir):
+    """500 texts of the same three steps are three steps to read, in no lambda of the engine's; figures that pass doubles or 32 bits end no query, and letters of two UTF-16 units are letters."""
+    plan = answers.worked_steps(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan
+    steps._read.cache_clear()
+    text = "So 28 boxes × €7.33 = €206.24.\nThen €206.24 + €0.37 = €206.61; not 2 × 3 × 4 = 25.\nArrival: 08:15 + 6 h 30 min = 14:45."
+    want = [(205.24, False, "28 boxes × €7.33 = €205.24"), (205.61, False, "€205.24 + €0.37 = €205.61"), (885.0, True, "08:15 + 6 h 30 min = 14:45")]
+    assert all([s[2:] for s in steps.worked(text)] == want for _ in range(500)) and steps._read.cache_info().misses == 3
+    odd = spark.createDataFrame([(1, "9" * 400 + " + 1 = 2"), (2, "3000000000 min + 1 min = 5 min"), (3, "𝔸5 × 2 = 11; 5 𝔸 × 2 = 11 𝔸"), (4, None), (5, "5 ×\n2 = 11")], "k int, t string")
+    rows = sorted(map(tuple, steps.listed(odd, "k", "t").collect()))
+    assert rows == [(2, 1, 3000000001.0, False, "3000000000 min + 1 min = 50000000 h 1 min"), (3, 1, 10.0, False, "5 𝔸 × 2 = 10 𝔸")]
+    found = odd.select("k", steps.steps(F.col("t")).alias("s")).collect()
+    assert [None if r["s"] is None else len(r["s"]) for r in sorted(found)] == [0, 1, 1, None, 0]
